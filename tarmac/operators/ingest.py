@@ -6,18 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tarmac.functions.scalars import is_valid_vin, iso_millis, parse_ts_ms, vin_of_payload
 
 EVENT_TYPES = ["TELEMETRY", "DTC", "MAINTENANCE_REQUIRED", "FAILURE", "SERVICE_COMPLETED"]
-CANONICAL = T.StructType.fromDDL(
-    "event_id string, vehicle_id string, vin string, oem_id string, schema_version string, event_ts string, ingested_at string, seq long,"
-    " event_type string, vehicle_type string, location struct<lat:double,lon:double>, speed_kmh double, odometer_km double, acceleration_ms2 double,"
-    " battery struct<soc_pct:double,voltage_v:double,current_a:double,temperature_c:double,charging:boolean>,"
-    " powertrain struct<rpm:double,engine_temp_c:double,motor_temp_c:double,power_kw:double,engine_load_pct:double>,"
-    " brakes struct<harsh_brake:boolean>, dtc_codes array<string>, trip_id string"
-)
+# The canonical event's fields and types.
+CANONICAL = {
+    "event_id": "string", "vehicle_id": "string", "vin": "string", "oem_id": "string", "schema_version": "string", "event_ts": "string", "ingested_at": "string", "seq": "long",
+    "event_type": "string", "vehicle_type": "string", "location": "struct<lat:double,lon:double>", "speed_kmh": "double", "odometer_km": "double", "acceleration_ms2": "double",
+    "battery": "struct<soc_pct:double,voltage_v:double,current_a:double,temperature_c:double,charging:boolean>",
+    "powertrain": "struct<rpm:double,engine_temp_c:double,motor_temp_c:double,power_kw:double,engine_load_pct:double>",
+    "brakes": "struct<harsh_brake:boolean>", "dtc_codes": "array<string>", "trip_id": "string",
+}
 OEM_A = "vin string, ts string, lat double, lng double, vehicleSpeed double, mileageKm double, batteryLevel double, batteryVoltage double, batteryCurrent double, batteryTemp double, engineRpm double, motorTemperature double, faultCodes array<string>, longitudinalAccel double, event string, sequence long, engineTemp double, engineLoadPct double, powerKw double, charging boolean, tripRef string"
 OEM_B = "vehicle struct<vin:string>, timestamp_epoch_ms long, sequence_no long, position struct<latitude:double,longitude:double>, motion struct<speed_mph:double,odometer_miles:double,accel_g:double>, energy struct<soc_percent:double,pack_voltage:double,pack_current:double,pack_temp_f:double,charging:boolean>, engine struct<rpm:double,coolant_temp_f:double,load_percent:double>, motor struct<temp_f:double,power_kw:double>, diagnostics struct<dtcs:array<string>>, events array<string>, trip_id string"
 # Units.
@@ -88,7 +88,7 @@ def normalise(resolved: DataFrame, adapters: dict | None = None) -> DataFrame:
     out = None
     for (oem, version), adapt in (adapters or ADAPTERS).items():
         part = adapt(resolved.where(F.col("vehicle_id").isNotNull() & (F.col("oem_id") == oem) & (F.col("schema_version") == version)))
-        part = part.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CANONICAL.fields])
+        part = part.select(*[F.col(n).cast(kind).alias(n) for n, kind in CANONICAL.items()])
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -97,7 +97,7 @@ def violations(df: DataFrame) -> DataFrame:
     """Adds ``violations``: the names of the canonical rules that a row breaks (empty for valid rows)."""
     c = F.col
     between = lambda x, a, b: c(x).between(a, b)
-    required = [f.name for f in CANONICAL.fields if f.name != "trip_id"]
+    required = [n for n in CANONICAL if n != "trip_id"]
     rules: list[tuple[str, Column]] = [(f"required:{n}", c(n).isNotNull()) for n in required]
     rules += [
         ("vin:length", F.length("vin") == 17), ("seq:minimum", c("seq") >= 0), ("event_type:enum", c("event_type").isin(EVENT_TYPES)), ("vehicle_type:enum", c("vehicle_type").isin("ICE", "EV", "HYBRID")),
