@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from tarmac.session import ship
+
 TELEMETRY = (
     "vehicle_id long, vehicle_type string, ts_ms long, seq long, speed_kmh double, odometer_km double, acceleration_ms2 double, harsh_brake boolean,"
     " dtc_codes array<string>, soc_pct double, temperature_c double, engine_temp_c double, motor_temp_c double, voltage_v double, current_a double,"
@@ -64,6 +66,7 @@ def drive(vehicle_id: int, start_ms: int, days: int, seed: int) -> tuple[pd.Data
 
 def fleet(spark: SparkSession, vehicles: int, days: int, start_ms: int = 1_704_067_200_000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(telemetry, ground truth) of a fleet, one vehicle a task's row; the same seed gives the same fleet."""
+    ship(spark)
     ids = spark.range(vehicles).withColumnRenamed("id", "vehicle_id").repartition(min(vehicles, 200))
 
     def run(which: int):

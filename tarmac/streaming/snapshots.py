@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tarmac.config import HOUR_MS, FeatureConfig
+from tarmac.session import ship
 
 #: Statistics of the streamed value, with the batch names: operation and contribution.
 STATS = {"n": "count", "sum": "sum", "sumsq": "sum", "min": "min", "max": "max", "first": "first", "last": "last"}
@@ -136,6 +137,7 @@ def snapshots_stream(events: DataFrame, config: FeatureConfig | None = None) ->
         out.insert(0, "vehicle_id", key[0])
         yield out
 
+    ship(events.sparkSession)
     picked = events.select(F.col("vehicle_id").cast("long"), "ts_ms", "seq", F.col("value").cast("double"))
     return picked.groupBy("vehicle_id").applyInPandasWithState(update, OUTPUT, "state string", "append", GroupStateTimeout.NoTimeout)
 
