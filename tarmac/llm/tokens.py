@@ -9,7 +9,9 @@ ends hold nothing else.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+from contextlib import contextmanager
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +21,8 @@ from tarmac.llm.common import forget_at_exit, map_rows, path_exists, shared_dir,
 
 LIMIT = 2048
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
-MEMO = 400_000
+MEMO = 150_000
+BATCH_ROWS = 500
 #: Texts of these characters only are not changed by NFC, and hold neither apostrophes nor the `<` of special strings:
 #: the tokenizer's pattern then cuts them into runs of letters, single digits, and runs of other visible characters.
 PLAIN = re.compile(r"[\t\n\r\x20-\x26\x28-\x3b\x3d-\x7eÀ-ÖØ-öø-ÿ]*")
@@ -41,6 +44,7 @@ class Counter:
     """Counts the tokens of texts, remembering the counts of pieces that the tokenizer encodes on their own."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of its own would only add to its memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -64,6 +68,18 @@ class Counter:
         return sum(map(self.memo.__getitem__, pieces))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """While texts are encoded, Arrow batches are short: they stand in the executor's memory twice, beside the tokenizer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 _counters: dict[str, Counter] = {}
 
 
@@ -94,7 +110,8 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer_path: str, limit: i
     else:
         misses = keyed.select("digest", "text")
     first = misses.groupBy("digest").agg(F.first("text").alias("text"))
-    encode_misses(first, tokenizer_path, version).write.mode("append").parquet(cache_path)
+    with small_batches(spark):
+        encode_misses(first, tokenizer_path, version).write.mode("append").parquet(cache_path)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
     stored = stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # two runs may have stored the same digest
     sized = keyed.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
