@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarmac.llm.common import stash, table
+from tarmac.session import ship
 
 K = 5
 QUERY_STEP = 50
@@ -74,6 +75,7 @@ def search(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec
     count as one. An empty table gives no row; with fewer than k candidates in the probed lists all of them are given.
     """
     spark, keep = vectors.sparkSession, k + 1
+    ship(spark)
     rows = valid_vectors(vectors, id_col, vec_col).dropDuplicates(["vec_id", "v"])
     order = Window.partitionBy("v").orderBy("vec_id")
     first = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= keep)

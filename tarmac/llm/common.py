@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tarmac.session import ship
+
 _own_dir: dict[str, str] = {}
 
 
@@ -71,12 +73,14 @@ def map_rows(df: DataFrame, schema: str | T.StructType, rows: Callable[[list[lis
             if held:
                 yield _batch(held, arrow)
 
+    ship(df.sparkSession)
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # mapInArrow resolves columns by name
     return plain.mapInArrow(run, out_schema)
 
 
 def filter_rows(df: DataFrame, columns: list[str], keep: Callable[[list[list]], list[bool]]) -> DataFrame:
     """The rows of ``df`` for which ``keep``, given the named columns of a batch, says so."""
+    ship(df.sparkSession)
     at = [df.columns.index(c) for c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
