@@ -100,50 +100,59 @@ def _votes(kind: str, x: Column, before: Column, after: Column, strict: Column)
     return [pattern, gazetteer, context, shape]
 
 
-def _matches(text: Column, kind: str, pattern: str, need: Column, rank: int, wide: bool) -> Column:
-    """The pattern's matches as structs (start, rank, end, wide, strict, votes): offsets are code points, ends exclusive.
+PATTERNS = [(k, BASE[k], False) for k in KINDS] + [(k, WIDE[k], True) for k in WIDE]
+
+
+def cut(text: Column) -> Column:
+    """The matches (m0 ...) of each pattern in a text column, and the pieces (p0 ...) between them; empty where a cheap
+    test says that there is no match. Kept as a column of its own, so that each pattern is searched for once."""
+    needs = {
+        ("email", False): F.contains(text, F.lit("@")), ("phone", False): F.contains(text, F.lit("+")), ("ip", False): text.rlike(r"[0-9]\.[0-9]"),
+        ("card", False): text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), ("email", True): text.rlike(r"(?i)[(\[]at[)\]]"), ("phone", True): text.rlike(r"[0-9]{3}[.-][0-9]{4}"),
+    }
+    none, out = F.array().cast("array<string>"), []
+    for i, (kind, pattern, wide) in enumerate(PATTERNS):
+        need = needs[kind, wide]
+        out.append(F.when(need, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none).alias(f"m{i}"))
+        out.append(F.when(need, F.split(text, pattern, -1)).otherwise(none).alias(f"p{i}"))
+    return F.struct(*out)
+
+
+def _places(found: Column, pieces: Column, kind: str, wide: bool) -> Column:
+    """A pattern's matches as structs (start, rank, end, wide, strict, votes): offsets are code points, ends exclusive.
 
     The matches and the pieces between them alternate, so their lengths add up to the offsets: one pass over both.
     """
-    none = F.array().cast("array<string>")
-    found = F.when(need, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
-    pieces = F.when(need, F.split(text, pattern, -1)).otherwise(none)
     place = "struct<start:bigint,rank:int,end:bigint,wide:boolean,strict:boolean,code:int,long:boolean>"
 
     def step(state, i):
-        hit, before, after = F.get(state["m"], i), F.get(state["p"], i), F.get(state["p"], i + 1)
+        hit, before, after = F.get(found, i), F.get(pieces, i), F.get(pieces, i + 1)
         start = state["at"] + F.char_length(before)
         end = start + F.char_length(hit)
         strict = F.lit(False) if wide else F.coalesce(valid(kind, hit), F.lit(False))
         votes = _votes(kind, hit, F.substring(before, -AROUND, AROUND), F.substring(after, 1, AROUND), strict)
         code = sum((v + 1) * 3**k for k, v in enumerate(votes))
         here = F.struct(
-            start.cast("long").alias("start"), F.lit(rank).alias("rank"), end.cast("long").alias("end"), F.lit(wide).alias("wide"),
+            start.cast("long").alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.cast("long").alias("end"), F.lit(wide).alias("wide"),
             strict.alias("strict"), code.cast("int").alias("code"), (F.length(_digits(hit)) >= (13 if kind == "card" else 7)).alias("long"),
         )
-        return F.struct(end.cast("long").alias("at"), state["m"].alias("m"), state["p"].alias("p"), F.array_append(state["out"], here).alias("out"))
+        return F.struct(end.cast("long").alias("at"), F.array_append(state["out"], here).alias("out"))
 
-    begin = F.struct(F.lit(0).cast("long").alias("at"), found.alias("m"), pieces.alias("p"), F.array().cast(f"array<{place}>").alias("out"))
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{place}>").alias("out"))
     steps = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
     return F.aggregate(steps, begin, step, lambda state: state["out"])
 
 
-def candidates(text: Column) -> Column:
-    """All candidates of a text column as one array of structs; card-like runs of fewer than 13 digits are left out."""
-    plus, at = F.contains(text, F.lit("+")), F.contains(text, F.lit("@"))
-    need = {
-        "email": at, "phone": plus, "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"),
-    }
-    more = {"email": text.rlike(r"(?i)[(\[]at[)\]]"), "phone": text.rlike(r"[0-9]{3}[.-][0-9]{4}")}
-    found = [_matches(text, k, BASE[k], need[k], i, False) for i, k in enumerate(KINDS)]
-    found += [_matches(text, k, WIDE[k], more[k], KINDS.index(k), True) for k in WIDE]
+def candidates(parts: Column) -> Column:
+    """All candidates of a column of ``cut`` as one array of structs; card-like runs of fewer than 13 digits are left out."""
+    found = [_places(parts[f"m{i}"], parts[f"p{i}"], kind, wide) for i, (kind, _, wide) in enumerate(PATTERNS)]
     return F.filter(F.concat(*found), lambda c: c["strict"] | (c["rank"] != KINDS.index("card")) | c["long"])
 
 
 def count_votes(docs: DataFrame, text_col: str = "text") -> dict[tuple[str, bool, int], int]:
     """How often each vote pattern occurs over all documents, by kind and by whether the wider pattern found it."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.select(F.explode(candidates(text)).alias("c")).groupBy("c.rank", "c.wide", "c.code").agg(F.count(F.lit(1)).alias("n"))
+    found = docs.select(cut(text).alias("__cut")).select(F.explode_outer(candidates(F.col("__cut"))).alias("c")).where("c is not null").groupBy("c.rank", "c.wide", "c.code").agg(F.count(F.lit(1)).alias("n"))
     return {(KINDS[r["rank"]], r["wide"], r["code"]): r["n"] for r in found.collect()}  # 4 kinds x 2 x 81 patterns at most
 
 
@@ -218,15 +227,15 @@ def accepted_patterns(docs: DataFrame, text_col: str = "text", threshold: float
     return sorted(key for key, p in scored.items() if p >= threshold)
 
 
-def spans(text: Column, accepted: list[tuple[str, bool, int]]) -> tuple[Column, Column]:
-    """(base, all): arrays of structs (start, rank, end) of a text column, by start and kind."""
-    found = candidates(text)
+def spans(found: Column, accepted: list[tuple[str, bool, int]]) -> tuple[Column, Column]:
+    """(base, all): arrays of structs (start, rank, end) of a column of candidates, by start and kind."""
     codes = [KINDS.index(k) * 1000 + wide * 500 + code for k, wide, code in accepted]
     yes = F.array(*[F.lit(c) for c in codes]) if codes else F.array().cast("array<int>")
     place = lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end"))
     base = F.array_sort(F.transform(F.filter(found, lambda c: c["strict"]), place))
+    sure = F.filter(found, lambda c: c["strict"])
     code = lambda c: c["rank"] * 1000 + F.when(c["wide"], 500).otherwise(0) + c["code"]
-    clear = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    clear = lambda c: ~F.exists(sure, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     extra = F.transform(F.filter(found, lambda c: ~c["strict"] & F.array_contains(yes, code(c)) & clear(c)), place)
     return base, F.array_sort(F.concat(base, extra))
 
@@ -238,8 +247,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Spans of different kinds may overlap.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base, every = spans(F.col("__text"), accepted_patterns(docs, text_col))
-    source = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("__text"))
+    base, every = spans(F.col("__found"), accepted_patterns(docs, text_col))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), cut(text).alias("__cut")).select("id", candidates(F.col("__cut")).alias("__found"))
     return source.select("id", base.alias("base"), every.alias("spans"))
 
 
@@ -252,11 +261,28 @@ def listing(places: Column) -> Column:
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """The documents with every span replaced by its kind in brackets; overlapping spans become one, named by the first.
 
-    Null texts stay null. ``chars_col`` is set to the new length where a text changed. Other columns are kept as they are.
+    A text that changed is searched once more, because what stands between two replacements may match by itself. Null
+    texts stay null. ``chars_col`` is set to the new length where a text changed. Other columns are kept as they are.
     """
-    _, every = spans(F.col("__text"), accepted_patterns(docs, text_col))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.withColumn("__text", text).withColumn("__spans", every)
+    accepted = accepted_patterns(docs, text_col)
+    first = _replaced(docs.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))), accepted)
+    again = first.withColumn("__first", F.col("__new")).withColumn("__text", F.coalesce("__first", F.lit("")))
+    found = _replaced(again.drop("__new"), accepted).withColumn("__done", F.coalesce("__new", "__first"))
+    out = []
+    for c in docs.columns:
+        if c == text_col:
+            out.append(F.coalesce("__done", F.col(text_col)).alias(c))
+        elif c == chars_col:
+            out.append(F.coalesce(F.char_length("__done").cast(docs.schema[c].dataType), F.col(c)).alias(c))
+        else:
+            out.append(F.col(c))
+    return found.select(*out)
+
+
+def _replaced(df: DataFrame, accepted: list[tuple[str, bool, int]]) -> DataFrame:
+    """Adds __new: __text with its spans replaced, null where it has none."""
+    _, every = spans(F.col("__found"), accepted)
+    found = df.withColumn("__cut", cut(F.col("__text"))).withColumn("__found", candidates(F.col("__cut"))).withColumn("__spans", every)
 
     def merge(done, s):
         last = F.element_at(done, -1)
@@ -273,16 +299,7 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_c
 
     tail = F.substr("__text", (F.element_at("__merged", -1)["end"] + 1).cast("int"), F.lit(2147483647))
     changed = F.concat(F.array_join(F.transform("__merged", piece), ""), tail)
-    new = F.when(F.col("__merged").isNotNull(), changed).otherwise(F.col(text_col))
-    out = []
-    for c in docs.columns:
-        if c == text_col:
-            out.append(F.col("__new").alias(c))
-        elif c == chars_col:
-            out.append(F.when(F.col("__merged").isNotNull(), F.char_length("__new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
-        else:
-            out.append(F.col(c))
-    return found.withColumn("__new", new).select(*out)
+    return found.withColumn("__new", F.when(F.col("__merged").isNotNull(), changed)).drop("__cut", "__found", "__spans", "__merged")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
