@@ -32,6 +32,9 @@ COLUMNS = 16
 #: Of the lists, as many are probed: vectors without any clusters need that many for a recall over 0.9.
 PROBE_SHARE = 0.65
 CONFIDENCE = 2.5
+#: Queries scanned together, candidates that give the first limit, the share of living pairs from which each is scanned
+#: on its own, and what rounding to single precision may cost: survivors are scored exactly.
+TOGETHER, HEAD, FEW, SLACK = 256, 256, 0.1, 1e-4
 SEED = 7
 
 
@@ -124,13 +127,11 @@ def search(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec
     def scan(candidates: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
         out = {"rep": [], "score": [], "ids": []}
         if len(candidates) and len(questions):
-            block = Scan(np.stack(candidates["v"].to_numpy()), sent.value[1])
-            ids = candidates["ids"].to_numpy()
-            for rep, q in zip(questions["rep"], np.stack(questions["v"].to_numpy()), strict=True):
-                for at, score in block.nearest(q, keep, ids):
-                    out["rep"].append(rep)
-                    out["score"].append(score)
-                    out["ids"].append(ids[at])
+            block, ids, reps = Scan(np.stack(candidates["v"].to_numpy()), sent.value[1]), candidates["ids"].to_numpy(), questions["rep"].to_numpy()
+            for j, at, score in block.nearest(np.stack(questions["v"].to_numpy()), keep, ids):
+                out["rep"].append(reps[j])
+                out["score"].append(score)
+                out["ids"].append(ids[at])
         return pd.DataFrame(out)
 
     by = ["list", "block", "query_block"]
@@ -151,29 +152,65 @@ class Scan:
         self.original, self.turn = original, turn
         self.norms = np.linalg.norm(original, axis=1)
         unit = original / self.norms[:, None] @ turn
-        self.blocks = [np.ascontiguousarray(unit[:, i : i + COLUMNS], dtype=np.float32) for i in range(0, unit.shape[1], COLUMNS)]
-        self.unit = unit
-
-    def nearest(self, query: np.ndarray, keep: int, ids) -> list[tuple[int, float]]:
-        """The block's ``keep`` best candidates (ties to the smaller first id) with their exact cosines."""
-        size = np.linalg.norm(query)
-        turned = (query / size) @ self.turn
-        dims, n = self.unit.shape[1], len(self.unit)
-        head = min(n, max(keep, 4 * keep))
-        limit = np.partition(((self.unit[:head] - turned) ** 2).sum(axis=1), min(keep, head) - 1)[min(keep, head) - 1] if n >= keep else np.inf
-        alive, partial = np.arange(n), np.zeros(n, dtype=np.float32)
+        self.dims = unit.shape[1]
+        self.blocks = [np.ascontiguousarray(unit[:, i : i + COLUMNS], dtype=np.float32) for i in range(0, self.dims, COLUMNS)]
+        self.squares = [(x * x).sum(axis=1) for x in self.blocks]
+
+    def nearest(self, queries: np.ndarray, keep: int, ids):
+        """(query row, candidate row, exact cosine): each query's ``keep`` best candidates, ties to the smaller first id."""
+        for at in range(0, len(queries), TOGETHER):
+            some = queries[at : at + TOGETHER]
+            sizes = np.linalg.norm(some, axis=1)
+            turned = (some / sizes[:, None] @ self.turn).astype(np.float32)
+            for j, alive in enumerate(self._survivors(turned, keep)):
+                scores = np.array([np.dot(self.original[i], some[j]) for i in alive]) / (self.norms[alive] * sizes[j])
+                for x in sorted(range(len(alive)), key=lambda x, s=scores, a=alive: (-s[x], ids[a[x]][0]))[:keep]:
+                    yield at + j, int(alive[x]), float(scores[x])
+
+    def _survivors(self, turned: np.ndarray, keep: int) -> list[np.ndarray]:
+        """For each query the candidates that no test has dropped and that may be among its ``keep`` best.
+
+        While most pairs live, a block of columns adds to all partial distances by one matrix product; once few do, only
+        to theirs.
+        """
+        n, m = len(self.original), len(turned)
+        limit = np.full(m, np.inf, dtype=np.float32)
+        if n >= keep:
+            head = sum(self._part(b, turned, slice(0, max(keep, HEAD))) for b in range(len(self.blocks)))
+            limit = np.partition(head, keep - 1, axis=0)[keep - 1]
+        partial, pairs = np.zeros((n, m), dtype=np.float32), None
         for b, block in enumerate(self.blocks):
-            d = min(dims, (b + 1) * COLUMNS)
-            part = turned[b * COLUMNS : d].astype(np.float32)
-            partial = partial + ((block[alive] - part) ** 2).sum(axis=1)
-            if d < dims:  # the hypothesis that the candidate is as near as the limit: abandoned when too unlikely
-                stay = partial * (dims / d) <= limit * (1 + CONFIDENCE / np.sqrt(d)) ** 2 + 1e-6
+            d = min(self.dims, (b + 1) * COLUMNS)
+            if pairs is None:
+                partial += self._part(b, turned, slice(None))
             else:
-                stay = partial <= limit * (1 + 1e-4) + 1e-6
-            alive, partial = alive[stay], partial[stay]
-        scores = np.array([np.dot(self.original[i], query) for i in alive]) / (self.norms[alive] * size)
-        order = sorted(range(len(alive)), key=lambda j: (-scores[j], ids[alive[j]][0]))[:keep]
-        return [(int(alive[j]), float(scores[j])) for j in order]
+                i, j = pairs
+                partial = partial + ((block[i] - turned[j, b * COLUMNS : d]) ** 2).sum(axis=1)
+            if d < self.dims:  # the hypothesis that a candidate is as near as the limit: abandoned when too unlikely
+                most = (limit * (1 + CONFIDENCE / np.sqrt(d)) ** 2 + SLACK) * (d / self.dims)
+            else:
+                most = limit * (1 + SLACK) + SLACK
+            stay = partial <= (most if pairs is None else most[pairs[1]])
+            if pairs is not None:
+                pairs, partial = (pairs[0][stay], pairs[1][stay]), partial[stay]
+            elif d == self.dims or stay.mean() < FEW:
+                pairs = np.nonzero(stay)
+                partial = partial[pairs]
+        order = np.argsort(pairs[1], kind="stable")
+        rows, distance = pairs[0][order], partial[order]
+        out, ends = [], np.cumsum(np.bincount(pairs[1], minlength=m))
+        for begin, end in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
+            near = distance[begin:end]
+            if len(near) > keep:
+                out.append(rows[begin:end][near <= np.partition(near, keep - 1)[keep - 1] * (1 + SLACK) + SLACK])
+            else:
+                out.append(rows[begin:end])
+        return out
+
+    def _part(self, b: int, turned: np.ndarray, rows: slice) -> np.ndarray:
+        """What the b-th block of columns adds to the squared distances of these rows to all queries."""
+        q = turned[:, b * COLUMNS : (b + 1) * COLUMNS]
+        return self.squares[b][rows, None] + (q * q).sum(axis=1) - 2 * (self.blocks[b][rows] @ q.T)
 
 
 def op6_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
