@@ -138,3 +138,32 @@ def test_mixing_edges(spark):
     rows = mixing.mix(docs, none).collect()
     assert len(rows) == 5 and {r.n_tokens for r in rows} == {0, 5000, 1, 2} and all(r.p_clean == pytest.approx(1 / 3) for r in rows)
     assert mixing.mix(docs.where("false"), none).count() == 0
+
+
+def test_training_reaches_every_document(spark):
+    """Each row's text is trained on (its context embeddings move), in tables of a few rows too, and copies spread over the rounds."""
+    texts = [f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i}" for i in range(12)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    weights, _ = lm_score.fit(docs)
+    moved = np.abs(lm_score.unpack(weights)[0] - lm_score.unpack(lm_score.fresh())[0]).max(axis=1) > 0
+    ids = lm_score.TypeIds()
+    assert all(moved[ids.of(t)].all() for t in texts)
+
+
+def test_types_within_a_class_follow_the_context():
+    """Two types of one class, each with a context of its own: the network tells them apart, and all types sum to one."""
+    rng = np.random.default_rng(1)
+    texts = [np.array([10, 11, 12, 13, 14]) if rng.random() < 0.5 else np.array([20, 21, 22, 23, 24]) for _ in range(8000)]
+    ids = np.concatenate(texts)
+    counts = np.bincount(ids, minlength=lm_score.VOCABULARY).astype(float)
+    counts[30:900] = 40000  # so many frequent types that those of the texts share the last classes
+    ranks = lm_score.Ranks(counts)
+    assert ranks.kind[12] == ranks.kind[22]
+    flat = lm_score.fresh()
+    for _ in range(3):
+        flat = lm_score.train(flat, lm_score.all_windows(texts), ranks.kind[ids], ids, ranks)
+    model = lm_score.Model(flat, counts)
+    right, wrong = model.log_probabilities(np.array([10, 11, 12, 13, 14]))[2], model.log_probabilities(np.array([10, 11, 22, 13, 14]))[2]
+    assert right > wrong + 2
+    every = [np.array([10, 11, t, 13, 14]) for t in range(lm_score.VOCABULARY)]
+    assert np.exp(model.of_texts(every)[2::5]).sum() == pytest.approx(1, abs=1e-3)
