@@ -6,9 +6,10 @@ order-free sums of page hashes stand for each, so a host of any size costs one g
 enough of the host's distinct pages are valid; as paths nest, so do they, and their tokens are the host's template.
 
 What remains between template tokens are the slots. A slot holds main text if it lies in the template's main element
-(``article``, ``main`` or a role that says so; else the element whose slots hold most of the page's text), and in no
-element that is a menu, header, footer, sidebar, notice, advert, form or comment. Text outside prose elements
-(paragraphs, headings, list items, cells, quotes) that the template repeats is boilerplate as well.
+(``article``, ``main`` or a role that says so; else the lowest common ancestor of the slots), and in no element that is a
+menu, header, footer, sidebar, notice, advert, form or comment by its tag, or by its name and the template. Text outside
+prose elements (paragraphs, headings, list items, cells, quotes) that the template repeats is boilerplate as well, and on
+pages without article or main also text inside them.
 """
 
 from __future__ import annotations
@@ -41,28 +42,54 @@ OUTSIDE_NAME = re.compile(
 )
 OUTSIDE_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
+NAMELESS = frozenset("html body h1 h2 h3 h4 h5 h6".split())  # elements that names never shut
+
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An open element: its tag, its path, and whether what it holds can be main text."""
+    """An open element: its tag and path, what its tag and names say of it, and (after ``settle``) if its text can be main text."""
 
-    __slots__ = ("tag", "path", "outside", "main")
+    __slots__ = ("tag", "path", "parent", "shut", "named", "main", "outside")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None):
         names = " ".join(attributes.get(k, "") for k in ("class", "id"))
         role = attributes.get("role", "").lower()
         kind = f"{tag}.{SPACE.sub('.', names.strip())}" if names.strip() else tag
-        self.tag = tag
+        self.tag, self.parent = tag, parent
         self.path = f"{parent.path}/{kind}" if parent else kind
-        shut = tag in OUTSIDE or role in OUTSIDE_ROLE or "hidden" in attributes or bool(names and tag not in MAIN and OUTSIDE_NAME.search(names))
-        inside_main = bool(parent and parent.main)
-        if tag == "header" and inside_main and not names:
-            shut = False  # an article's own header holds its headline
-        self.main = inside_main or ((tag in MAIN or role in MAIN or role == "article") and not (parent and parent.outside))
-        self.outside = bool(parent and parent.outside) or shut
+        self.shut = bool(parent and parent.shut) or tag in OUTSIDE or role in OUTSIDE_ROLE or "hidden" in attributes
+        self.main = bool(parent and parent.main) or ((tag in MAIN or role in MAIN or role == "article") and not (parent and parent.shut))
+        if tag == "header" and parent and parent.main and not parent.shut and role not in OUTSIDE_ROLE and "hidden" not in attributes:
+            self.shut = False  # an article's own header holds its headline
+        self.named = bool(names and tag not in MAIN and tag not in NAMELESS and OUTSIDE_NAME.search(names))
+        self.outside = False
+
+
+def settle(nodes: list[Node], template: frozenset[int]) -> None:
+    """Which elements are main and which outside, once all of the page is known (parents come before children).
+
+    A name shuts an element only if the host's template has the element, where the host has a template. It never shuts
+    what holds the page's main element or a headline (h1), and sections in the main element only by that evidence.
+    """
+
+    def up(node: Node | None):
+        while node is not None:
+            yield node
+            node = node.parent
+
+    roots = [n for n in nodes if n.main and not n.shut and not (n.parent and n.parent.main)]
+    clear = [n for n in roots if not any(a.named for a in up(n.parent))]  # not one of a list of teasers, say
+    chosen = set(map(id, clear or roots))
+    spared = {id(a) for n in roots if id(n) in chosen for a in up(n.parent)}
+    spared |= {id(a) for n in nodes if n.tag == "h1" and not n.shut for a in up(n.parent)}
+    for n in nodes:
+        n.main = bool(n.parent and n.parent.main) or id(n) in chosen
+        seen = n.named and token_hash("open", n.path) in template
+        by_name = n.named and id(n) not in spared and (seen or (not template and not (n.tag == "section" and n.main)))
+        n.outside = n.shut or by_name or bool(n.parent and n.parent.outside)
 
 
 def events(page: str | None):
@@ -188,41 +215,49 @@ def host_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
 
 def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
-    """The page's main text: its slots in the main element, a line for each block."""
-    blocks: list[tuple[bool, str, str]] = []  # in a main element?, path of the container, text
+    """The page's main text: its slots in the main element, a line for each block.
+
+    Without a main element all slots that are left are main text: they are what their lowest common ancestor holds, and
+    there prose that the template repeats is boilerplate too (unless nothing else stands on the page).
+    """
+    blocks: list[tuple[bool, bool, str]] = []  # in a main element?, all of it in the template?, text
     held: list[str] = []
     owner: list[Node | None] = [None]
+    repeated = [True]
 
     def flush():
         text = clean("".join(held))
         held.clear()
         if text and owner[0] is not None:
-            blocks.append((owner[0].main, owner[0].path.rpartition("/")[0], text))
-        owner[0] = None
-
-    for event in events(page):
+            blocks.append((owner[0].main, repeated[0], text))
+        owner[0], repeated[0] = None, True
+
+    found = list(events(page))
+    nodes: dict[int, Node] = {}
+    for _, node, *_ in found:
+        if node is not None:
+            nodes.setdefault(id(node), node)
+    settle(list(nodes.values()), template)
+    for event in found:
         kind, node = event[0], event[1]
         if kind == "text":
             if node is None or node.outside:
                 continue
-            prose = any(part.split(".", 1)[0] in PROSE for part in node.path.split("/"))
-            if not prose and token_hash("text", node.path, clean(event[2])) in template:
+            text = clean(event[2])
+            known = bool(text) and bool(template) and token_hash("text", node.path, text) in template
+            if known and not any(part.split(".", 1)[0] in PROSE for part in node.path.split("/")):
                 continue
-            if event[2].strip() and owner[0] is None:
-                owner[0] = node
+            if text:
+                owner[0] = owner[0] or node
+                repeated[0] = repeated[0] and known
             held.append(event[2])
         elif kind == "break" or node.tag in BLOCK:
             flush()
     flush()
     if any(b[0] for b in blocks):
         return "\n".join(text for inside, _, text in blocks if inside)
-    weight: dict[str, int] = {}
-    for _, path, text in blocks:
-        weight[path] = weight.get(path, 0) + len(text)
-    if not weight:
-        return ""
-    best = max(weight, key=lambda p: (weight[p], p))
-    return "\n".join(text for _, path, text in blocks if path == best or path.startswith(f"{best}/"))
+    own = [text for _, known, text in blocks if not known]
+    return "\n".join(own or [text for _, _, text in blocks])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -48,3 +48,25 @@ def test_driver_pages(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in H.op8_html_extraction(spark, sf).collect():
         assert r.text == plain(pages[r.page_id])
+
+
+def test_page_without_article_keeps_all_slots():
+    """Titles above the body, sibling containers, and paragraphs that begin with an inline element."""
+    assert H.main_text("<body><div class=post><h1>Title</h1><div class=body><p>long text of the body</p></div></div></body>") == "Title\nlong text of the body"
+    assert H.main_text("<body><section class=s1><p>one</p></section><section class=s2><p>two, longer</p></section></body>") == "one\ntwo, longer"
+    assert H.main_text("<body><div><p><b>a</b> first</p><p><b>b</b> second</p><p>plain</p></div></body>") == "a first\nb second\nplain"
+
+
+def test_prose_repeated_over_a_host_without_article(spark):
+    pages = [(i, f"http://h.example/{i}", f"<body><div class=x><p>Install our app</p><p>Now in stores</p><p>And more</p></div><div class=y><p>Own text {i}</p></div></body>") for i in range(6)]
+    got = H.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Own text {i}" for i in range(6)}
+
+
+def test_names_dont_shut_what_holds_the_main_text():
+    assert H.main_text("<html><body class='page has-sidebar sidebar'><article><p>text</p></article></body></html>") == "text"
+    assert H.main_text("<body><div class='sidebar'><main><p>text</p></main></div></body>") == "text"
+    assert H.main_text("<article><div class='post-header'><h1>Head</h1></div><h2 id='side-effects'>Effects</h2><section id='recommendations'><p>rest</p></section></article>") == "Head\nEffects\nrest"
+    assert H.main_text("<body><article><p>text</p></article><div class='related'><article><p>teaser</p></article></div></body>") == "text"
+    named = "<article><div class='notice'><p>kept</p></div></article>"
+    assert H.main_text(named) == "" and H.main_text(named, frozenset([1])) == "kept"
