@@ -6,6 +6,7 @@ The streaming queries run to the end of what is there and are held against the b
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,8 +81,10 @@ def platt_scores(spark, sf_dir):
     return s.select("id", "y", sigmoid(F.lit(slope) * logit(F.col("p")) + F.lit(offset)).alias("p7d"))
 
 
-def _folder() -> str:
-    return tempfile.mkdtemp(prefix="tarmac-stream-")
+def _folder(spark) -> str:
+    """A new folder that executors share (``spark.checkpoint.dir``), or a local one where that is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    return f"{base.rstrip('/') or tempfile.mkdtemp(prefix='tarmac-stream-')}/stream-{uuid.uuid4().hex}"
 
 
 @query(f"WITH {RAW} SELECT vehicle_id, count(*) AS n, round(sum(value), 3) AS total FROM raw GROUP BY 1")
@@ -93,7 +96,7 @@ def stream_dedup_windows(spark, sf_dir):
     named = twice.select(F.col("user_id").alias("vehicle_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("event_ts"), "value")
     name = f"dedup_{abs(hash((sf_dir, id(spark)))):x}"
     spark.sql(f"drop view if exists {name}")
-    out = snapshots.drain(dedup(named, horizon="40 days"), name, _folder())
+    out = snapshots.drain(dedup(named, horizon="40 days"), name, _folder(spark))
     return out.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
 
 
@@ -107,7 +110,7 @@ def stream_snapshots(spark, sf_dir):
     named = src.select(F.col("user_id").alias("vehicle_id"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "value")
     name = f"snapshots_{abs(hash((sf_dir, id(spark)))):x}"
     spark.sql(f"drop view if exists {name}")
-    out = snapshots.drain(snapshots.snapshots_stream(named), name, _folder())
+    out = snapshots.drain(snapshots.snapshots_stream(named), name, _folder(spark))
     return out.select(
         "vehicle_id", "feature_ts_ms", F.col("24h_n").alias("n_24h"), F.round("24h_sum", 3).alias("sum_24h"), F.col("1h_n").alias("n_1h"), F.col("5m_n").alias("n_5m"),
         F.col("24h_first").alias("first_24h"), F.col("24h_last").alias("last_24h"),

@@ -143,7 +143,8 @@ def snapshots_stream(events: DataFrame, config: FeatureConfig | None = None) ->
 
 
 def drain(stream: DataFrame, name: str, checkpoint: str, spark=None) -> DataFrame:
-    """Run a stream over all that is there and return what it put out (a memory sink: for tests and small queries)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run a stream over all that is there and return what it put out, by way of Parquet files beside the checkpoint."""
+    rows = f"{checkpoint}-rows"
+    query = stream.writeStream.format("parquet").queryName(name).outputMode("append").option("path", rows).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(rows)

@@ -93,3 +93,14 @@ def test_live_pipeline_batch_can_be_repeated(spark, tmp_path):
 def test_first_delivery_keeps_one(spark):
     df = spark.createDataFrame([("v", 1, 5, "late"), ("v", 1, 3, "first"), ("v", 2, 1, "x")], "vehicle_id string, seq long, ts_ms long, what string")
     assert {(r.seq, r.what) for r in ingest.first_delivery(df).collect()} == {(1, "first"), (2, "x")}
+
+
+def test_drained_rows_stay_in_files(spark, tmp_path):
+    out = run_stream(spark, tmp_path, history(60), 2, "s_files")
+    assert out.count() and out.inputFiles() and not spark.catalog.tableExists("s_files")
+
+
+def test_streams_keep_their_state_in_the_shared_folder(spark):
+    from tarmac.plans.scoring import _folder
+
+    assert _folder(spark).startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
