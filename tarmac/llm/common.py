@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tarmac.session import ship
 
 _own_dir: dict[str, str] = {}
+HOT_KEYS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode (tests) one of its own where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if not base:
         app = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own_dir.setdefault(app, tempfile.mkdtemp(prefix="tarmac-"))
     return base.rstrip("/")
 
@@ -54,6 +57,33 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` lacks (Spark's names don't depend on case), for what an operator adds while it works."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_keys(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of all columns: together they tell rows apart, and rows that agree in every column have the same."""
+    plain = [F.to_json(F.struct(c)) if isinstance(df.schema[c].dataType, T.MapType) else F.col(f"`{c}`") for c in df.columns]
+    nulls = [F.col(f"`{c}`").isNull() for c in df.columns]  # hashes pass over nulls, so where they stand is hashed as well
+    return [F.xxhash64(F.lit(n), *plain, *nulls) for n in (1, 2)]
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: str, how: str = "left") -> DataFrame:
+    """``left`` joined to ``right``, which has a row a key and in ``rows`` how many rows of ``left`` have it; ``rows`` is dropped.
+
+    However the rows are spread over the keys, no task gets a hot key: the keys that hold more than one in ``HOT_KEYS`` of
+    all rows (so fewer than ``HOT_KEYS``) are broadcast, the others meet by a shuffle. ``left`` is read twice.
+    """
+    total = right.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    hot, rest = right.where(F.col(rows) * HOT_KEYS > total).drop(rows), right.where(F.col(rows) * HOT_KEYS <= total).drop(rows)
+    few = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
+    return left.join(F.broadcast(hot), keys).unionByName(few)
+
+
 def map_rows(df: DataFrame, schema: str | T.StructType, rows: Callable[[list[list]], Iterable[tuple]]) -> DataFrame:
     """``mapInArrow`` over lists of column values: ``rows`` gets the columns of a batch and yields output tuples.
 
@@ -79,7 +109,10 @@ def map_rows(df: DataFrame, schema: str | T.StructType, rows: Callable[[list[lis
 
 
 def filter_rows(df: DataFrame, columns: list[str], keep: Callable[[list[list]], list[bool]]) -> DataFrame:
-    """The rows of ``df`` for which ``keep``, given the named columns of a batch, says so."""
+    """The rows of ``df`` for which ``keep``, given the named columns of a batch, says so; nulls reach ``keep`` as None.
+
+    Repeated rows are judged one by one; columns, their names and types stay; an empty table stays empty.
+    """
     ship(df.sparkSession)
     at = [df.columns.index(c) for c in columns]
 

@@ -8,7 +8,8 @@ the gradient over all documents, adds it (scaled by the small matrix of the doma
 gains nothing) to what was gathered before, and projects where the gathered gradients lead onto rates that are not
 negative. A document's rate so follows from its posteriors and one number for each domain.
 
-What reaches the driver is a few numbers for each domain; the classifier is at most ``FEATURES`` rows.
+What reaches the driver is a few numbers for each domain. All significant features count; they come from a bounded sample of
+labelled documents, and are broadcast if there are at most ``BROADCAST_ROWS`` of them.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import stash, table
+from tarmac.llm.common import join_hot, row_keys, spare, stash, table
 
 DOMAINS = ["clean", "poor", "toxic"]
 TARGETS = {"clean": 0.90, "poor": 0.08, "toxic": 0.02}
-FEATURES = 2000
+BROADCAST_ROWS = 200_000
 SURE, RATIO = 4.0, 3.0
 BIAS = "\u0000bias"
 PULL = 1e-5
@@ -58,7 +59,7 @@ def classifier(docs: DataFrame, labelled: DataFrame, per_domain: int = 2000, max
     ``labelled`` has doc_id and domain. Fitted on at most ``per_domain`` documents of each domain, in the order of a hash
     of their ids, among those of at most ``max_fit_bytes`` bytes. A feature's presence weighs by the log-ratio of its
     share in the domain to its share in the rest, its absence likewise; only features that are at least ``RATIO`` times as
-    frequent in the domain count (others say little of a text in a rare language, or of a short one), and at most ``FEATURES`` features, the surest first.
+    frequent in the domain, by a test of ``SURE`` deviations, count (others say little of a text in a rare language, or of a short one).
     The bias holds the domains' shares over all labels, and all features' absence.
     """
     usable = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isin(DOMAINS)).select("doc_id", "domain").dropDuplicates(["doc_id"])
@@ -73,24 +74,24 @@ def classifier(docs: DataFrame, labelled: DataFrame, per_domain: int = 2000, max
     seen = docs.where(fits).select("doc_id", text.alias("__text")).join(F.broadcast(ids), "doc_id")
     held = with_tokens(seen).select("domain", F.explode_outer("__tokens").alias("token"))
     counts = held.groupBy("token").agg(*[F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS])
-    counts = stash(counts.where(" + ".join(DOMAINS) + " >= 5"), "features")
+    counts = stash(counts, "features")
     base = counts.where(F.col("token") == BIAS).first()
     totals = {d: base[d] if base else 0 for d in DOMAINS}
     whole = sum(totals.values())
-    weights, absences, sureness = [], [], F.lit(0.0)
+    weights, absences, surely = [], [], F.lit(False)
     for d in DOMAINS:
         n, rest = totals[d], whole - totals[d]
         inside, outside = F.col(d), sum(F.col(x) for x in DOMAINS if x != d)
         p, q = (inside + 0.5) / (n + 1.0), (outside + 0.5) / (rest + 1.0)
         pooled = (inside + outside + 1.0) / (whole + 2.0)
         z = F.abs(p - q) / F.sqrt(pooled * (1 - pooled) * (1 / (n + 1.0) + 1 / (rest + 1.0)))
-        tells = F.when((z >= SURE) & (p >= RATIO * q), z).otherwise(0.0)
-        on = F.when(tells > 0, 1.0).otherwise(0.0)
+        tells = (z >= SURE) & (p >= RATIO * q)
+        on = F.when(tells, 1.0).otherwise(0.0)
         absences.append((F.ln((1 - p) / (1 - q)) * on).alias(f"a_{d}"))
         weights.append((F.ln(p / q) * on).alias(f"w_{d}"))
-        sureness = F.greatest(sureness, tells)
-    told = counts.where(F.col("token") != BIAS).select(F.xxhash64("token").alias("feature"), *weights, *absences, sureness.alias("z"))
-    kept = stash(told.where("z > 0").orderBy(F.desc("z"), "feature").limit(FEATURES), "weights")
+        surely = surely | tells
+    told = counts.where(F.col("token") != BIAS).select(F.xxhash64("token").alias("feature"), *weights, *absences, surely.alias("sure"))
+    kept = stash(told.where("sure").drop("sure"), "weights")
     absent = kept.agg(*[F.coalesce(F.sum(f"a_{d}"), F.lit(0.0)).alias(d) for d in DOMAINS]).first()
     prior = {d: math.log((shares.get(d, 0) + 0.5) / (sum(shares.values()) + 0.5 * len(DOMAINS))) for d in DOMAINS}
     bias = docs.sparkSession.range(1).select(F.xxhash64(F.lit(BIAS)).alias("feature"), *[F.lit(prior[d] + absent[d]).alias(f"w_{d}") for d in DOMAINS])
@@ -98,20 +99,23 @@ def classifier(docs: DataFrame, labelled: DataFrame, per_domain: int = 2000, max
 
 
 def memberships(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, p_<domain>): posteriors of each row's domains; rows stay apart even where ids repeat or are null.
+    """(doc_id, k1, k2, n_tokens, p_<domain>): posteriors of each row's domains; rows stay apart even where ids repeat or are null.
 
-    Distinct tokens meet the features in a broadcast join, and each task adds up a row's weights before anything is
-    shuffled. (explode_outer, because explode makes the optimiser compute the array once more to filter empty ones;
-    none is empty here.)
+    k1 and k2 are the row's keys (``row_keys``). Distinct tokens meet the features in a broadcast join (a shuffled one if
+    the features are many), and each task adds up a row's weights before anything is shuffled. (explode_outer, because
+    explode makes the optimiser compute the array once more to filter empty ones; none is empty here.)
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    source = docs.select(F.monotonically_increasing_id().alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("__text"))
-    single = with_tokens(source).select("__row", "doc_id", "n_tokens", F.explode_outer("__tokens").alias("__t"))
-    met = single.join(F.broadcast(model), F.xxhash64("__t") == F.col("feature"))
-    scored = met.groupBy("__row", "doc_id", "n_tokens").agg(*[F.sum(f"w_{d}").alias(d) for d in DOMAINS])
+    k1, k2 = row_keys(docs)
+    source = docs.select(F.monotonically_increasing_id().alias("__row"), k1.alias("k1"), k2.alias("k2"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("__text"))
+    row = ["__row", "k1", "k2", "doc_id", "n_tokens"]
+    single = with_tokens(source).select(*row, F.explode_outer("__tokens").alias("__t"))
+    small = model.count() <= BROADCAST_ROWS
+    met = single.join(F.broadcast(model) if small else model, F.xxhash64("__t") == F.col("feature"))
+    scored = met.groupBy(*row).agg(*[F.sum(f"w_{d}").alias(d) for d in DOMAINS])
     top = F.greatest(*DOMAINS)
     mass = sum(F.exp(F.col(d) - top) for d in DOMAINS)
-    return scored.select("doc_id", "n_tokens", *[(F.exp(F.col(d) - top) / mass).alias(f"p_{d}") for d in DOMAINS])
+    return scored.select("doc_id", "k1", "k2", "n_tokens", *[(F.exp(F.col(d) - top) / mass).alias(f"p_{d}") for d in DOMAINS])
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float], rounds: int = 40, tolerance: float = 1e-7) -> DataFrame:
@@ -186,9 +190,24 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
     One row per input row. Null and blank texts have no tokens and the domains' shares as posteriors. An empty table
     gives no row; without labels the posteriors are even.
     """
-    members = stash(memberships(docs, classifier(docs, labelled)), "members")
+    members = stash(memberships(docs, classifier(docs, labelled)).drop("k1", "k2"), "members")
     return fit_rates(members, targets or TARGETS)
 
 
+def with_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """The documents, all columns as they are, with their ``rate`` (see ``mix``) as the last column.
+
+    Rates belong to rows: rows that share an id, or have none, get their own, and repeated rows the same. A column of the
+    documents named rate gives way to ours. Null texts stay null; an empty table stays empty.
+    """
+    members = stash(memberships(docs, classifier(docs, labelled)), "members")
+    names = [spare(docs, "k1"), spare(docs, "k2")]
+    one = fit_rates(members, targets or TARGETS).groupBy("k1", "k2").agg(F.max("rate").alias("rate"), F.count(F.lit(1)).alias("rows"))
+    one = stash(one, "rates").toDF(*names, "rate", spare(docs, "rows"))
+    own = [c for c in docs.columns if c.lower() != "rate"]
+    keyed = docs.withColumns(dict(zip(names, row_keys(docs), strict=True))).select(*[f"`{c}`" for c in own], *names)
+    return join_hot(keyed, one, names, one.columns[-1]).select(*[f"`{c}`" for c in own], "rate")
+
+
 def op1_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), domains_of(table(spark, sf_dir, "labels")))

@@ -1,27 +1,39 @@
 """Personal data by aggregating weak labelers, in DataFrame functions only.
 
-Candidate spans are the matches of the base patterns (valid or not) and of wider patterns for addresses written out and
-for phone numbers without a country code. Four labelers vote on each candidate (1, -1, or 0 for no opinion): the strict
-pattern with its checks, a gazetteer (endings of addresses, issuers of cards, area codes, reserved networks), the words
-around, and the shape. Votes are counted by kind over the whole corpus; expectation-maximisation over these counts (a few
-hundred rows, whatever the corpus) estimates how reliable each labeler is for each kind and how likely each vote pattern
-is personal data. A logistic span classifier, trained on the patterns' features with these probabilities as soft labels,
-then decides. Base spans always stay; the classifier's accepted candidates that overlap none of them are added.
+Candidate spans are the matches of the base patterns (valid or not) and of wider patterns: addresses written out, phone
+numbers without a country code, and values of keys that name a secret (kind secret). Four labelers vote on each candidate
+(1, -1, or 0 for no opinion): the pattern with its checks, a gazetteer (endings of addresses, issuers of cards, area codes,
+reserved networks, prefixes of keys), the words around, and the shape. Votes are counted by kind over the whole corpus;
+expectation-maximisation over these counts (a few hundred rows, whatever the corpus) estimates how reliable each labeler is
+for each kind and how likely each vote pattern is personal data.
+
+These probabilities are soft labels for the final span classifier, which sees the spans themselves: their shape, length and
+first characters, the word before and the word after (hashed into ``BUCKETS`` buckets each), and the votes. It is naive
+Bayes: one grouped sum over all candidates trains it. Base spans always stay; candidates that the classifier accepts and that
+overlap none of them are added.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import table
+from tarmac.llm.common import spare, stash, table
 
-KINDS = ["email", "ip", "card", "phone"]
+KINDS = ["email", "ip", "card", "phone", "secret"]
+BASE_KINDS = KINDS[:4]
 AROUND = 32
 LABELERS = 4
+CODES = 3**LABELERS
+BUCKETS, LENGTHS = 256, 16
+#: Where the classifier's features of a kind start: votes, wider pattern or not, length, then the hashed ones.
+VOTES_AT, WIDE_AT, LENGTH_AT = 0, 3 * LABELERS, 3 * LABELERS + 2
+HASHED_AT = LENGTH_AT + LENGTHS
+FEATURES = HASHED_AT + 4 * BUCKETS
 
 # The base patterns, written without backtracking. A match starts where a run of its first characters
 # starts, or where the last match ended inside such a run; that is where the plain pattern's leftmost match starts.
@@ -33,19 +45,22 @@ BASE = {
 }
 # Wider patterns, and a cheap condition that every match needs.
 WIDE = {
-    "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{2,30}+){1,4}+",
+    "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{2,}+)++",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])",
+    "secret": r"(?i)(?<=(?:token|secret|passw(?:or)?d|api[_ -]?key|access[_ -]?key|private[_ -]?key)[\"']?\s{0,2}[:=]\s{0,2}[\"']?)(?<![A-Za-z0-9/+_-])[A-Za-z0-9/+_-]{12,}+",
 }
 # The gazetteers and cue words.
 ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|co|de|fr|es|it|uk|nl|be|ch|at|eu|us|ca|au|jp|cn|in|br|ru|pl|se|no|dk|fi|pt|mx|ar"
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5|4[4-9])|35|3[068])"
 AREAS = r"^(?:\+|00)?1?[2-9][0-9]{2}"
 RESERVED = r"^(?:0|22[4-9]|2[34][0-9]|25[0-5])\."
+KEY_PREFIXES = r"^(?:AKIA|ASIA|gh[pousr]_|xox[abpr]-|sk-|AIza|ey[JK])"
 CUES = {
     "email": r"(?i)mail|contact|write|address|kontakt|correo|courriel",
     "ip": r"(?i)\bip\b|host|server|login|client|from|adresse",
     "card": r"(?i)card|visa|master|amex|credit|karte|carte|tarjeta|pay",
     "phone": r"(?i)tel|phone|call|fax|mobil|cell|llam|appel",
+    "secret": r"(?i)token|secret|passw|api|auth|bearer|credential",
 }
 AGAINST = r"(?i)version|release|isbn|order|invoice|serial|section|id[:=#]"
 
@@ -93,6 +108,10 @@ def _votes(kind: str, x: Column, before: Column, after: Column, strict: Column)
     elif kind == "card":
         gazetteer = F.when(digits.rlike(ISSUERS), 1).otherwise(-1)
         shape = F.when(x.rlike(r"^(?:[0-9]{14,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})$"), 1).otherwise(-1)
+    elif kind == "secret":
+        pattern = F.when(x.rlike(r"^(?:[0-9a-f]{20,}|[0-9A-F]{20,}|(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z]).{16,})$"), 1).otherwise(-1)
+        gazetteer = F.when(x.rlike(KEY_PREFIXES), 1).otherwise(0)
+        shape = F.when(x.rlike("[0-9]") & x.rlike("[A-Za-z]") & (F.length(x) >= 16), 1).otherwise(-1)
     else:
         gazetteer = F.when(digits.rlike(AREAS), 1).otherwise(0)
         shape = F.when(x.rlike(r"\([0-9]{2,4}\)|^\+?[0-9]+(?:[ .-][0-9]{2,4}){2,}$"), 1).otherwise(-1)
@@ -100,7 +119,7 @@ def _votes(kind: str, x: Column, before: Column, after: Column, strict: Column)
     return [pattern, gazetteer, context, shape]
 
 
-PATTERNS = [(k, BASE[k], False) for k in KINDS] + [(k, WIDE[k], True) for k in WIDE]
+PATTERNS = [(k, BASE[k], False) for k in BASE_KINDS] + [(k, WIDE[k], True) for k in WIDE]
 
 
 def cut(text: Column) -> Column:
@@ -109,6 +128,7 @@ def cut(text: Column) -> Column:
     needs = {
         ("email", False): F.contains(text, F.lit("@")), ("phone", False): F.contains(text, F.lit("+")), ("ip", False): text.rlike(r"[0-9]\.[0-9]"),
         ("card", False): text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), ("email", True): text.rlike(r"(?i)[(\[]at[)\]]"), ("phone", True): text.rlike(r"[0-9]{3}[.-][0-9]{4}"),
+        ("secret", True): text.rlike(r"[:=]\s{0,2}[\"']?[A-Za-z0-9/+_-]{12}"),
     }
     none, out = F.array().cast("array<string>"), []
     for i, (kind, pattern, wide) in enumerate(PATTERNS):
@@ -119,22 +139,24 @@ def cut(text: Column) -> Column:
 
 
 def _places(found: Column, pieces: Column, kind: str, wide: bool) -> Column:
-    """A pattern's matches as structs (start, rank, end, wide, strict, votes): offsets are code points, ends exclusive.
+    """A pattern's matches as structs: offsets are code points, ends exclusive; hit, before and after are texts.
 
     The matches and the pieces between them alternate, so their lengths add up to the offsets: one pass over both.
     """
-    place = "struct<start:bigint,rank:int,end:bigint,wide:boolean,strict:boolean,code:int,long:boolean>"
+    place = "struct<start:bigint,rank:int,end:bigint,wide:boolean,strict:boolean,code:int,long:boolean,hit:string,before:string,after:string>"
 
     def step(state, i):
         hit, before, after = F.get(found, i), F.get(pieces, i), F.get(pieces, i + 1)
         start = state["at"] + F.char_length(before)
         end = start + F.char_length(hit)
         strict = F.lit(False) if wide else F.coalesce(valid(kind, hit), F.lit(False))
-        votes = _votes(kind, hit, F.substring(before, -AROUND, AROUND), F.substring(after, 1, AROUND), strict)
+        near = F.substring(before, -AROUND, AROUND), F.substring(after, 1, AROUND)
+        votes = _votes(kind, hit, *near, strict)
         code = sum((v + 1) * 3**k for k, v in enumerate(votes))
         here = F.struct(
             start.cast("long").alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.cast("long").alias("end"), F.lit(wide).alias("wide"),
             strict.alias("strict"), code.cast("int").alias("code"), (F.length(_digits(hit)) >= (13 if kind == "card" else 7)).alias("long"),
+            hit.alias("hit"), near[0].alias("before"), near[1].alias("after"),
         )
         return F.struct(end.cast("long").alias("at"), F.array_append(state["out"], here).alias("out"))
 
@@ -149,11 +171,27 @@ def candidates(parts: Column) -> Column:
     return F.filter(F.concat(*found), lambda c: c["strict"] | (c["rank"] != KINDS.index("card")) | c["long"])
 
 
-def count_votes(docs: DataFrame, text_col: str = "text") -> dict[tuple[str, bool, int], int]:
+def span_features(c: Column) -> Column:
+    """A candidate's features as numbers below ``FEATURES``."""
+    shape = F.regexp_replace(F.regexp_replace(c["hit"], "[A-Za-z]+", "a"), "[0-9]+", "9")
+    words = [F.substring(shape, 1, 16), F.substring(F.lower(c["hit"]), 1, 2), *[F.lower(F.regexp_extract(c[side], p, 1)) for side, p in (("before", r"(\p{L}+)[^\p{L}]*$"), ("after", r"^[^\p{L}]*(\p{L}+)"))]]
+    hashed = [HASHED_AT + n * BUCKETS + F.pmod(F.xxhash64(w), F.lit(BUCKETS)) for n, w in enumerate(words)]
+    votes = [VOTES_AT + 3 * k + F.floor(c["code"] / 3**k) % 3 for k in range(LABELERS)]
+    length = LENGTH_AT + F.least(F.lit(LENGTHS - 1), F.floor(F.length(c["hit"]) / 3))
+    return F.array(*[x.cast("int") for x in (*votes, WIDE_AT + F.when(c["wide"], 1).otherwise(0), length, *hashed)])
+
+
+def candidate_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(rank, wide, code, features): a row for each candidate of all documents."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    found = docs.select(cut(text).alias("cut")).select(F.explode_outer(candidates(F.col("cut"))).alias("c")).where("c is not null")
+    return found.select("c.rank", "c.wide", "c.code", span_features(F.col("c")).alias("features"))
+
+
+def count_votes(rows: DataFrame) -> dict[tuple[str, bool, int], int]:
     """How often each vote pattern occurs over all documents, by kind and by whether the wider pattern found it."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.select(cut(text).alias("__cut")).select(F.explode_outer(candidates(F.col("__cut"))).alias("c")).where("c is not null").groupBy("c.rank", "c.wide", "c.code").agg(F.count(F.lit(1)).alias("n"))
-    return {(KINDS[r["rank"]], r["wide"], r["code"]): r["n"] for r in found.collect()}  # 4 kinds x 2 x 81 patterns at most
+    found = rows.groupBy("rank", "wide", "code").agg(F.count(F.lit(1)).alias("n"))
+    return {(KINDS[r["rank"]], r["wide"], r["code"]): r["n"] for r in found.collect()}  # 5 kinds x 2 x 81 patterns at most
 
 
 def votes_of(code: int) -> list[int]:
@@ -196,47 +234,62 @@ def estimate(counts: dict[tuple[str, bool, int], int], rounds: int = 100) -> tup
     return belief, right
 
 
-def train(counts: dict[tuple[str, bool, int], int], belief: dict, steps: int = 400) -> dict[tuple[str, bool, int], float]:
-    """A logistic classifier of spans on kind, source and votes, with the patterns' beliefs as soft labels.
+def numbers(values: list[float]) -> Column:
+    """A constant array."""
+    return F.from_json(F.lit(json.dumps(values)), "array<double>")
 
-    Patterns weigh as the logarithm of their counts, so that frequent ones don't drown the rest. Returns each pattern's
-    probability.
+
+def train(rows: DataFrame, counts: dict[tuple[str, bool, int], int], belief: dict, pull: float = 5.0) -> list[float]:
+    """The naive Bayes classifier: for each kind the log-odds to start with, then the weights of its features.
+
+    ``rows`` are candidates, ``belief`` their soft labels by vote pattern. Shares of a feature among spans and others are
+    drawn to its share among both by ``pull`` pseudo-counts, so rare features weigh little and unseen ones nothing.
+    """
+    at = lambda kind, wide, code: (KINDS.index(kind) * 2 + wide) * CODES + code
+    soft = [0.0] * (len(KINDS) * 2 * CODES)
+    mass = {(r, y): 1.0 for r in range(len(KINDS)) for y in (0, 1)}
+    for key, n in counts.items():
+        soft[at(*key)] = belief[key]
+        mass[KINDS.index(key[0]), 1] += n * belief[key]
+        mass[KINDS.index(key[0]), 0] += n * (1 - belief[key])
+    label = F.get(numbers(soft), (F.col("rank") * 2 + F.col("wide").cast("int")) * CODES + F.col("code"))
+    seen = rows.select("rank", label.alias("label"), F.explode("features").alias("feature")).groupBy("rank", "feature")
+    sums = seen.agg(F.sum("label").alias("yes"), F.sum(1 - F.col("label")).alias("no")).collect()  # a row for each kind and feature at most
+    out = [0.0] * (len(KINDS) * (FEATURES + 1))
+    for r in range(len(KINDS)):
+        out[r * (FEATURES + 1)] = math.log(mass[r, 1] / mass[r, 0])
+    for s in sums:
+        n1, n0 = mass[s["rank"], 1], mass[s["rank"], 0]
+        share = (s["yes"] + s["no"]) / (n1 + n0)
+        out[s["rank"] * (FEATURES + 1) + 1 + s["feature"]] = math.log((s["yes"] + pull * share) / (n1 + pull) / ((s["no"] + pull * share) / (n0 + pull)))
+    return out
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> list[float] | None:
+    """The classifier learnt from all candidates of the documents; None where they have none."""
+    rows = stash(candidate_rows(docs, text_col), "candidates")
+    counts = count_votes(rows)
+    return train(rows, counts, estimate(counts)[0]) if counts else None
+
+
+def log_odds(c: Column, model: list[float]) -> Column:
+    """That a candidate is personal data."""
+    weights, start = numbers(model), c["rank"] * (FEATURES + 1)
+    return F.aggregate(span_features(c), F.get(weights, start), lambda total, f: total + F.get(weights, start + 1 + f))
+
+
+def spans(found: Column, model: list[float] | None, threshold: float = 0.0) -> tuple[Column, Column]:
+    """(base, all): arrays of structs (start, rank, end) of a column of candidates, by start and kind.
+
+    A candidate needs log-odds of ``threshold``; without a model none is added.
     """
-    features = {
-        key: [1.0, *(float(key[0] == k) for k in KINDS), float(key[1]), *(float(v == want) for v in votes_of(key[2]) for want in (-1, 1))]
-        for key in counts
-    }
-    weight = {key: math.log1p(n) for key, n in counts.items()}
-    total = sum(weight.values()) or 1.0
-    w = [0.0] * (1 + len(KINDS) + 1 + 2 * LABELERS)
-    predict = lambda x: 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, x, strict=True))))))
-    for _ in range(steps):
-        slope = [-0.001 * a for a in w]
-        for key, x in features.items():
-            miss = weight[key] / total * (belief[key] - predict(x))
-            slope = [s + miss * b for s, b in zip(slope, x, strict=True)]
-        w = [a + 2.0 * s for a, s in zip(w, slope, strict=True)]
-    return {key: predict(x) for key, x in features.items()}
-
-
-def accepted_patterns(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> list[tuple[str, bool, int]]:
-    counts = count_votes(docs, text_col)
-    if not counts:
-        return []
-    scored = train(counts, estimate(counts)[0])
-    return sorted(key for key, p in scored.items() if p >= threshold)
-
-
-def spans(found: Column, accepted: list[tuple[str, bool, int]]) -> tuple[Column, Column]:
-    """(base, all): arrays of structs (start, rank, end) of a column of candidates, by start and kind."""
-    codes = [KINDS.index(k) * 1000 + wide * 500 + code for k, wide, code in accepted]
-    yes = F.array(*[F.lit(c) for c in codes]) if codes else F.array().cast("array<int>")
     place = lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end"))
-    base = F.array_sort(F.transform(F.filter(found, lambda c: c["strict"]), place))
     sure = F.filter(found, lambda c: c["strict"])
-    code = lambda c: c["rank"] * 1000 + F.when(c["wide"], 500).otherwise(0) + c["code"]
+    base = F.array_sort(F.transform(sure, place))
+    if model is None:
+        return base, base
     clear = lambda c: ~F.exists(sure, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    extra = F.transform(F.filter(found, lambda c: ~c["strict"] & F.array_contains(yes, code(c)) & clear(c)), place)
+    extra = F.transform(F.filter(found, lambda c: F.when(c["strict"], False).otherwise((log_odds(c, model) >= threshold) & clear(c))), place)
     return base, F.array_sort(F.concat(base, extra))
 
 
@@ -244,11 +297,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(id, base, spans): arrays of structs (start, rank, end), rank counting in ``KINDS``; one row per input row.
 
     Null texts count as empty and have no spans; ids may be null; repeated rows are repeated; an empty table gives no row.
-    Spans of different kinds may overlap.
+    Spans of different kinds may overlap; of equal starts the kind listed first stands first.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base, every = spans(F.col("__found"), accepted_patterns(docs, text_col))
-    source = docs.select(F.col(id_col).cast("long").alias("id"), cut(text).alias("__cut")).select("id", candidates(F.col("__cut")).alias("__found"))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    base, every = spans(F.col("found"), fit(docs, text_col))
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), cut(text).alias("cut")).select("id", candidates(F.col("cut")).alias("found"))
     return source.select("id", base.alias("base"), every.alias("spans"))
 
 
@@ -262,50 +315,52 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_c
     """The documents with every span replaced by its kind in brackets; overlapping spans become one, named by the first.
 
     A text that changed is searched once more, because what stands between two replacements may match by itself. Null
-    texts stay null. ``chars_col`` is set to the new length where a text changed. Other columns are kept as they are.
+    texts stay null. ``chars_col`` is set to the new length where a text changed. Other columns are kept as they are,
+    whatever their names; repeated rows stay repeated; an empty table stays empty.
     """
-    accepted = accepted_patterns(docs, text_col)
-    first = _replaced(docs.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))), accepted)
-    again = first.withColumn("__first", F.col("__new")).withColumn("__text", F.coalesce("__first", F.lit("")))
-    found = _replaced(again.drop("__new"), accepted).withColumn("__done", F.coalesce("__new", "__first"))
+    model = fit(docs, text_col)
+    text, first, done = (spare(docs, n) for n in ("text_now", "text_first", "text_done"))
+    found = _replaced(docs.withColumn(text, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), text, first, model)
+    again = _replaced(found.withColumn(text, F.coalesce(first, F.lit(""))), text, done, model).withColumn(done, F.coalesce(done, first))
     out = []
     for c in docs.columns:
         if c == text_col:
-            out.append(F.coalesce("__done", F.col(text_col)).alias(c))
+            out.append(F.coalesce(done, F.col(f"`{text_col}`")).alias(c))
         elif c == chars_col:
-            out.append(F.coalesce(F.char_length("__done").cast(docs.schema[c].dataType), F.col(c)).alias(c))
+            out.append(F.coalesce(F.char_length(done).cast(docs.schema[c].dataType), F.col(f"`{c}`")).alias(c))
         else:
-            out.append(F.col(c))
-    return found.select(*out)
+            out.append(F.col(f"`{c}`"))
+    return again.select(*out)
 
 
-def _replaced(df: DataFrame, accepted: list[tuple[str, bool, int]]) -> DataFrame:
-    """Adds __new: __text with its spans replaced, null where it has none."""
-    _, every = spans(F.col("__found"), accepted)
-    found = df.withColumn("__cut", cut(F.col("__text"))).withColumn("__found", candidates(F.col("__cut"))).withColumn("__spans", every)
+def _replaced(df: DataFrame, text: str, to: str, model: list[float] | None) -> DataFrame:
+    """Adds the column ``to``: the column ``text`` with its spans replaced, null where it has none."""
+    parts, found, every, merged = (spare(df, n) for n in ("parts", "found", "every", "merged"))
+    df = df.withColumn(parts, cut(F.col(text))).withColumn(found, candidates(F.col(parts))).withColumn(every, spans(F.col(found), model)[1])
 
     def merge(done, s):
         last = F.element_at(done, -1)
         grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), last["rank"].alias("rank"), F.greatest(last["end"], s["end"]).alias("end"))))
         return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] > s["start"]), grown).otherwise(F.array_append(done, s))
 
-    merged = F.aggregate("__spans", F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>"), merge)
-    found = found.withColumn("__merged", F.when(F.size("__spans") > 0, merged))
+    joined = F.aggregate(every, F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>"), merge)
+    df = df.withColumn(merged, F.when(F.size(every) > 0, joined))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def piece(s, i):
-        start = F.coalesce(F.get(F.col("__merged"), i - 1)["end"], F.lit(0))
-        return F.concat(F.substr("__text", (start + 1).cast("int"), (s["start"] - start).cast("int")), F.get(names, s["rank"]))
+        start = F.coalesce(F.get(F.col(merged), i - 1)["end"], F.lit(0))
+        return F.concat(F.substr(text, (start + 1).cast("int"), (s["start"] - start).cast("int")), F.get(names, s["rank"]))
 
-    tail = F.substr("__text", (F.element_at("__merged", -1)["end"] + 1).cast("int"), F.lit(2147483647))
-    changed = F.concat(F.array_join(F.transform("__merged", piece), ""), tail)
-    return found.withColumn("__new", F.when(F.col("__merged").isNotNull(), changed)).drop("__cut", "__found", "__spans", "__merged")
+    tail = F.substr(text, (F.element_at(merged, -1)["end"] + 1).cast("int"), F.lit(2147483647))
+    changed = F.concat(F.array_join(F.transform(merged, piece), ""), tail)
+    return df.withColumn(to, F.when(F.col(merged).isNotNull(), changed)).drop(parts, found, every, merged)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["rank"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
+    secrets = F.size(F.filter("spans", lambda s: s["rank"] == KINDS.index("secret"))).cast("long")
     return found.select(
-        F.col("id").alias("doc_id"), *[count(k) for k in KINDS], F.sha2(listing(F.col("base")), 256).alias("base_sha256"),
+        F.col("id").alias("doc_id"), *[count(k) for k in BASE_KINDS], secrets.alias("n_secret"), F.sha2(listing(F.col("base")), 256).alias("base_sha256"),
         listing(F.col("spans")).alias("spans"),
     )

@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import forget_at_exit, map_rows, path_exists, shared_dir, table
+from tarmac.llm.common import join_hot, map_rows, path_exists, shared_dir, stash, table
 
 LIMIT = 2048
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
@@ -102,8 +102,9 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer_path: str, limit: i
     Null texts count as empty (0 tokens), ids may be null, repeated rows are repeated, an empty table gives no row.
     """
     spark, version = docs.sparkSession, tokenizer_version(tokenizer_path)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     keyed = source.withColumn("digest", content_digest(F.col("text")))
+    sized = stash(keyed.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "sizes")
     if path_exists(spark, cache_path):
         known = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).select("digest")
         misses = keyed.select("digest", "text").join(known, "digest", "left_anti")
@@ -114,13 +115,16 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer_path: str, limit: i
         encode_misses(first, tokenizer_path, version).write.mode("append").parquet(cache_path)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
     stored = stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # two runs may have stored the same digest
-    sized = keyed.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return sized.join(stored, "digest", "left").select("id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counted = stash(sized.groupBy("digest").agg(F.count(F.lit(1)).alias("rows")).join(stored, "digest", "left"), "digests")
+    return join_hot(sized, counted, ["digest"], "rows").select("id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+def cache_of(spark: SparkSession, table_path: str) -> str:
+    """Where a table's counts are kept: under ``spark.tarmac.tokenCache``, else in the shared folder; both outlive the application."""
+    base = spark.conf.get("spark.tarmac.tokenCache", "") or shared_dir(spark)
+    return f"{base.rstrip('/')}/token-cache-{hashlib.sha256(table_path.encode()).hexdigest()[:16]}"
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = f"{shared_dir(spark)}/token-cache-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
-    if not path_exists(spark, cache):
-        forget_at_exit(spark, cache)
-    found = token_counts(table(spark, sf_dir, "documents"), cache, public_tokenizers.path("word_bpe_49k.json"))
+    found = token_counts(table(spark, sf_dir, "documents"), cache_of(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return found.withColumnRenamed("id", "doc_id")

@@ -70,15 +70,20 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-def test_links_join_all_near_pairs_whatever_the_posting_size(spark):
-    prints = dict(enumerate(dict.fromkeys(random_prints(4))))
-    reps = spark.createDataFrame([(signed(p), i) for i, p in prints.items()], "fp long, node long")
-    want = brute_components(prints)
-    for size in (2, 64, 10_000):
-        found = simhash.links(reps, posting_pairs=size)
-        assert all((prints[r.u] ^ prints[r.v]).bit_count() <= 2 for r in found.collect())
-        roots = {r.node: r.root for r in connected_components(found).collect()}
-        assert {i: roots.get(i, i) for i in prints} == want
+def test_links_are_all_near_pairs_once(spark):
+    prints = list(dict.fromkeys(random_prints(4)))
+    found = [tuple(sorted((r.u % (1 << 64), r.v % (1 << 64)))) for r in simhash.links(spark.createDataFrame([(signed(p),) for p in prints], "fp long")).collect()]
+    want = {tuple(sorted((a, b))) for i, a in enumerate(prints) for b in prints[:i] if (a ^ b).bit_count() <= 2}
+    assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_links_of_postings_over_several_batches(spark):
+    """A full posting: all values of the two open bytes, more rows than an Arrow batch holds."""
+    base = random.Random(2).getrandbits(64) & ~0xFFFF
+    prints = [base | x for x in range(0, 1 << 16, 3)]
+    found = simhash.links(spark.createDataFrame([(signed(p),) for p in prints], "fp long"))
+    near = sum((x ^ y).bit_count() <= 2 for x in range(0, 1 << 16, 3) for y in [x ^ m for m, _ in simhash._masks()] if y % 3 == 0) // 2
+    assert found.count() == found.distinct().count() == near
 
 
 def test_components_of_paths_and_empty(spark):
@@ -93,6 +98,24 @@ def test_keep_one(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == [3, 7, 9, None]
+    assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == [3, 7, 9]
     assert simhash.keep_one(docs.where("false")).count() == 0
     assert simhash.near_duplicates(docs).where(F.col("id").isNull()).first().component == 3
+
+
+def test_keep_one_tells_rows_apart_not_ids(spark):
+    rows = [(1, "a b c d", None), (2, "a b c d", None), (2, "totally other words here now", None), (None, "no id and a text of its own", None), (None, "no id and another text entirely", "x"), (None, "no id and another text entirely", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id string")
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=str)
+    assert got == sorted([(1, "a b c d"), (2, "totally other words here now"), (None, "no id and a text of its own"), (None, "no id and another text entirely")], key=str)
+    clash = docs.withColumns({c: F.lit("mine") for c in ("k1", "K2", "root", "rows", "id")})
+    kept = simhash.keep_one(clash)
+    assert kept.columns == clash.columns and kept.count() == 4 and {r.k1 for r in kept.collect()} == {"mine"}
+
+
+def test_shared_ids_join_no_groups(spark):
+    """Two texts of one id belong to their own groups, whose other members stay apart."""
+    rows = [(1, "a b c d"), (1, "totally other words here now"), (2, "a b c d"), (3, "totally other words here now")]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    roots = {r.id: r.root for r in found if r.id != 1}
+    assert len({r.root for r in found}) == 2 and roots[2] != roots[3] and {r.component for r in found} == {1}
