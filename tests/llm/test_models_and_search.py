@@ -57,46 +57,76 @@ def test_search_edges(spark):
 def test_language_model_prefers_what_it_has_seen(spark):
     rng = np.random.default_rng(1)
     pattern = "the quick brown fox jumps over the lazy dog and runs home".split()
-    seen = [(i, " ".join(pattern * 30)) for i in range(400)]
+    seen = [(i, " ".join(pattern * 30) + f" {i}") for i in range(400)]
     odd = [(1000 + i, " ".join(rng.permutation(pattern * 30))) for i in range(5)]
-    docs = spark.createDataFrame(seen + odd + [(2000, None), (2001, "  "), (None, "fox"), (1, "fox")], "doc_id long, text string").withColumn("log_prob", F.lit("extra"))
-    docs = docs.withColumn("text", F.when(F.col("doc_id") < 1000, F.concat("text", F.lit(" "), F.col("doc_id").cast("string"))).otherwise(F.col("text")))
-    weights, counts = lm_score.fit(docs)
-    assert counts.sum() == sum(len((r.text or "").split()) for r in docs.collect())
-    got = lm_score.score(docs, weights, counts).collect()
+    docs = spark.createDataFrame(seen + odd + [(2000, None), (2001, "  "), (None, "fox"), (1, "fox"), (1, "fox")], "doc_id long, text string").withColumn("log_prob", F.lit("extra"))
+    got = lm_score.score_documents(docs).collect()
     assert len(got) == docs.count()
-    mean = {r.id: r.mean_log_prob for r in got if r.id is not None and r.id != 1}
-    assert min(mean[i] for i in range(2, 400)) > max(mean[1000 + i] for i in range(5))
-    assert mean[2000] is None and mean[2001] is None
-    empty = docs.where("false")
-    assert lm_score.score(empty, *lm_score.fit(empty)).count() == 0
-
-
-def test_log_probabilities_are_those_of_the_formula():
-    """Every token's probability given both sides, summed over all types, is one; pieces don't change the sum."""
-    flat, counts = lm_score.fresh(), np.arange(lm_score.VOCABULARY, dtype=float)
-    model = lm_score.Model(flat, counts)
-    ids = np.array([5, 9, 13, 2, 2])
-    e, w1, b1, w2, b2 = lm_score.unpack(flat)
-    x = e[lm_score.windows(ids)].reshape(len(ids), -1)
-    z = np.tanh(x @ w1 + b1) @ w2 + b2
-    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
-    want = np.log(p[np.arange(5), model.kind[ids]]) + model.share[ids]
-    assert model.log_probabilities(ids) == pytest.approx(want, abs=1e-4)
-    assert np.exp(model.share).sum() == pytest.approx(lm_score.CLASSES)
-
-
-def test_training_lowers_the_loss():
-    rng = np.random.default_rng(0)
-    ids = np.tile(rng.permutation(200), 60)
-    kind, _ = lm_score.classes_of(np.bincount(ids, minlength=lm_score.VOCABULARY).astype(float))
-    start = lm_score.fresh()
-    after = start
-    for _ in range(5):
-        after = lm_score.train(after, lm_score.windows(ids), kind[ids])
-    counts = np.bincount(ids, minlength=lm_score.VOCABULARY).astype(float)
-    loss = lambda flat: -lm_score.Model(flat, counts).log_probabilities(ids).mean()
-    assert loss(after) < loss(start) - 0.5
+    mean = {r.id: r.mean_log_prob for r in got if r.id not in (None, 1)}
+    assert min(mean[i] for i in range(2, 400) if i in mean) > max(mean[1000 + i] for i in range(5))
+    assert mean[2000] is None and mean[2001] is None and len({r.log_prob for r in got if r.id == 1 and r.n_tokens == 1}) == 1
+    assert lm_score.score_documents(docs.where("false")).count() == 0
+
+
+def plain_scores(weights, texts, counts):
+    """The formula, token by token, in double precision."""
+    tables, hidden, out, class_offsets, v, type_offsets = (x.astype(np.float64) for x in lm_score.unpack(weights))
+    classes, found = lm_score.Classes(counts), []
+    for text in texts:
+        total = 0.0
+        for i, y in enumerate(text):
+            around = [text[i + j] if 0 <= i + j < len(text) else lm_score.TYPES for j in (-2, -1, 1, 2)]
+            h = np.tanh(sum(tables[n, x] for n, x in enumerate(around)) + hidden)
+            z, k = h @ out + class_offsets, int(classes.kind[y])
+            low, high = classes.starts[k], classes.starts[k + 1]
+            q = v[low:high] @ h + type_offsets[low:high]
+            total += z[k] - np.log(np.exp(z).sum()) + q[y - low] - np.log(np.exp(q).sum())
+        found.append(total)
+    return found
+
+
+def test_scores_of_the_trained_network_by_brute_force(spark):
+    """Counting, encoding, training and scoring through Spark, against the formula in Python; on other partitionings the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars < 3000").select("doc_id", "text")
+    rows = docs.collect()
+    plain = {}
+    for r in rows:
+        for w in (r.text or "").lower().split():
+            plain[lm_score.word_hash(w)] = plain.get(lm_score.word_hash(w), 0) + 1
+    words, tokens, counts = lm_score.vocabulary(docs)
+    assert tokens == sum(plain.values()) == counts.sum()
+    assert words == [h for h, _ in sorted(plain.items(), key=lambda x: (-x[1], x[0]))[: lm_score.VOCABULARY]]
+    weights = lm_score.fit(lm_score.encode(docs, words), tokens, counts)
+    again = docs.repartition(7)
+    assert np.array_equal(weights, lm_score.fit(lm_score.encode(again, lm_score.vocabulary(again)[0]), tokens, counts))
+    types = lm_score.Types({w: i for i, w in enumerate(words)})
+    want = dict(zip([r.doc_id for r in rows], plain_scores(weights, [types.of(r.text) for r in rows], counts), strict=True))
+    for r in lm_score.score_documents(docs).collect():
+        assert r.log_prob == pytest.approx(want[r.id], rel=1e-4, abs=1e-3)
+    shares = np.log((counts + 0.5) / (counts + 0.5).sum())
+    unigram = np.mean([shares[types.of(r.text)].sum() for r in rows])
+    assert np.mean(list(want.values())) > unigram  # the context tells something
+
+
+def test_probabilities_of_all_types_sum_to_one():
+    counts = np.sort(np.random.default_rng(2).zipf(1.3, lm_score.TYPES).astype(float))[::-1]
+    weights = lm_score.fresh(counts) + np.random.default_rng(3).normal(0, 0.3, len(lm_score.fresh(counts))).astype(np.float32)
+    every = np.concatenate([[5, 9, t, 2, 2] for t in range(lm_score.TYPES)]).astype(np.int16)
+    found = lm_score.log_probabilities(weights, every, np.full(lm_score.TYPES, 5), lm_score.Classes(counts))
+    assert np.exp(found[2::5]).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_types_follow_the_context():
+    """Two types, each with a context of its own: the network tells them apart."""
+    rng = np.random.default_rng(1)
+    texts = [np.array([10, 11, 12, 13, 14] if rng.random() < 0.5 else [20, 21, 22, 23, 24], dtype=np.int16) for _ in range(20_000)]
+    ids, lengths = np.concatenate(texts), np.full(len(texts), 5)
+    counts = np.bincount(ids, minlength=lm_score.TYPES).astype(float)
+    classes, weights = lm_score.Classes(counts), lm_score.fresh(counts)
+    for _ in range(3):
+        lm_score.train(weights, lm_score.windows(ids, lengths), ids, classes)
+    right, wrong = (lm_score.log_probabilities(weights, np.array([10, 11, x, 13, 14], dtype=np.int16), np.array([5]), classes)[2] for x in (12, 22))
+    assert right > wrong + 2
 
 
 def totals(rows, targets):
@@ -132,6 +162,46 @@ def test_rates_against_plain_projected_gradient(spark):
         assert sum((ours[d] - target[d]) ** 2 for d in target) <= best.sum() * 1.05 + 1e-6
 
 
+def test_rates_meet_the_conditions_of_the_problem_row_by_row(spark):
+    """At the optimum a row's gradient is zero where its rate is positive, and not negative where the rate is zero."""
+    sf = "/root/testdata/sf0.01"
+    for rows, target in (
+        (mixing.op1_mixing_to_targets(spark, sf).collect(), mixing.TARGETS),
+        (mixing.fit_rates(spark.createDataFrame([(i, 1 + i % 50, (i % 7) / 10, (i % 3) / 10, 1 - (i % 7) / 10 - (i % 3) / 10) for i in range(300)], "doc_id long, n_tokens long, p_clean double, p_poor double, p_toxic double"), {"clean": 0.05, "poor": 0.05, "toxic": 0.9}).collect(), {"clean": 0.05, "poor": 0.05, "toxic": 0.9}),
+    ):
+        n = np.array([r.n_tokens for r in rows], dtype=float)
+        p, rate = np.array([[r[f"p_{d}"] for d in mixing.DOMAINS] for r in rows]), np.array([r.rate for r in rows])
+        miss = (rate * n) @ p / n.sum() - np.array([target[d] for d in mixing.DOMAINS])
+        gradient = p @ miss + mixing.PULL * (rate - 1)
+        assert np.abs(gradient[rate > 0]).max() < 1e-6 and (gradient[rate == 0] > -1e-6).all()
+
+
+def test_posteriors_by_brute_force(spark):
+    """Naive Bayes over the features that tell, summed up in Python from the fitted weights."""
+    import math
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    labels = mixing.domains_of(spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    model = mixing.classifier(docs, labels)
+    weights = {r.feature: [r[f"w_{d}"] for d in mixing.DOMAINS] for r in model.collect()}
+    tokens = mixing.with_tokens(docs.withColumn("__text", F.coalesce("text", F.lit("")))).select("doc_id", F.transform("__tokens", lambda t: F.xxhash64(t)).alias("f"))
+    want = {}
+    for r in tokens.collect():
+        odds = [sum(weights[f][d] for f in r.f if f in weights) for d in range(len(mixing.DOMAINS))]
+        mass = [math.exp(x - max(odds)) for x in odds]
+        want[r.doc_id] = [x / sum(mass) for x in mass]
+    for r in mixing.memberships(docs, model).collect():
+        assert [r[f"p_{d}"] for d in mixing.DOMAINS] == pytest.approx(want[r.doc_id], abs=1e-9)
+
+
+def test_with_rates_keeps_every_row_and_column(spark):
+    rows = [(1, "clean words of a text", "a"), (1, "clean words of a text", "a"), (1, "other words", None), (None, None, "b"), (None, "x", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra string").withColumns({n: F.lit("mine") for n in ("k1", "rows", "Rate", "n_tokens")})
+    out = mixing.with_rates(docs, spark.createDataFrame([], "doc_id long, domain string"))
+    assert out.columns == ["doc_id", "text", "extra", "k1", "rows", "n_tokens", "rate"]
+    assert sorted(map(str, ((r.doc_id, r.text, r.extra, r.k1) for r in out.collect()))) == sorted(str((*r, "mine")) for r in rows)
+
+
 def test_mixing_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "word " * 5000), (3, "again"), (None, "no id")], "doc_id long, text string").withColumn("rate", F.lit("extra"))
     none = spark.createDataFrame([], "doc_id long, domain string")
@@ -141,29 +211,11 @@ def test_mixing_edges(spark):
 
 
 def test_training_reaches_every_document(spark):
-    """Each row's text is trained on (its context embeddings move), in tables of a few rows too, and copies spread over the rounds."""
+    """Each row's text is trained on (its context tables move), in tables of a few rows too."""
     texts = [f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i}" for i in range(12)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
-    weights, _ = lm_score.fit(docs)
-    moved = np.abs(lm_score.unpack(weights)[0] - lm_score.unpack(lm_score.fresh())[0]).max(axis=1) > 0
-    ids = lm_score.TypeIds()
-    assert all(moved[ids.of(t)].all() for t in texts)
-
-
-def test_types_within_a_class_follow_the_context():
-    """Two types of one class, each with a context of its own: the network tells them apart, and all types sum to one."""
-    rng = np.random.default_rng(1)
-    texts = [np.array([10, 11, 12, 13, 14]) if rng.random() < 0.5 else np.array([20, 21, 22, 23, 24]) for _ in range(8000)]
-    ids = np.concatenate(texts)
-    counts = np.bincount(ids, minlength=lm_score.VOCABULARY).astype(float)
-    counts[30:900] = 40000  # so many frequent types that those of the texts share the last classes
-    ranks = lm_score.Ranks(counts)
-    assert ranks.kind[12] == ranks.kind[22]
-    flat = lm_score.fresh()
-    for _ in range(3):
-        flat = lm_score.train(flat, lm_score.all_windows(texts), ranks.kind[ids], ids, ranks)
-    model = lm_score.Model(flat, counts)
-    right, wrong = model.log_probabilities(np.array([10, 11, 12, 13, 14]))[2], model.log_probabilities(np.array([10, 11, 22, 13, 14]))[2]
-    assert right > wrong + 2
-    every = [np.array([10, 11, t, 13, 14]) for t in range(lm_score.VOCABULARY)]
-    assert np.exp(model.of_texts(every)[2::5]).sum() == pytest.approx(1, abs=1e-3)
+    words, tokens, counts = lm_score.vocabulary(docs)
+    weights = lm_score.fit(lm_score.encode(docs, words), tokens, counts)
+    moved = np.abs(lm_score.unpack(weights)[0] - lm_score.unpack(lm_score.fresh(counts))[0]).max(axis=(0, 2)) > 1e-4
+    types = lm_score.Types({w: i for i, w in enumerate(words)})
+    assert all(moved[types.of(t)].any() for t in texts)
