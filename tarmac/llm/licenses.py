@@ -1,10 +1,11 @@
 """Licence scans by a positional index of rare words.
 
-Each template is a run of words with a mandatory key phrase inside it. The index posts the key phrase's rarest word (by
-its document frequency over the scanned corpus) with its offset in the template. A file is scanned once for the posted
-words; each occurrence proposes the template start that its offset implies, the other postings of the template vote for
-the same start by their relative positions, and the key phrase must stand there in full. Since a key phrase is never
-complete without its rarest word, no place of a phrase is missed.
+Templates are pieces of public licence texts without blanks to fill in, each with mandatory key phrases. Inverse document
+frequencies of the licence words are counted over all scanned files. The index posts, for each template, the ``POSTED``
+rarest words of its key phrases with their offsets. In a file the positions of these words are looked up, its words of highest
+inverse document frequency first; each occurrence implies a start of the template by its offset, and the starts that the
+postings of a template imply are intersected, so that only places remain where its rare words stand at the right distances.
+There all key phrases must be complete. A complete phrase holds its rarest words, so no place is missed.
 """
 
 from __future__ import annotations
@@ -25,25 +26,35 @@ BASE_PHRASES = {
     "general public license": "gpl",
 }
 
-# Sentences of public licences, and the phrase in each that must be complete.
+POSTED = 3
+# Wording of public licences and licence notices, and the phrases of each that must be complete.
 TEMPLATES = [
-    ("mit", "released under the mit license", "the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "free of charge to any person obtaining a copy of this software and associated documentation"),
-    ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    ("gpl-2.0", "this work is licensed under the gnu general public license version 2", "general public license version 2"),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3", "general public license version 3"),
-    ("lgpl", "this library is licensed under the gnu lesser general public license", "gnu lesser general public license"),
-    ("agpl", "this program is licensed under the gnu affero general public license", "gnu affero general public license"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "distribute this software for any purpose with or without fee"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-    ("cc0-1.0", "to the extent possible under law the author has dedicated all copyright under cc0 1 0 universal", "cc0 1 0 universal"),
-    ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa 4 0"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4 0"),
-    ("cc-by-nd-4.0", "licensed under cc by nd 4 0", "cc by nd 4 0"),
-    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international"),
+    ("mit", "released under the MIT License", ["the mit license"]),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", ["free of charge to any person obtaining a copy of this software and associated documentation"]),
+    ("mit", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions", ["to deal in the software without restriction", "and to permit persons to whom the software is furnished to do so"]),
+    ("mit", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT", ["the software is provided as is without warranty of any kind", "particular purpose and noninfringement"]),
+    ("apache-2.0", "licensed under the Apache License, Version 2.0", ["apache license version 2 0"]),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at", ["apache license version 2 0", "may not use this file except in compliance with the license"]),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License", ["required by applicable law or agreed to in writing", "as is basis without warranties or conditions of any kind"]),
+    ("gpl-2.0", "this work is licensed under the GNU General Public License version 2", ["general public license version 2"]),
+    ("gpl-3.0", "this work is licensed under the GNU General Public License version 3", ["general public license version 3"]),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", ["you can redistribute it and or modify it under the terms of", "the gnu general public license as published by the free software foundation"]),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details", ["distributed in the hope that it will be useful but without any warranty", "gnu general public license for more details"]),
+    ("lgpl", "this library is licensed under the GNU Lesser General Public License", ["gnu lesser general public license"]),
+    ("agpl", "this program is licensed under the GNU Affero General Public License", ["gnu affero general public license"]),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", ["mozilla public license v 2 0"]),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms", "with or without modification are permitted"]),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", ["redistributions of source code must retain the above copyright notice"]),
+    ("bsd-3-clause", "may be used to endorse or promote products derived from this software without specific prior written permission", ["endorse or promote products derived from this software"]),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", ["distribute this software for any purpose with or without fee"]),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", ["free and unencumbered software"]),
+    ("cc0-1.0", "To the extent possible under law, the author has dedicated all copyright under CC0 1.0 Universal", ["cc0 1 0 universal"]),
+    ("cc-by-4.0", "licensed under CC BY 4.0", ["cc by 4 0"]),
+    ("cc-by-sa-4.0", "licensed under CC BY-SA 4.0", ["cc by sa 4 0"]),
+    ("cc-by-nc-4.0", "licensed under CC BY-NC 4.0", ["cc by nc 4 0"]),
+    ("cc-by-nd-4.0", "licensed under CC BY-ND 4.0", ["cc by nd 4 0"]),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", ["creative commons attribution 4 0 international"]),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ["creative commons attribution sharealike 4 0 international"]),
 ]
 
 #: All bytes below 0x80 but digits and lower-case letters part words (texts are lower-cased first).
@@ -58,19 +69,24 @@ def words_of(text: str | None) -> list[bytes]:
 class Template:
     label: str
     words: tuple[bytes, ...]
-    key: int  # where the key phrase starts
-    key_words: int
+    phrases: tuple[tuple[int, tuple[bytes, ...]], ...]  # where each starts, and its words
     base: bool
 
     @staticmethod
-    def of(label: str, text: str, phrase: str, base: bool = False) -> Template:
-        words, key = text.encode().split(), phrase.encode().split()
-        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-        return Template(label, tuple(words), at, len(key), base)
+    def of(label: str, text: str, phrases: list[str], base: bool = False) -> Template:
+        words, placed = words_of(text), []
+        for phrase in map(words_of, phrases):
+            at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
+            placed.append((at, tuple(phrase)))
+        return Template(label, tuple(words), tuple(placed), base)
+
+    def stands(self, words: list[bytes], start: int) -> bool:
+        """Whether all key phrases are complete where this start puts them."""
+        return all(start + at >= 0 and tuple(words[start + at : start + at + len(p)]) == p for at, p in self.phrases)
 
 
 def all_templates() -> list[Template]:
-    base = [Template.of(label, phrase, phrase, base=True) for phrase, label in BASE_PHRASES.items()]
+    base = [Template.of(label, phrase, [phrase], base=True) for phrase, label in BASE_PHRASES.items()]
     return base + [Template.of(*t) for t in TEMPLATES]
 
 
@@ -91,31 +107,48 @@ def document_frequencies(docs: DataFrame, templates: list[Template], text_col: s
 
 
 class Index:
-    """Postings of the templates' rarest key words, and the weights of all their words."""
+    """Postings of the rarest words of the templates' key phrases, and the weights of all their words."""
 
     def __init__(self, templates: list[Template], total: int, frequency: dict[bytes, int]):
         self.templates = templates
         self.idf = {w: math.log((1 + total) / (1 + frequency.get(w, 0))) + 1 for t in templates for w in t.words}
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
+        self.postings: dict[bytes, list[tuple[int, int, int]]] = {}  # template, offset, how many words of it are rarer
+        self.posted: list[int] = []
+        self.rarest: set[bytes] = set()
         for i, t in enumerate(templates):
-            rarest = max(range(t.key, t.key + t.key_words), key=lambda k, t=t: (self.idf[t.words[k]], -k))
-            self.postings.setdefault(t.words[rarest], []).append((i, rarest))
-        self.lookups = frozenset(self.postings)
+            offsets = sorted({at + k for at, p in t.phrases for k in range(len(p))}, key=lambda o, t=t: (*self.rank(t.words[o]), o))[:POSTED]
+            self.posted.append(len(offsets))
+            self.rarest.add(t.words[offsets[0]])
+            for nth, o in enumerate(offsets):
+                self.postings.setdefault(t.words[o], []).append((i, o, nth))
         self.weight = [sum(self.idf[w] for w in t.words) for t in templates]
 
+    def rank(self, word: bytes) -> tuple[float, bytes]:
+        return -self.idf[word], word
+
     def places(self, words: list[bytes]) -> dict[tuple[int, int], float]:
         """(template, its start among the words) with the share of the template's weight that stands there."""
         found: dict[tuple[int, int], float] = {}
-        if self.lookups.isdisjoint(words):
+        if self.rarest.isdisjoint(words):  # no template without its rarest word
             return found
+        where: dict[bytes, list[int]] = {}
         for at, word in enumerate(words):
-            for i, offset in self.postings.get(word, ()):
-                t, start = self.templates[i], at - offset
-                phrase = t.words[t.key : t.key + t.key_words]
-                if start + t.key < 0 or tuple(words[start + t.key : start + t.key + t.key_words]) != phrase:
-                    continue
-                met = sum(self.idf[w] for k, w in enumerate(t.words) if 0 <= start + k < len(words) and words[start + k] == w)
-                found[i, start] = met / self.weight[i]
+            if word in self.postings:
+                where.setdefault(word, []).append(at)
+        agreed: dict[int, tuple[int, set[int]]] = {}  # template: postings met, and the starts that all of them imply
+        for word in sorted(where, key=self.rank):  # the file's licence words of highest inverse document frequency first
+            for i, offset, nth in self.postings[word]:
+                met, starts = agreed.get(i, (0, set()))
+                if met == nth:  # else a rarer word of the template is missing
+                    implied = {at - offset for at in where[word]}
+                    agreed[i] = nth + 1, implied if nth == 0 else starts & implied
+        for i, (met, starts) in agreed.items():
+            t = self.templates[i]
+            if met == self.posted[i]:
+                for start in starts:
+                    if t.stands(words, start):
+                        same = sum(self.idf[w] for k, w in enumerate(t.words) if 0 <= start + k < len(words) and words[start + k] == w)
+                        found[i, start] = same / self.weight[i]
         return found
 
     def scan(self, text: str | None) -> tuple:
@@ -132,9 +165,10 @@ class Index:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[Template] | None = None) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score): one row per input row.
 
-    Null and empty texts have no words, no labels (empty strings) and score 0; first_word and last_word are null where
+    ``labels`` has those of all templates that stand in the text, the base phrases' among them; the labels of both lists are
+    distinct and sorted. Null and empty texts have no words, no labels (empty strings) and score 0; first_word and last_word are null where
     no base phrase stands. Ids may be null, repeated rows are repeated, an empty table gives no row. The score is the
-    largest share (by inverse document frequency) of a template's words that stand where its key phrase does.
+    largest share (by inverse document frequency) of a template's words that stand around its complete key phrases.
     """
     templates = templates or all_templates()
     sent = docs.sparkSession.sparkContext.broadcast(Index(templates, *document_frequencies(docs, templates, text_col)))

@@ -70,7 +70,7 @@ def _sigmoid(x):
 
 
 def held_out(id_col):
-    """Whether a row is kept from fitting: crc32 of the id's text is a multiple of five."""
+    """Whether a row is kept from fitting: crc32 of the id's text is a multiple of five; null for a null id, which has no label."""
     return F.crc32(id_col.cast("string").cast("binary")) % FOLDS == 0
 
 
@@ -141,7 +141,11 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score reaches ``threshold``, all columns as they are."""
+    """The documents whose score reaches ``threshold``, all columns as they are.
+
+    Null and empty texts have the score of an empty text; repeated rows stay or go together; ids are not looked at (rows may
+    lack one). An empty table stays empty; without labels every text scores 0.5.
+    """
     model = fit(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
