@@ -32,6 +32,19 @@ def f32(x: Column) -> Column:
     return x.cast("float").cast("double")
 
 
+def py_round(x: Column, digits: int) -> Column:
+    """Rounds the exact binary value to a few decimals, ties to even, as Python does: 2.675 becomes 2.67.
+
+    The high and the low half of the value times the power of ten are exact, so is their distance from the middle between
+    two neighbours.
+    """
+    m, high = F.lit(float(10**digits)), x.cast("float").cast("double")
+    below = F.floor(x * m).cast("double")
+    over = (high * m - (below + F.lit(0.5))) + (x - high) * m
+    up = (over > 0) | ((over == 0) & (F.pmod(below, F.lit(2.0)) == 1))
+    return F.when(F.abs(x * m) < 1e12, (below + F.when(up, 1.0).otherwise(0.0)) / m).otherwise(x)
+
+
 def nan_to_null(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
@@ -80,6 +93,34 @@ def iso_millis(ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+def iso_centis(ms: Column) -> Column:
+    """ISO 8601 with hundredths of a second (cut, not rounded)."""
+    return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SS'Z'")
+
+
+def latency_ms(ingested_ms: Column, now_ms: Column | None = None) -> Column:
+    """How long ago something was ingested, never below 0; ``now_ms`` is the current time unless given."""
+    now = F.unix_millis(F.current_timestamp()) if now_ms is None else now_ms
+    return F.greatest(F.lit(0).cast("long"), now - ingested_ms)
+
+
+def percent_label(p: Column) -> Column:
+    """A probability for display."""
+    return F.when(p.isNull(), "n/a").when(p >= 0.999, ">99.9%").otherwise(F.format_string("%.1f%%", 100 * p))
+
+
+def money_label(x: Column) -> Column:
+    """An amount in dollars for display; unknown (null or negative) ones say what is missing."""
+    return F.when(x.isNull() | (x < 0), "cost data required").otherwise(F.concat(F.lit("$"), F.format_number(x, 0)))
+
+
+def sorted_codes(codes: Column, more: Column | None = None) -> Column:
+    """The distinct codes of an array, and of a second one, in order; null counts as empty."""
+    empty = F.array().cast("array<string>")
+    own = F.coalesce(codes, empty)
+    return F.array_sort(F.array_distinct(own) if more is None else F.array_union(own, F.coalesce(more, empty)))
+
+
 def logit(p: Column, clip: float = 1e-6) -> Column:
     q = F.greatest(F.lit(clip), F.least(F.lit(1 - clip), p))
     return F.ln(q / (1 - q))

@@ -6,16 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.functions.scalars import percent_text
+from tarmac.functions.stats import DTC_REGISTRY as DTC_REGISTRY
 
-# The fault codes with component, severity and description.
-DTC_REGISTRY = [
-    ("P0301", "POWERTRAIN", "CRITICAL", "Engine cylinder misfire"),
-    ("P0562", "POWERTRAIN", "HIGH", "System voltage low"),
-    ("BATT_TEMP_HIGH", "BATTERY", "HIGH", "Battery temperature above operating range"),
-    ("BATT_VOLT_UNSTABLE", "BATTERY", "HIGH", "Abnormal battery voltage variation"),
-    ("BRAKE_WEAR_HIGH", "BRAKE", "HIGH", "Brake wear requires inspection"),
-    ("BRAKE_SYSTEM_CRITICAL", "BRAKE", "CRITICAL", "Critical braking-system condition"),
-]
 ML_ALERT = "ML_RISK_7D"
 
 

@@ -25,9 +25,26 @@ def backward(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, rig
     return found.select(*[F.col(f"__left.{c}").alias(c) for c in left.columns], *[F.col(f"__found.{c}").alias(f"{prefix}{c}") for c in right.columns if c not in by])
 
 
+def _ahead(both: DataFrame, by: list[str], wanted: Column) -> Column:
+    """The nearest right row after each row: in falling order of time it is the last one seen, so the frame only grows."""
+    frame = Window.partitionBy(*by).orderBy(F.desc("__ts"), F.desc("__side"), F.desc("__tie")).rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(wanted, ignorenulls=True).over(frame)
+
+
 def forward(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, prefix: str, tie: list[Column] | None = None) -> DataFrame:
     """``left`` with the first right row strictly after its time; right columns get ``prefix``."""
-    both, order = _both(left, right, by, left_ts, right_ts, True, tie or [])
-    frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    found = both.withColumn("__found", F.first("__right", ignorenulls=True).over(frame)).where(F.col("__left").isNotNull())
+    both, _ = _both(left, right, by, left_ts, right_ts, True, tie or [])
+    found = both.withColumn("__found", _ahead(both, by, F.col("__right"))).where(F.col("__left").isNotNull())
     return found.select(*[F.col(f"__left.{c}").alias(c) for c in left.columns], *[F.col(f"__found.{c}").alias(f"{prefix}{c}") for c in right.columns if c not in by])
+
+
+def around(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, ahead: Column, tie: list[Column] | None = None) -> DataFrame:
+    """``left`` with the last right row at or before its time (prefix last_), and the first one strictly after it for which
+    ``ahead`` holds (prefix next_): both from one shuffle. ``ahead`` is a condition on the columns of ``right``."""
+    flagged = right.withColumn("__ahead", ahead)
+    both, order = _both(left, flagged, by, left_ts, right_ts, True, tie or [])
+    frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    last, following = F.last("__right", ignorenulls=True).over(frame), _ahead(both, by, F.when(F.col("__right.__ahead"), F.col("__right")))
+    found = both.select("__left", last.alias("__last"), following.alias("__next")).where(F.col("__left").isNotNull())
+    own = [c for c in right.columns if c not in by]
+    return found.select(*[F.col(f"__left.{c}").alias(c) for c in left.columns], *[F.col(f"__{side}.{c}").alias(f"{side}_{c}") for side in ("last", "next") for c in own])

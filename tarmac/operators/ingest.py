@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.functions.scalars import is_valid_vin, iso_millis, parse_ts_ms, vin_of_payload
+from tarmac.functions.scalars import is_valid_vin, iso_millis, parse_ts_ms, py_round, vin_of_payload
 
 EVENT_TYPES = ["TELEMETRY", "DTC", "MAINTENANCE_REQUIRED", "FAILURE", "SERVICE_COMPLETED"]
 # The canonical event's fields and types.
@@ -40,14 +40,14 @@ def resolve(envelopes: DataFrame, vehicles: DataFrame) -> tuple[DataFrame, DataF
 
 
 def fahrenheit(x: Column) -> Column:
-    return F.round((x - 32) * 5 / 9, 2)
+    return py_round((x - 32) * 5 / 9, 2)
 
 
 def adapt_oem_a(df: DataFrame) -> DataFrame:
     """Flat metric payloads."""
     p = lambda c: F.col(f"p.{c}")
     parsed = df.withColumn("p", F.from_json("payload", OEM_A)).where("p is not null")
-    power = F.coalesce(p("powerKw"), F.round(p("batteryVoltage") * p("batteryCurrent") / 1000, 2))
+    power = F.coalesce(p("powerKw"), py_round(p("batteryVoltage") * p("batteryCurrent") / 1000, 2))
     charging = F.coalesce(p("charging"), F.when(F.col("vehicle_type") == "ICE", F.lit(None).cast("boolean")).otherwise(F.lit(False)))
     return parsed.select(
         *_head(df), iso_millis(parse_ts_ms(p("ts"))).alias("event_ts"), p("sequence").alias("seq"),
@@ -68,7 +68,7 @@ def adapt_oem_b(df: DataFrame) -> DataFrame:
     return parsed.select(
         *_head(df), iso_millis(p("timestamp_epoch_ms")).alias("event_ts"), p("sequence_no").alias("seq"),
         F.when(has("DTC_RAISED"), "DTC").otherwise("TELEMETRY").alias("event_type"), F.struct(p("position.latitude").alias("lat"), p("position.longitude").alias("lon")).alias("location"),
-        F.round(p("motion.speed_mph") * MILE_KM, 2).alias("speed_kmh"), F.round(p("motion.odometer_miles") * MILE_KM, 3).alias("odometer_km"), F.round(p("motion.accel_g") * G_MS2, 2).alias("acceleration_ms2"),
+        py_round(p("motion.speed_mph") * MILE_KM, 2).alias("speed_kmh"), py_round(p("motion.odometer_miles") * MILE_KM, 3).alias("odometer_km"), py_round(p("motion.accel_g") * G_MS2, 2).alias("acceleration_ms2"),
         F.struct(p("energy.soc_percent").alias("soc_pct"), p("energy.pack_voltage").alias("voltage_v"), p("energy.pack_current").alias("current_a"), fahrenheit(p("energy.pack_temp_f")).alias("temperature_c"), p("energy.charging").alias("charging")).alias("battery"),
         F.struct(p("engine.rpm").alias("rpm"), fahrenheit(p("engine.coolant_temp_f")).alias("engine_temp_c"), fahrenheit(p("motor.temp_f")).alias("motor_temp_c"), p("motor.power_kw").alias("power_kw"), p("engine.load_percent").alias("engine_load_pct")).alias("powertrain"),
         F.struct(has("HARSH_BRAKING").alias("harsh_brake")).alias("brakes"), F.coalesce(p("diagnostics.dtcs"), F.array().cast("array<string>")).alias("dtc_codes"), p("trip_id").alias("trip_id"),

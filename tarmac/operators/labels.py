@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarmac.config import DAY_MS, DatasetConfig
 from tarmac.functions.features import feature_names
 from tarmac.functions.scalars import hash_percent, ratio
-from tarmac.operators.asof import backward, forward
+from tarmac.operators.asof import around
 
 # The events that a label looks for.
 TRIGGERS = ["MAINTENANCE_REQUIRED", "FAILURE"]
@@ -24,9 +24,7 @@ def label_snapshots(snapshots: DataFrame, events: DataFrame, data_end_ms: int, h
     triggers = triggers or TRIGGERS
     horizon = horizon_days * DAY_MS
     every = events.select(key, "event_id", "event_type", "ts_ms")
-    wanted = every.where(F.col("event_type").isin(triggers))
-    ahead = forward(snapshots, wanted, [key], "feature_ts_ms", "ts_ms", "next_", [F.col("event_type"), F.col("event_id")])
-    found = backward(ahead, every, [key], "feature_ts_ms", "ts_ms", "last_", True, [F.col("event_type"), F.col("event_id")])
+    found = around(snapshots, every, [key], "feature_ts_ms", "ts_ms", F.col("event_type").isin(triggers), [F.col("event_type"), F.col("event_id")])
     near = F.coalesce(F.col("next_ts_ms") <= F.col("feature_ts_ms") + horizon, F.lit(False))
     return found.select(
         *snapshots.columns,
@@ -99,6 +97,20 @@ def dataset_counts(rows: DataFrame) -> DataFrame:
     )
 
 
+def manifest(rows: DataFrame, funnel: DataFrame, start_ms: int, end_ms: int, config: DatasetConfig | None = None, versions: dict[str, str] | None = None) -> dict:
+    """What a training set was made of: its splits, exclusions, counts and guardrail warnings, as a small dictionary."""
+    config, counts = config or DatasetConfig(), {}
+    for r in dataset_counts(rows).collect():  # a row for each component and split
+        figures = {k: r[k] for k in ("rows", "positives", "positive_events", "vehicles", "holdout_rows")}
+        counts.setdefault(r.meta_component, {})[r.meta_split] = {**figures, "prevalence": round(r.prevalence, 5) if r.prevalence is not None else None}
+    warnings = [f"{r.meta_component}: calibration split has {r.positives} positives of {r.positive_events} events" for r in calibration_guardrails(dataset_counts(rows), config).collect()]
+    return {
+        **(versions or {}), "seed": config.seed, "data_start_ms": start_ms, "data_end_ms": end_ms, "horizon_days": config.horizon_days, "split_days": {k: list(v) for k, v in config.splits.items()},
+        "split_ranges_ms": {k: list(v) for k, v in config.ranges_ms(start_ms).items()}, "holdout_fraction": config.holdout_fraction, "model_input_columns": [c for c in rows.columns if c.startswith("f_")],
+        "exclusion_counts": funnel.first().asDict(), "counts": counts, "guardrail_warnings": sorted(warnings),
+    }
+
+
 def calibration_guardrails(counts: DataFrame, config: DatasetConfig | None = None) -> DataFrame:
     """The components whose calibration split has too few positives or positive events."""
     config = config or DatasetConfig()

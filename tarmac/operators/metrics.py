@@ -1,7 +1,7 @@
 """Metrics of scores as DataFrame operations: y (0/1) against p.
 
 Scores are first counted by distinct value, with a partial count before the shuffle; the running sums that curves need go
-over these. Where the distinct values are many, running sums are taken within ranges of values, and each range's offset is
+over these. Where the distinct values are many, running sums are taken within ranges of values (percentiles), and each range's offset is
 added from a table with one row a range, so no single task holds the whole curve.
 """
 
@@ -13,11 +13,16 @@ from pyspark.sql import functions as F
 from tarmac.functions.scalars import ratio
 
 
-def score_curve(scores: DataFrame, ranges: int = 64) -> DataFrame:
-    """(p, n, pos, above_n, above_pos): counts at each distinct score, and at or above it."""
+def score_curve(scores: DataFrame, ranges: int | None = None) -> DataFrame:
+    """(p, n, pos, above_n, above_pos): counts at each distinct score, and at or above it.
+
+    The ranges hold about as many distinct scores each (cut at approximate percentiles), however the scores crowd.
+    """
+    ranges = ranges or int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = scores.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("pos"))
-    ends = counted.agg(F.min("p").alias("a"), F.max("p").alias("b"))
-    placed = counted.join(F.broadcast(ends)).withColumn("range", F.when(F.col("b") > F.col("a"), F.least(F.lit(ranges - 1), F.floor((F.col("p") - F.col("a")) / (F.col("b") - F.col("a")) * ranges).cast("int"))).otherwise(0))
+    cuts = counted.agg(F.percentile_approx("p", F.array(*[F.lit(i / ranges) for i in range(1, ranges + 1)]), 10 * ranges).alias("cuts"))
+    below = F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col("p")))
+    placed = counted.join(F.broadcast(cuts)).select("p", "n", "pos", F.when(F.col("cuts").isNull(), 0).otherwise(below).alias("range"))
     within = Window.partitionBy("range").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
     totals = placed.groupBy("range").agg(F.sum("n").alias("rn"), F.sum("pos").alias("rpos"))
     higher = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
@@ -51,10 +56,25 @@ def best_f1(scores: DataFrame) -> DataFrame:
 
 
 def precision_at_top(scores: DataFrame, fraction: float = 0.01, tie: str | None = None) -> DataFrame:
-    """One row: the precision among the top fraction of scores (at least one); ties go by ``tie`` ascending."""
-    n = scores.count()
-    order = [F.desc("p"), *([F.asc(tie)] if tie else [])]
-    return scores.orderBy(*order).limit(max(1, int(n * fraction))).agg(F.count(F.lit(1)).alias("k"), F.avg(F.col("y").cast("double")).alias("precision_at_top"))
+    """One row: the precision among the top fraction of scores (at least one). Of equal scores those with the smallest
+    ``tie`` count (a numeric column with a value a row); without it, their average does.
+
+    The cut is read off the score curve, so the top rows are never gathered in one task.
+    """
+    curve = score_curve(scores)
+    total = curve.agg(F.max("above_n")).first()[0] or 0
+    k = max(1, int(total * fraction))
+    row = F.struct("p", "n", "pos", "above_n", "above_pos")
+    cut = curve.where(F.col("above_n") >= k).agg(F.min_by(row, "above_n").alias("c")).select("c.*").first()
+    if cut is None or cut["p"] is None:
+        return scores.sparkSession.createDataFrame([(0, None)], "k long, precision_at_top double")
+    left, hits = k - (cut["above_n"] - cut["n"]), float(cut["above_pos"] - cut["pos"])
+    if left == cut["n"] or not tie:
+        hits += cut["pos"] * left / cut["n"]
+    else:
+        ties = score_curve(scores.where(F.col("p") == cut["p"]).select((-F.col(tie)).alias("p"), "y"))
+        hits += ties.where(F.col("above_n") <= left).agg(F.coalesce(F.max("above_pos"), F.lit(0))).first()[0]
+    return scores.sparkSession.createDataFrame([(k, hits / k)], "k long, precision_at_top double")
 
 
 def at_threshold(scores: DataFrame, threshold: float, days: float = 1.0, components: int = 1) -> DataFrame:

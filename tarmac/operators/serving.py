@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarmac.functions.scalars import coarse, decode_cursor, encode_cursor
 
-MAX_LIMIT = 200
+MAX_LIMIT, ASSISTANT_LIMIT, TELEMETRY_LIMIT = 200, 20, 500
 # Cost profiles (component, vehicle type, direct failure cost, downtime hours, cost per hour).
 COSTS = [
     ("BRAKE", "ICE", 1800.0, 16.0, 95.0), ("BRAKE", "EV", 2000.0, 16.0, 95.0), ("BRAKE", "HYBRID", 1900.0, 16.0, 95.0),
@@ -34,6 +34,11 @@ def priority_view(risk: DataFrame, components: DataFrame, vehicles: DataFrame, f
     return joined.withColumn("expected_loss", loss).withColumn("cost_status", status).drop("direct_failure_cost", "expected_downtime_hours", "downtime_cost_per_hour")
 
 
+def clamp(limit: int, most: int = MAX_LIMIT) -> int:
+    """A limit within 1 and ``most``: MAX_LIMIT of pages, ASSISTANT_LIMIT of the assistant, TELEMETRY_LIMIT of telemetry."""
+    return max(1, min(int(limit), most))
+
+
 def sort_loss(loss: Column) -> Column:
     """What the priority list is sorted by: the rounded loss, with unknown ones last."""
     return F.round(F.coalesce(loss, F.lit(-1.0)), 2)
@@ -62,7 +67,7 @@ def after(keys: list[Key], last: list) -> Column:
 
 def page(df: DataFrame, keys: list[Key], limit: int, cursor: str | None = None) -> DataFrame:
     """The next ``limit`` + 1 rows by keyset; the extra one tells whether there are more (see ``cut``)."""
-    limit = max(1, min(limit, MAX_LIMIT))
+    limit = clamp(limit)
     if cursor:
         found = decode_cursor(cursor, [k.name for k in keys])
         df = df.where(after(keys, [found[k.name] for k in keys]))
@@ -72,7 +77,7 @@ def page(df: DataFrame, keys: list[Key], limit: int, cursor: str | None = None)
 
 def cut(df: DataFrame, keys: list[Key], limit: int) -> dict:
     """A served page: at most ``limit`` items (at most 200 rows come to the driver), and a cursor if more follow."""
-    limit = max(1, min(limit, MAX_LIMIT))
+    limit = clamp(limit)
     rows = [r.asDict() for r in df.collect()]
     items = rows[:limit]
     more = len(rows) > limit
@@ -109,12 +114,31 @@ def audit_page(audit: DataFrame, limit: int = 50, cursor: str | None = None) ->
 
 
 def recent_telemetry(telemetry: DataFrame, vehicle_id, limit: int = 100, full_access: bool = True) -> DataFrame:
-    df = telemetry.where(F.col("vehicle_id") == vehicle_id).orderBy(F.desc("ts_ms"), F.desc("seq")).limit(min(limit, 500))
+    df = telemetry.where(F.col("vehicle_id") == vehicle_id).orderBy(F.desc("ts_ms"), F.desc("seq")).limit(clamp(limit, TELEMETRY_LIMIT))
     return df if full_access else df.withColumns({c: coarse(F.col(c)) for c in ("latitude", "longitude") if c in df.columns})
 
 
-def summary(view: DataFrame, vehicles: DataFrame, alerts: DataFrame, tenant=None) -> DataFrame:
-    """One row of key figures. The views carry tenant_id."""
+def vehicle_components(components: DataFrame, risk: DataFrame, view: DataFrame, vehicle_id) -> DataFrame:
+    """A vehicle's components in order, with their risk and expected loss where they have been scored.
+
+    ``components``: vehicle_id, vehicle_component_id, component, status. ``risk``: p7d, threshold and what else the scorer left.
+    """
+    mine = components.where(F.col("vehicle_id") == vehicle_id).select("vehicle_component_id", "component", "status")
+    scored = risk.select("vehicle_component_id", F.round("p7d", 4).alias("p7d"), F.round("threshold", 4).alias("threshold"), *[c for c in ("feature_ts_ms", "model_version") if c in risk.columns])
+    losses = view.select("vehicle_component_id", F.round("expected_loss", 2).alias("expected_loss"), "cost_status")
+    key = "vehicle_component_id"
+    return mine.join(scored, key, "left").join(losses, key, "left").orderBy("component", key)
+
+
+def vehicle_events(events: DataFrame, components: DataFrame, vehicle_id, limit: int = 50) -> DataFrame:
+    """A vehicle's latest maintenance events with their component, newest first; ties by event id."""
+    mine = components.where(F.col("vehicle_id") == vehicle_id).select("vehicle_component_id", "component")
+    found = events.join(mine, "vehicle_component_id").orderBy(F.desc("occurred_at"), F.desc("event_id")).limit(limit)
+    return found.select("event_id", "event_type", "occurred_at", F.round("odometer_km", 1).alias("odometer_km"), "component")
+
+
+def summary(view: DataFrame, vehicles: DataFrame, alerts: DataFrame, tenant=None, risk: DataFrame | None = None) -> DataFrame:
+    """One row of key figures. The views carry tenant_id; ``risk`` (scored_at) adds last_scored_at, which is of all tenants."""
     v = scoped(vehicles, tenant).agg(F.count(F.lit(1)).alias("vehicles"))
     p = scoped(view, tenant).agg(
         F.count(F.lit(1)).alias("components_scored"), F.count_if(F.col("p7d") >= F.col("threshold")).alias("components_above_threshold"),
@@ -122,7 +146,8 @@ def summary(view: DataFrame, vehicles: DataFrame, alerts: DataFrame, tenant=None
     )
     active = scoped(alerts, tenant).where("status = 'ACTIVE'")
     a = active.agg(F.count_if(F.col("source") == "ML").alias("active_ml_alerts"), F.count_if(F.col("source") == "RULE").alias("active_rule_alerts"))
-    return v.join(F.broadcast(p)).join(F.broadcast(a))  # one row each
+    out = v.join(F.broadcast(p)).join(F.broadcast(a))  # one row each
+    return out if risk is None else out.join(F.broadcast(risk.agg(F.max("scored_at").alias("last_scored_at"))))
 
 
 def risk_breakdown(view: DataFrame, tenant=None) -> DataFrame:

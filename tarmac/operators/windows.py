@@ -44,23 +44,48 @@ def snapshots(telemetry: DataFrame, windows: dict[str, list[str]] | None = None,
     bounds = blocks.groupBy(by).agg(F.min("first_ts").alias("first_event_ts_ms"), F.floor(F.max("last_ts") / HOUR_MS).alias("last_hour"))
     grid = bounds.withColumn("t", F.explode(F.sequence(F.floor(F.col("first_event_ts_ms") / HOUR_MS) + 1, F.greatest("last_hour", F.floor(F.col("first_event_ts_ms") / HOUR_MS) + 1))))
     grid = grid.where("t <= last_hour").select(by, "t", "first_event_ts_ms")
-    parts = blocks.drop("first_ts", "last_ts").withColumn("ahead", F.explode(F.sequence(F.lit(1), F.lit(HOURS)))).withColumn("t", F.col("hour") + F.col("ahead"))
-    both = parts.drop("hour").unionByName(grid, allowMissingColumns=True)
+    # Only the day's window needs a block more than once; an hour's and five minutes' are the block of the hour before.
+    copies = HOURS if "24h" in windows else 1
+    wanted = [f"{side}_{n}" for side, names in (("h", {x for w in ("1h", "24h") for x in windows.get(w, [])}), ("l", set(windows.get("5m", [])))) for n in used if n in names]
+    parts = blocks.select(by, "hour", *wanted).withColumn("ahead", F.explode(F.sequence(F.lit(1), F.lit(copies))) if copies > 1 else F.lit(1))
+    # What a copy further ahead doesn't need is null, and takes no room in the shuffle.
+    day = {f"h_{n}" for n in windows.get("24h", [])}
+    parts = parts.select(by, (F.col("hour") + F.col("ahead")).alias("t"), "ahead", *[F.col(c) if c in day or copies == 1 else F.when(F.col("ahead") == 1, F.col(c)).alias(c) for c in wanted])
+    both = parts.unionByName(grid, allowMissingColumns=True)
+    merged = both.groupBy(by, "t").agg(F.max("first_event_ts_ms").alias("first_event_ts_ms"), *window_merges(windows, used))
+    return merged.where("first_event_ts_ms is not null").withColumn("feature_ts_ms", F.col("t") * HOUR_MS).drop("t")
+
+
+def window_merges(windows: dict[str, list[str]], stats: dict[str, Stat]) -> list[Column]:
+    """Aggregates that merge blocks (h_ and l_ columns, ``ahead`` hours before the snapshot) into the windows' statistics."""
 
     def of(window: str, name: str) -> Column:
         part = F.col(f"l_{name}" if window == "5m" else f"h_{name}")
-        return merge(used[name].op, part if window == "24h" else F.when(F.col("ahead") == 1, part)).alias(f"{window}_{name}")
+        return merge(stats[name].op, part if window == "24h" else F.when(F.col("ahead") == 1, part)).alias(f"{window}_{name}")
 
-    merged = both.groupBy(by, "t").agg(F.max("first_event_ts_ms").alias("first_event_ts_ms"), *[of(w, n) for w, names in windows.items() for n in names])
-    return merged.where("first_event_ts_ms is not null").withColumn("feature_ts_ms", F.col("t") * HOUR_MS).drop("t")
+    return [of(w, n) for w, names in windows.items() for n in names]
 
 
 def rolling(df: DataFrame, by: str, ts: str, seconds: int, aggregates: dict[str, Column]) -> DataFrame:
-    """Aggregates over each row's preceding [ts - W, ts), by a range frame on epoch milliseconds."""
+    """Aggregates over each row's preceding [ts - W, ts), by a range frame on epoch milliseconds.
+
+    A key's rows are dealt into spans of the window's length: each row is posted to its own span, and to the next one as
+    history. Spans are partitions of their own, so no task holds more than two windows of a key, however long its history.
+    """
     from pyspark.sql import Window
 
-    frame = Window.partitionBy(by).orderBy(ts).rangeBetween(-seconds * 1000, -1)
-    return df.select("*", *[c.over(frame).alias(n) for n, c in aggregates.items()])
+    width = seconds * 1000
+    own = F.floor(F.col(ts) / width)
+    posted = df.withColumn("__posts", F.array(F.struct(own.alias("span"), F.lit(True).alias("own")), F.struct((own + 1).alias("span"), F.lit(False).alias("own"))))
+    posted = posted.select("*", F.inline("__posts")).drop("__posts").withColumnsRenamed({"span": "__span", "own": "__own"})
+    frame = Window.partitionBy(by, "__span").orderBy(ts).rangeBetween(-width, -1)
+    out = posted.select("*", *[c.over(frame).alias(n) for n, c in aggregates.items()])
+    return out.where("__own").drop("__span", "__own")
+
+
+def replay_order(telemetry: DataFrame) -> DataFrame:
+    """Telemetry in the order in which it is replayed: time, vehicle, sequence. A range-partitioned sort."""
+    return telemetry.orderBy("ts_ms", "vehicle_id", "seq")
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

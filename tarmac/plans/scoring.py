@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from tarmac.operators import labels, metrics, ml
 from tarmac.plans.registry import query
-from tarmac.plans.telemetry import RAW
+from tarmac.plans.telemetry import GRID, RAW, WINDOW_TOTALS_SQL, telemetry, window_totals
 from tarmac.sources.readers import table
-from tarmac.streaming import snapshots
+from tarmac.streaming.snapshots import Snapshots, drain
 from tarmac.streaming.dedup import dedup
 
 SC = "sc AS (SELECT o_orderkey AS id, CASE WHEN (o_orderstatus = 'O' AND o_orderkey % 3 > 0) OR o_totalprice > 450000 THEN 1 ELSE 0 END AS y, round(o_totalprice / 600000.0, 3) AS p FROM orders)"
@@ -71,6 +71,20 @@ def usable_features(spark, sf_dir):
     return spark.createDataFrame([(n,) for n in labels.usable_features(o)], "feature string")
 
 
+# Calibrating on two scores only has a closed form: slope and offset meet both scores' shares of positives.
+TWO = "b AS (SELECT id, y, CASE WHEN p < 0.3 THEN 0.2 ELSE 0.7 END :: DOUBLE AS p FROM sc), r AS (SELECT p, ln(p / (1 - p)) AS x, avg(y) AS q FROM b GROUP BY 1), e AS (SELECT p, x, ln(q / (1 - q)) AS l FROM r)"
+
+
+@query(f"WITH {SC}, {TWO}, f AS (SELECT (h.l - w.l) / (h.x - w.x) AS slope, w.l - w.x * (h.l - w.l) / (h.x - w.x) AS o FROM e h, e w WHERE h.p > w.p) SELECT id, y, round(1 / (1 + exp(-(slope * ln(p / (1 - p)) + o))), 4) AS p7d FROM b, f")
+def platt_two_scores(spark, sf_dir):
+    """Calibration of scores of two values, where the fit has a closed form."""
+    from tarmac.functions.scalars import logit, sigmoid
+
+    s = scores(spark, sf_dir).withColumn("p", F.when(F.col("p") < 0.3, 0.2).otherwise(0.7))
+    slope, offset = ml.platt(s.select(F.col("y").alias(ml.LABEL), "p"))
+    return s.select("id", "y", F.round(sigmoid(F.lit(slope) * logit(F.col("p")) + F.lit(offset)), 4).alias("p7d"))
+
+
 @query(None)
 def platt_scores(spark, sf_dir):
     """Calibrated scores of orders (an iterative fit; tests check the calibration)."""
@@ -82,8 +96,10 @@ def platt_scores(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    """A new folder that executors share (``spark.checkpoint.dir``), or a local one where that is unset."""
+    """A new folder that executors share (``spark.checkpoint.dir``); in local mode one of its own where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/') or tempfile.mkdtemp(prefix='tarmac-stream-')}/stream-{uuid.uuid4().hex}"
 
 
@@ -94,26 +110,15 @@ def stream_dedup_windows(spark, sf_dir):
     once = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     twice = once.unionByName(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*"))
     named = twice.select(F.col("user_id").alias("vehicle_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("event_ts"), "value")
-    name = f"dedup_{abs(hash((sf_dir, id(spark)))):x}"
-    spark.sql(f"drop view if exists {name}")
-    out = snapshots.drain(dedup(named, horizon="40 days"), name, _folder(spark))
+    out = drain(dedup(named, horizon="40 days"), f"dedup_{uuid.uuid4().hex}", _folder(spark))
     return out.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
 
 
-@query(f"""WITH {RAW}, b AS (SELECT vehicle_id, min(ts_ms) AS f, max(ts_ms) AS l FROM raw GROUP BY 1), g AS (SELECT vehicle_id, f, unnest(generate_series(f // 3600000 + 1, l // 3600000)) * 3600000 AS t FROM b)
-  SELECT g.vehicle_id, g.t AS feature_ts_ms, count(e.seq) AS n_24h, round(coalesce(sum(e.value), 0), 3) AS sum_24h, count(e.seq) FILTER (WHERE e.ts_ms >= g.t - 3600000) AS n_1h, count(e.seq) FILTER (WHERE e.ts_ms >= g.t - 300000) AS n_5m,
-  arg_min(e.value, (e.ts_ms, e.seq)) AS first_24h, arg_max(e.value, (e.ts_ms, e.seq)) AS last_24h FROM g LEFT JOIN raw e ON e.vehicle_id = g.vehicle_id AND e.ts_ms < g.t AND e.ts_ms >= g.t - 86400000 GROUP BY 1, 2""")
+@query(f"WITH {GRID}, {WINDOW_TOTALS_SQL}")
 def stream_snapshots(spark, sf_dir):
-    """Snapshots through keyed stream state, against the batch SQL of the windows."""
+    """All 70 statistics of all windows through the stream's state, summed up by vehicle, against the batch SQL."""
     schema = table(spark, sf_dir, "events").schema
-    src = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    named = src.select(F.col("user_id").alias("vehicle_id"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "value")
-    name = f"snapshots_{abs(hash((sf_dir, id(spark)))):x}"
-    spark.sql(f"drop view if exists {name}")
-    out = snapshots.drain(snapshots.snapshots_stream(named), name, _folder(spark))
-    return out.select(
-        "vehicle_id", "feature_ts_ms", F.col("24h_n").alias("n_24h"), F.round("24h_sum", 3).alias("sum_24h"), F.col("1h_n").alias("n_1h"), F.col("5m_n").alias("n_5m"),
-        F.col("24h_first").alias("first_24h"), F.col("24h_last").alias("last_24h"),
-    )
-
-
+    engine = Snapshots(_folder(spark))
+    events = telemetry(spark, sf_dir, spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*"))
+    engine.start(events).awaitTermination()
+    return window_totals(engine.read(spark))

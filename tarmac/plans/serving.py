@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.functions.scalars import coarse, encode_cursor, is_valid_vin, uuid5, vin_of_payload
+from tarmac.functions.scalars import coarse, encode_cursor, is_valid_vin, money_label, py_round, uuid5, vin_of_payload
 from tarmac.operators import alerts as A
 from tarmac.operators import serving as S
 from tarmac.operators import upserts
@@ -90,11 +90,43 @@ def prefix_search(spark, sf_dir):
 
 @query(f"""WITH {BASE} SELECT (SELECT count(*) FROM v WHERE tenant_id = 3) AS vehicles, (SELECT count(*) FROM pv WHERE tenant_id = 3) AS components_scored, (SELECT count(*) FROM pv WHERE tenant_id = 3 AND p7d >= threshold) AS components_above_threshold,
   (SELECT round(coalesce(sum(expected_loss), 0), 0) FROM pv WHERE tenant_id = 3) AS total_expected_loss_7d, (SELECT count(*) FROM vc JOIN v USING (vehicle_id) WHERE tenant_id = 3 AND status = 'ACTIVE' AND source = 'ML') AS active_ml_alerts,
-  (SELECT count(*) FROM vc JOIN v USING (vehicle_id) WHERE tenant_id = 3 AND status = 'ACTIVE' AND source = 'RULE') AS active_rule_alerts""")
+  (SELECT count(*) FROM vc JOIN v USING (vehicle_id) WHERE tenant_id = 3 AND status = 'ACTIVE' AND source = 'RULE') AS active_rule_alerts, (SELECT max(created_at) FROM vc) AS last_scored_at""")
 def summary_kpis(spark, sf_dir):
     v = vehicles(spark, sf_dir)
     raised = components(spark, sf_dir).select("vehicle_id", "status", "source").join(v.select("vehicle_id", "tenant_id"), "vehicle_id")
-    return S.summary(priority(spark, sf_dir), v, raised, 3)
+    return S.summary(priority(spark, sf_dir), v, raised, 3, components(spark, sf_dir).select(F.col("created_at").alias("scored_at")))
+
+
+@query(f"""WITH {BASE} SELECT vc.vehicle_component_id, vc.component, vc.status, r.p7d, r.threshold, round(pv.expected_loss, 2) AS expected_loss, pv.cost_status
+  FROM vc LEFT JOIN (SELECT vehicle_component_id, round(p7d, 4) AS p7d, threshold FROM vc WHERE vehicle_component_id % 3 > 0) r USING (vehicle_component_id)
+  LEFT JOIN (SELECT * FROM pv WHERE vehicle_component_id % 3 > 0) pv USING (vehicle_component_id) WHERE vc.vehicle_id = 7 ORDER BY 2, 1""")
+def vehicle_components(spark, sf_dir):
+    """The components of one vehicle; a third of them have not been scored."""
+    parts, view = components(spark, sf_dir), priority(spark, sf_dir)
+    scored = F.col("vehicle_component_id") % 3 > 0
+    return S.vehicle_components(parts, parts.where(scored).select("vehicle_component_id", "p7d", "threshold"), view.where(scored), 7)
+
+
+@query("""SELECT l_orderkey * 10 + l_linenumber AS event_id, l_returnflag AS event_type, l_shipdate AS occurred_at, round(l_extendedprice, 1) AS odometer_km, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'BRAKE' WHEN '2' THEN 'POWERTRAIN' WHEN '3' THEN 'POWERTRAIN' ELSE 'BATTERY' END AS component
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey = 7 ORDER BY 3 DESC, 1 DESC LIMIT 50""")
+def vehicle_events(spark, sf_dir):
+    """The latest 50 maintenance events of one vehicle: order lines stand for events."""
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"), F.col("l_orderkey").alias("vehicle_component_id"), F.col("l_returnflag").alias("event_type"), F.col("l_shipdate").alias("occurred_at"), F.col("l_extendedprice").alias("odometer_km"))
+    return S.vehicle_events(li, components(spark, sf_dir), 7)
+
+
+@query("""SELECT o_orderkey, o_custkey AS vehicle_id, o_orderdate AS ts FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)""")
+def reset_deletes(spark, sf_dir):
+    """What a reset of one fleet's vehicles leaves in a table."""
+    gone = vehicles(spark, sf_dir).where("fleet_id = 3").select("vehicle_id")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("vehicle_id"), F.col("o_orderdate").alias("ts"))
+    return o.join(gone, "vehicle_id", "left_anti").select("o_orderkey", "vehicle_id", "ts")
+
+
+@query(f"""WITH {BASE} SELECT vehicle_component_id, CASE WHEN expected_loss IS NULL THEN 'cost data required' ELSE printf('$%s', regexp_replace(regexp_replace(CAST(CAST(round_even(expected_loss, 0) AS BIGINT) AS VARCHAR), '(\\d)(\\d{{3}})$', '\\1,\\2'), '(\\d)(\\d{{3}}),', '\\1,\\2,')) END AS loss FROM pv""")
+def money_labels(spark, sf_dir):
+    """Expected losses for display."""
+    return priority(spark, sf_dir).select("vehicle_component_id", money_label(F.col("expected_loss")).alias("loss"))
 
 
 @query(f"""WITH {BASE} SELECT component, count(*) AS scored, count(*) FILTER (WHERE p7d >= threshold) AS above_threshold, round(coalesce(sum(expected_loss), 0), 0) AS expected_loss, round(avg(p7d), 4) AS mean_p7d, count(*) FILTER (WHERE p7d < 0.05) AS b_0_5,
@@ -203,12 +235,12 @@ def vin_check_digit(spark, sf_dir):
     return made.withColumn("vin", F.when(key % 2 == 0, right).otherwise(F.col("vin"))).select("c_custkey", "vin", is_valid_vin(F.col("vin")).alias("valid"))
 
 
-@query("SELECT o_orderkey, " + ", ".join(f"round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 15)), 2) :: DOUBLE AS {n}" for n, x in (
+@query("SELECT o_orderkey, " + ", ".join(f"CAST(printf('%.2f', {x}) AS DOUBLE) AS {n}" for n, x in (
     ("km", "o_totalprice / 1000 * 1.609344 :: DOUBLE"), ("celsius", "(o_totalprice / 1000 - 32) * 5 / 9"), ("ms2", "o_totalprice / 1000000 * 9.80665 :: DOUBLE"),
 )) + " FROM orders")
 def unit_conversions(spark, sf_dir):
     x = F.col("o_totalprice") / 1000
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(x * MILE_KM, 2).alias("km"), fahrenheit(x).alias("celsius"), F.round(F.col("o_totalprice") / 1000000 * G_MS2, 2).alias("ms2"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", py_round(x * MILE_KM, 2).alias("km"), fahrenheit(x).alias("celsius"), py_round(F.col("o_totalprice") / 1000000 * G_MS2, 2).alias("ms2"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE 'VIN' || CAST(user_id AS VARCHAR) END AS vin, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k FROM events")
@@ -220,7 +252,10 @@ def json_adapter_projection(spark, sf_dir):
     return e.select("event_id", vin_of_payload(payload).alias("vin"), F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-@query(None)
+UUID_SQL = "sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('vehicle:' || vin))"
+
+
+@query(f"""WITH {BASE}, h AS (SELECT vehicle_id, {UUID_SQL} AS h FROM v) SELECT vehicle_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM h""")
 def deterministic_ids(spark, sf_dir):
     """Name-based ids of vehicles (tests hold them against Python's)."""
     return vehicles(spark, sf_dir).select("vehicle_id", uuid5("6ba7b810-9dad-11d1-80b4-00c04fd430c8", F.concat(F.lit("vehicle:"), "vin")).alias("uuid"))

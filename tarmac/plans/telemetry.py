@@ -24,23 +24,24 @@ SPLITS = DatasetConfig(splits={"train": (1, 12), "calibration": (14, 16), "thres
 RAW = """raw AS (SELECT user_id AS vehicle_id, event_id AS seq, epoch_us(ts) // 1000 AS ts_ms, event_type, value, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k FROM events)"""
 TEL = f"""{RAW}, tel AS (SELECT vehicle_id, seq, ts_ms, event_type, CAST(CAST(value AS FLOAT) AS DOUBLE) AS speed, CAST(CAST(value + k AS FLOAT) AS DOUBLE) AS odo,
   CAST(CAST((k - 50) / 10.0 AS FLOAT) AS DOUBLE) AS accel, event_type = 'error' AS harsh, CASE WHEN k % 5 <> 0 THEN CAST(k AS DOUBLE) END AS soc,
-  CASE WHEN k % 3 <> 0 THEN CAST(CAST(value AS FLOAT) AS DOUBLE) END AS temp FROM raw)"""
+  CASE WHEN k % 3 <> 0 THEN CAST(CAST(value AS FLOAT) AS DOUBLE) END AS temp, CAST(k - 60 AS DOUBLE) AS amp, CASE WHEN k < 20 THEN k % 7 END AS code FROM raw)"""
 GRID = f"""{TEL}, b AS (SELECT vehicle_id, min(ts_ms) AS f, max(ts_ms) AS l FROM tel GROUP BY 1),
  g AS (SELECT vehicle_id, f, unnest(generate_series(f // 3600000 + 1, l // 3600000)) * 3600000 AS t FROM b)"""
 
 
-def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def raw(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """The events table (or a stream of its rows) with the names used here."""
+    e = table(spark, sf_dir, "events") if events is None else events
     k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
     return e.select(F.col("user_id").alias("vehicle_id"), F.col("event_id").alias("seq"), epoch_ms(F.col("ts")).alias("ts_ms"), "event_type", "value", k.alias("k"))
 
 
-def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+def telemetry(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Records with all columns that the statistics read; some signals have nulls."""
     k, v = F.col("k"), F.col("value")
     soc, temp = F.when(k % 5 != 0, k.cast("double")), F.when(k % 3 != 0, v)
     codes = F.when(k < 20, F.array(F.element_at(F.array(*[F.lit(c) for c in CODES]), k % 7 + 1)))
-    return raw(spark, sf_dir).select(
+    return raw(spark, sf_dir, events).select(
         "vehicle_id", "seq", "ts_ms", "event_type", v.alias("speed_kmh"), (v + k).alias("odometer_km"), ((k - 50) / F.lit(10.0)).alias("acceleration_ms2"),
         (F.col("event_type") == "error").alias("harsh_brake"), codes.alias("dtc_codes"), soc.alias("soc_pct"), temp.alias("temperature_c"), temp.alias("engine_temp_c"),
         temp.alias("motor_temp_c"), v.alias("voltage_v"), (k - 60).cast("double").alias("current_a"), v.alias("power_kw"), v.alias("engine_load_pct"), v.alias("rpm"),
@@ -52,6 +53,50 @@ CODES = ["P0301", "P0562", "BATT_TEMP_HIGH", "BATT_VOLT_UNSTABLE", "BRAKE_WEAR_H
 SIX = ["n_events", "speed_sum", "speed_sumsq", "odo_min", "odo_max", "soc_first", "soc_last"]
 
 
+# Every statistic as SQL over the columns of ``tel``. Codes 0 and 1 of the seven are of the powertrain, 2 and 3 of the battery,
+# 4 and 5 of the brakes; the seventh is unknown.
+_SIGNAL_SQL = {"battery_temp": "temp", "engine_temp": "temp", "motor_temp": "temp", "voltage": "speed", "current": "amp", "power": "speed", "engine_load": "speed", "rpm": "speed"}
+_COUNT_SQL = {
+    "n_events": "e.seq IS NOT NULL", "n_moving": "speed > 1", "harsh_count": "harsh", "harsh_high_speed_count": "harsh AND speed >= 80", "harsh_accel_n": "harsh AND accel IS NOT NULL", "brake_n": "accel < -1",
+    "dtc_event_count": "code IS NOT NULL", "dtc_brake_count": "code IN (4, 5)", "dtc_powertrain_count": "code IN (0, 1)", "dtc_battery_count": "code IN (2, 3)",
+    **{f"{n}_n": f"{c} IS NOT NULL" for n, c in _SIGNAL_SQL.items()}, "engine_temp_high_count": "temp > 105", "engine_load_high_count": "speed > 80", "motor_temp_high_count": "temp > 90",
+    "power_high_count": "speed > 60", "battery_temp_high_count": "temp > 40", "deep_discharge_count": "soc < 10", "charging_count": "amp < -1", "fast_charge_count": "amp < -100",
+}
+_SUM_SQL = {"speed_sum": ("speed", "speed > 1"), "speed_sumsq": ("speed * speed", "speed > 1"), "harsh_accel_sum": ("accel", "harsh"), "brake_accel_sum": ("accel", "accel < -1")}
+_SUM_SQL |= {f"{n}_sum": (c, "true") for n, c in _SIGNAL_SQL.items()} | {f"{n}_sumsq": (f"{c} * {c}", "true") for n, c in _SIGNAL_SQL.items()}
+_ENDS_SQL = {"odo_min": "min(odo)", "odo_max": "max(odo)", "accel_min": "min(accel)", "current_absmax": "max(abs(amp))", "soc_min": "min(soc)", "soc_max": "max(soc)"}
+_ENDS_SQL |= {f"{n}_{m}": f"{m}({c})" for n, c in _SIGNAL_SQL.items() for m in ("max", "min")}
+_ENDS_SQL |= {"soc_first": "arg_min(soc, (e.ts_ms, e.seq)) FILTER (WHERE soc IS NOT NULL)", "soc_last": "arg_max(soc, (e.ts_ms, e.seq)) FILTER (WHERE soc IS NOT NULL)"}
+_ALL_SQL = {n: f"count(*) FILTER (WHERE {c})" for n, c in _COUNT_SQL.items()} | {n: f"round(coalesce(sum({x}) FILTER (WHERE {c}), 0), 2)" for n, (x, c) in _SUM_SQL.items()} | _ENDS_SQL
+#: A named subquery with all statistics, as a format of its name, source (``tel`` rows named e), grouping and the names' prefix.
+ALL_STATS_SQL = "{name} AS (SELECT {by}, " + ", ".join(f'{x} AS "{{prefix}}{n}"' for n, x in _ALL_SQL.items()) + " FROM {source} GROUP BY ALL)"
+
+
+_WINDOWS = {"5m": 300, "1h": 3600, "24h": 86400}
+#: The snapshots of all windows with all statistics, summed up by vehicle.
+WINDOW_TOTALS_SQL = ", ".join(
+    ALL_STATS_SQL.format(name=f"x{w}", source=f"g LEFT JOIN tel e ON e.vehicle_id = g.vehicle_id AND e.ts_ms < g.t AND e.ts_ms >= g.t - {s * 1000}", by="g.vehicle_id, g.t", prefix=f"{w}_") for w, s in _WINDOWS.items()
+) + " SELECT vehicle_id, count(*) AS snapshots, " + ", ".join(f'round(sum(CAST("{w}_{n}" AS DOUBLE)), 2) AS "{w}_{n}"' for w in _WINDOWS for n in _ALL_SQL) + " FROM x24h JOIN x1h USING (vehicle_id, t) JOIN x5m USING (vehicle_id, t) GROUP BY 1"
+
+
+def window_totals(snapshots: DataFrame) -> DataFrame:
+    """Every statistic of every window summed over each vehicle's snapshots: a small result that holds all of them."""
+    plain = plain_stats(snapshots)
+    names = [f"{w}_{n}" for w in _WINDOWS for n in all_stats()]
+    return plain.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("snapshots"), *[F.round(F.sum(F.col(f"`{n}`").cast("double")), 2).alias(n) for n in names])
+
+
+def plain_stats(df: DataFrame) -> DataFrame:
+    """Sums rounded as the SQL rounds them, first and last values without their keys."""
+    out = {}
+    for c in df.columns:
+        if c.endswith(("_sum", "_sumsq")):
+            out[c] = F.round(F.col(f"`{c}`"), 2)
+        elif c.endswith(("soc_first", "soc_last")):
+            out[c] = F.col(f"`{c}`.value")
+    return df.withColumns(out)
+
+
 def six() -> dict:
     return {n: s for n, s in all_stats().items() if n in SIX}
 
@@ -100,6 +145,57 @@ def bucket_900s_stats(spark, sf_dir):
     return _flat(windows.buckets(telemetry(spark, sf_dir), 900, six()))
 
 
+@query(f"""WITH {TEL}, {ALL_STATS_SQL.format(name="x", source="tel e", by="vehicle_id, ts_ms // 60000 AS bucket", prefix="")} SELECT * FROM x""")
+def bucket_60s_all_stats(spark, sf_dir):
+    return plain_stats(windows.buckets(telemetry(spark, sf_dir), 60))
+
+
+@query(f"""WITH {TEL}, {ALL_STATS_SQL.format(name="x", source="tel e", by="vehicle_id, ts_ms // 900000 AS bucket", prefix="")} SELECT * FROM x""")
+def bucket_900s_all_stats(spark, sf_dir):
+    return plain_stats(windows.buckets(telemetry(spark, sf_dir), 900))
+
+
+@query(f"WITH {GRID}, {WINDOW_TOTALS_SQL}")
+def windows_all_stats(spark, sf_dir):
+    """All 70 statistics over all three windows, summed up by vehicle."""
+    return window_totals(windows.snapshots(telemetry(spark, sf_dir)))
+
+
+@query(f"WITH {RAW} SELECT vehicle_id, seq, ts_ms, value FROM raw ORDER BY ts_ms, vehicle_id, seq")
+def replay_sort(spark, sf_dir):
+    return windows.replay_order(raw(spark, sf_dir).select("vehicle_id", "seq", "ts_ms", "value"))
+
+
+@query("SELECT DISTINCT user_id AS vehicle_id FROM events ORDER BY 1")
+def distinct_vehicles(spark, sf_dir):
+    from tarmac.sources import readers
+
+    return readers.distinct_vehicles(raw(spark, sf_dir))
+
+
+@query(f"""WITH {RAW}, d AS (SELECT vehicle_id, ts_ms // 86400000 AS day, list(DISTINCT 'C' || CAST(k % 9 AS VARCHAR)) FILTER (WHERE k < 40) AS a, list(DISTINCT 'C' || CAST(k % 13 AS VARCHAR)) FILTER (WHERE k >= 60) AS b FROM raw GROUP BY 1, 2)
+  SELECT vehicle_id, day, array_to_string(list_sort(coalesce(a, [])), ',') AS codes, array_to_string(list_sort(list_distinct(list_concat(coalesce(a, []), coalesce(b, [])))), ',') AS injected FROM d""")
+def code_set_union(spark, sf_dir):
+    """Sorted distinct codes of a day, and their union with injected ones."""
+    from tarmac.functions.scalars import sorted_codes
+
+    r = raw(spark, sf_dir).withColumn("day", F.floor(F.col("ts_ms") / DAY_MS))
+    code = lambda n, c: F.collect_list(F.when(c, F.concat(F.lit("C"), (F.col("k") % n).cast("string"))))
+    sets = r.groupBy("vehicle_id", "day").agg(code(9, F.col("k") < 40).alias("a"), code(13, F.col("k") >= 60).alias("b"))
+    return sets.select("vehicle_id", "day", F.array_join(sorted_codes(F.col("a")), ",").alias("codes"), F.array_join(sorted_codes(F.col("a"), F.col("b")), ",").alias("injected"))
+
+
+@query(f"""WITH {RAW} SELECT seq, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(ts_ms % 1000 // 10 AS VARCHAR), 2, '0') || 'Z' AS centis, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS millis,
+  greatest(0, {END_MS} - ts_ms) AS latency_ms, CASE WHEN value >= 499 THEN '>99.9%' ELSE printf('%.1f%%', round(value / 5, 1)) END AS label FROM raw""")
+def time_and_display_formats(spark, sf_dir):
+    """ISO texts to hundredths and thousandths, latency against a fixed now, and a percentage for display."""
+    from tarmac.functions import scalars as S
+
+    p = F.round(F.col("value") / 5, 1) / 100
+    label = F.when(F.col("value") >= 499, S.percent_label(F.lit(0.9995))).otherwise(S.percent_label(F.least(p, F.lit(0.998))))
+    return raw(spark, sf_dir).select("seq", S.iso_centis(F.col("ts_ms")).alias("centis"), S.iso_millis(F.col("ts_ms")).alias("millis"), S.latency_ms(F.col("ts_ms"), F.lit(END_MS)).alias("latency_ms"), label.alias("label"))
+
+
 @query(f"""WITH {TEL} SELECT vehicle_id, ts_ms // 3600000 AS hour, count(*) AS n, round(coalesce(sum(speed) FILTER (WHERE speed > 1), 0), 3) AS total,
   count(*) FILTER (WHERE ts_ms // 60000 % 60 >= 55) AS late_n, round(coalesce(sum(speed) FILTER (WHERE speed > 1 AND ts_ms // 60000 % 60 >= 55), 0), 3) AS late_total,
   max(odo) FILTER (WHERE ts_ms // 60000 % 60 >= 55) AS late_max FROM tel GROUP BY 1, 2""")

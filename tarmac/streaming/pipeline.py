@@ -1,44 +1,66 @@
-"""The live pipeline as one query: envelopes in, telemetry, dead letters and alerts out, each batch written once."""
+"""The live pipeline as one query: envelopes in, telemetry, dead letters, alerts and audit rows out, each batch written once."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.operators.alerts import candidate_alerts, raise_alerts, rule_hits
+from tarmac.operators.alerts import audit, candidate_alerts, raise_alerts, rule_hits
 from tarmac.operators.ingest import first_delivery, flatten, normalise, resolve, violations
-from tarmac.sources.sinks import append_new, exists, write_batch
+from tarmac.sources.sinks import append_new, exists, flush_audit, write_batch
 
 ALERT_SCHEMA = "vehicle_component_id string, alert_type string, severity string, source string, message string, ts_ms long, seq long, status string"
 
 
 @dataclass
 class Live:
-    """Tables of a live run under one root; ``vehicles``, ``components`` and ``registry`` are read anew for each batch."""
+    """Tables of a live run under one root.
+
+    ``vehicles``, ``components``, ``registry`` and ``owners`` (tenants of components, for audit rows) give dimensions; what they
+    give is kept for ``refresh_seconds`` and then read anew. Rules see the normalised stream before telemetry is deduplicated:
+    repeated deliveries raise nothing twice, because one ACTIVE alert a component and type is kept.
+    """
 
     root: str
     vehicles: callable
     components: callable
     registry: callable
+    owners: callable = None
+    refresh_seconds: float = 60.0
+    clock: callable = time.monotonic
+    held: dict = field(default_factory=dict)
+
+    def dimension(self, name: str) -> DataFrame:
+        now = self.clock()
+        if name not in self.held or now - self.held[name][0] >= self.refresh_seconds:
+            if name in self.held:
+                self.held[name][1].unpersist()
+            self.held[name] = now, getattr(self, name)().persist()
+        return self.held[name][1]
 
     def batch(self, envelopes: DataFrame, batch_id: int) -> None:
         """One micro-batch. Repeating it changes nothing: dead letters overwrite their folder, the others insert by key."""
         spark = envelopes.sparkSession
         envelopes = envelopes.persist()
         try:
-            known, dead = resolve(envelopes, self.vehicles())
+            known, dead = resolve(envelopes, self.dimension("vehicles"))
             write_batch(dead, f"{self.root}/dead_letters", batch_id)
             checked = violations(normalise(known)).where(F.size("violations") == 0).drop("violations")
-            telemetry = first_delivery(flatten(checked)).persist()
-            append_new(telemetry, f"{self.root}/telemetry", ["vehicle_id", "seq", "ts_ms"])
-            hits, _ = rule_hits(telemetry, self.registry())
+            records = flatten(checked).withColumn("event_date", F.timestamp_millis("ts_ms").cast("date")).persist()
+            append_new(first_delivery(records), f"{self.root}/telemetry", ["vehicle_id", "seq", "ts_ms"], partition_by=["event_date"])
+            hits, _ = rule_hits(records, self.dimension("registry"))
             path = f"{self.root}/alerts"
             alerts = spark.read.schema(ALERT_SCHEMA).parquet(path) if exists(spark, path) else spark.createDataFrame([], ALERT_SCHEMA)
-            new = raise_alerts(candidate_alerts(hits, self.components()), alerts)
-            new.select(*alerts.columns).write.mode("append").parquet(path)
-            telemetry.unpersist()
+            new = raise_alerts(candidate_alerts(hits, self.dimension("components")), alerts)
+            new = new.select(*alerts.columns).persist()
+            if self.owners:
+                flush_audit(audit(new, "ALERT_CREATED", "rule-engine", self.dimension("owners")), f"{self.root}/audit", batch_id)
+            new.write.mode("append").parquet(path)
+            new.unpersist()
+            records.unpersist()
         finally:
             envelopes.unpersist()
 

@@ -1,150 +1,145 @@
-"""Exact snapshots on a stream: keyed state of hour blocks, one vehicle a key.
+"""Exact snapshots on a stream, of all statistics: each micro-batch is merged into hour blocks that are kept between batches.
 
-The state of a vehicle is small whatever its traffic: 26 hour blocks of mergeable statistics, the sequence numbers seen in
-them, and its progress. A micro-batch's events of a vehicle are taken in order of time; every hour boundary passed emits a
-snapshot, hours without events included, and events too far behind the vehicle's latest one are counted and left out.
-The statistics merged here are those of ``tarmac.functions.stats``; batch and stream are held against each other in tests.
+A batch's events become hour blocks by Spark's own aggregates (partial before the shuffle), so a vehicle of any traffic adds
+one row an hour. The state is two small tables: the hour blocks that later snapshots can need, and each vehicle's progress.
+Both are written to a folder of the batch's number and read from that of the one before: a batch that is repeated after
+a failure starts from the same state and overwrites what its first run left, so nothing is applied or emitted twice.
+
+Every hour boundary that a vehicle passes emits a snapshot, hours without events included; snapshots are never revised.
+Events too far behind their vehicle's latest one (as of the batch before) are counted and left out. Repeated deliveries are
+dropped ahead of the state by identity, within the lateness (``dedup``), and counted.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tarmac.config import HOUR_MS, FeatureConfig
-from tarmac.session import ship
-
-#: Statistics of the streamed value, with the batch names: operation and contribution.
-STATS = {"n": "count", "sum": "sum", "sumsq": "sum", "min": "min", "max": "max", "first": "first", "last": "last"}
-WINDOW_HOURS = {"5m": None, "1h": 1, "24h": 24}
-
-
-def empty() -> dict:
-    return {"n": 0, "sum": 0.0, "sumsq": 0.0, "min": None, "max": None, "first": None, "last": None}
-
-
-def add(block: dict, ts: int, seq: int, value: float | None) -> None:
-    """One event into a block; a null value only counts."""
-    block["n"] += 1
-    if value is None:
-        return
-    block["sum"] += value
-    block["sumsq"] += value * value
-    block["min"] = value if block["min"] is None else min(block["min"], value)
-    block["max"] = value if block["max"] is None else max(block["max"], value)
-    key = [ts, seq, value]
-    block["first"] = key if block["first"] is None or key[:2] < block["first"][:2] else block["first"]
-    block["last"] = key if block["last"] is None or key[:2] > block["last"][:2] else block["last"]
-
-
-def merged(blocks: list[dict]) -> dict:
-    out = empty()
-    for b in blocks:
-        out["n"] += b["n"]
-        out["sum"] += b["sum"]
-        out["sumsq"] += b["sumsq"]
-        for name, better in (("min", min), ("max", max)):
-            if b[name] is not None:
-                out[name] = b[name] if out[name] is None else better(out[name], b[name])
-        for name, sign in (("first", 1), ("last", -1)):
-            if b[name] is not None and (out[name] is None or sign * _order(b[name]) < sign * _order(out[name])):
-                out[name] = b[name]
-    return out
+from tarmac.functions.features import COMPONENTS, features, window_complete
+from tarmac.functions.stats import Stat, all_stats, merge
+from tarmac.operators.windows import HOURS, hour_blocks, window_merges
+from tarmac.sources.sinks import exists, retry
+
+WINDOWS = ("5m", "1h", "24h")
 
 
-def _order(key: list) -> int:
-    return key[0] * (1 << 62) + key[1]
-
-
-class Vehicle:
-    """One vehicle's state, with a JSON form."""
-
-    def __init__(self, state: dict | None = None):
-        s = state or {"blocks": {}, "late5": {}, "seen": {}, "first": None, "latest": None, "emitted": None, "applied": 0, "late": 0, "repeated": 0}
-        self.s = s
-
-    def snapshot(self, hour: int) -> dict:
-        """The windows [t - W, t) at t = hour."""
-        s = self.s
-        row = {"feature_ts_ms": hour * HOUR_MS, "first_event_ts_ms": s["first"]}
-        for name, hours in WINDOW_HOURS.items():
-            source = s["late5"] if hours is None else s["blocks"]
-            merge = merged([source[str(h)] for h in range(hour - (hours or 1), hour) if str(h) in source])
-            row |= {f"{name}_{k}": (v[2] if k in ("first", "last") and v else v) for k, v in merge.items()}
-        return row
-
-    def apply(self, ts: int, seq: int, value: float | None, lateness_ms: int) -> list[dict]:
-        """Take one event; returns the snapshots that fall due before it."""
-        s, hour, out = self.s, ts // HOUR_MS, []
-        key = str(hour)
-        if str(seq) in s["seen"]:
-            s["repeated"] += 1
-            return out
-        s["seen"][str(seq)] = ts
-        if s["latest"] is not None and ts < s["latest"] - lateness_ms:
-            s["late"] += 1
-            return out
-        if s["emitted"] is None:
-            s["emitted"], s["first"] = hour, ts
-        while s["emitted"] < hour:
-            s["emitted"] += 1
-            out.append(self.snapshot(s["emitted"]))
-        s["first"] = min(s["first"], ts)
-        add(s["blocks"].setdefault(key, empty()), ts, seq, value)
-        if ts // 60_000 % 60 >= 55:
-            add(s["late5"].setdefault(key, empty()), ts, seq, value)
-        s["latest"] = ts if s["latest"] is None else max(s["latest"], ts)
-        s["applied"] += 1
-        return out
-
-    def prune(self, lateness_ms: int) -> None:
-        """Forget blocks and sequence numbers that no later snapshot or event can need."""
-        if self.s["latest"] is None:
-            return
-        oldest = self.s["latest"] - lateness_ms
-        for name in ("blocks", "late5"):
-            self.s[name] = {h: b for h, b in self.s[name].items() if (int(h) + 1) * HOUR_MS > oldest}
-        self.s["seen"] = {q: t for q, t in self.s["seen"].items() if t >= oldest - lateness_ms}
-
-
-OUTPUT = "vehicle_id long, feature_ts_ms long, first_event_ts_ms long, " + ", ".join(
-    f"{w}_{k} {'long' if k == 'n' else 'double'}" for w in WINDOW_HOURS for k in STATS
-)
-
-
-def snapshots_stream(events: DataFrame, config: FeatureConfig | None = None) -> DataFrame:
-    """Snapshots of a stream with vehicle_id, ts_ms, seq and value.
-
-    Events of one micro-batch and vehicle are sorted by time first; an earlier micro-batch's snapshots are never revised.
+class Snapshots:
+    """The state of a stream of telemetry under one root folder, which all executors share.
+
+    ``on_snapshots`` gets each batch's snapshots (once they are written) and the batch's number. A vehicle that no batch has
+    touched for ``ttl_seconds`` of wall-clock time is forgotten.
     """
-    config = config or FeatureConfig()
-    lateness = config.lateness_seconds * 1000
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        vehicle = Vehicle(json.loads(state.get[0]) if state.exists else None)
-        pdf = pd.concat(list(batches)).sort_values(["ts_ms", "seq"], kind="stable")
-        rows = []
-        for ts, seq, value in zip(pdf["ts_ms"].tolist(), pdf["seq"].tolist(), pdf["value"].tolist(), strict=True):
-            rows += vehicle.apply(ts, seq, None if pd.isna(value) else value, lateness)
-        vehicle.prune(lateness)
-        state.update((json.dumps(vehicle.s),))
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in OUTPUT.split(", ")[1:]])
-        out.insert(0, "vehicle_id", key[0])
-        yield out
-
-    ship(events.sparkSession)
-    picked = events.select(F.col("vehicle_id").cast("long"), "ts_ms", "seq", F.col("value").cast("double"))
-    return picked.groupBy("vehicle_id").applyInPandasWithState(update, OUTPUT, "state string", "append", GroupStateTimeout.NoTimeout)
-
-
-def drain(stream: DataFrame, name: str, checkpoint: str, spark=None) -> DataFrame:
+
+    def __init__(self, root: str, stats: dict[str, Stat] | None = None, windows: dict[str, list[str]] | None = None, config: FeatureConfig | None = None,
+                 ttl_seconds: int = 7 * 86_400, on_snapshots: Callable[[DataFrame, int], None] | None = None):
+        self.root, self.stats = root.rstrip("/"), stats or all_stats()
+        self.windows = windows or {w: list(self.stats) for w in WINDOWS}
+        self.lateness = (config or FeatureConfig()).lateness_seconds * 1000
+        self.ttl, self.on_snapshots = ttl_seconds, on_snapshots
+
+    def _path(self, name: str, batch_id: int) -> str:
+        return f"{self.root}/{name}/batch={batch_id:012d}"
+
+    def _read(self, spark: SparkSession, name: str, batch_id: int, schema) -> DataFrame:
+        path = self._path(name, batch_id)
+        return spark.read.schema(schema).parquet(path) if batch_id >= 0 and exists(spark, path) else spark.createDataFrame([], schema)
+
+    def _merged(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        parts = [merge(s.op, F.col(f"{side}_{n}")).alias(f"{side}_{n}") for side in "hl" for n, s in self.stats.items()]
+        return old.unionByName(new).groupBy("vehicle_id", "hour").agg(*parts)
+
+    def batch(self, events: DataFrame, batch_id: int, emit: bool = True) -> None:
+        """Apply one micro-batch. ``emit=False`` only builds state (see ``warm_up``)."""
+        spark, keys = events.sparkSession, events.select("vehicle_id")
+        vehicle = keys.schema[0].dataType.simpleString()
+        shape = f"vehicle_id {vehicle}, first_event_ts_ms long, max_event_ts_ms long, emitted_hour long, applied long, late long, touched timestamp"
+        before = self._read(spark, "progress", batch_id - 1, shape)
+        latest = before.select("vehicle_id", F.col("max_event_ts_ms").alias("__latest"))
+        tagged = events.join(latest, "vehicle_id", "left").withColumn("__late", F.coalesce(F.col("ts_ms") < F.col("__latest") - self.lateness, F.lit(False)))
+        new = hour_blocks(tagged.where("not __late"), self.stats)
+        counted = tagged.groupBy("vehicle_id").agg(
+            F.min(F.when(~F.col("__late"), F.col("ts_ms"))).alias("first_event_ts_ms"), F.max(F.when(~F.col("__late"), F.col("ts_ms"))).alias("max_event_ts_ms"),
+            F.count_if(~F.col("__late")).alias("applied"), F.count_if("__late").alias("late"),
+        )
+        seen = counted.withColumn("touched", F.current_timestamp()).unionByName(before, allowMissingColumns=True)
+        progress = seen.groupBy("vehicle_id").agg(
+            F.min("first_event_ts_ms").alias("first_event_ts_ms"), F.max("max_event_ts_ms").alias("max_event_ts_ms"), F.max("emitted_hour").alias("done"),
+            F.sum("applied").alias("applied"), F.sum("late").alias("late"), F.max("touched").alias("touched"),
+        ).where("max_event_ts_ms is not null")
+        progress = progress.where(F.col("touched") > F.current_timestamp() - F.make_dt_interval(secs=F.lit(self.ttl)))
+        reached = F.floor(F.col("max_event_ts_ms") / HOUR_MS)
+        # The first snapshot follows the hour of the vehicle's first event; later ones follow the last one emitted.
+        progress = progress.withColumn("done", F.coalesce("done", F.floor(F.col("first_event_ts_ms") / HOUR_MS))).withColumn("emitted_hour", F.greatest("done", reached))
+        progress = self._stored(progress.select(*[c.split()[0] for c in shape.split(", ")], "done"), "progress", batch_id)
+        blocks = self._merged(self._read(spark, "blocks", batch_id - 1, new.drop("first_ts", "last_ts").schema), new.drop("first_ts", "last_ts"))
+        # What no later snapshot and no event in time can need is left behind.
+        known = progress.select("vehicle_id", (F.floor((F.least("max_event_ts_ms", F.col("done") * HOUR_MS) - self.lateness) / HOUR_MS)).alias("__oldest"))
+        blocks = self._stored(blocks.join(known, "vehicle_id").where("hour >= __oldest").drop("__oldest"), "blocks", batch_id)
+        if emit:
+            out = self._stored(self.due(blocks, progress), "snapshots", batch_id)
+            if self.on_snapshots:
+                self.on_snapshots(out, batch_id)
+
+    def _stored(self, df: DataFrame, name: str, batch_id: int) -> DataFrame:
+        path = self._path(name, batch_id)
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def due(self, blocks: DataFrame, progress: DataFrame) -> DataFrame:
+        """The snapshots of the hours after ``done`` up to ``emitted_hour``, from the blocks of the day before each."""
+        hours = progress.where("emitted_hour > done").select("vehicle_id", "first_event_ts_ms", "done", "emitted_hour")
+        grid = hours.select("vehicle_id", "first_event_ts_ms", F.explode(F.sequence(F.col("done") + 1, F.col("emitted_hour"))).alias("t"))
+        parts = blocks.join(hours.drop("first_event_ts_ms"), "vehicle_id")
+        ahead = F.sequence(F.greatest(F.col("hour"), F.col("done")) + 1, F.least(F.col("hour") + HOURS, F.col("emitted_hour")))
+        fits = F.greatest(F.col("hour"), F.col("done")) < F.least(F.col("hour") + HOURS, F.col("emitted_hour"))
+        parts = parts.where(fits).withColumn("t", F.explode(ahead)).withColumn("ahead", F.col("t") - F.col("hour")).drop("hour", "done", "emitted_hour")
+        both = parts.unionByName(grid, allowMissingColumns=True)
+        merged = both.groupBy("vehicle_id", "t").agg(F.max("first_event_ts_ms").alias("first_event_ts_ms"), *window_merges(self.windows, self.stats))
+        return merged.withColumn("feature_ts_ms", F.col("t") * HOUR_MS).drop("t")
+
+    def warm_up(self, history: DataFrame, batch_id: int = 0) -> None:
+        """Rebuild the state from stored telemetry, as if the stream had run over it: the next batch has the number after."""
+        self.batch(history, batch_id, emit=False)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """All snapshots so far."""
+        return spark.read.parquet(f"{self.root}/snapshots").drop("batch")
+
+    def counters(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """One row: vehicles, applied and late events as of a batch."""
+        found = spark.read.parquet(self._path("progress", batch_id))
+        return found.agg(F.count(F.lit(1)).alias("vehicles"), F.sum("applied").alias("applied"), F.sum("late").alias("late"))
+
+    def start(self, events: DataFrame, checkpoint: str | None = None, **trigger):
+        """A streaming query that applies each batch, trying again with growing pauses when it fails; state older than two batches goes."""
+        writer = events.writeStream.foreachBatch(lambda df, n: retry(lambda: self.batch(df, n), attempts=3))
+        return writer.option("checkpointLocation", checkpoint or f"{self.root}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
+
+
+def per_component(snapshots: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """Feature rows of every ACTIVE component: a snapshot with all statistics, by the formulas of its component.
+
+    ``vehicles``: vehicle_id, vehicle_type, manufacture_date_ms, and components (an array of the ACTIVE ones, as
+    ``vehicle_context`` makes it); service columns are null where snapshots lack them. Features that a component's formulas
+    don't have are null.
+    """
+    service = {"last_service_ts_ms": "long", "last_service_odometer_km": "double"}
+    joined = snapshots.join(vehicles, "vehicle_id").withColumns({c: F.lit(None).cast(t) for c, t in service.items() if c not in snapshots.columns})
+    out = None
+    for component in COMPONENTS:
+        mine = joined.where(F.array_contains("components", component))
+        part = mine.select("vehicle_id", F.lit(component).alias("component"), "feature_ts_ms", window_complete().alias("window_complete"), *[c.alias(n) for n, c in features(component).items()])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def drain(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
     """Run a stream over all that is there and return what it put out, by way of Parquet files beside the checkpoint."""
-    rows = f"{checkpoint}-rows"
+    rows = f"{checkpoint}-rows-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").queryName(name).outputMode("append").option("path", rows).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(rows)

@@ -171,7 +171,7 @@ def test_sinks_are_idempotent(spark, tmp_path):
         sinks.append_new(df, f"{tmp_path}/t", ["k", "version"], ["p"])
         sinks.write_batch(df, f"{tmp_path}/b", 3)
         sinks.upsert_newest(df.dropDuplicates(["k"]), f"{tmp_path}/u", ["k"], "version")
-    assert [spark.read.parquet(f"{tmp_path}/{x}").count() for x in "tbu"] == [2, 3, 2]
+    assert [spark.read.parquet(f"{tmp_path}/{x}").count() for x in "tb"] == [2, 3] and sinks.read_table(spark, f"{tmp_path}/u").count() == 2
     assert spark.read.parquet(f"{tmp_path}/t").where("k = 'a'").first().p == 0.5
 
 
@@ -225,3 +225,117 @@ def test_value_comparison(spark):
     assert tuple(checks.compare_values(a, b, ["k"], ["x"]).first())[:2] == (2, 0)
     assert checks.compare_values(a, b.withColumn("x", F.lit(2.0)), ["k"], ["x"]).first().mismatches == 2
     assert len(all_stats()) == 70
+
+
+def test_forward_asof_over_one_long_key(spark):
+    """A key of 100,000 rows takes seconds, and gives what a search by hand gives."""
+    import bisect
+    import time
+
+    n = 50_000
+    left = spark.range(n).select(F.lit("k").alias("k"), (F.col("id") * 3).alias("t"))
+    right = spark.range(n).select(F.lit("k").alias("k"), (F.col("id") * 2 + 1).alias("s"), F.col("id").alias("v"))
+    began = time.monotonic()
+    got = {r.t: (r.r_s, r.r_v) for r in asof.forward(left, right, ["k"], "t", "s", "r_").collect()}
+    assert time.monotonic() - began < 30
+    times = [i * 2 + 1 for i in range(n)]
+    for t in range(0, 3 * n, 3):
+        at = bisect.bisect_right(times, t)
+        assert got[t] == ((times[at], at) if at < n else (None, None))
+
+
+def test_forward_asof_ties(spark):
+    left = spark.createDataFrame([("k", 5), ("k", 6), ("j", 1)], "k string, t long")
+    right = spark.createDataFrame([("k", 6, "b"), ("k", 6, "a"), ("k", 5, "same time"), ("k", 9, "z")], "k string, s long, v string")
+    got = {(r.k, r.t): r.r_v for r in asof.forward(left, right, ["k"], "t", "s", "r_", [F.col("v")]).collect()}
+    assert got == {("k", 5): "a", ("k", 6): "z", ("j", 1): None}
+
+
+def test_precision_at_top_with_ties(spark):
+    rnd = random.Random(4)
+    data = [(i, int(rnd.random() < 0.4), round(rnd.random(), 1)) for i in range(500)]
+    df = spark.createDataFrame(data, "id long, y int, p double")
+    for fraction in (0.001, 0.01, 0.07, 0.5, 1.0):
+        k = max(1, int(500 * fraction))
+        top = sorted(data, key=lambda r: (-r[2], r[0]))[:k]
+        assert tuple(metrics.precision_at_top(df, fraction, "id").first()) == (k, pytest.approx(sum(r[1] for r in top) / k))
+    assert metrics.precision_at_top(df.where("false")).first().k == 0
+
+
+def test_curve_of_crowded_scores(spark):
+    """Scores that crowd near zero are spread over the ranges."""
+    df = spark.range(2000).select((F.col("id") % 3 == 0).cast("int").alias("y"), F.pow(F.lit(10.0), -F.col("id") / 100).alias("p"))
+    curve = {r.p: r.above_n for r in metrics.score_curve(df, 8).collect()}
+    assert [curve[p] for p in sorted(curve, reverse=True)] == list(range(1, 2001))
+
+
+def test_versioned_tables_survive_a_crash(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, version long")
+    path = f"{tmp_path}/v"
+    assert sinks.current_version(spark, path) is None and sinks.read_table(spark, path, df.schema).count() == 0
+    for _ in range(3):
+        sinks.publish(df, path)
+    (tmp_path / "v" / "version=000000000009").mkdir()  # a write that did not end
+    assert sinks.read_table(spark, path).count() == 2 and len(list((tmp_path / "v").glob("version=*"))) == 3
+    sinks.delete_keys(path, spark.createDataFrame([("a",)], "k string"))
+    assert [r.k for r in sinks.read_table(spark, path).collect()] == ["b"]
+    for v in (1, 3, 2):
+        sinks.upsert_newest(df.withColumn("version", F.lit(v).cast("long")), f"{tmp_path}/b", ["k"], "version", buckets=4)
+    assert sorted(tuple(r) for r in sinks.read_buckets(spark, f"{tmp_path}/b", df.schema).collect()) == [("a", 3), ("b", 3)]
+
+
+def test_append_reads_only_the_partitions_of_the_batch(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, "d1"), ("b", 2, "d2")], "k string, seq long, day string")
+    sinks.append_new(df, f"{tmp_path}/t", ["k", "seq"], partition_by=["day"])
+    (next((tmp_path / "t" / "day=d1").glob("*.parquet"))).write_bytes(b"not to be read")
+    sinks.append_new(df.where("day = 'd2'").union(spark.createDataFrame([("c", 3, "d2")], df.schema)), f"{tmp_path}/t", ["k", "seq"], partition_by=["day"])
+    assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/t/day=d2").collect()) == ["b", "c"]
+
+
+def test_notifications_audit_and_retry(spark, tmp_path):
+    rows = spark.range(4).select(F.col("id").alias("vehicle_id"), F.lit("BRAKE").alias("component"), F.col("id").alias("feature_ts_ms"))
+    for b in range(4):
+        sinks.notify(rows, f"{tmp_path}/n", b, most=8)
+    assert sorted(r.batch for r in sinks.read_notifications(spark, f"{tmp_path}/n").select("batch").distinct().collect()) == [2, 3]
+    assert {r.batch for r in sinks.read_notifications(spark, f"{tmp_path}/n", most=1).collect()} == {2}
+    sinks.flush_audit(rows.coalesce(1), f"{tmp_path}/a", 0, most=2)
+    assert len(list((tmp_path / "a" / "batch=000000000000").glob("*.parquet"))) == 2
+    tried, waits = [], []
+
+    def action():
+        tried.append(1)
+        if len(tried) < 7:
+            raise OSError
+        return "done"
+
+    assert sinks.retry(action, sleep=waits.append) == "done" and waits == [1, 2, 4, 8, 16, 30]
+    with pytest.raises(OSError):
+        tried.clear()
+        sinks.retry(action, attempts=2, sleep=waits.append)
+
+
+def test_manifest_and_report(spark, tmp_path):
+    from tarmac.operators.ml import report
+
+    rows = spark.createDataFrame([("v", "BRAKE", "calibration", "dev", 1, "e1", 2.0)], "meta_vehicle_id string, meta_component string, meta_split string, meta_vehicle_group string, label_7d int, label_next_event_id string, f_x double")
+    m = labels.manifest(rows, spark.createDataFrame([(3, 1)], "snapshots_total long, rows_kept long"), 0, DAY_MS, versions={"dataset_version": "d1"})
+    sinks.write_dataset(rows, f"{tmp_path}/d", m)
+    assert sinks.read_manifest(spark, f"{tmp_path}/d") == json.loads(json.dumps(m)) and spark.read.parquet(f"{tmp_path}/d").count() == 1
+    assert m["counts"]["BRAKE"]["calibration"]["positives"] == 1 and len(m["guardrail_warnings"]) == 1 and m["model_input_columns"] == ["f_x"]
+    sinks.write_parts(rows, f"{tmp_path}/p")
+    sinks.write_parts(rows, f"{tmp_path}/p")
+    assert len(list((tmp_path / "p").glob("version=*"))) == 1
+    shown = report({"BRAKE": {"selected": "boosted", "test": {"boosted": {"pr_auc": 0.5, "prevalence": 0.1}, "logistic": {"pr_auc": 0.4}}, "holdout": {"pr_auc": 0.3}, "rows": 7, "features_used": 2, "top_features": list("abcdefg")}}, {"model_version": "m1"})
+    c = shown["components"][0]
+    assert (c["served_model"], c["pr_auc_logistic"], c["pr_auc_boosted"], c["holdout_pr_auc"], c["prevalence"], c["top_features"]) == ("Gradient boosting", 0.4, 0.5, 0.3, 0.1, list("abcde"))
+    assert [serving.clamp(x, serving.ASSISTANT_LIMIT) for x in (0, 5, 99)] == [1, 5, 20]
+
+
+def test_rounding_is_pythons(spark):
+    from tarmac.functions.scalars import py_round
+
+    rnd = random.Random(1)
+    values = [2.675, 0.125, 0.375, -2.675, 1.005, 0.5, 1.5, 2.5, 0.0, None, 1e15, 12345.675] + [round(rnd.uniform(-500, 500), 3) for _ in range(3000)] + [rnd.uniform(-5, 5) for _ in range(500)] + [k / 8 for k in range(-100, 100)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (0, 2, 3):
+        assert [r[0] for r in df.select(py_round(F.col("x"), digits)).collect()] == [None if v is None else round(v, digits) for v in values]

@@ -3,81 +3,140 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tarmac.config import HOUR_MS
-from tarmac.functions.stats import Stat
+from tarmac.config import DAY_MS, HOUR_MS
+from tarmac.functions.stats import all_stats
 from tarmac.operators import ingest, windows
 from tarmac.operators.checks import compare_keys, compare_values
+from tarmac.sources import sinks
 from tarmac.sources.readers import dtc_registry
+from tarmac.streaming.dedup import dedup
 from tarmac.streaming.pipeline import Live
-from tarmac.streaming.snapshots import OUTPUT, Vehicle, drain, snapshots_stream
+from tarmac.streaming.snapshots import Snapshots, per_component
+from tests.test_functions import RECORD, record
 from tests.test_operators import VIN, envelopes
 
-SCHEMA = "vehicle_id long, ts_ms long, seq long, value double"
 T0 = 1_704_067_200_000
-LATE = 90_000_000
+KEYS = ["vehicle_id", "feature_ts_ms"]
 
 
-def history(n=400, vehicles=3):
+def history(n=300, vehicles=3):
     rnd = random.Random(9)
-    return [(v, T0 + rnd.randrange(60 * HOUR_MS), v * 10_000 + i, None if rnd.random() < 0.1 else round(rnd.uniform(0, 100), 2)) for v in range(vehicles) for i in range(n // vehicles)]
+    maybe = lambda x: None if rnd.random() < 0.2 else x
+    out = []
+    for i in range(n):
+        r = record(T0 + rnd.randrange(60 * HOUR_MS), i, speed_kmh=maybe(rnd.uniform(0, 120)), odometer_km=maybe(rnd.uniform(0, 9)), acceleration_ms2=maybe(rnd.uniform(-5, 5)), harsh_brake=maybe(rnd.random() < 0.2), soc_pct=maybe(rnd.uniform(0, 100)), current_a=maybe(rnd.uniform(-200, 50)), dtc_codes=maybe(["P0301", "X"]))
+        out.append((f"v{i % vehicles}", *r[1:]))
+    return sorted(out, key=lambda r: r[1])
 
 
-def batch_snapshots(spark, rows):
-    v = F.col("value")
-    stats = {"n": Stat("n", "count", F.lit(True)), "sum": Stat("sum", "sum", v), "sumsq": Stat("sumsq", "sum", v * v), "min": Stat("min", "min", v), "max": Stat("max", "max", v), "first": Stat("first", "first", v), "last": Stat("last", "last", v)}
-    s = windows.snapshots(spark.createDataFrame(rows, SCHEMA), stats=stats)
-    return s.withColumns({f"{w}_{k}": F.col(f"{w}_{k}.value") for w in ("5m", "1h", "24h") for k in ("first", "last")})
+def frame(spark, rows):
+    return spark.createDataFrame(rows, RECORD)
 
 
-def run_stream(spark, tmp_path, rows, files, name):
-    """Rows in order of time, cut into files; each file is a micro-batch."""
-    path = f"{tmp_path}/{name}"
-    ordered = sorted(rows, key=lambda r: (r[1], r[2]))
-    size = -(-len(ordered) // files)
-    for i in range(files):
-        spark.createDataFrame(ordered[i * size : (i + 1) * size], SCHEMA).coalesce(1).write.mode("append").parquet(path)
-    src = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
-    return drain(snapshots_stream(src), name, f"{tmp_path}/checkpoint-{name}")
+def flat(df):
+    return df.withColumns({c: F.col(f"`{c}`.value") for c in df.columns if c.endswith(("soc_first", "soc_last"))})
 
 
-@pytest.mark.parametrize("variant", ["clean", "repeated"])
-def test_stream_equals_batch(spark, tmp_path, variant):
-    rows = history()
-    sent = rows + ([r for r in rows if r[2] % 7 == 0] if variant == "repeated" else [])
-    got, want = run_stream(spark, tmp_path, sent, 4, f"s_{variant}"), batch_snapshots(spark, rows)
-    keys = ["vehicle_id", "feature_ts_ms"]
-    assert tuple(compare_keys(got, want, keys).first())[1:] == (0, 0)
-    values = [c.split()[0] for c in OUTPUT.split(", ")[3:]]
-    result = compare_values(got, want, keys, values, 1e-6).first()
+def same(got, want):
+    assert tuple(compare_keys(got, want, KEYS).first())[1:] == (0, 0)
+    values = [c for c in want.columns if c not in KEYS]
+    assert len(values) == 211
+    result = compare_values(flat(got), flat(want), KEYS, values, 1e-6).first()
     assert result.compared == want.count() * len(values) and result.mismatches == 0
 
 
-def test_catch_up_replay_and_late_events():
-    v = Vehicle()
-    assert v.apply(T0 + 600_000, 1, 1.0, LATE) == []
-    out = v.apply(T0 + 4 * HOUR_MS + 5000, 2, 2.0, LATE)
-    assert [(r["feature_ts_ms"] - T0) // HOUR_MS for r in out] == [1, 2, 3, 4] and [r["1h_n"] for r in out] == [1, 0, 0, 0] and out[3]["24h_n"] == 1
-    assert v.apply(T0 + 4 * HOUR_MS + 5000, 2, 2.0, LATE) == [] and (v.s["repeated"], v.s["applied"]) == (1, 2)
-    v.apply(T0 + 40 * HOUR_MS, 3, 1.0, LATE)
-    v.apply(T0 + 10 * HOUR_MS, 4, 1.0, LATE)
-    assert (v.s["late"], v.s["applied"]) == (1, 3) and "4" in v.s["seen"]
-    v.prune(LATE)
-    assert len(v.s["blocks"]) == 1
-
-
-def test_restart_from_checkpoint(spark, tmp_path):
-    """A second run over more files continues from the state of the first and repeats nothing."""
-    rows = sorted(history(), key=lambda r: (r[1], r[2]))
-    path, check = f"{tmp_path}/in", f"{tmp_path}/checkpoint"
-    out = f"{tmp_path}/out"
-    for part in (rows[:200], rows[200:]):
-        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
-        src = spark.readStream.schema(SCHEMA).parquet(path)
-        q = snapshots_stream(src).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
-        q.awaitTermination()
-    got, want = spark.read.parquet(out), batch_snapshots(spark, rows)
-    assert got.count() == want.count()
-    assert compare_values(got, want, ["vehicle_id", "feature_ts_ms"], ["24h_n", "24h_sum", "1h_last"]).first().mismatches == 0
+@pytest.mark.parametrize("variant", ["clean", "repeated"])
+def test_stream_equals_batch_in_all_statistics(spark, tmp_path, variant):
+    rows = history()
+    size = -(-len(rows) // 3)
+    for i in range(3):  # each file is a micro-batch; repeated deliveries come a batch later
+        part = rows[i * size : (i + 1) * size]
+        again = [r for r in rows[max(0, i - 1) * size : i * size] if r[2] % 7 == 0] if variant == "repeated" else []
+        frame(spark, part + again).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    src = spark.readStream.schema(RECORD).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withColumn("event_ts", F.timestamp_millis("ts_ms"))
+    engine = Snapshots(f"{tmp_path}/state")
+    engine.start(dedup(src, horizon="25 hours").drop("event_ts")).awaitTermination()
+    same(engine.read(spark), windows.snapshots(frame(spark, rows)))
+    assert engine.counters(spark, 2).first().applied == len(rows)
+
+
+def test_repeated_batch_and_restart_change_nothing(spark, tmp_path):
+    rows, engine = history(120), Snapshots(f"{tmp_path}/state")
+    engine.batch(frame(spark, rows[:60]), 0)
+    for _ in range(2):
+        Snapshots(f"{tmp_path}/state").batch(frame(spark, rows[60:]), 1)  # as after a crash before the commit
+    same(engine.read(spark), windows.snapshots(frame(spark, rows)))
+
+
+def test_catch_up_late_events_and_pruning(spark, tmp_path):
+    one = lambda ts, seq: record(ts, seq, speed_kmh=10.0)
+    engine, read = Snapshots(f"{tmp_path}/s"), lambda: {(r.feature_ts_ms - T0) // HOUR_MS: r for r in Snapshots(f"{tmp_path}/s").read(spark).collect()}
+    engine.batch(frame(spark, [one(T0 + 600_000, 1)]), 0)
+    assert read() == {}
+    engine.batch(frame(spark, [one(T0 + 4 * HOUR_MS + 5000, 2)]), 1)
+    got = read()
+    assert sorted(got) == [1, 2, 3, 4] and [got[h]["1h_n_events"] for h in (1, 2, 3, 4)] == [1, 0, 0, 0] and got[4]["24h_n_events"] == 1
+    engine.batch(frame(spark, [one(T0 + 60 * HOUR_MS, 3)]), 2)
+    engine.batch(frame(spark, [one(T0 + 10 * HOUR_MS, 4)]), 3)  # 50 hours behind: counted, not applied
+    c = engine.counters(spark, 3).first()
+    assert (c.vehicles, c.applied, c.late) == (1, 3, 1) and max(read()) == 60
+    assert spark.read.parquet(f"{tmp_path}/s/blocks/batch=000000000003").count() == 1
+
+
+def test_warm_up_continues_from_history(spark, tmp_path):
+    rows = history()
+    cut = T0 + 30 * HOUR_MS
+    engine = Snapshots(f"{tmp_path}/state")
+    engine.warm_up(frame(spark, [r for r in rows if r[1] < cut]))
+    engine.batch(frame(spark, [r for r in rows if r[1] >= cut]), 1)
+    want = windows.snapshots(frame(spark, rows))
+    got = engine.read(spark)
+    first = got.agg(F.min("feature_ts_ms")).first()[0]
+    assert first > T0 + 25 * HOUR_MS
+    same(got, want.join(got.select(*KEYS), KEYS, "left_semi"))
+
+
+def test_untouched_vehicles_are_forgotten(spark, tmp_path):
+    engine = Snapshots(f"{tmp_path}/state", ttl_seconds=0)
+    engine.batch(frame(spark, history(30)), 0)
+    assert engine.counters(spark, 0).first().vehicles == 0
+
+
+def test_rows_of_active_components(spark, tmp_path):
+    snaps = windows.snapshots(frame(spark, history(60)))
+    fleet = spark.createDataFrame([("v0", "EV", None, ["BATTERY", "BRAKE"]), ("v1", "ICE", 0, ["POWERTRAIN"])], "vehicle_id string, vehicle_type string, manufacture_date_ms long, components array<string>")
+    rows = per_component(snaps, fleet)
+    n = {v: snaps.where(F.col("vehicle_id") == v).count() for v in ("v0", "v1")}
+    assert {(r.vehicle_id, r.component): r["count"] for r in rows.groupBy("vehicle_id", "component").count().collect()} == {("v0", "BATTERY"): n["v0"], ("v0", "BRAKE"): n["v0"], ("v1", "POWERTRAIN"): n["v1"]}
+
+
+def test_scores_follow_snapshots(spark, tmp_path):
+    """Risk, alerts, audit rows, notifications and the view of two batches; a stale score changes nothing."""
+    from tarmac.streaming.scoring import ALERTS, RISK, Scorer
+
+    class Model:
+        kind, threshold = "fixed", 0.5
+
+        def score(self, df):
+            return df.withColumn("p7d", F.when(F.col("feature_ts_ms") == 1, 0.9).otherwise(0.1))
+
+    parts = spark.createDataFrame([("v", "BRAKE", "c1", "ACTIVE"), ("v", "BATTERY", "c2", "NOT_APPLICABLE")], "vehicle_id string, component string, vehicle_component_id string, status string")
+    owners, ticks = spark.createDataFrame([("c1", 5)], "vehicle_component_id string, tenant_id long"), iter([0.0, 5.0, 20.0])
+    scorer = Scorer(f"{tmp_path}", Model(), lambda s: s, lambda: parts, lambda: owners, lambda risk: risk.select("vehicle_component_id", "p7d"), clock=lambda: next(ticks))
+    rows = lambda ts: spark.createDataFrame([("v", "BRAKE", ts), ("v", "BATTERY", ts)], "vehicle_id string, component string, feature_ts_ms long")
+    scorer.on_snapshots(rows(1), 0)
+    view = lambda: sinks.read_table(spark, f"{tmp_path}/view").first().p7d
+    assert view() == 0.9 and [r.status for r in sinks.read_table(spark, f"{tmp_path}/alerts", ALERTS).collect()] == ["ACTIVE"]
+    scorer.on_snapshots(rows(2), 1)
+    assert view() == 0.9  # not ten seconds old
+    scorer.on_snapshots(rows(0), 2)  # stale
+    assert view() == 0.1
+    risk = sinks.read_table(spark, f"{tmp_path}/risk", RISK).first()
+    assert (risk.vehicle_component_id, risk.p7d, risk.feature_ts_ms) == ("c1", 0.1, 2)
+    assert [r.status for r in sinks.read_table(spark, f"{tmp_path}/alerts", ALERTS).collect()] == ["RESOLVED"]
+    log = spark.read.parquet(f"{tmp_path}/audit")
+    assert sorted((r.action, r.tenant_id) for r in log.collect()) == [("ALERT_AUTO_RESOLVED", 5), ("ALERT_CREATED", 5)]
+    assert sinks.read_notifications(spark, f"{tmp_path}/notifications", 0).count() == 4 and DAY_MS
 
 
 def test_live_pipeline_batch_can_be_repeated(spark, tmp_path):
@@ -95,11 +154,6 @@ def test_first_delivery_keeps_one(spark):
     assert {(r.seq, r.what) for r in ingest.first_delivery(df).collect()} == {(1, "first"), (2, "x")}
 
 
-def test_drained_rows_stay_in_files(spark, tmp_path):
-    out = run_stream(spark, tmp_path, history(60), 2, "s_files")
-    assert out.count() and out.inputFiles() and not spark.catalog.tableExists("s_files")
-
-
 def test_streams_keep_their_state_in_the_shared_folder(spark):
     from tarmac.plans.scoring import _folder
 
