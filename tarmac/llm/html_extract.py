@@ -2,14 +2,18 @@
 
 A page is a sequence of tokens: tags with their path, and pieces of text with theirs. Over the pages of a host, tokens
 with the same occurrence vector (the same count on every page) form an equivalence class. Vectors are not gathered: two
-order-free sums of page hashes stand for each, so a host of any size costs one grouped sum. Classes of enough tokens on
-enough of the host's distinct pages are valid; as paths nest, so do they, and their tokens are the host's template.
-
-What remains between template tokens are the slots. A slot holds main text if it lies in the template's main element
-(``article``, ``main`` or a role that says so; else the lowest common ancestor of the slots), and in no element that is a
-menu, header, footer, sidebar, notice, advert, form or comment by its tag, or by its name and the template. Text outside
-prose elements (paragraphs, headings, list items, cells, quotes) that the template repeats is boilerplate as well, and on
-pages without article or main also text inside them.
+order-free sums of page hashes stand for each, so a host of any size costs one grouped sum. A class is valid if its tokens
+first stand in the same order on every page that has them. Classes nest: the elements around a class's outermost tokens
+belong to one other class (or to none, at the root). The valid classes, so nested, are the host's template. Its parts are
+
+* elements that stand once on their pages: the frame between whose tokens the slots lie;
+* records, which are classes of an element and elements inside it that repeat together (comments, teasers, link lists);
+* texts that stand with the frame: boilerplate.
+
+A slot is what the template leaves. The main slot is named by a tag where there is one (``article``, ``main`` or a role that says
+so); else it is the deepest frame element that holds ``MAIN_SHARE`` of the page's slot text. Records in it are left out unless
+hardly anything else is there. Menus, headers, footers, sidebars, notices, adverts, forms and comments go by their tag, or by
+their name and the template.
 """
 
 from __future__ import annotations
@@ -21,12 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import map_rows, stash, table
+from tarmac.llm.common import join_hot, map_rows, stash, table
 
 MIN_TOKENS = 3
 MIN_PAGES = 3
 MIN_SHARE = 0.5
 BROADCAST_BYTES = 32 << 20
+MAIN_SHARE, LEAST_SHARE = 0.7, 0.1
+#: Parts of a template.
+TEXT, FRAME, RECORD, OTHER = range(4)
 
 # HTML's elements by what they do here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,6 +49,9 @@ OUTSIDE_NAME = re.compile(
 )
 OUTSIDE_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
+# Elements that repeat in running text, so that they are no records; a list item is one if it is a link.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 tr td th dt dd blockquote pre b i em strong span br code".split())
+
 NAMELESS = frozenset("html body h1 h2 h3 h4 h5 h6".split())  # elements that names never shut
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -52,7 +62,7 @@ SPACE = re.compile(r"\s+")
 class Node:
     """An open element: its tag and path, what its tag and names say of it, and (after ``settle``) if its text can be main text."""
 
-    __slots__ = ("tag", "path", "parent", "shut", "named", "main", "outside")
+    __slots__ = ("tag", "path", "parent", "shut", "named", "main", "outside", "token", "frame", "record")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None):
         names = " ".join(attributes.get(k, "") for k in ("class", "id"))
@@ -66,9 +76,12 @@ class Node:
             self.shut = False  # an article's own header holds its headline
         self.named = bool(names and tag not in MAIN and tag not in NAMELESS and OUTSIDE_NAME.search(names))
         self.outside = False
+        self.token = token_hash("open", self.path)
+        self.frame: Node | None = parent.frame if parent else None  # the nearest element of the template's frame
+        self.record = False
 
 
-def settle(nodes: list[Node], template: frozenset[int]) -> None:
+def settle(nodes: list[Node], template: dict[int, int]) -> None:
     """Which elements are main and which outside, once all of the page is known (parents come before children).
 
     A name shuts an element only if the host's template has the element, where the host has a template. It never shuts
@@ -87,9 +100,12 @@ def settle(nodes: list[Node], template: frozenset[int]) -> None:
     spared |= {id(a) for n in nodes if n.tag == "h1" and not n.shut for a in up(n.parent)}
     for n in nodes:
         n.main = bool(n.parent and n.parent.main) or id(n) in chosen
-        seen = n.named and token_hash("open", n.path) in template
+        seen = n.named and n.token in template
         by_name = n.named and id(n) not in spared and (seen or (not template and not (n.tag == "section" and n.main)))
         n.outside = n.shut or by_name or bool(n.parent and n.parent.outside)
+        part = template.get(n.token)
+        n.frame = n if part == FRAME else (n.parent.frame if n.parent else None)
+        n.record = part == RECORD or bool(n.parent and n.parent.record)
 
 
 def events(page: str | None):
@@ -165,19 +181,26 @@ def token_hash(kind: str, path: str, text: str = "") -> int:
     return xxhash.xxh64_intdigest(f"{kind}\0{path}\0{text}") >> 1
 
 
-def page_tokens(page: str | None) -> dict[int, int]:
-    """How often each token stands on the page."""
-    out: dict[int, int] = {}
-    for event in events(page):
+def page_tokens(page: str | None) -> dict[int, list]:
+    """By token: how often it stands on the page, where first, the token of the element around it, and its kind (text, an
+    element of running text, a list item, a link, another element)."""
+    out: dict[int, list] = {}
+    for at, event in enumerate(events(page)):
+        node = event[1]
         if event[0] == "text":
             text = clean(event[2])
-            h = token_hash("text", event[1].path if event[1] else "", text) if text else None
+            if not text:
+                continue
+            h, around, kind = token_hash("text", node.path if node else "", text), node.token if node else 0, "text"
         elif event[0] == "open":
-            h = token_hash("open", event[1].path)
+            h, around = node.token, node.parent.token if node.parent else 0
+            kind = "running" if node.tag in RUNNING else "item" if node.tag == "li" else "link" if node.tag == "a" else "element"
         else:
-            h = None
-        if h is not None:
-            out[h] = out.get(h, 0) + 1
+            continue
+        if h in out:
+            out[h][0] += 1
+        else:
+            out[h] = [1, at, around, kind]
     return out
 
 
@@ -187,40 +210,62 @@ def host_of(url):
 
 
 def host_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, template array<long>): the hashes of each host's template tokens.
+    """(host, template array<struct<token long, part int>>): each host's template by its tokens (see the module).
 
     Pages with the same content count once. Counting tokens, pages and classes are grouped sums with partial sums before
-    each shuffle, so no host's pages meet in one task. A template is no longer than a host's average page holds tokens,
-    twice over.
+    each shuffle, and orders are compared by a hash a page, so no host's pages meet in one task. A template is no longer than
+    a host's average page holds tokens, twice over.
     """
 
     def rows(columns):
         for host, page in zip(*columns, strict=True):
-            found = page_tokens(page)
             content = xxhash.xxh64_intdigest((page or "").encode("utf-8", "surrogatepass")) >> 1
-            for token, n in found.items():
-                yield host, token, content, n
+            for token, (n, at, around, kind) in page_tokens(page).items():
+                yield host, token, content, n, at, around, kind
 
-    tokens = map_rows(pages.select(host_of(F.col(url_col)), F.col(html_col).cast("string")), "host string, token long, content long, n long", rows)
+    schema = "host string, token long, content long, n long, at long, around long, kind string"
+    tokens = map_rows(pages.select(host_of(F.col(f"`{url_col}`")), F.col(f"`{html_col}`").cast("string")), schema, rows)
     mark = F.xxhash64("content", "n")
-    distinct = tokens.groupBy("host", "token", "content").agg(F.max("n").alias("n"))
+    distinct = stash(tokens.groupBy("host", "token", "content").agg(F.max("n").alias("n"), F.max("at").alias("at"), F.max("around").alias("around"), F.max("kind").alias("kind")), "tokens")
     counted = distinct.groupBy("host", "token").agg(
-        F.count(F.lit(1)).alias("pages"), F.bit_xor(mark).alias("xor"), F.sum(F.pmod(mark, F.lit(2147483647))).alias("total")
+        F.count(F.lit(1)).alias("pages"), F.bit_xor(mark).alias("xor"), F.sum(F.pmod(mark, F.lit(2147483647))).alias("total"), F.max("n").alias("most"), F.max("around").alias("around"), F.max("kind").alias("kind")
     )
     # Every page opens at least one element or holds a text, but none need stand on all of them: the host's pages are counted apart.
-    sizes = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(F.col(html_col).cast("string")).alias("content")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    sizes = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.xxhash64(F.col(f"`{html_col}`").cast("string")).alias("content")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     frequent = counted.where(F.col("pages") >= MIN_PAGES).join(sizes, "host").where(F.col("pages") >= MIN_SHARE * F.col("host_pages"))
-    classes = frequent.groupBy("host", "pages", "xor", "total").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
-
-
-def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
-    """The page's main text: its slots in the main element, a line for each block.
-
-    Without a main element all slots that are left are main text: they are what their lowest common ancestor holds, and
-    there prose that the template repeats is boilerplate too (unless nothing else stands on the page).
+    frequent = frequent.withColumn("class", F.xxhash64("pages", "xor", "total"))
+    member = F.struct("token", "around", "kind")
+    classes = stash(frequent.groupBy("host", "class").agg(F.collect_list(member).alias("members"), F.max("most").alias("most"), F.count_if(F.col("kind") != "text").alias("elements")).where("size(members) > 1"), "classes")
+    # Order: a class's tokens must first stand in the same order on all its pages.
+    single = classes.select("host", "class", F.explode("members.token").alias("token"))
+    placed = distinct.select("host", "token", "content", "at").join(single, ["host", "token"])
+    orders = placed.groupBy("host", "class", "content").agg(F.xxhash64(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"])).alias("order"))
+    ordered = orders.groupBy("host", "class").agg(F.min("order").alias("a"), F.max("order").alias("b")).where("a = b").select("host", "class")
+    # Nesting: what stands around a class's outermost tokens belongs to one class only.
+    own = F.col("members.token")
+    outer = F.filter("members", lambda m: ~F.array_contains(own, m["around"]))
+    valid = classes.join(ordered, ["host", "class"]).withColumn("outer", outer)
+    edges = valid.select("host", "class", F.explode("outer.around").alias("token")).join(single.withColumnRenamed("class", "parent"), ["host", "token"], "left")
+    nested = edges.groupBy("host", "class").agg(F.count_distinct(F.coalesce("parent", F.lit(0))).alias("parents")).where("parents = 1").select("host", "class")
+    nested = valid.join(nested, ["host", "class"])
+    has = lambda kind: F.exists("members", lambda m: m["kind"] == kind)
+    top = F.get("outer", F.lit(0))["kind"]
+    record = (F.col("most") > 1) & (F.col("elements") > 1) & (F.size("outer") == 1) & ((top == "element") | (top.isin("item", "link") & has("link")))
+    # A record's outermost element marks the record; the rest of the class lies inside it.
+    part = lambda m: F.when(m["kind"] == "text", TEXT).when(record & (m["token"] == F.col("outer")[0]["token"]), RECORD).when(F.col("most") == 1, FRAME).otherwise(OTHER)
+    kept = nested.where(record | (F.size("members") >= MIN_TOKENS)).select("host", F.transform("members", lambda m: F.struct(m["token"].alias("token"), part(m).alias("part"))).alias("tokens"))
+    return kept.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
+
+
+def main_text(page: str | None, template: dict[int, int] | None = None) -> str:
+    """The page's main text: its main slot, a line for each block. ``template`` has the part of each of the host's tokens.
+
+    Where no tag names the main slot, it is the deepest element of the template's frame with ``MAIN_SHARE`` of the page's
+    slot text, or the whole page without such an element; there texts of the template and records are left out (records
+    only if at least ``LEAST_SHARE`` of the text remains, template text unless nothing else stands on the page).
     """
-    blocks: list[tuple[bool, bool, str]] = []  # in a main element?, all of it in the template?, text
+    template = template or {}
+    blocks: list[tuple[Node, bool, str]] = []  # element, all of it in the template?, text
     held: list[str] = []
     owner: list[Node | None] = [None]
     repeated = [True]
@@ -229,7 +274,7 @@ def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
         text = clean("".join(held))
         held.clear()
         if text and owner[0] is not None:
-            blocks.append((owner[0].main, repeated[0], text))
+            blocks.append((owner[0], repeated[0], text))
         owner[0], repeated[0] = None, True
 
     found = list(events(page))
@@ -244,7 +289,7 @@ def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
             if node is None or node.outside:
                 continue
             text = clean(event[2])
-            known = bool(text) and bool(template) and token_hash("text", node.path, text) in template
+            known = bool(text) and bool(template) and template.get(token_hash("text", node.path, text)) == TEXT
             if known and not any(part.split(".", 1)[0] in PROSE for part in node.path.split("/")):
                 continue
             if text:
@@ -254,10 +299,36 @@ def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
         elif kind == "break" or node.tag in BLOCK:
             flush()
     flush()
-    if any(b[0] for b in blocks):
-        return "\n".join(text for inside, _, text in blocks if inside)
-    own = [text for _, known, text in blocks if not known]
-    return "\n".join(own or [text for _, _, text in blocks])
+    if any(node.main for node, _, _ in blocks):
+        return "\n".join(text for node, _, text in blocks if node.main)
+    own = [b for b in blocks if not b[1]] or blocks
+    size = lambda some: sum(len(text) for _, _, text in some)
+    single = [b for b in own if not b[0].record]
+    if size(single) >= LEAST_SHARE * size(own):
+        own = single
+    main = main_element(own)
+    return "\n".join(text for node, _, text in own if main is None or main in frames(node))
+
+
+def frames(node: Node | None) -> list[Node]:
+    """The frame elements around a node, innermost first."""
+    out, node = [], node.frame if node else None
+    while node is not None:
+        out.append(node)
+        node = node.parent.frame if node.parent else None
+    return out
+
+
+def main_element(blocks: list[tuple[Node, bool, str]]) -> Node | None:
+    """The deepest frame element that holds ``MAIN_SHARE`` of the text; None without one."""
+    held: dict[int, list] = {}
+    for node, _, text in blocks:
+        around = frames(node)
+        for depth, f in zip(range(len(around), 0, -1), around, strict=True):
+            held.setdefault(id(f), [0, depth, f])[0] += len(text)
+    total = sum(len(text) for _, _, text in blocks)
+    enough = [(depth, f) for n, depth, f in held.values() if n >= MAIN_SHARE * total]
+    return max(enough, key=lambda x: x[0])[1] if enough else None
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -267,19 +338,23 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows are repeated (and count once for templates); an empty table gives no row.
     """
     source = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col)).alias("host"),
-        F.col(html_col).cast("string").alias("html"),
+        F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), host_of(F.col(f"`{url_col}`")).alias("host"),
+        F.col(f"`{html_col}`").cast("string").alias("html"),
     )
     templates = stash(host_templates(pages, url_col, html_col), "templates")
-    size = templates.agg(F.coalesce(F.sum(F.length("host") + 8 * F.size("template")), F.lit(0))).first()[0]
-    templates = F.broadcast(templates) if size <= BROADCAST_BYTES else templates  # else pages and templates meet by host
-    joined = source.join(templates, "host", "left").select("page_id", "url", "html", "template")
+    size = templates.agg(F.coalesce(F.sum(F.length("host") + 12 * F.size("template")), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        joined = source.join(F.broadcast(templates), "host", "left")
+    else:
+        of_host = source.groupBy("host").agg(F.count(F.lit(1)).alias("rows"))
+        joined = join_hot(source, stash(of_host.join(templates, "host", "left"), "host-templates"), ["host"], "rows")
+    joined = joined.select("page_id", "url", "html", "template")
 
     def rows(columns):
-        last: tuple[list | None, frozenset[int]] = (None, frozenset())
+        last: tuple[list | None, dict[int, int]] = (None, {})
         for page_id, url, page, template in zip(*columns, strict=True):
             if template != last[0]:
-                last = (template, frozenset(template or ()))
+                last = (template, {t["token"]: t["part"] for t in template or ()})
             text = main_text(page, last[1])
             yield page_id, url, text, len(text)
 

@@ -1,6 +1,8 @@
 import html as entities
 import re
 
+from pyspark.sql import functions as F
+
 from tarmac.llm import html_extract as H
 
 SHELL = '<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav><!-- ad --><div class="ad">Buy {0}</div>{1}<footer>&copy; host {0}</footer></body></html>'
@@ -69,4 +71,51 @@ def test_names_dont_shut_what_holds_the_main_text():
     assert H.main_text("<article><div class='post-header'><h1>Head</h1></div><h2 id='side-effects'>Effects</h2><section id='recommendations'><p>rest</p></section></article>") == "Head\nEffects\nrest"
     assert H.main_text("<body><article><p>text</p></article><div class='related'><article><p>teaser</p></article></div></body>") == "text"
     named = "<article><div class='notice'><p>kept</p></div></article>"
-    assert H.main_text(named) == "" and H.main_text(named, frozenset([1])) == "kept"
+    assert H.main_text(named) == "" and H.main_text(named, {1: H.TEXT}) == "kept"
+
+
+def tagless(i, comments, related=3):
+    """A page of a site whose tags and names say nothing: menu, teasers and comments are plain divs."""
+    menu = "".join(f"<div class=m{j}><span>Menu {j}</span></div>" for j in range(5))
+    links = "".join(f"<div class=r><i class=rt>Teaser {i * 7 + j}</i><div class=rx>Read what else {i} {j}</div></div>" for j in range(related + i % 2))
+    body = "".join(f"<p>Paragraph {j} of page {i} with a good many words that stand nowhere else {i * j}.</p>" for j in range(4 + i % 3))
+    said = "".join(f"<div class=k><span class=w>Reader {i}{j}</span><div class=s>I think that {i} and {j} are right.</div></div>" for j in range(comments))
+    return f"<html><body><div class=a1>{menu}</div><div class=b2><div class=c3><div class=h>Headline {i}</div>{body}</div><div class=d4>{said}</div></div><div class=e5>{links}</div><div class=f6>Imprint of all</div></body></html>"
+
+
+def article(i):
+    return "\n".join([f"Headline {i}", *(f"Paragraph {j} of page {i} with a good many words that stand nowhere else {i * j}." for j in range(4 + i % 3))])
+
+
+def test_pages_without_semantic_tags_or_names(spark):
+    """The classes alone find the article: menu, teasers, comments and imprint go. Without them they would stay."""
+    pages = [(i, f"http://plain.example/{i}", tagless(i, 2 + i % 4)) for i in range(12)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: article(i) for i in range(12)}
+    assert all(x in H.main_text(pages[0][2]) for x in ("Menu 1", "Teaser", "Reader", "Imprint"))
+
+
+def test_templates_are_ordered_and_nested(spark):
+    """Tokens of equal counts in changing order form no class; records are marked, the frame and its texts as well."""
+    pages = [(i, f"http://t.example/{i}", tagless(i, 2 + i % 4)) for i in range(8)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    part = {t["token"]: t["part"] for t in H.host_templates(df).first().template}
+    open_ = lambda path: part.get(H.token_hash("open", path))
+    assert open_("html/body/div.b2/div.c3") == H.FRAME and open_("html/body/div.b2/div.d4/div.k") == open_("html/body/div.e5/div.r") == H.RECORD
+    assert part[H.token_hash("text", "html/body/div.f6", "Imprint of all")] == H.TEXT and open_("html/body/div.b2/div.c3/p") is None
+    swapped = [(i, f"http://s.example/{i}", "<div class=x>" + "".join(sorted(["<u>a</u>", "<q>b</q>", "<s>c</s>"], reverse=i % 2 == 0)) + "</div>") for i in range(8)]
+    swapped = [(i, u, h + f"<p>{i}</p>") for i, u, h in swapped]
+    assert H.host_templates(spark.createDataFrame(swapped, "page_id long, url string, html string")).count() == 0
+
+
+def test_repeated_divs_that_are_all_the_text_stay(spark):
+    pages = [(i, f"http://d.example/{i}", "<body><div class=z>" + "".join(f"<div class=x><em class=y>Word {i} {j}</em></div>" for j in range(3 + i % 2)) + "</div></body>") for i in range(6)]
+    got = H.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: "\n".join(f"Word {i} {j}" for j in range(3 + i % 2)) for i in range(6)}
+
+
+def test_many_templates_meet_pages_by_host(spark, monkeypatch):
+    pages = [(i, f"http://plain{i % 2}.example/{i}", tagless(i, 2 + i % 4)) for i in range(16)]
+    monkeypatch.setattr(H, "BROADCAST_BYTES", 0)
+    got = H.extract(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("template", F.lit("mine"))).collect()
+    assert {r.page_id: r.text for r in got} == {i: article(i) for i in range(16)}
