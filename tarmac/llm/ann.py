@@ -61,25 +61,33 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def valid_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, v array<double>): vectors that take part, all of the commonest length (ties: the longer)."""
-    v = F.col(vec_col).cast("array<double>")
+    """(vec_id, v array<double>): vectors that take part."""
+    v = F.col(f"`{vec_col}`").cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    usable = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).where(finite & F.exists(v, lambda x: x != 0))
-    usable = usable.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
-    length = usable.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return usable.where(F.size("v") == (length["n"] if length else 0))
+    usable = vectors.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{vec_col}`").isNotNull()).where(finite & F.exists(v, lambda x: x != 0))
+    return usable.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v"))
 
 
 def search(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", probes: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query row by cosine, ties to the smaller id.
 
-    ``is_query`` is a condition on ``vec_id``; candidates are all rows but the query's own id. Vectors that are null,
-    zero, of another length, or hold null or non-finite components, and rows with a null id, take no part. Repeated ids
-    count as one. An empty table gives no row; with fewer than k candidates in the probed lists all of them are given.
+    ``is_query`` is a condition on ``vec_id``; candidates are all rows but the query's own id. Vectors that are null or
+    zero, or hold null or non-finite components, and rows with a null id, take no part. Vectors of different lengths have
+    no cosine: each length is searched on its own (with an index of its own). Repeated ids count as one. An empty table gives
+    no row; with fewer than k candidates in the probed lists all of them are given.
     """
-    spark, keep = vectors.sparkSession, k + 1
+    usable, out = valid_vectors(vectors, id_col, vec_col), None
+    for r in usable.groupBy(F.size("v").alias("n")).count().orderBy("n").collect():  # a row for each length that occurs
+        found = _search_length(usable.where(F.size("v") == r["n"]), is_query, k, probes)
+        out = found if out is None else out.unionByName(found)
+    return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def _search_length(usable: DataFrame, is_query, k: int, probes: int | None) -> DataFrame:
+    """The search among vectors of one length."""
+    spark, keep = usable.sparkSession, k + 1
     ship(spark)
-    rows = valid_vectors(vectors, id_col, vec_col).dropDuplicates(["vec_id", "v"])
+    rows = usable.dropDuplicates(["vec_id", "v"])
     order = Window.partitionBy("v").orderBy("vec_id")
     first = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= keep)
     classes = stash(first.groupBy("v").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "classes")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tarmac.llm.ann import op6_approximate_nearest_neighbours
+from tarmac.llm.common import table
 from tarmac.llm.decontam import op5_benchmark_decontamination
 from tarmac.llm.html_extract import op8_html_extraction
 from tarmac.llm.licenses import op2_license_scans
@@ -11,7 +14,26 @@ from tarmac.llm.mixing import op1_mixing_to_targets
 from tarmac.llm.pii import op10_pii
 from tarmac.llm.quality import op9_quality_classifier
 from tarmac.llm.simhash import op3_simhash_near_dedup
-from tarmac.llm.tokens import op7_token_counts
+from tarmac.llm.tokens import content_digest, op7_token_counts
+
+
+def base_of_op2(spark, sf_dir):
+    """The columns of op2 that SQL can express."""
+    return op2_license_scans(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def base_of_op10(spark, sf_dir):
+    """The counts of op10's base spans."""
+    return op10_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def base_of_op7(spark, sf_dir):
+    """Bytes by document from op7, and how many documents share a text."""
+    docs = table(spark, sf_dir, "documents")
+    sizes = op7_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
+    copies = docs.groupBy(content_digest(F.col("text")).alias("d")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"))
+    return sizes.join(copies.select("doc_id", "copies"), "doc_id")
+
 
 QUERIES = {
     f.__name__: f
@@ -21,4 +43,28 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+QUERIES |= {f.__name__: f for f in (base_of_op2, base_of_op7, base_of_op10)}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LUHN = "list_sum(list_transform(generate_series(1, length(d)), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse(d), i, 1) AS INTEGER) WHEN CAST(substr(reverse(d), i, 1) AS INTEGER) > 4 THEN 2 * CAST(substr(reverse(d), i, 1) AS INTEGER) - 9 ELSE 2 * CAST(substr(reverse(d), i, 1) AS INTEGER) END)) % 10 = 0"
+
+
+def _matches(name: str, pattern: str, check: str) -> str:
+    """A named subquery: how many matches of a pattern (as m, its digits as d) pass a check, by document."""
+    return f"{name} AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, m, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{pattern}')) AS m FROM documents)) WHERE {check} GROUP BY 1)"
+
+
+#: What SQL can express of the operators: their base columns.
+ORACLE_SQL: dict[str, str] = {
+    "base_of_op2": rf"""WITH w AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+      p AS (SELECT doc_id, i - 1 AS place, label FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS i FROM w), (VALUES (['mit', 'license'], 'mit'), (['apache', 'license'], 'apache'), (['general', 'public', 'license'], 'gpl')) t(phrase, label) WHERE ws[i : i + len(phrase) - 1] = phrase),
+      g AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY 1)
+      SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM w LEFT JOIN g USING (doc_id)""",
+    "base_of_op7": r"""SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, copies FROM documents JOIN (SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g')) USING (doc_id)""",
+    "base_of_op10": "WITH " + ", ".join([
+        _matches("e", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        _matches("i", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_bool_and(list_transform(string_split(m, '.'), lambda x: CAST(x AS DOUBLE) <= 255))"),
+        _matches("c", r"[0-9](?:[ -]?[0-9])+", f"CASE WHEN length(d) BETWEEN 14 AND 19 THEN {_LUHN} ELSE false END"),
+        _matches("p", r"\+[0-9][ ().0-9-]+[0-9]", "length(d) BETWEEN 10 AND 15"),
+    ]) + " SELECT doc_id, coalesce(e.n, 0) AS n_email, coalesce(i.n, 0) AS n_ip, coalesce(c.n, 0) AS n_card, coalesce(p.n, 0) AS n_phone FROM documents LEFT JOIN e USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN p USING (doc_id)",
+}

@@ -51,6 +51,9 @@ def test_search_edges(spark):
     got = found(ann.search(spark.createDataFrame(bad + good, VECTORS).withColumn("rank", F.lit("extra")), F.col("vec_id") % 50 == 0))
     assert got == {300: [(301, 1.0), (302, 0.0)]}
     assert ann.search(spark.createDataFrame(bad, VECTORS), F.col("vec_id") == 0).count() in (0,)
+    short = [(400, [1.0, 0.0, 0.0]), (401, [2.0, 0.0, 1.0]), (250, [3.0]), (251, [-1.0])]
+    got = found(ann.search(spark.createDataFrame(good + short, VECTORS), F.col("vec_id") % 50 == 0))
+    assert {q: [i for i, _ in x] for q, x in got.items()} == {300: [301, 302], 400: [401], 250: [251]}
     assert ann.search(spark.createDataFrame([], VECTORS), F.col("vec_id") == 0).count() == 0
 
 
