@@ -172,7 +172,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keyed = docs.withColumns(dict(zip(names, row_keys(docs), strict=True)))
     other = stash(lost.select("k1", "k2").unionByName(repeated.select("k1", "k2")), "not-as-they-are").toDF(*names)
     once = stash(repeated.select("k1", "k2"), "repeated").toDF(*names)
-    out = keyed.join(other, names, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    # Always by a shuffle: the rows left out grow with the documents, so that a broadcast would only do on small tables.
+    out = keyed.join(other.hint("shuffle_merge"), names, "left_anti").select(*[f"`{c}`" for c in docs.columns])
     if once.isEmpty():
         return out
     same = keyed.join(once, names, "left_semi").groupBy(*names).agg(F.any_value(F.struct(*[f"`{c}`" for c in docs.columns])).alias("row"))
