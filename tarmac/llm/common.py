@@ -76,11 +76,12 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: str, how:
     """``left`` joined to ``right``, which has a row a key and in ``rows`` how many rows of ``left`` have it; ``rows`` is dropped.
 
     However the rows are spread over the keys, no task gets a hot key: the keys that hold more than one in ``HOT_KEYS`` of
-    all rows (so fewer than ``HOT_KEYS``) are broadcast, the others meet by a shuffle. ``left`` is read twice.
+    all rows (so fewer than ``HOT_KEYS``) are broadcast, the others meet by a shuffle (at every size: ``right`` grows with
+    ``left``, so a broadcast would only do on small tables). ``left`` is read twice.
     """
     total = right.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
     hot, rest = right.where(F.col(rows) * HOT_KEYS > total).drop(rows), right.where(F.col(rows) * HOT_KEYS <= total).drop(rows)
-    few = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
+    few = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest.hint("shuffle_merge"), keys, how)
     return left.join(F.broadcast(hot), keys).unionByName(few)
 
 
