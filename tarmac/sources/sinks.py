@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from tarmac.operators.upserts import first_write_wins, newest_wins
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path for it."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
+    fs, p = file_system(spark, path)
     return fs.exists(p)
 
 
@@ -51,11 +52,11 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 def current_version(spark: SparkSession, path: str) -> str | None:
     """The folder of a versioned table's present version: the newest one that was written to its end."""
-    fs, root = _fs(spark, path)
+    fs, root = file_system(spark, path)
     if not fs.exists(root):
         return None
     found = sorted(str(s.getPath()) for s in fs.listStatus(root) if s.getPath().getName().startswith("version="))
-    whole = [v for v in found if fs.exists(_fs(spark, f"{v}/_SUCCESS")[1])]
+    whole = [v for v in found if fs.exists(file_system(spark, f"{v}/_SUCCESS")[1])]
     return whole[-1] if whole else None
 
 
@@ -77,9 +78,9 @@ def publish(df: DataFrame, path: str, keep: int = 2) -> None:
     last = current_version(spark, path)
     number = int(last.rsplit("=", 1)[1]) + 1 if last else 0
     df.write.mode("overwrite").parquet(f"{path}/version={number:012d}")
-    fs, root = _fs(spark, path)
+    fs, root = file_system(spark, path)
     for s in sorted(str(s.getPath()) for s in fs.listStatus(root) if s.getPath().getName().startswith("version="))[: -keep]:
-        fs.delete(_fs(spark, s)[1], True)
+        fs.delete(file_system(spark, s)[1], True)
 
 
 def upsert_newest(new: DataFrame, path: str, keys: list[str], version: str, buckets: int | None = None) -> None:
@@ -99,7 +100,7 @@ def upsert_newest(new: DataFrame, path: str, keys: list[str], version: str, buck
 
 def read_buckets(spark: SparkSession, path: str, schema) -> DataFrame:
     """All buckets of a table that ``upsert_newest`` keeps in buckets."""
-    fs, root = _fs(spark, path)
+    fs, root = file_system(spark, path)
     names = sorted(str(s.getPath()) for s in fs.listStatus(root)) if fs.exists(root) else []
     folders = [v for n in names if (v := current_version(spark, n))]
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
@@ -121,14 +122,14 @@ def write_dataset(rows: DataFrame, path: str, manifest: dict | None = None) -> N
     rows.withColumns({"component": F.col("meta_component"), "split": F.col("meta_split")}).write.mode("overwrite").partitionBy("component", "split").parquet(path)
     if manifest is not None:
         text = json.dumps(manifest, indent=2, default=str)
-        fs, target = _fs(rows.sparkSession, f"{path}/_manifest.json")  # readers of the folder pass over names that begin so
+        fs, target = file_system(rows.sparkSession, f"{path}/_manifest.json")  # readers of the folder pass over names that begin so
         out = fs.create(target, True)
         out.write(bytearray(text.encode()))
         out.close()
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict:
-    fs, target = _fs(spark, f"{path}/_manifest.json")
+    fs, target = file_system(spark, f"{path}/_manifest.json")
     stream = fs.open(target)
     try:
         return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
@@ -144,11 +145,11 @@ def notify(snapshots: DataFrame, path: str, batch_id: int, most: int = 200_000)
     write_batch(snapshots.select("vehicle_id", "component", "feature_ts_ms"), path, batch_id)
     spark = snapshots.sparkSession
     sizes = spark.read.parquet(path).groupBy("batch").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("batch")).collect()  # a row a batch kept
-    fs, _ = _fs(spark, path)
+    fs, _ = file_system(spark, path)
     kept = 0
     for r in sizes:
         if kept >= most:
-            fs.delete(_fs(spark, f"{path}/batch={r.batch:012d}")[1], True)
+            fs.delete(file_system(spark, f"{path}/batch={r.batch:012d}")[1], True)
         kept += r.n
 
 

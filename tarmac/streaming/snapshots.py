@@ -22,7 +22,7 @@ from tarmac.config import HOUR_MS, FeatureConfig
 from tarmac.functions.features import COMPONENTS, features, window_complete
 from tarmac.functions.stats import Stat, all_stats, merge
 from tarmac.operators.windows import HOURS, hour_blocks, window_merges
-from tarmac.sources.sinks import exists, retry
+from tarmac.sources.sinks import exists, file_system, retry
 
 WINDOWS = ("5m", "1h", "24h")
 
@@ -83,6 +83,13 @@ class Snapshots:
             out = self._stored(self.due(blocks, progress), "snapshots", batch_id)
             if self.on_snapshots:
                 self.on_snapshots(out, batch_id)
+        self._forget(spark, batch_id - 2)
+
+    def _forget(self, spark: SparkSession, batch_id: int) -> None:
+        """Remove a batch's state: a repeat of the newest batch reads that of the one before, and nothing older is read again."""
+        for name in ("progress", "blocks"):
+            fs, path = file_system(spark, self._path(name, batch_id))
+            fs.delete(path, True)
 
     def _stored(self, df: DataFrame, name: str, batch_id: int) -> DataFrame:
         path = self._path(name, batch_id)

@@ -81,6 +81,7 @@ def test_catch_up_late_events_and_pruning(spark, tmp_path):
     c = engine.counters(spark, 3).first()
     assert (c.vehicles, c.applied, c.late) == (1, 3, 1) and max(read()) == 60
     assert spark.read.parquet(f"{tmp_path}/s/blocks/batch=000000000003").count() == 1
+    assert sorted(p.name for p in (tmp_path / "s" / "blocks").iterdir()) == ["batch=000000000002", "batch=000000000003"]
 
 
 def test_warm_up_continues_from_history(spark, tmp_path):
