@@ -222,3 +222,24 @@ def test_training_reaches_every_document(spark):
     moved = np.abs(lm_score.unpack(weights)[0] - lm_score.unpack(lm_score.fresh(counts))[0]).max(axis=(0, 2)) > 1e-4
     types = lm_score.Types({w: i for i, w in enumerate(words)})
     assert all(moved[types.of(t)].any() for t in texts)
+
+
+def test_log_sum_is_the_same_with_and_without_a_shift():
+    z = np.random.default_rng(3).normal(0, 5, (200, 40)).astype(np.float32)
+    expected = np.log(np.exp(z.astype(np.float64)).sum(axis=1))
+    assert np.allclose(lm_score.log_sum(z.copy()), expected, atol=1e-4)
+    assert np.allclose(lm_score.log_sum(z.copy(), safe=True), expected, atol=1e-4)
+    large = np.full((3, 4), 200, dtype=np.float32)
+    assert not lm_score.bounded(large, large[0])
+    assert np.allclose(lm_score.log_sum(large), 200 + np.log(4))
+
+
+def test_words_are_counted_whole_when_a_task_gives_out_its_table_often(spark, monkeypatch):
+    texts = ["a b c d e f a a", None, "", "g h i a b", " ".join(f"w{i % 7}" for i in range(100))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    whole = lm_score.vocabulary(docs)
+    monkeypatch.setattr(lm_score, "WORDS_HELD", 3)
+    words, tokens, counts = lm_score.vocabulary(docs)
+    assert (words, tokens) == (whole[0], whole[1]) and (counts == whole[2]).all()
+    assert tokens == 113 and counts[0] == 15
+    assert set(words[:2]) == {lm_score.word_hash("w0"), lm_score.word_hash("w1")}
