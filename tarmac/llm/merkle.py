@@ -1,7 +1,7 @@
 """A Merkle manifest of a table: a leaf a row, a subroot a source, one root, and for each row the proof that leads to it.
 
 Nodes are lowercase hex SHA-256; every ARITY consecutive nodes become the digest of their concatenated hex, a last run of
-fewer (even one) as well, until one is left. A tree is cut into aligned blocks of ``ARITY ** BLOCK_LEVELS`` nodes:
+fewer (even one) as well, until one is left. A tree is cut into aligned blocks of ``ARITY ** block_levels`` nodes:
 
 1. rows are hashed, sorted by range and ranked within their source (each range's rows are counted, no task sees a source);
 2. climbing: blocks give their roots, which are the nodes of the next, much smaller step, until each source has one;
@@ -129,9 +129,9 @@ def walk(leaves: list[str], height: int) -> Iterator[list[tuple[str, str]]]:
                 existing[k], desired[k] = desired[k], Subtree(leaves, low, high, desired[k].at + 1)
 
 
-def _block_height(total: int) -> int:
+def _block_height(total: int, levels: int) -> int:
     """Levels of the blocks of a tree: all of a small one's."""
-    return min(BLOCK_LEVELS, height_of(total))
+    return min(levels, height_of(total))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -151,8 +151,8 @@ def _by_block(df: DataFrame) -> DataFrame:
     return df.repartition("g", "block").sortWithinPartitions("g", "block", "rank")
 
 
-def _block() -> Column:
-    return F.expr(f"rank div {ARITY**BLOCK_LEVELS}")
+def _block(levels: int) -> Column:
+    return F.expr(f"rank div {ARITY**levels}")
 
 
 def ranked(nodes: DataFrame, by: list[str]) -> DataFrame:
@@ -171,14 +171,14 @@ def ranked(nodes: DataFrame, by: list[str]) -> DataFrame:
     return placed.join(counts, ["g", "part"]).withColumn("rank", F.col("at") + F.col("shift")).drop("part", "at", "shift")
 
 
-def _roots(nodes: DataFrame) -> DataFrame:
+def _roots(nodes: DataFrame, levels: int) -> DataFrame:
     """(g, block, total, node): the roots of the blocks of (g, rank, total, node)."""
 
     def run(batches):
         out: list[tuple] = []
         for rows in _blocks(batches):
             total = rows[0][3]
-            out.append((*rows[0][:2], total, block_root([r[4] for r in rows], _block_height(total))))
+            out.append((*rows[0][:2], total, block_root([r[4] for r in rows], _block_height(total, levels))))
             if len(out) >= BATCH_ROWS:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
                 out = []
@@ -187,15 +187,15 @@ def _roots(nodes: DataFrame) -> DataFrame:
 
     schema = T.StructType.fromDDL("g string, block long, total long, node string")
     arrow = to_arrow_schema(schema)
-    return _by_block(nodes.select("g", _block().alias("block"), "rank", "total", "node")).mapInArrow(run, schema)
+    return _by_block(nodes.select("g", _block(levels).alias("block"), "rank", "total", "node")).mapInArrow(run, schema)
 
 
-def _walked(nodes: DataFrame, marks: DataFrame, keep: list[str]) -> DataFrame:
+def _walked(nodes: DataFrame, marks: DataFrame, keep: list[str], levels: int) -> DataFrame:
     """The columns ``keep`` of ``nodes`` (g, rank, total, node, ...) with subroot, root and proof.
 
     ``marks`` has (g, block, subroot, root, proof) of each block's own root.
     """
-    lead = nodes.select("g", _block().alias("block"), "rank", "total", "node", *[F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)])
+    lead = nodes.select("g", _block(levels).alias("block"), "rank", "total", "node", *[F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)])
     head = marks.select("g", "block", F.lit(-1).cast("long").alias("rank"), "subroot", "root", "proof")
     both = _by_block(lead.unionByName(head, allowMissingColumns=True))
     schema = T.StructType([*nodes.select(*keep).schema.fields, *head.select("subroot", "root", "proof").schema.fields])
@@ -212,7 +212,7 @@ def _walked(nodes: DataFrame, marks: DataFrame, keep: list[str]) -> DataFrame:
         for (mark, *block) in _blocks(batches):
             subroot, root, upper = mark[5 + n :]
             over_left, over_right = [u["left"] for u in upper], [u["right"] for u in upper]
-            for row, proof in zip(block, walk([r[4] for r in block], _block_height(block[0][3])), strict=True):
+            for row, proof in zip(block, walk([r[4] for r in block], _block_height(block[0][3], levels)), strict=True):
                 rows.append((*row[5 : 5 + n], subroot, root))
                 left += [a for a, _ in proof] + over_left
                 right += [b for _, b in proof] + over_right
@@ -226,20 +226,20 @@ def _walked(nodes: DataFrame, marks: DataFrame, keep: list[str]) -> DataFrame:
     return both.mapInArrow(run, schema)
 
 
-def _climb(nodes: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+def _climb(nodes: DataFrame, levels: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """The steps of the trees: nodes (g, rank, total, node), and the (g, node) of the trees that end at each step."""
     steps, ends = [nodes], []
     while True:
-        roots = stash(_roots(steps[-1]), "roots")
-        small = F.col("total") <= ARITY**BLOCK_LEVELS
+        roots = stash(_roots(steps[-1], levels), "roots")
+        small = F.col("total") <= ARITY**levels
         ends.append(roots.where(small).select("g", "node"))
         rest = roots.where(~small)
         if rest.isEmpty():
             return steps, ends
-        steps.append(rest.select("g", F.col("block").alias("rank"), F.expr(f"(total + {ARITY**BLOCK_LEVELS - 1}) div {ARITY**BLOCK_LEVELS}").alias("total"), "node"))
+        steps.append(rest.select("g", F.col("block").alias("rank"), F.expr(f"(total + {ARITY**levels - 1}) div {ARITY**levels}").alias("total"), "node"))
 
 
-def _descend(steps: list[DataFrame], ends: list[DataFrame], tops: DataFrame, keep: list[str]) -> DataFrame:
+def _descend(steps: list[DataFrame], ends: list[DataFrame], tops: DataFrame, keep: list[str], levels: int) -> DataFrame:
     """``keep`` of the lowest step's nodes with subroot, root and proof; ``tops`` has (g, subroot, root, proof) of each tree's own root."""
     below = None
     for depth in reversed(range(len(steps))):
@@ -247,25 +247,25 @@ def _descend(steps: list[DataFrame], ends: list[DataFrame], tops: DataFrame, kee
         if below is not None:
             marks = marks.unionByName(below)
         if not depth:
-            return _walked(steps[0], marks, keep)
-        below = stash(_walked(steps[depth], marks, ["g", "rank"]).withColumnRenamed("rank", "block"), "proofs")
+            return _walked(steps[0], marks, keep, levels)
+        below = stash(_walked(steps[depth], marks, ["g", "rank"], levels).withColumnRenamed("rank", "block"), "proofs")
 
 
-def prove(leaves: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
+def prove(leaves: DataFrame, by: list[str], keep: list[str], levels: int = BLOCK_LEVELS) -> DataFrame:
     """``keep`` with subroot, root and proof of (g, leaf, ...): g is a group's place in the order of groups."""
     nodes = ranked(leaves.withColumn("node", F.unhex("leaf")).drop("leaf"), by)
-    steps, ends = _climb(nodes.withColumn("node", F.lower(F.hex("node"))))
+    steps, ends = _climb(nodes.withColumn("node", F.lower(F.hex("node"))), levels)
     subroots = ends[0]
     for more in ends[1:]:
         subroots = subroots.unionByName(more)
     named = ranked(subroots.select(F.lit("").alias("g"), F.col("g").alias("name"), "node"), ["name"])
-    top_steps, top_ends = _climb(named)
+    top_steps, top_ends = _climb(named, levels)
     root = top_ends[-1].select("g", F.lit(None).cast("string").alias("subroot"), F.col("node").alias("root"), F.expr(f"cast(array() AS {PROOF})").alias("proof"))
-    tops = _descend(top_steps, top_ends, root, ["name", "node"]).select(F.col("name").alias("g"), F.col("node").alias("subroot"), "root", "proof")
-    return _descend(steps, ends, stash(tops, "tops"), [c if c != "leaf" else "node" for c in keep])
+    tops = _descend(top_steps, top_ends, root, ["name", "node"], levels).select(F.col("name").alias("g"), F.col("node").alias("subroot"), "root", "proof")
+    return _descend(steps, ends, stash(tops, "tops"), [c if c != "leaf" else "node" for c in keep], levels)
 
 
-def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: str = "doc_id", group_col: str = "source", carry: dict[str, Column] | None = None) -> DataFrame:
+def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: str = "doc_id", group_col: str = "source", carry: dict[str, Column] | None = None, block_levels: int = BLOCK_LEVELS) -> DataFrame:
     """(id, group, leaf, subroot, root, proof) for each row, and the columns of ``carry``.
 
     A leaf is the digest of the row's ``fields``; within a group leaves ascend by id (null ids first, ties by the leaf, so
@@ -284,7 +284,7 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: str = "d
         F.coalesce(F.concat(F.lit("="), group), F.lit("")).alias("g"), F.col(f"`{id_col}`").alias("id"), group.alias("group"),
         digest_of([F.col(f"`{c}`") for c in fields]).alias("leaf"), *[v.alias(k) for k, v in carry.items()],
     )
-    return prove(leaves, ["id", "node"], ["id", "group", "leaf", *carry]).withColumnRenamed("node", "leaf")
+    return prove(leaves, ["id", "node"], ["id", "group", "leaf", *carry], block_levels).withColumnRenamed("node", "leaf")
 
 
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
