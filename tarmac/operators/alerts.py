@@ -9,6 +9,8 @@ from tarmac.functions.scalars import percent_text
 from tarmac.functions.stats import DTC_REGISTRY as DTC_REGISTRY
 
 ML_ALERT = "ML_RISK_7D"
+#: The alerts table, of rules and scores.
+ALERTS = "vehicle_component_id string, alert_type string, severity string, source string, message string, ts_ms long, seq long, risk_probability double, model_version string, status string"
 
 
 def rule_hits(events: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -60,6 +60,11 @@ def range_profile(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.min(column).alias("least"), F.max(column).alias("largest"), F.count(column).alias("filled"), F.count(F.lit(1)).alias("rows"))
 
 
+def counts_by_type(events: DataFrame, kind: str, value: str) -> DataFrame:
+    """By type of event: how many there are, and how many have a value."""
+    return events.groupBy(kind).agg(F.count(F.lit(1)).alias("rows"), F.count(value).alias("filled"))
+
+
 def completeness(snapshots: DataFrame) -> DataFrame:
     """By hour: snapshots, vehicles, and how many have a complete window."""
     return snapshots.groupBy("feature_ts_ms").agg(F.count(F.lit(1)).alias("snapshots"), F.count_distinct("vehicle_id").alias("vehicles"), F.count_if("window_complete").alias("complete"))

@@ -1,26 +1,34 @@
 """Exact half-open windows [t - W, t) at every hour boundary t, from hour blocks.
 
 Events are summed into hour blocks with a partial sum before the shuffle (a vehicle of any size leaves one row an hour).
-A block then adds to the 24 snapshots that follow it, and one grouped merge over blocks and the snapshot grid gives all
-three windows at once: no window frame is evaluated again for each row. Hours without events get a snapshot as well.
+Hours are cut into aligned days. A day's window is the end of one day and the beginning of the next, and both are running
+merges, so a block is posted twice: as the hour before its snapshot, and to the day after its own. A vehicle's day is then
+one partition of at most 48 blocks, in which two frames that only grow give every snapshot's window; no block is copied to
+each of the 24 windows that hold it. Hours without events get a snapshot as well.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.config import HOUR_MS
-from tarmac.functions.stats import Stat, all_stats, merge
+from tarmac.functions.stats import INPUT_COLUMNS, Stat, all_stats
 
 HOURS = 24
 LAST_MINUTE = 55
+_ENDS = ("ts", "seq", "value")
+
+
+def allowed(telemetry: DataFrame, by: str) -> DataFrame:
+    """Telemetry with the columns that may influence features, and the key: a statistic of any other column doesn't resolve."""
+    return telemetry.select(*[c for c in telemetry.columns if c == by or c in INPUT_COLUMNS])
 
 
 def buckets(telemetry: DataFrame, seconds: int, stats: dict[str, Stat] | None = None, by: str = "vehicle_id") -> DataFrame:
     """(vehicle_id, bucket, statistics): aggregates over buckets of a fixed width, bucket = ts_ms div width."""
     stats = stats or all_stats()
-    return telemetry.groupBy(by, F.floor(F.col("ts_ms") / (seconds * 1000)).alias("bucket")).agg(*[s.aggregate() for s in stats.values()])
+    return allowed(telemetry, by).groupBy(by, F.floor(F.col("ts_ms") / (seconds * 1000)).alias("bucket")).agg(*[s.aggregate() for s in stats.values()])
 
 
 def hour_blocks(telemetry: DataFrame, stats: dict[str, Stat] | None = None, by: str = "vehicle_id") -> DataFrame:
@@ -29,7 +37,7 @@ def hour_blocks(telemetry: DataFrame, stats: dict[str, Stat] | None = None, by:
     late = F.floor(F.col("ts_ms") / 60_000) % 60 >= LAST_MINUTE
     whole = [s.aggregate().alias(f"h_{n}") for n, s in stats.items()]
     last = [Stat(s.name, s.op, F.when(late, s.value)).aggregate().alias(f"l_{n}") for n, s in stats.items()]
-    return telemetry.groupBy(by, F.floor(F.col("ts_ms") / HOUR_MS).alias("hour")).agg(*whole, *last, F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"))
+    return allowed(telemetry, by).groupBy(by, F.floor(F.col("ts_ms") / HOUR_MS).alias("hour")).agg(*whole, *last, F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"))
 
 
 def snapshots(telemetry: DataFrame, windows: dict[str, list[str]] | None = None, stats: dict[str, Stat] | None = None, by: str = "vehicle_id") -> DataFrame:
@@ -41,29 +49,91 @@ def snapshots(telemetry: DataFrame, windows: dict[str, list[str]] | None = None,
     windows = windows or {w: list(stats) for w in ("5m", "1h", "24h")}
     used = {n: stats[n] for n in dict.fromkeys(x for names in windows.values() for x in names)}
     blocks = hour_blocks(telemetry, used, by)
-    bounds = blocks.groupBy(by).agg(F.min("first_ts").alias("first_event_ts_ms"), F.floor(F.max("last_ts") / HOUR_MS).alias("last_hour"))
-    grid = bounds.withColumn("t", F.explode(F.sequence(F.floor(F.col("first_event_ts_ms") / HOUR_MS) + 1, F.greatest("last_hour", F.floor(F.col("first_event_ts_ms") / HOUR_MS) + 1))))
-    grid = grid.where("t <= last_hour").select(by, "t", "first_event_ts_ms")
-    # Only the day's window needs a block more than once; an hour's and five minutes' are the block of the hour before.
-    copies = HOURS if "24h" in windows else 1
-    wanted = [f"{side}_{n}" for side, names in (("h", {x for w in ("1h", "24h") for x in windows.get(w, [])}), ("l", set(windows.get("5m", [])))) for n in used if n in names]
-    parts = blocks.select(by, "hour", *wanted).withColumn("ahead", F.explode(F.sequence(F.lit(1), F.lit(copies))) if copies > 1 else F.lit(1))
-    # What a copy further ahead doesn't need is null, and takes no room in the shuffle.
-    day = {f"h_{n}" for n in windows.get("24h", [])}
-    parts = parts.select(by, (F.col("hour") + F.col("ahead")).alias("t"), "ahead", *[F.col(c) if c in day or copies == 1 else F.when(F.col("ahead") == 1, F.col(c)).alias(c) for c in wanted])
-    both = parts.unionByName(grid, allowMissingColumns=True)
-    merged = both.groupBy(by, "t").agg(F.max("first_event_ts_ms").alias("first_event_ts_ms"), *window_merges(windows, used))
-    return merged.where("first_event_ts_ms is not null").withColumn("feature_ts_ms", F.col("t") * HOUR_MS).drop("t")
+    hour = lambda c: F.floor(F.col(c) / HOUR_MS)
+    bounds = blocks.groupBy(by).agg(F.min("first_ts").alias("first_event_ts_ms"), F.max("last_ts").alias("last_ts"))
+    due = bounds.select(by, "first_event_ts_ms", (hour("first_event_ts_ms") + 1).alias("from_hour"), hour("last_ts").alias("to_hour"))
+    return window_merge(blocks, due, windows, used, by)
+
+
+def window_merge(blocks: DataFrame, due: DataFrame, windows: dict[str, list[str]], stats: dict[str, Stat], by: str = "vehicle_id") -> DataFrame:
+    """The snapshots of the hours ``from_hour`` to ``to_hour`` of each row of ``due`` (by, first_event_ts_ms and these), from hour blocks."""
+    found = sliding_merge(blocks, due, windows, stats, by)
+    return found.select(*[c for c in found.columns if c != "t"], (F.col("t") * HOUR_MS).alias("feature_ts_ms"))
+
 
+#: Windows from buckets: the buckets' width in seconds, and how many make a window.
+BANDS = {"5m": (60, 5), "1h": (60, 60), "24h": (900, 96)}
 
-def window_merges(windows: dict[str, list[str]], stats: dict[str, Stat]) -> list[Column]:
-    """Aggregates that merge blocks (h_ and l_ columns, ``ahead`` hours before the snapshot) into the windows' statistics."""
 
-    def of(window: str, name: str) -> Column:
-        part = F.col(f"l_{name}" if window == "5m" else f"h_{name}")
-        return merge(stats[name].op, part if window == "24h" else F.when(F.col("ahead") == 1, part)).alias(f"{window}_{name}")
+def bucket_snapshots(telemetry: DataFrame, points: DataFrame, windows: dict[str, list[str]] | None = None, stats: dict[str, Stat] | None = None, by: str = "vehicle_id") -> DataFrame:
+    """``points`` (by, feature_ts_ms: any times) with the windows before them, merged from buckets of two widths.
 
-    return [of(w, n) for w, names in windows.items() for n in names]
+    Of n buckets of width w, a window at t takes those of index [t div w - n, t div w): exact where t is a multiple of w, and
+    ending at the last whole bucket elsewhere. Points that share a bucket share one merge; buckets are posted twice each.
+    """
+    stats = stats or all_stats()
+    windows = windows or {w: list(stats) for w in BANDS}
+    out = points.select(by, "feature_ts_ms").distinct()
+    for w, names in windows.items():
+        width, n = BANDS[w]
+        used = {x: stats[x] for x in names}
+        blocks = buckets(telemetry, width, used, by)
+        blocks = blocks.select(by, F.col("bucket").alias("hour"), *[F.col(x).alias(f"h_{x}") for x in names])
+        index = F.floor(F.col("feature_ts_ms") / (width * 1000))
+        due = out.select(by, index.alias("from_hour"), index.alias("to_hour"), F.lit(0).cast("long").alias("first_event_ts_ms")).distinct()
+        merged = sliding_merge(blocks, due, {w: names}, used, by, n, w).drop("first_event_ts_ms")
+        out = out.withColumn("t", index).join(merged, [by, "t"]).drop("t")
+    return out
+
+
+def sliding_merge(blocks: DataFrame, due: DataFrame, windows: dict[str, list[str]], stats: dict[str, Stat], by: str = "vehicle_id", span: int = HOURS, wide: str = "24h") -> DataFrame:
+    """(by, first_event_ts_ms, <window>_<stat>, t) for each t of ``due`` (by, first_event_ts_ms, from_hour, to_hour), from blocks of any width.
+
+    ``blocks`` has h_ and l_ columns and their number ``hour``; the window ``wide`` spans ``span`` blocks before t, the others one.
+    """
+    day_of = lambda t: F.floor((t - 1) / span)  # noqa: E731 - day d holds the snapshots of hours 24 d + 1 to 24 d + 24
+    sides = [(side, n, stats[n]) for side, names in (("h", {x for w in windows if w != "5m" or wide == "5m" for x in windows[w]}), ("l", set(windows.get("5m", []) if wide != "5m" else []))) for n in stats if n in names]
+    # A group below has one block of a kind at most, so its parts are picked by maxima of plain columns, which hash aggregation takes.
+    flat: dict[str, Column] = {}
+    for side, n, s in sides:
+        name = f"{side}_{n}"
+        flat |= {f"{name}.{f}": F.col(f"`{name}`.{f}") for f in _ENDS} if s.op.ends else {name: F.col(f"`{name}`")}
+    posted = blocks.select(by, (F.col("hour") + 1).alias("t"), F.lit(True).alias("own"), *[c.alias(n) for n, c in flat.items()])
+    if wide in windows:
+        earlier = {n: c for n, c in flat.items() if n.startswith("h_") and n.split(".")[0][2:] in windows[wide]}
+        posted = blocks.select(by, "hour", *[F.struct(*[c.alias(n) for n, c in flat.items()]).alias("parts")], F.explode(F.array(F.lit(True), F.lit(False))).alias("own")).where(f"own or hour % {span} != 0")
+        posted = posted.select(by, F.when(F.col("own"), F.col("hour") + 1).otherwise(F.col("hour") + span).alias("t"), "own", *[(F.col(f"parts.`{n}`") if n in earlier else F.when(F.col("own"), F.col(f"parts.`{n}`"))).alias(n) for n in flat])
+    posted = posted.withColumn("day", day_of(F.col("t")))
+    days = due.where("from_hour <= to_hour").withColumn("day", F.explode(F.sequence(day_of(F.col("from_hour")), day_of(F.col("to_hour")))))
+    days = days.withColumn("hours", F.sequence(F.greatest("from_hour", F.col("day") * span + 1), F.least("to_hour", (F.col("day") + 1) * span))).select(by, "day", "first_event_ts_ms", "hours")
+    met = posted.unionByName(days, allowMissingColumns=True).repartition(by, "day")
+    met = met.select("*", F.explode(F.coalesce("hours", F.array("t"))).alias("at"))
+    picked = [F.max(F.when(F.col("own"), F.col(f"`{n}`"))).alias(f"own_{n}") for n in flat]
+    if wide in windows:
+        picked += [F.max(F.when(~F.col("own"), F.col(f"`{n}`"))).alias(f"old_{n}") for n in earlier]
+    dense = met.groupBy(by, "day", F.col("at").alias("t")).agg(F.max("first_event_ts_ms").alias("first_event_ts_ms"), *picked)
+
+    def part(kind: str, side: str, s: Stat) -> Column:
+        if not s.op.ends:
+            return F.col(f"`{kind}_{side}_{s.name}`")
+        at = [F.col(f"`{kind}_{side}_{s.name}.{f}`") for f in _ENDS]
+        return F.when(at[0].isNotNull(), F.struct(*[c.alias(f) for c, f in zip(at, _ENDS, strict=True)]))
+
+    place = Window.partitionBy(by, "day")
+    beginning = place.orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ending = place.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = {}
+    for n in windows.get(wide, []):
+        op = stats[n].op
+        running[f"new.{n}"], running[f"old.{n}"] = op.over(part("own", "h", stats[n]), beginning), op.over(part("old", "h", stats[n]), ending)
+    found = dense.select("*", *[c.alias(n) for n, c in running.items()]).where("first_event_ts_ms is not null")
+    out = []
+    for w, names in windows.items():
+        for n in names:
+            op = stats[n].op
+            value = op.two(F.col(f"`old.{n}`"), F.col(f"`new.{n}`")) if w == wide else op.fill(part("own", "l" if w == "5m" else "h", stats[n]))
+            out.append(value.alias(f"{w}_{n}"))
+    return found.select(by, "first_event_ts_ms", *out, "t")
 
 
 def rolling(df: DataFrame, by: str, ts: str, seconds: int, aggregates: dict[str, Column]) -> DataFrame:
@@ -72,8 +142,6 @@ def rolling(df: DataFrame, by: str, ts: str, seconds: int, aggregates: dict[str,
     A key's rows are dealt into spans of the window's length: each row is posted to its own span, and to the next one as
     history. Spans are partitions of their own, so no task holds more than two windows of a key, however long its history.
     """
-    from pyspark.sql import Window
-
     width = seconds * 1000
     own = F.floor(F.col(ts) / width)
     posted = df.withColumn("__posts", F.array(F.struct(own.alias("span"), F.lit(True).alias("own")), F.struct((own + 1).alias("span"), F.lit(False).alias("own"))))
@@ -100,7 +168,5 @@ def latest_before(df: DataFrame, by: str, ts_ms: str, value: str) -> DataFrame:
     last = df.where(F.col(value).isNotNull()).groupBy(by, (F.floor(F.col(ts_ms) / HOUR_MS) + 1).alias("hour")).agg(F.max_by(value, F.col(ts_ms)).alias(value))
     ends = last.groupBy(by).agg(F.min("hour").alias("a"), F.max("hour").alias("b"))
     grid = ends.select(by, F.explode(F.sequence("a", "b")).alias("hour"))
-    from pyspark.sql import Window
-
     carried = F.last(value, ignorenulls=True).over(Window.partitionBy(by).orderBy("hour"))
     return grid.join(last, [by, "hour"], "left").select(by, (F.col("hour") * HOUR_MS).alias("t_ms"), carried.alias(value))

@@ -7,16 +7,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.operators import labels, metrics, ml
 from tarmac.plans.registry import query
-from tarmac.plans.telemetry import GRID, RAW, WINDOW_TOTALS_SQL, telemetry, window_totals
+from tarmac.config import HOUR_MS
+from tarmac.functions.scalars import epoch_ms
+from tarmac.plans.telemetry import END_MS, GRID, RAW, START_MS, WINDOW_TOTALS_SQL, raw, telemetry, window_totals
 from tarmac.sources.readers import table
-from tarmac.streaming.snapshots import Snapshots, drain
-from tarmac.streaming.dedup import dedup
+from tarmac.streaming.dedup import Deliveries, dedup
+from tarmac.streaming.snapshots import Snapshots, drain, with_lateness
 
 SC = "sc AS (SELECT o_orderkey AS id, CASE WHEN (o_orderstatus = 'O' AND o_orderkey % 3 > 0) OR o_totalprice > 450000 THEN 1 ELSE 0 END AS y, round(o_totalprice / 600000.0, 3) AS p FROM orders)"
 
@@ -114,11 +117,49 @@ def stream_dedup_windows(spark, sf_dir):
     return out.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
 
 
+def _slices(spark, sf_dir, folder: str, n: int, hours: int = 20) -> DataFrame:
+    """The events as a stream of ``n`` files by time, a file a micro-batch; a third of what the last ``hours`` of a file hold comes again in the next."""
+    events = table(spark, sf_dir, "events")
+    width = (END_MS - START_MS) // n + 1
+    at = F.floor((epoch_ms(F.col("ts")) - START_MS) / width)
+    again = (F.col("event_id") % 3 == 0) & (epoch_ms(F.col("ts")) >= START_MS + (at + 1) * width - hours * HOUR_MS)
+    for i in range(n):
+        part = events.where(at == i).unionByName(events.where((at == i - 1) & again)) if i else events.where(at <= 0)
+        (part if i < n - 1 else part.unionByName(events.where(at >= n))).orderBy("ts").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 @query(f"WITH {GRID}, {WINDOW_TOTALS_SQL}")
 def stream_snapshots(spark, sf_dir):
-    """All 70 statistics of all windows through the stream's state, summed up by vehicle, against the batch SQL."""
-    schema = table(spark, sf_dir, "events").schema
-    engine = Snapshots(_folder(spark))
-    events = telemetry(spark, sf_dir, spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*"))
-    engine.start(events).awaitTermination()
+    """All 70 statistics of all windows through the stream's state, in six micro-batches with repeated deliveries, summed up by vehicle."""
+    folder = _folder(spark)
+    engine = Snapshots(folder)
+    named = telemetry(spark, sf_dir, _slices(spark, sf_dir, f"{folder}-events", 6)).withColumn("event_ts", F.timestamp_millis("ts_ms"))
+    engine.start(dedup(named, horizon="25 hours").drop("event_ts")).awaitTermination()
     return window_totals(engine.read(spark))
+
+
+_LATE_SQL = f"""{RAW}, o AS (SELECT vehicle_id, seq, ts_ms, (seq * 7919) % 10007 AS arrival FROM raw),
+  m AS (SELECT *, max(ts_ms) OVER (PARTITION BY vehicle_id ORDER BY arrival, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o)"""
+
+
+@query(f"WITH {_LATE_SQL} SELECT vehicle_id, count(*) FILTER (WHERE coalesce(ts_ms >= before - 90000000, true)) AS applied, count(*) FILTER (WHERE ts_ms < before - 90000000) AS late FROM m GROUP BY 1")
+def late_by_running_maximum(spark, sf_dir):
+    """Events in a shuffled order of arrival: those over 25 hours behind the latest one that came before them are late."""
+    order = ((F.col("seq") * 7919) % 10007) * F.lit(1 << 30) + F.col("seq")
+    events = raw(spark, sf_dir).select("vehicle_id", "seq", "ts_ms", order.alias("arrival"))
+    found = with_lateness(events, spark.createDataFrame([], "vehicle_id long, max_event_ts_ms long"), 25 * HOUR_MS)
+    return found.groupBy("vehicle_id").agg(F.count_if(~F.col("__late")).alias("applied"), F.count_if("__late").alias("late"))
+
+
+@query(f"WITH {RAW} SELECT vehicle_id, seq, value, seq % 3 AS accepted_batch FROM raw UNION ALL SELECT vehicle_id, seq, value, seq % 3 + 3 FROM raw WHERE seq % 14 = 0")
+def wall_clock_dedup(spark, sf_dir):
+    """Deliveries in six batches, ten minutes apart by the clock: a second one a batch later is dropped, a third three batches later isn't."""
+    events = raw(spark, sf_dir).select("vehicle_id", "seq", "ts_ms", "value")
+    stages = [(0, F.lit(True)), (1, F.col("seq") % 7 == 0), (3, F.col("seq") % 14 == 0)]
+    sent = reduce(DataFrame.unionByName, [events.where(which).withColumn("n", F.col("seq") % 3 + later) for later, which in stages])
+    now = iter(range(0, 6 * 600, 600))
+    gate = Deliveries(_folder(spark), 900, clock=lambda: next(now))
+    for b in range(6):
+        gate.batch(sent.where(F.col("n") == b).drop("n"), b)
+    return gate.accepted(spark).select("vehicle_id", "seq", "value", F.col("accepted_batch").cast("long").alias("accepted_batch"))

@@ -6,6 +6,9 @@ for signals. Errors and purchases are triggers, sign-ups services.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,6 +164,50 @@ def windows_all_stats(spark, sf_dir):
     return window_totals(windows.snapshots(telemetry(spark, sf_dir)))
 
 
+# A number for each window of a snapshot that changes with any value of any statistic: hundredths, weighted by the statistic.
+_WEIGHTS = {n: 2 * i + 3 for i, n in enumerate(_ALL_SQL)}
+WINDOW_MARKS_SQL = WINDOW_TOTALS_SQL[: WINDOW_TOTALS_SQL.index(" SELECT vehicle_id, count(*) AS snapshots")].replace("round(coalesce(", "(coalesce(").replace("), 2)", "))") + " SELECT vehicle_id, t AS feature_ts_ms, " + ", ".join(
+    " + ".join(f'coalesce(CAST(floor(CAST("{w}_{n}" AS DOUBLE) * 100 + 0.5) AS BIGINT), 7777) * {k}' for n, k in _WEIGHTS.items()) + f' AS "mark_{w}"' for w in _WINDOWS
+) + " FROM x24h JOIN x1h USING (vehicle_id, t) JOIN x5m USING (vehicle_id, t)"
+
+
+def window_marks(snapshots: DataFrame) -> DataFrame:
+    """Every snapshot with one number for each of its windows, into which all statistics go."""
+    values = {f"{w}_{n}": F.col(f"`{w}_{n}`.value" if n in ("soc_first", "soc_last") else f"`{w}_{n}`") for w in _WINDOWS for n in _WEIGHTS}
+    mark = lambda w: reduce(add, [F.coalesce(F.floor(values[f"{w}_{n}"].cast("double") * 100 + 0.5).cast("long"), F.lit(7777)) * k for n, k in _WEIGHTS.items()])
+    return snapshots.select("vehicle_id", "feature_ts_ms", *[mark(w).alias(f"mark_{w}") for w in _WINDOWS])
+
+
+@query(f"WITH {GRID}, {WINDOW_MARKS_SQL}")
+def windows_all_stats_rows(spark, sf_dir):
+    """Each snapshot of all statistics and windows, a number a window: a value on the wrong hour shows."""
+    return window_marks(windows.snapshots(telemetry(spark, sf_dir)))
+
+
+_POINTS_SQL = f"{TEL}, p AS (SELECT DISTINCT vehicle_id, (ts_ms // 300000 + 1) * 300000 AS t FROM tel)"
+
+
+def _band_sql(name: str) -> str:
+    width, n = windows.BANDS[name]
+    w = width * 1000
+    return f"""b{name} AS (SELECT p.vehicle_id, p.t, count(e.seq) AS n_events, round(coalesce(sum(e.speed) FILTER (WHERE e.speed > 1), 0), 3) AS speed_sum, min(e.odo) AS odo_min, max(e.odo) AS odo_max,
+      arg_min(e.soc, (e.ts_ms, e.seq)) FILTER (WHERE e.soc IS NOT NULL) AS soc_first, arg_max(e.soc, (e.ts_ms, e.seq)) FILTER (WHERE e.soc IS NOT NULL) AS soc_last
+      FROM p LEFT JOIN tel e ON e.vehicle_id = p.vehicle_id AND e.ts_ms < (p.t // {w}) * {w} AND e.ts_ms >= (p.t // {w} - {n}) * {w} GROUP BY 1, 2)"""
+
+
+_BAND_STATS = ["n_events", "speed_sum", "odo_min", "odo_max", "soc_first", "soc_last"]
+
+
+@query(f"WITH {_POINTS_SQL}, " + ", ".join(map(_band_sql, windows.BANDS)) + " SELECT vehicle_id, t AS feature_ts_ms, " + ", ".join(f'b{w}.{n} AS "{w}_{n}"' for w in windows.BANDS for n in _BAND_STATS) + " FROM b5m JOIN b1h USING (vehicle_id, t) JOIN b24h USING (vehicle_id, t)")
+def bucket_snapshots_5m_grid(spark, sf_dir):
+    """Snapshots at the five-minute boundary after each event, merged from buckets of 60 and 900 seconds."""
+    t = telemetry(spark, sf_dir)
+    points = t.select("vehicle_id", ((F.floor(F.col("ts_ms") / 300_000) + 1) * 300_000).alias("feature_ts_ms"))
+    found = windows.bucket_snapshots(t, points, {w: _BAND_STATS for w in windows.BANDS})
+    flat = {f"{w}_{n}": F.round(f"{w}_{n}", 3) if n == "speed_sum" else F.col(f"`{w}_{n}`.value") if n.startswith("soc") else F.col(f"`{w}_{n}`") for w in windows.BANDS for n in _BAND_STATS}
+    return found.select("vehicle_id", "feature_ts_ms", *[c.alias(n) for n, c in flat.items()])
+
+
 @query(f"WITH {RAW} SELECT vehicle_id, seq, ts_ms, value FROM raw ORDER BY ts_ms, vehicle_id, seq")
 def replay_sort(spark, sf_dir):
     return windows.replay_order(raw(spark, sf_dir).select("vehicle_id", "seq", "ts_ms", "value"))
@@ -453,6 +500,11 @@ def range_profile(spark, sf_dir):
     return checks.range_profile(table(spark, sf_dir, "events"), "value")
 
 
+@query(f"WITH {TEL} SELECT event_type, count(*) AS rows, count(soc) AS filled FROM tel GROUP BY 1")
+def ground_truth_counts(spark, sf_dir):
+    return checks.counts_by_type(telemetry(spark, sf_dir), "event_type", "soc_pct")
+
+
 @query(f"WITH {GRID} SELECT t AS feature_ts_ms, count(*) AS snapshots, count(DISTINCT vehicle_id) AS vehicles, count(*) FILTER (WHERE f <= t - 86400000) AS complete FROM g GROUP BY 1")
 def snapshot_completeness(spark, sf_dir):
     s = _snapshot_rows(spark, sf_dir).withColumn("window_complete", F.col("first_event_ts_ms") <= F.col("feature_ts_ms") - DAY_MS)

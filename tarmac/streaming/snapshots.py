@@ -1,13 +1,14 @@
 """Exact snapshots on a stream, of all statistics: each micro-batch is merged into hour blocks that are kept between batches.
 
 A batch's events become hour blocks by Spark's own aggregates (partial before the shuffle), so a vehicle of any traffic adds
-one row an hour. The state is two small tables: the hour blocks that later snapshots can need, and each vehicle's progress.
-Both are written to a folder of the batch's number and read from that of the one before: a batch that is repeated after
-a failure starts from the same state and overwrites what its first run left, so nothing is applied or emitted twice.
+one row an hour. The state is two tables in buckets of vehicles: the hour blocks that later snapshots can need, and each
+vehicle's progress. A batch reads and writes the buckets of its vehicles (and one more, to forget vehicles that are gone),
+and its state and snapshots are one commit (``Commits``): a batch that is repeated after a failure, wherever that was, finds
+the state of the one before, or itself committed; nothing is applied or emitted twice.
 
 Every hour boundary that a vehicle passes emits a snapshot, hours without events included; snapshots are never revised.
-Events too far behind their vehicle's latest one (as of the batch before) are counted and left out. Repeated deliveries are
-dropped ahead of the state by identity, within the lateness (``dedup``), and counted.
+Events too far behind the latest one that came before them (in this batch or an earlier one) are counted and left out, so
+how a stream is cut into batches doesn't matter. Repeated deliveries are dropped ahead of the state by identity (``dedup``).
 """
 
 from __future__ import annotations
@@ -15,98 +16,117 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarmac.config import HOUR_MS, FeatureConfig
 from tarmac.functions.features import COMPONENTS, features, window_complete
 from tarmac.functions.stats import Stat, all_stats, merge
-from tarmac.operators.windows import HOURS, hour_blocks, window_merges
-from tarmac.sources.sinks import exists, file_system, retry
+from tarmac.operators.windows import HOURS, hour_blocks, window_merge
+from tarmac.sources.commits import Change, Commits, bucket_of, query_name
+from tarmac.sources.sinks import retry
 
 WINDOWS = ("5m", "1h", "24h")
+ARRIVAL = "arrival"
+#: Arrivals of a vehicle are compared in runs of so many, each a partition of its own.
+RUN = 1 << 13
+
+
+def with_lateness(events: DataFrame, latest: DataFrame, lateness_ms: int, by: str = "vehicle_id", flag: str = "__late") -> DataFrame:
+    """Adds ``flag``: whether an event is over ``lateness_ms`` behind the latest one of its vehicle that arrived before it.
+
+    ``events`` has ts_ms and ``arrival`` (a number that rises in order of arrival), ``latest`` (by, max_event_ts_ms) what
+    earlier batches had. The running maximum is taken in two steps, of runs of arrivals and within each, so a vehicle of any
+    traffic spreads over many tasks.
+    """
+    run = F.floor(F.col(ARRIVAL) / RUN)
+    tagged = events.withColumn("__run", run)
+    runs = tagged.groupBy(by, "__run").agg(F.max("ts_ms").alias("__top"))
+    ahead = F.max("__top").over(Window.partitionBy(by).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.join(latest.select(by, F.col("max_event_ts_ms").alias("__known")), by, "left").select(by, "__run", F.greatest("__known", ahead).alias("__before"))
+    within = F.max("ts_ms").over(Window.partitionBy(by, "__run").orderBy(ARRIVAL).rowsBetween(Window.unboundedPreceding, -1))
+    late = F.coalesce(F.col("ts_ms") < F.greatest("__before", within) - lateness_ms, F.lit(False))
+    return tagged.join(runs, [by, "__run"]).withColumn(flag, late).drop("__run", "__before")
 
 
 class Snapshots:
     """The state of a stream of telemetry under one root folder, which all executors share.
 
-    ``on_snapshots`` gets each batch's snapshots (once they are written) and the batch's number. A vehicle that no batch has
-    touched for ``ttl_seconds`` of wall-clock time is forgotten.
+    Events that have a column ``arrival`` are taken in its order (as a topic's offset gives it), others as they are read.
+    ``on_snapshots`` gets each batch's snapshots (once they are committed) and the batch's number; it is called again when a
+    batch is repeated. A vehicle that no batch has touched for ``ttl_seconds`` of wall-clock time is forgotten, at the latest
+    ``buckets`` batches later.
     """
 
     def __init__(self, root: str, stats: dict[str, Stat] | None = None, windows: dict[str, list[str]] | None = None, config: FeatureConfig | None = None,
-                 ttl_seconds: int = 7 * 86_400, on_snapshots: Callable[[DataFrame, int], None] | None = None):
-        self.root, self.stats = root.rstrip("/"), stats or all_stats()
+                 ttl_seconds: int = 7 * 86_400, on_snapshots: Callable[[DataFrame, int], None] | None = None, buckets: int = 64):
+        self.root, self.stats, self.buckets = root.rstrip("/"), stats or all_stats(), buckets
         self.windows = windows or {w: list(self.stats) for w in WINDOWS}
         self.lateness = (config or FeatureConfig()).lateness_seconds * 1000
         self.ttl, self.on_snapshots = ttl_seconds, on_snapshots
 
-    def _path(self, name: str, batch_id: int) -> str:
-        return f"{self.root}/{name}/batch={batch_id:012d}"
-
-    def _read(self, spark: SparkSession, name: str, batch_id: int, schema) -> DataFrame:
-        path = self._path(name, batch_id)
-        return spark.read.schema(schema).parquet(path) if batch_id >= 0 and exists(spark, path) else spark.createDataFrame([], schema)
-
     def _merged(self, old: DataFrame, new: DataFrame) -> DataFrame:
         parts = [merge(s.op, F.col(f"{side}_{n}")).alias(f"{side}_{n}") for side in "hl" for n, s in self.stats.items()]
         return old.unionByName(new).groupBy("vehicle_id", "hour").agg(*parts)
 
     def batch(self, events: DataFrame, batch_id: int, emit: bool = True) -> None:
         """Apply one micro-batch. ``emit=False`` only builds state (see ``warm_up``)."""
-        spark, keys = events.sparkSession, events.select("vehicle_id")
-        vehicle = keys.schema[0].dataType.simpleString()
-        shape = f"vehicle_id {vehicle}, first_event_ts_ms long, max_event_ts_ms long, emitted_hour long, applied long, late long, touched timestamp"
-        before = self._read(spark, "progress", batch_id - 1, shape)
-        latest = before.select("vehicle_id", F.col("max_event_ts_ms").alias("__latest"))
-        tagged = events.join(latest, "vehicle_id", "left").withColumn("__late", F.coalesce(F.col("ts_ms") < F.col("__latest") - self.lateness, F.lit(False)))
-        new = hour_blocks(tagged.where("not __late"), self.stats)
-        counted = tagged.groupBy("vehicle_id").agg(
-            F.min(F.when(~F.col("__late"), F.col("ts_ms"))).alias("first_event_ts_ms"), F.max(F.when(~F.col("__late"), F.col("ts_ms"))).alias("max_event_ts_ms"),
-            F.count_if(~F.col("__late")).alias("applied"), F.count_if("__late").alias("late"),
-        )
-        seen = counted.withColumn("touched", F.current_timestamp()).unionByName(before, allowMissingColumns=True)
-        progress = seen.groupBy("vehicle_id").agg(
-            F.min("first_event_ts_ms").alias("first_event_ts_ms"), F.max("max_event_ts_ms").alias("max_event_ts_ms"), F.max("emitted_hour").alias("done"),
-            F.sum("applied").alias("applied"), F.sum("late").alias("late"), F.max("touched").alias("touched"),
-        ).where("max_event_ts_ms is not null")
-        progress = progress.where(F.col("touched") > F.current_timestamp() - F.make_dt_interval(secs=F.lit(self.ttl)))
-        reached = F.floor(F.col("max_event_ts_ms") / HOUR_MS)
-        # The first snapshot follows the hour of the vehicle's first event; later ones follow the last one emitted.
-        progress = progress.withColumn("done", F.coalesce("done", F.floor(F.col("first_event_ts_ms") / HOUR_MS))).withColumn("emitted_hour", F.greatest("done", reached))
-        progress = self._stored(progress.select(*[c.split()[0] for c in shape.split(", ")], "done"), "progress", batch_id)
-        blocks = self._merged(self._read(spark, "blocks", batch_id - 1, new.drop("first_ts", "last_ts").schema), new.drop("first_ts", "last_ts"))
-        # What no later snapshot and no event in time can need is left behind.
-        known = progress.select("vehicle_id", (F.floor((F.least("max_event_ts_ms", F.col("done") * HOUR_MS) - self.lateness) / HOUR_MS)).alias("__oldest"))
-        blocks = self._stored(blocks.join(known, "vehicle_id").where("hour >= __oldest").drop("__oldest"), "blocks", batch_id)
-        if emit:
-            out = self._stored(self.due(blocks, progress), "snapshots", batch_id)
-            if self.on_snapshots:
+        spark = events.sparkSession
+        log, writer = Commits(spark, self.root), query_name(spark, "snapshots")
+        change = log.begin(writer, batch_id)
+        if change is not None:
+            events = (events if ARRIVAL in events.columns else events.withColumn(ARRIVAL, F.monotonically_increasing_id())).persist()
+            try:
+                self._apply(change, events, emit)
+            finally:
+                events.unpersist()
+        if emit and self.on_snapshots:
+            out = log.read("snapshots", batch=(writer, batch_id)) if self._has(log, writer, batch_id) else None
+            if out is not None:
                 self.on_snapshots(out, batch_id)
-        self._forget(spark, batch_id - 2)
-
-    def _forget(self, spark: SparkSession, batch_id: int) -> None:
-        """Remove a batch's state: a repeat of the newest batch reads that of the one before, and nothing older is read again."""
-        for name in ("progress", "blocks"):
-            fs, path = file_system(spark, self._path(name, batch_id))
-            fs.delete(path, True)
 
-    def _stored(self, df: DataFrame, name: str, batch_id: int) -> DataFrame:
-        path = self._path(name, batch_id)
-        df.write.mode("overwrite").parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
+    @staticmethod
+    def _has(log: Commits, writer: str, batch_id: int) -> bool:
+        return any((e["writer"], e["batch"]) == (writer, batch_id) for e in log.state().tables.get("snapshots", []))
+
+    def _apply(self, change: Change, events: DataFrame, emit: bool) -> None:
+        vehicle, bucket = events.schema["vehicle_id"].dataType.simpleString(), bucket_of(["vehicle_id"], self.buckets)
+        shape = f"vehicle_id {vehicle}, first_event_ts_ms long, max_event_ts_ms long, emitted_hour long, applied long, late long, touched timestamp, done long"
+        touched = sorted({*change.touched(events, bucket), str(change.batch % self.buckets)})
+        before = change.read("progress", shape, touched).drop("done")
+        tagged = with_lateness(events, before, self.lateness).persist()
+        try:
+            new = hour_blocks(tagged.where("not __late"), self.stats).drop("first_ts", "last_ts")
+            counted = tagged.groupBy("vehicle_id").agg(
+                F.min(F.when(~F.col("__late"), F.col("ts_ms"))).alias("first_event_ts_ms"), F.max(F.when(~F.col("__late"), F.col("ts_ms"))).alias("max_event_ts_ms"),
+                F.count_if(~F.col("__late")).alias("applied"), F.count_if("__late").alias("late"),
+            )
+            seen = counted.withColumn("touched", F.current_timestamp()).unionByName(before, allowMissingColumns=True)
+            progress = seen.groupBy("vehicle_id").agg(
+                F.min("first_event_ts_ms").alias("first_event_ts_ms"), F.max("max_event_ts_ms").alias("max_event_ts_ms"), F.max("emitted_hour").alias("done"),
+                F.sum("applied").alias("applied"), F.sum("late").alias("late"), F.max("touched").alias("touched"),
+            ).where("max_event_ts_ms is not null")
+            progress = progress.where(F.col("touched") > F.current_timestamp() - F.make_dt_interval(secs=F.lit(self.ttl)))
+            reached = F.floor(F.col("max_event_ts_ms") / HOUR_MS)
+            # The first snapshot follows the hour of the vehicle's first event; later ones follow the last one emitted.
+            progress = progress.withColumn("done", F.coalesce("done", F.floor(F.col("first_event_ts_ms") / HOUR_MS))).withColumn("emitted_hour", F.greatest("done", reached))
+            progress = change.put("progress", progress.select(*[c.split()[0] for c in shape.split(", ")]), bucket, touched)
+            blocks = self._merged(change.read("blocks", new.schema, touched), new)
+            # What no later snapshot and no event in time can need is left behind.
+            known = progress.select("vehicle_id", (F.floor((F.least("max_event_ts_ms", F.col("done") * HOUR_MS) - self.lateness) / HOUR_MS)).alias("__oldest"))
+            blocks = change.put("blocks", blocks.join(known, "vehicle_id").where("hour >= __oldest").drop("__oldest"), bucket, touched)
+            if emit:
+                change.append("snapshots", self.due(blocks, progress))
+            change.commit()
+        finally:
+            tagged.unpersist()
 
     def due(self, blocks: DataFrame, progress: DataFrame) -> DataFrame:
         """The snapshots of the hours after ``done`` up to ``emitted_hour``, from the blocks of the day before each."""
         hours = progress.where("emitted_hour > done").select("vehicle_id", "first_event_ts_ms", "done", "emitted_hour")
-        grid = hours.select("vehicle_id", "first_event_ts_ms", F.explode(F.sequence(F.col("done") + 1, F.col("emitted_hour"))).alias("t"))
-        parts = blocks.join(hours.drop("first_event_ts_ms"), "vehicle_id")
-        ahead = F.sequence(F.greatest(F.col("hour"), F.col("done")) + 1, F.least(F.col("hour") + HOURS, F.col("emitted_hour")))
-        fits = F.greatest(F.col("hour"), F.col("done")) < F.least(F.col("hour") + HOURS, F.col("emitted_hour"))
-        parts = parts.where(fits).withColumn("t", F.explode(ahead)).withColumn("ahead", F.col("t") - F.col("hour")).drop("hour", "done", "emitted_hour")
-        both = parts.unionByName(grid, allowMissingColumns=True)
-        merged = both.groupBy("vehicle_id", "t").agg(F.max("first_event_ts_ms").alias("first_event_ts_ms"), *window_merges(self.windows, self.stats))
-        return merged.withColumn("feature_ts_ms", F.col("t") * HOUR_MS).drop("t")
+        parts = blocks.join(hours.select("vehicle_id", "done", "emitted_hour"), "vehicle_id").where(F.col("hour").between(F.col("done") + 1 - HOURS, F.col("emitted_hour") - 1)).drop("done", "emitted_hour")
+        due = hours.select("vehicle_id", "first_event_ts_ms", (F.col("done") + 1).alias("from_hour"), F.col("emitted_hour").alias("to_hour"))
+        return window_merge(parts, due, self.windows, self.stats)
 
     def warm_up(self, history: DataFrame, batch_id: int = 0) -> None:
         """Rebuild the state from stored telemetry, as if the stream had run over it: the next batch has the number after."""
@@ -114,15 +134,15 @@ class Snapshots:
 
     def read(self, spark: SparkSession) -> DataFrame:
         """All snapshots so far."""
-        return spark.read.parquet(f"{self.root}/snapshots").drop("batch")
+        return Commits(spark, self.root).read("snapshots")
 
-    def counters(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """One row: vehicles, applied and late events as of a batch."""
-        found = spark.read.parquet(self._path("progress", batch_id))
+    def counters(self, spark: SparkSession) -> DataFrame:
+        """One row: vehicles, applied and late events as of the last commit."""
+        found = Commits(spark, self.root).read("progress", "applied long, late long")
         return found.agg(F.count(F.lit(1)).alias("vehicles"), F.sum("applied").alias("applied"), F.sum("late").alias("late"))
 
     def start(self, events: DataFrame, checkpoint: str | None = None, **trigger):
-        """A streaming query that applies each batch, trying again with growing pauses when it fails; state older than two batches goes."""
+        """A streaming query that applies each batch, trying again with growing pauses when it fails."""
         writer = events.writeStream.foreachBatch(lambda df, n: retry(lambda: self.batch(df, n), attempts=3))
         return writer.option("checkpointLocation", checkpoint or f"{self.root}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
 

@@ -87,10 +87,10 @@ def window(spark, component, vehicle_type="ICE", feature_ts=10 * 86_400_000, **v
             return F.struct(F.lit(v[0]).alias("ts"), F.lit(v[1]).alias("seq"), F.lit(float(v[2])).alias("value")) if isinstance(v, tuple) else F.lit(v)
         if w == "24h" and n == "odo_max" and "day_odo" in values:
             return F.lit(values["day_odo"])
-        kind = {"count": F.lit(0), "sum": F.lit(0.0)}.get(stats[n].op)
+        kind = stats[n].op.zero
         if kind is not None:
             return kind
-        empty = "struct<ts:bigint,seq:bigint,value:double>" if stats[n].op in ("first", "last") else "double"
+        empty = "struct<ts:bigint,seq:bigint,value:double>" if stats[n].op.ends else "double"
         return F.lit(None).cast(empty)
     row = spark.range(1).select(*[value(w, n).alias(f"{w}_{n}") for w in ("5m", "1h", "24h") for n in stats])
     context = {"vehicle_type": F.lit(vehicle_type), "feature_ts_ms": F.lit(feature_ts), "manufacture_date_ms": F.lit(0).cast("long"), "last_service_ts_ms": F.lit(values.get("service")).cast("long"), "last_service_odometer_km": F.lit(values.get("service_odo")).cast("double")}

@@ -7,11 +7,12 @@ from tarmac.config import DAY_MS, HOUR_MS
 from tarmac.functions.stats import all_stats
 from tarmac.operators import ingest, windows
 from tarmac.operators.checks import compare_keys, compare_values
-from tarmac.sources import sinks
+from tarmac.sources.commits import Change, Commits
 from tarmac.sources.readers import dtc_registry
 from tarmac.streaming.dedup import dedup
 from tarmac.streaming.pipeline import Live
-from tarmac.streaming.snapshots import Snapshots, per_component
+from tarmac.streaming import snapshots as snapshots_module
+from tarmac.streaming.snapshots import Snapshots, per_component, with_lateness
 from tests.test_functions import RECORD, record
 from tests.test_operators import VIN, envelopes
 
@@ -57,7 +58,8 @@ def test_stream_equals_batch_in_all_statistics(spark, tmp_path, variant):
     engine = Snapshots(f"{tmp_path}/state")
     engine.start(dedup(src, horizon="25 hours").drop("event_ts")).awaitTermination()
     same(engine.read(spark), windows.snapshots(frame(spark, rows)))
-    assert engine.counters(spark, 2).first().applied == len(rows)
+    assert engine.counters(spark).first().applied == len(rows)
+    assert any("@" in w for w in Commits(spark, f"{tmp_path}/state").state().writers)  # batches count within a query's checkpoint
 
 
 def test_repeated_batch_and_restart_change_nothing(spark, tmp_path):
@@ -78,10 +80,82 @@ def test_catch_up_late_events_and_pruning(spark, tmp_path):
     assert sorted(got) == [1, 2, 3, 4] and [got[h]["1h_n_events"] for h in (1, 2, 3, 4)] == [1, 0, 0, 0] and got[4]["24h_n_events"] == 1
     engine.batch(frame(spark, [one(T0 + 60 * HOUR_MS, 3)]), 2)
     engine.batch(frame(spark, [one(T0 + 10 * HOUR_MS, 4)]), 3)  # 50 hours behind: counted, not applied
-    c = engine.counters(spark, 3).first()
+    c = engine.counters(spark).first()
     assert (c.vehicles, c.applied, c.late) == (1, 3, 1) and max(read()) == 60
-    assert spark.read.parquet(f"{tmp_path}/s/blocks/batch=000000000003").count() == 1
-    assert sorted(p.name for p in (tmp_path / "s" / "blocks").iterdir()) == ["batch=000000000002", "batch=000000000003"]
+    log = Commits(spark, f"{tmp_path}/s")
+    assert log.read("blocks").count() == 1 and len(log.state().tables["blocks"]) == 1
+    assert log.vacuum(0) > 0 and log.read("blocks").count() == 1 and max(read()) == 60
+
+
+def brute_late(rows, lateness):
+    """(vehicle, seq) of the rows that are behind the running maximum of their vehicle, in order of arrival."""
+    top, late = {}, set()
+    for v, ts, seq in rows:
+        if ts < top.get(v, ts) - lateness:
+            late.add((v, seq))
+        top[v] = max(top.get(v, ts), ts)
+    return late
+
+
+def test_lateness_follows_the_order_of_arrival(spark, tmp_path, monkeypatch):
+    """One batch or ten: the same events are late; runs of four arrivals, so that all steps of the running maximum are used."""
+    monkeypatch.setattr(snapshots_module, "RUN", 4)
+    rnd = random.Random(5)
+    rows = [(f"v{min(2, rnd.randrange(9))}", T0 + rnd.randrange(100 * HOUR_MS), i) for i in range(200)]
+    want = brute_late(rows, 25 * HOUR_MS)
+    assert 10 < len(want) < 190
+    df = spark.createDataFrame([(*r, r[2]) for r in rows], "vehicle_id string, ts_ms long, seq long, arrival long").repartition(5)
+    none = spark.createDataFrame([], "vehicle_id string, max_event_ts_ms long")
+    found = with_lateness(df, none, 25 * HOUR_MS).where("__late").collect()
+    assert {(r.vehicle_id, r.seq) for r in found} == want and found[0].asDict().keys() == {*df.columns, "__late"}
+    stats = {"n_events": all_stats()["n_events"]}
+    records = [(r[0], *record(r[1], r[2])[1:], r[2]) for r in rows]
+    totals = []
+    for parts in (1, 10):
+        engine = Snapshots(f"{tmp_path}/{parts}", stats, {"24h": ["n_events"]}, buckets=4)
+        for i in range(parts):
+            engine.batch(spark.createDataFrame(records[i * 200 // parts : (i + 1) * 200 // parts], RECORD + ", arrival long"), i)
+        c = engine.counters(spark).first()
+        totals.append((c.applied, c.late))
+    assert totals == [(200 - len(want), len(want))] * 2
+
+
+def test_state_written_follows_the_vehicles_of_a_batch(spark, tmp_path):
+    """Ten batches with repeats equal one; a batch of one vehicle leaves the other buckets' files alone."""
+    rows = [(f"v{i % 30}", *r[1:]) for i, r in enumerate(history(400))]
+    stats = {n: s for n, s in all_stats().items() if n in ("n_events", "speed_sum", "odo_min", "soc_first")}
+    windows_of = {w: list(stats) for w in ("5m", "1h", "24h")}
+    engine, log = Snapshots(f"{tmp_path}/s", stats, windows_of, buckets=16), Commits(spark, f"{tmp_path}/s")
+    for i in range(10):
+        for _ in range(2 if i % 3 == 0 else 1):
+            engine.batch(frame(spark, rows[i * 40 : (i + 1) * 40]), i)
+    want = windows.snapshots(frame(spark, rows), windows_of, stats)
+    values = [c for c in want.columns if c not in KEYS]
+    plain = lambda df: df.withColumns({c: F.col(f"`{c}`.value") for c in df.columns if c.endswith("soc_first")})
+    assert tuple(compare_keys(engine.read(spark), want, KEYS).first())[1:] == (0, 0)
+    assert compare_values(plain(engine.read(spark)), plain(want), KEYS, values, 1e-6).first().mismatches == 0
+    files = lambda: {e["bucket"]: e["path"] for e in log.state().tables["progress"]}
+    before = files()
+    engine.batch(frame(spark, [("v7", *record(T0 + 70 * HOUR_MS, 1000)[1:])]), 10)
+    assert len(before) > 8 and sum(before.get(b) != p for b, p in files().items()) <= 2
+
+
+def test_wall_clock_dedup(spark, tmp_path):
+    """Identities count for 900 seconds of the clock, whatever the events' times; a repeated batch changes nothing."""
+    from tarmac.streaming.dedup import Deliveries
+
+    now = [0.0]
+    gate = Deliveries(f"{tmp_path}/d", 900, clock=lambda: now[0])
+    send = lambda b, *rows: gate.batch(spark.createDataFrame(rows, "vehicle_id string, seq long, ts_ms long"), b)
+    send(0, ("a", 1, 50), ("a", 1, 40), ("a", 2, 10 * DAY_MS))
+    for at, b in ((600, 1), (900, 2), (901, 3), (1500, 4)):
+        now[0] = at
+        for _ in range(2):
+            send(b, ("a", 1, 40), ("b", b, 0))
+    got = sorted((r.vehicle_id, r.seq, r.accepted_batch) for r in gate.accepted(spark).collect())
+    assert got == [("a", 1, 0), ("a", 1, 3), ("a", 2, 0), ("b", 1, 1), ("b", 2, 2), ("b", 3, 3), ("b", 4, 4)]
+    kept = Commits(spark, f"{tmp_path}/d").state().tables["seen"]
+    assert [e["at"] for e in kept] == [600, 900, 901, 1500]
 
 
 def test_warm_up_continues_from_history(spark, tmp_path):
@@ -100,7 +174,7 @@ def test_warm_up_continues_from_history(spark, tmp_path):
 def test_untouched_vehicles_are_forgotten(spark, tmp_path):
     engine = Snapshots(f"{tmp_path}/state", ttl_seconds=0)
     engine.batch(frame(spark, history(30)), 0)
-    assert engine.counters(spark, 0).first().vehicles == 0
+    assert engine.counters(spark).first().vehicles == 0
 
 
 def test_rows_of_active_components(spark, tmp_path):
@@ -113,7 +187,8 @@ def test_rows_of_active_components(spark, tmp_path):
 
 def test_scores_follow_snapshots(spark, tmp_path):
     """Risk, alerts, audit rows, notifications and the view of two batches; a stale score changes nothing."""
-    from tarmac.streaming.scoring import ALERTS, RISK, Scorer
+    from tarmac.operators.alerts import ALERTS
+    from tarmac.streaming.scoring import RISK, Scorer
 
     class Model:
         kind, threshold = "fixed", 0.5
@@ -125,29 +200,110 @@ def test_scores_follow_snapshots(spark, tmp_path):
     owners, ticks = spark.createDataFrame([("c1", 5)], "vehicle_component_id string, tenant_id long"), iter([0.0, 5.0, 20.0])
     scorer = Scorer(f"{tmp_path}", Model(), lambda s: s, lambda: parts, lambda: owners, lambda risk: risk.select("vehicle_component_id", "p7d"), clock=lambda: next(ticks))
     rows = lambda ts: spark.createDataFrame([("v", "BRAKE", ts), ("v", "BATTERY", ts)], "vehicle_id string, component string, feature_ts_ms long")
+    log = Commits(spark, f"{tmp_path}")
     scorer.on_snapshots(rows(1), 0)
-    view = lambda: sinks.read_table(spark, f"{tmp_path}/view").first().p7d
-    assert view() == 0.9 and [r.status for r in sinks.read_table(spark, f"{tmp_path}/alerts", ALERTS).collect()] == ["ACTIVE"]
+    view = lambda: log.read("view").first().p7d
+    assert view() == 0.9 and [r.status for r in log.read("alerts", ALERTS).collect()] == ["ACTIVE"]
     scorer.on_snapshots(rows(2), 1)
     assert view() == 0.9  # not ten seconds old
     scorer.on_snapshots(rows(0), 2)  # stale
     assert view() == 0.1
-    risk = sinks.read_table(spark, f"{tmp_path}/risk", RISK).first()
+    risk = log.read("risk", RISK).first()
     assert (risk.vehicle_component_id, risk.p7d, risk.feature_ts_ms) == ("c1", 0.1, 2)
-    assert [r.status for r in sinks.read_table(spark, f"{tmp_path}/alerts", ALERTS).collect()] == ["RESOLVED"]
-    log = spark.read.parquet(f"{tmp_path}/audit")
-    assert sorted((r.action, r.tenant_id) for r in log.collect()) == [("ALERT_AUTO_RESOLVED", 5), ("ALERT_CREATED", 5)]
-    assert sinks.read_notifications(spark, f"{tmp_path}/notifications", 0).count() == 4 and DAY_MS
+    assert [r.status for r in log.read("alerts", ALERTS).collect()] == ["RESOLVED"]
+    assert sorted((r.action, r.tenant_id) for r in log.read("audit").collect()) == [("ALERT_AUTO_RESOLVED", 5), ("ALERT_CREATED", 5)]
+    latest = {r.component: r.feature_ts_ms for r in log.read("latest").collect()}
+    assert log.read("notifications").count() == 6 and latest == {"BRAKE": 2, "BATTERY": 2}
 
 
-def test_live_pipeline_batch_can_be_repeated(spark, tmp_path):
+def test_view_and_risk_written_follow_the_batch(spark, tmp_path):
+    """Only the buckets of the scored components are made anew, in the risk table and in the view."""
+    from tarmac.streaming.scoring import Scorer
+
+    class Model:
+        kind, threshold = "fixed", 0.5
+
+        def score(self, df):
+            return df.withColumn("p7d", F.lit(0.2))
+
+    parts = spark.range(200).select(F.concat(F.lit("v"), "id").alias("vehicle_id"), F.lit("BRAKE").alias("component"), F.concat(F.lit("c"), "id").alias("vehicle_component_id"), F.lit("ACTIVE").alias("status"))
+    owners = parts.select("vehicle_component_id", F.lit(1).cast("long").alias("tenant_id"))
+    scorer, log = Scorer(str(tmp_path), Model(), lambda s: s, lambda: parts, lambda: owners, lambda risk: risk.select("vehicle_component_id", "p7d", "feature_ts_ms"), refresh_seconds=0), Commits(spark, str(tmp_path))
+    scorer.on_snapshots(parts.select("vehicle_id", "component", F.lit(1).cast("long").alias("feature_ts_ms")), 0)
+    files = lambda t: {e["bucket"]: e["path"] for e in log.state().tables[t]}
+    risk, view = files("risk"), files("view")
+    assert len(risk) == len(view) > 50 and log.read("view").count() == 200
+    scorer.on_snapshots(spark.createDataFrame([("v7", "BRAKE", 5)], "vehicle_id string, component string, feature_ts_ms long"), 1)
+    assert sum(files("risk")[b] != p for b, p in risk.items()) == sum(files("view")[b] != p for b, p in view.items()) == 1
+    assert log.read("view").where("feature_ts_ms = 5").count() == 1 and log.read("view").count() == 200
+    assert scorer.refresh_view(log) == []
+
+
+def live(spark, path):
     fleet = spark.createDataFrame([(VIN, "v1", "HYBRID")], "vin string, vehicle_id string, vehicle_type string")
     parts = spark.createDataFrame([("v1", "POWERTRAIN", "c1", "ACTIVE")], "vehicle_id string, component string, vehicle_component_id string, status string")
-    live = Live(str(tmp_path), lambda: fleet, lambda: parts, lambda: dtc_registry(spark))
+    owners = spark.createDataFrame([("c1", 5)], "vehicle_component_id string, tenant_id long")
+    return Live(str(path), lambda: fleet, lambda: parts, lambda: dtc_registry(spark), lambda: owners)
+
+
+TABLES = ("telemetry", "dead_letters", "alerts", "audit")
+
+
+def test_live_pipeline_batch_can_be_repeated(spark, tmp_path):
+    log = Commits(spark, str(tmp_path))
     for _ in range(2):
-        live.batch(envelopes(spark), 0)
-    count = lambda x: spark.read.parquet(f"{tmp_path}/{x}").count()
-    assert (count("telemetry"), count("dead_letters"), count("alerts")) == (2, 3, 1)
+        live(spark, tmp_path).batch(envelopes(spark), 0)
+    assert [log.read(t).count() for t in TABLES] == [2, 3, 1, 1]
+    live(spark, tmp_path).batch(envelopes(spark), 1)  # all delivered again: telemetry and alerts are there
+    assert [log.read(t).count() for t in TABLES] == [2, 6, 1, 1]
+
+
+def test_a_crash_between_any_two_writes_loses_and_repeats_nothing(spark, tmp_path, monkeypatch):
+    """Each write, and the commit itself, fails once; readers see nothing of the batch, and its repeat leaves one alert and one audit row."""
+    steps, real = [], {n: getattr(Change, n) for n in ("append", "put", "commit")}
+    for n, f in real.items():
+        monkeypatch.setattr(Change, n, lambda self, *a, n=n, f=f, **k: (steps.append(n), f(self, *a, **k))[1])
+    live(spark, tmp_path / "whole").batch(envelopes(spark), 0)
+    assert steps == ["append", "put", "put", "append", "commit"]
+    for crash in range(len(steps)):
+        for after in (False, True):
+            left = [crash]
+
+            def call(self, *a, f, **k):
+                left[0] -= 1
+                if left[0] == -1 and not after:
+                    raise OSError("crash")
+                out = f(self, *a, **k)
+                if left[0] == -1:
+                    raise OSError("crash")
+                return out
+
+            for n, f in real.items():
+                monkeypatch.setattr(Change, n, lambda self, *a, f=f, **k: call(self, *a, f=f, **k))
+            root = tmp_path / f"{crash}{after}"
+            log = Commits(spark, str(root))
+            with pytest.raises(OSError):
+                live(spark, root).batch(envelopes(spark), 0)
+            done = crash == len(steps) - 1 and after
+            assert bool(log.state().tables) == done
+            live(spark, root).batch(envelopes(spark), 0)
+            assert [log.read(t).count() for t in TABLES] == [2, 3, 1, 1]
+
+
+def test_vehicles_are_read_anew_for_an_unknown_vin(spark, tmp_path):
+    """Not before the dimension is five seconds old, and without waiting for its sixty."""
+    fleets = [spark.createDataFrame([], "vin string, vehicle_id string, vehicle_type string"), spark.createDataFrame([(VIN, "v1", "HYBRID")], "vin string, vehicle_id string, vehicle_type string")]
+    now, reads = [0.0], []
+    engine = live(spark, tmp_path)
+    engine.vehicles, engine.clock = lambda: (reads.append(1), fleets[min(len(reads), 2) - 1])[1], lambda: now[0]
+    count = lambda: engine.resolved(envelopes(spark))[0].count()
+    assert (count(), len(reads)) == (0, 1)
+    now[0] = 4.9
+    assert (count(), len(reads)) == (0, 1)
+    now[0] = 5.0
+    assert count() > 0 and len(reads) == 2
+    now[0] = 9.0
+    assert count() > 0 and len(reads) == 2
 
 
 def test_first_delivery_keeps_one(spark):
