@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarmac.llm.ann import op6_approximate_nearest_neighbours
-from tarmac.llm.common import table
+from tarmac.llm.common import join_hot, table
 from tarmac.llm.decontam import op5_benchmark_decontamination
 from tarmac.llm.html_extract import op8_html_extraction
 from tarmac.llm.infill import op12_fill_in_middle
@@ -26,16 +26,16 @@ def base_of_op2(spark, sf_dir):
 
 
 def base_of_op10(spark, sf_dir):
-    """The counts of op10's base spans."""
-    return op10_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+    """The counts and places of op10's base spans."""
+    return op10_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
 
 
 def base_of_op7(spark, sf_dir):
     """Bytes by document from op7, and how many documents share a text."""
-    docs = table(spark, sf_dir, "documents")
+    keyed = table(spark, sf_dir, "documents").select("doc_id", content_digest(F.col("text")).alias("d"))
+    copies = keyed.groupBy("d").agg(F.count(F.lit(1)).alias("copies"), F.count(F.lit(1)).alias("rows"))
     sizes = op7_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
-    copies = docs.groupBy(content_digest(F.col("text")).alias("d")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"))
-    return sizes.join(copies.select("doc_id", "copies"), "doc_id")
+    return sizes.join(join_hot(keyed, copies, ["d"], "rows").select("doc_id", "copies"), "doc_id")
 
 
 QUERIES = {
@@ -53,9 +53,14 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _LUHN = "list_sum(list_transform(generate_series(1, length(d)), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse(d), i, 1) AS INTEGER) WHEN CAST(substr(reverse(d), i, 1) AS INTEGER) > 4 THEN 2 * CAST(substr(reverse(d), i, 1) AS INTEGER) - 9 ELSE 2 * CAST(substr(reverse(d), i, 1) AS INTEGER) END)) % 10 = 0"
 
 
-def _matches(name: str, pattern: str, check: str) -> str:
-    """A named subquery: how many matches of a pattern (as m, its digits as d) pass a check, by document."""
-    return f"{name} AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, m, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{pattern}')) AS m FROM documents)) WHERE {check} GROUP BY 1)"
+def _matches(name: str, kind: str, pattern: str, check: str) -> str:
+    """A named subquery: matches of a pattern (as m, its digits as d) that pass a check, with their places.
+
+    Matches are set between two control characters, and a place is the length of all that stands before, without these.
+    """
+    return f"""{name} AS (SELECT doc_id, '{kind}' AS kind, s, s + length(m) AS z FROM (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM (
+      SELECT doc_id, split_part(ps[i], chr(2), 1) AS m, CAST(list_sum(list_transform(ps[1 : i - 1], lambda x: length(x))) AS BIGINT) - (i - 2) AS s FROM (
+        SELECT doc_id, ps, unnest(generate_series(2, len(ps))) AS i FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '({pattern})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS ps FROM documents)))) WHERE {check})"""
 
 
 #: Lowest bit of the CRC-32 of a string of digits: bytes are folded in one by one, bit by bit, by the reversed polynomial.
@@ -98,11 +103,13 @@ ORACLE_SQL: dict[str, str] = {
       p AS (SELECT doc_id, i - 1 AS place, label FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS i FROM w), (VALUES (['mit', 'license'], 'mit'), (['apache', 'license'], 'apache'), (['general', 'public', 'license'], 'gpl')) t(phrase, label) WHERE ws[i : i + len(phrase) - 1] = phrase),
       g AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY 1)
       SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM w LEFT JOIN g USING (doc_id)""",
-    "base_of_op7": r"""SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, copies FROM documents JOIN (SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g')) USING (doc_id)""",
+    "base_of_op7": r"""SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, count(*) OVER (PARTITION BY regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g')) AS copies FROM documents""",
     "base_of_op10": "WITH " + ", ".join([
-        _matches("e", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
-        _matches("i", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_bool_and(list_transform(string_split(m, '.'), lambda x: CAST(x AS DOUBLE) <= 255))"),
-        _matches("c", r"[0-9](?:[ -]?[0-9])+", f"CASE WHEN length(d) BETWEEN 14 AND 19 THEN {_LUHN} ELSE false END"),
-        _matches("p", r"\+[0-9][ ().0-9-]+[0-9]", "length(d) BETWEEN 10 AND 15"),
-    ]) + " SELECT doc_id, coalesce(e.n, 0) AS n_email, coalesce(i.n, 0) AS n_ip, coalesce(c.n, 0) AS n_card, coalesce(p.n, 0) AS n_phone FROM documents LEFT JOIN e USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN p USING (doc_id)",
+        _matches("e", "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        _matches("i", "ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_bool_and(list_transform(string_split(m, '.'), lambda x: CAST(x AS DOUBLE) <= 255))"),
+        _matches("c", "card", r"[0-9](?:[ -]?[0-9])+", f"CASE WHEN length(d) BETWEEN 14 AND 19 THEN {_LUHN} ELSE false END"),
+        _matches("p", "phone", r"\+[0-9][ ().0-9-]+[0-9]", "length(d) BETWEEN 10 AND 15"),
+    ]) + """, spans AS (SELECT * FROM e UNION ALL SELECT * FROM i UNION ALL SELECT * FROM c UNION ALL SELECT * FROM p)
+      SELECT doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
+        sha256(coalesce(string_agg(kind || ':' || CAST(s AS VARCHAR) || ':' || CAST(z AS VARCHAR), ',' ORDER BY s, list_position(['email', 'ip', 'card', 'phone'], kind)), '')) AS base_sha256 FROM documents LEFT JOIN spans USING (doc_id) GROUP BY 1""",
 }
