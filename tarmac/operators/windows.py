@@ -1,10 +1,11 @@
 """Exact half-open windows [t - W, t) at every hour boundary t, from hour blocks.
 
 Events are summed into hour blocks with a partial sum before the shuffle (a vehicle of any size leaves one row an hour).
-Hours are cut into aligned days. A day's window is the end of one day and the beginning of the next, and both are running
-merges, so a block is posted twice: as the hour before its snapshot, and to the day after its own. A vehicle's day is then
-one partition of at most 48 blocks, in which two frames that only grow give every snapshot's window; no block is copied to
-each of the 24 windows that hold it. Hours without events get a snapshot as well.
+Hours are cut into aligned days. A day's window is the end of one day and the beginning of the next, and both are
+running merges, so a block is posted twice: as the hour before its snapshot, and to the day after its own, where it leaves
+the window. A vehicle's day is then one partition of at most 48 blocks, in which two frames that only grow give the window
+at each change; between changes all snapshots have the same one. No block is copied to each of the 24 windows that hold it.
+Hours without events get a snapshot as well.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from tarmac.functions.stats import INPUT_COLUMNS, Stat, all_stats
 
 HOURS = 24
 LAST_MINUTE = 55
-_ENDS = ("ts", "seq", "value")
 
 
 def allowed(telemetry: DataFrame, by: str) -> DataFrame:
@@ -35,9 +35,10 @@ def hour_blocks(telemetry: DataFrame, stats: dict[str, Stat] | None = None, by:
     """(vehicle_id, hour, h_<stat>, l_<stat>, first_ts, last_ts): whole hours, and their last five minutes (l_)."""
     stats = stats or all_stats()
     late = F.floor(F.col("ts_ms") / 60_000) % 60 >= LAST_MINUTE
-    whole = [s.aggregate().alias(f"h_{n}") for n, s in stats.items()]
-    last = [Stat(s.name, s.op, F.when(late, s.value)).aggregate().alias(f"l_{n}") for n, s in stats.items()]
-    return allowed(telemetry, by).groupBy(by, F.floor(F.col("ts_ms") / HOUR_MS).alias("hour")).agg(*whole, *last, F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"))
+    parts = allowed(telemetry, by).select(by, "ts_ms", F.floor(F.col("ts_ms") / HOUR_MS).alias("hour"), late.alias("__late"), *[s.part().alias(f"__{n}") for n, s in stats.items()])
+    whole = [s.op.filled(f"{s.op.function}(`__{n}`)") + f" AS `h_{n}`" for n, s in stats.items()]
+    last = [s.op.filled(f"{s.op.function}(if(__late, `__{n}`, null))") + f" AS `l_{n}`" for n, s in stats.items()]
+    return parts.groupBy(by, "hour").agg(*map(F.expr, whole + last), F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"))
 
 
 def snapshots(telemetry: DataFrame, windows: dict[str, list[str]] | None = None, stats: dict[str, Stat] | None = None, by: str = "vehicle_id") -> DataFrame:
@@ -57,10 +58,17 @@ def snapshots(telemetry: DataFrame, windows: dict[str, list[str]] | None = None,
 
 def window_merge(blocks: DataFrame, due: DataFrame, windows: dict[str, list[str]], stats: dict[str, Stat], by: str = "vehicle_id") -> DataFrame:
     """The snapshots of the hours ``from_hour`` to ``to_hour`` of each row of ``due`` (by, first_event_ts_ms and these), from hour blocks."""
-    found = sliding_merge(blocks, due, windows, stats, by)
+    days = due.where("from_hour <= to_hour").selectExpr(f"`{by}`", "first_event_ts_ms", "from_hour", "to_hour", f"explode(sequence({_day('from_hour', HOURS)}, {_day('to_hour', HOURS)})) AS day")
+    days = days.selectExpr(f"`{by}`", "day", "first_event_ts_ms", f"sequence(greatest(from_hour, day * {HOURS} + 1), least(to_hour, (day + 1) * {HOURS})) AS hours")
+    found = sliding_merge(blocks, days, windows, stats, by)
     return found.select(*[c for c in found.columns if c != "t"], (F.col("t") * HOUR_MS).alias("feature_ts_ms"))
 
 
+def _day(t: str, span: int) -> str:
+    """Day d holds the snapshots of hours d * span + 1 to (d + 1) * span."""
+    return f"CAST(floor(({t} - 1) / {span}) AS BIGINT)"
+
+
 #: Windows from buckets: the buckets' width in seconds, and how many make a window.
 BANDS = {"5m": (60, 5), "1h": (60, 60), "24h": (900, 96)}
 
@@ -80,60 +88,38 @@ def bucket_snapshots(telemetry: DataFrame, points: DataFrame, windows: dict[str,
         blocks = buckets(telemetry, width, used, by)
         blocks = blocks.select(by, F.col("bucket").alias("hour"), *[F.col(x).alias(f"h_{x}") for x in names])
         index = F.floor(F.col("feature_ts_ms") / (width * 1000))
-        due = out.select(by, index.alias("from_hour"), index.alias("to_hour"), F.lit(0).cast("long").alias("first_event_ts_ms")).distinct()
-        merged = sliding_merge(blocks, due, {w: names}, used, by, n, w).drop("first_event_ts_ms")
+        days = out.select(by, index.alias("t")).groupBy(by, F.expr(_day("t", n)).alias("day")).agg(F.lit(0).cast("long").alias("first_event_ts_ms"), F.collect_set("t").alias("hours"))
+        merged = sliding_merge(blocks, days, {w: names}, used, by, n, w).drop("first_event_ts_ms")
         out = out.withColumn("t", index).join(merged, [by, "t"]).drop("t")
     return out
 
 
-def sliding_merge(blocks: DataFrame, due: DataFrame, windows: dict[str, list[str]], stats: dict[str, Stat], by: str = "vehicle_id", span: int = HOURS, wide: str = "24h") -> DataFrame:
-    """(by, first_event_ts_ms, <window>_<stat>, t) for each t of ``due`` (by, first_event_ts_ms, from_hour, to_hour), from blocks of any width.
+def sliding_merge(blocks: DataFrame, days: DataFrame, windows: dict[str, list[str]], stats: dict[str, Stat], by: str = "vehicle_id", span: int = HOURS, wide: str = "24h") -> DataFrame:
+    """(by, first_event_ts_ms, <window>_<stat>, t) for each t among the ``hours`` of ``days`` (by, day, first_event_ts_ms, hours: a row a day), from blocks of any width.
 
     ``blocks`` has h_ and l_ columns and their number ``hour``; the window ``wide`` spans ``span`` blocks before t, the others one.
     """
-    day_of = lambda t: F.floor((t - 1) / span)  # noqa: E731 - day d holds the snapshots of hours 24 d + 1 to 24 d + 24
-    sides = [(side, n, stats[n]) for side, names in (("h", {x for w in windows if w != "5m" or wide == "5m" for x in windows[w]}), ("l", set(windows.get("5m", []) if wide != "5m" else []))) for n in stats if n in names]
-    # A group below has one block of a kind at most, so its parts are picked by maxima of plain columns, which hash aggregation takes.
-    flat: dict[str, Column] = {}
-    for side, n, s in sides:
-        name = f"{side}_{n}"
-        flat |= {f"{name}.{f}": F.col(f"`{name}`.{f}") for f in _ENDS} if s.op.ends else {name: F.col(f"`{name}`")}
-    posted = blocks.select(by, (F.col("hour") + 1).alias("t"), F.lit(True).alias("own"), *[c.alias(n) for n, c in flat.items()])
-    if wide in windows:
-        earlier = {n: c for n, c in flat.items() if n.startswith("h_") and n.split(".")[0][2:] in windows[wide]}
-        posted = blocks.select(by, "hour", *[F.struct(*[c.alias(n) for n, c in flat.items()]).alias("parts")], F.explode(F.array(F.lit(True), F.lit(False))).alias("own")).where(f"own or hour % {span} != 0")
-        posted = posted.select(by, F.when(F.col("own"), F.col("hour") + 1).otherwise(F.col("hour") + span).alias("t"), "own", *[(F.col(f"parts.`{n}`") if n in earlier else F.when(F.col("own"), F.col(f"parts.`{n}`"))).alias(n) for n in flat])
-    posted = posted.withColumn("day", day_of(F.col("t")))
-    days = due.where("from_hour <= to_hour").withColumn("day", F.explode(F.sequence(day_of(F.col("from_hour")), day_of(F.col("to_hour")))))
-    days = days.withColumn("hours", F.sequence(F.greatest("from_hour", F.col("day") * span + 1), F.least("to_hour", (F.col("day") + 1) * span))).select(by, "day", "first_event_ts_ms", "hours")
-    met = posted.unionByName(days, allowMissingColumns=True).repartition(by, "day")
-    met = met.select("*", F.explode(F.coalesce("hours", F.array("t"))).alias("at"))
-    picked = [F.max(F.when(F.col("own"), F.col(f"`{n}`"))).alias(f"own_{n}") for n in flat]
-    if wide in windows:
-        picked += [F.max(F.when(~F.col("own"), F.col(f"`{n}`"))).alias(f"old_{n}") for n in earlier]
-    dense = met.groupBy(by, "day", F.col("at").alias("t")).agg(F.max("first_event_ts_ms").alias("first_event_ts_ms"), *picked)
-
-    def part(kind: str, side: str, s: Stat) -> Column:
-        if not s.op.ends:
-            return F.col(f"`{kind}_{side}_{s.name}`")
-        at = [F.col(f"`{kind}_{side}_{s.name}.{f}`") for f in _ENDS]
-        return F.when(at[0].isNotNull(), F.struct(*[c.alias(f) for c, f in zip(at, _ENDS, strict=True)]))
-
-    place = Window.partitionBy(by, "day")
-    beginning = place.orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ending = place.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = {}
-    for n in windows.get(wide, []):
-        op = stats[n].op
-        running[f"new.{n}"], running[f"old.{n}"] = op.over(part("own", "h", stats[n]), beginning), op.over(part("old", "h", stats[n]), ending)
-    found = dense.select("*", *[c.alias(n) for n, c in running.items()]).where("first_event_ts_ms is not null")
-    out = []
-    for w, names in windows.items():
-        for n in names:
-            op = stats[n].op
-            value = op.two(F.col(f"`old.{n}`"), F.col(f"`new.{n}`")) if w == wide else op.fill(part("own", "l" if w == "5m" else "h", stats[n]))
-            out.append(value.alias(f"{w}_{n}"))
-    return found.select(by, "first_event_ts_ms", *out, "t")
+    key, sliding = f"`{by}`", windows.get(wide, [])
+    held = [f"h_{n}" for n in stats if any(n in names for w, names in windows.items() if w == wide or w != "5m")]
+    held += [f"l_{n}" for n in stats if wide != "5m" and n in windows.get("5m", [])]
+    # An own block comes in at the hour after it, one of the day before goes out at the hour after its last window.
+    own = f"explode(if(hour % {span} = 0, array(true), array(true, false)))" if sliding else "true"
+    posted = blocks.selectExpr(key, "hour", *[f"`{c}`" for c in held], f"{own} AS own")
+    day = f"if(own, {_day('hour + 1', span)}, {_day(f'hour + {span}', span)}) AS day"
+    posted = posted.selectExpr(key, day, f"if(own, hour + 1, hour + {span + 1}) AS at", "own", *[f"`{c}`" if c[:2] == "h_" and c[2:] in sliding else f"if(own, `{c}`, null) AS `{c}`" for c in held])
+    starts = days.selectExpr(key, "day", f"day * {span} + 1 AS at", "first_event_ts_ms", "hours")
+    met = posted.unionByName(starts, allowMissingColumns=True).repartition(by, "day")
+    so_far = f"OVER (PARTITION BY {key}, day ORDER BY at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    to_come = f"OVER (PARTITION BY {key}, day ORDER BY at DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    running = [f"{stats[n].op.function}(if(own, `h_{n}`, null)) {so_far} AS `new.{n}`" for n in sliding] + [f"{stats[n].op.function}(if(own, null, `h_{n}`)) {to_come} AS `old.{n}`" for n in sliding]
+    running += [f"max(if(own, at, null)) {so_far} AS last_own", f"max(first_event_ts_ms) {so_far} AS `first.ts`", f"max(hours) {so_far} AS `due`", f"min(at) {to_come} AS until"]
+    # One row a change: the own block's, which has the short windows, where there is one.
+    changes = met.selectExpr("*", *running).where("`first.ts` IS NOT NULL AND (own OR last_own IS NULL OR last_own <> at)")
+    # Packed, a change is copied to its snapshots as one value; the columns are laid out once.
+    packed = [f"'{c}', `{c}`" for c in held] + [f"'{wide}_{n}', {stats[n].op.both(f'`old.{n}`', f'`new.{n}`')}" for n in sliding]
+    merged = changes.selectExpr(key, "`first.ts` AS first_event_ts_ms", "own", "at", f"named_struct({', '.join(packed)}) AS has", "explode(filter(due, t -> t >= at AND (until IS NULL OR t < until))) AS t")
+    short = [stats[n].op.filled(f"if(own AND t = at, has.`{'l' if w == '5m' else 'h'}_{n}`, null)") + f" AS `{w}_{n}`" for w, names in windows.items() if w != wide for n in names]
+    return merged.selectExpr(key, "first_event_ts_ms", *short, *[f"has.`{wide}_{n}`" for n in sliding], "t")
 
 
 def rolling(df: DataFrame, by: str, ts: str, seconds: int, aggregates: dict[str, Column]) -> DataFrame:
