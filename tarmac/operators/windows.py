@@ -108,7 +108,9 @@ def sliding_merge(blocks: DataFrame, days: DataFrame, windows: dict[str, list[st
     day = f"if(own, {_day('hour + 1', span)}, {_day(f'hour + {span}', span)}) AS day"
     posted = posted.selectExpr(key, day, f"if(own, hour + 1, hour + {span + 1}) AS at", "own", *[f"`{c}`" if c[:2] == "h_" and c[2:] in sliding else f"if(own, `{c}`, null) AS `{c}`" for c in held])
     starts = days.selectExpr(key, "day", f"day * {span} + 1 AS at", "first_event_ts_ms", "hours")
-    met = posted.unionByName(starts, allowMissingColumns=True).repartition(by, "day")
+    # A number of partitions of its own: by bytes, adaptive execution would join what is still to expand into few.
+    partitions = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = posted.unionByName(starts, allowMissingColumns=True).repartition(partitions, by, "day")
     so_far = f"OVER (PARTITION BY {key}, day ORDER BY at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     to_come = f"OVER (PARTITION BY {key}, day ORDER BY at DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     running = [f"{stats[n].op.function}(if(own, `h_{n}`, null)) {so_far} AS `new.{n}`" for n in sliding] + [f"{stats[n].op.function}(if(own, null, `h_{n}`)) {to_come} AS `old.{n}`" for n in sliding]

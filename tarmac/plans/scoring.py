@@ -131,10 +131,10 @@ def _slices(spark, sf_dir, folder: str, n: int, hours: int = 20) -> DataFrame:
 
 @query(f"WITH {GRID}, {WINDOW_TOTALS_SQL}")
 def stream_snapshots(spark, sf_dir):
-    """All 70 statistics of all windows through the stream's state, in six micro-batches with repeated deliveries, summed up by vehicle."""
+    """All 70 statistics of all windows through the stream's state, in five micro-batches with repeated deliveries, summed up by vehicle."""
     folder = _folder(spark)
-    engine = Snapshots(folder)
-    named = telemetry(spark, sf_dir, _slices(spark, sf_dir, f"{folder}-events", 6)).withColumn("event_ts", F.timestamp_millis("ts_ms"))
+    engine = Snapshots(folder, buckets=8)
+    named = telemetry(spark, sf_dir, _slices(spark, sf_dir, f"{folder}-events", 5)).withColumns({"event_ts": F.timestamp_millis("ts_ms"), "arrival": F.col("ts_ms")})
     engine.start(dedup(named, horizon="25 hours").drop("event_ts")).awaitTermination()
     return window_totals(engine.read(spark))
 

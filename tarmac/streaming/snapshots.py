@@ -52,10 +52,11 @@ def with_lateness(events: DataFrame, latest: DataFrame, lateness_ms: int, by: st
 class Snapshots:
     """The state of a stream of telemetry under one root folder, which all executors share.
 
-    Events that have a column ``arrival`` are taken in its order (as a topic's offset gives it), others as they are read.
+    Events that have a column ``arrival`` are taken in its order (as a topic's offset gives it), others as they are read: give it
+    where rows have been shuffled since, as ``dedup`` does.
     ``on_snapshots`` gets each batch's snapshots (once they are committed) and the batch's number; it is called again when a
     batch is repeated. A vehicle that no batch has touched for ``ttl_seconds`` of wall-clock time is forgotten, at the latest
-    ``buckets`` batches later.
+    ``buckets`` batches later. A batch writes at least a file for each bucket it touches, so few buckets suit small fleets.
     """
 
     def __init__(self, root: str, stats: dict[str, Stat] | None = None, windows: dict[str, list[str]] | None = None, config: FeatureConfig | None = None,
