@@ -165,7 +165,11 @@ def read_notifications(spark: SparkSession, path: str, after: int = -1, most: in
 
 
 def flush_audit(rows: DataFrame, path: str, batch_id: int, most: int = 5000) -> None:
-    """Audit rows of a micro-batch, in files of at most ``most`` rows; a repeated batch writes them once."""
+    """Audit rows of a micro-batch, in files of at most ``most`` rows; a repeated batch writes them once.
+
+    The rows must follow from the batch alone: what depends on other tables is written with them in one commit
+    (``sources.commits``), as the live pipeline and the scorer do.
+    """
     rows.write.mode("overwrite").option("maxRecordsPerFile", most).parquet(f"{path}/batch={batch_id:012d}")
 
 

@@ -40,6 +40,46 @@ def test_snapshots_do_not_see_the_future(spark):
     assert set(INPUT_COLUMNS) <= {x.split()[0] for x in RECORD.split(", ")}
 
 
+def test_only_listed_columns_influence_features(spark):
+    """A statistic of another column of the telemetry doesn't resolve."""
+    from pyspark.errors import AnalysisException
+
+    from tarmac.functions.stats import Merge, Stat
+
+    df = spark.createDataFrame([record(T0 + 1, 1, speed_kmh=5.0)], RECORD).withColumn("wear_level", F.lit(3.0))
+    assert windows.hour_blocks(df, {"odo_max": all_stats()["odo_max"]}).count() == 1
+    for make in (lambda s: windows.hour_blocks(df, s), lambda s: windows.buckets(df, 60, s), lambda s: windows.snapshots(df, {"24h": ["x"]}, s)):
+        with pytest.raises(AnalysisException):
+            make({"x": Stat("x", Merge.GREATEST, F.col("wear_level"))}).schema
+
+
+def test_dense_hours_and_windows_of_buckets(spark):
+    """Every hour of three days full, and the windows of buckets at odd times, against sums over the events."""
+    rnd = random.Random(11)
+    data = [record(T0 + h * HOUR_MS + rnd.randrange(HOUR_MS), 100 * h + i, speed_kmh=float(rnd.randrange(2, 90)), soc_pct=float(rnd.randrange(100))) for h in range(75) for i in range(rnd.randrange(1, 5))]
+    df, stats = spark.createDataFrame(data, RECORD), {n: all_stats()[n] for n in ("n_events", "speed_sum", "soc_first", "soc_last", "soc_min")}
+    at = {n: i for i, n in enumerate(x.split()[0] for x in RECORD.split(", "))}
+
+    def brute(a, z):
+        rows = sorted((r[at["ts_ms"]], r[at["seq"]], r[at["speed_kmh"]], r[at["soc_pct"]]) for r in data if a <= r[at["ts_ms"]] < z)
+        return len(rows), sum(r[2] for r in rows), *((rows[0][3], rows[-1][3], min(r[3] for r in rows)) if rows else (None,) * 3)
+
+    plain = lambda r, w: (r[f"{w}_n_events"], r[f"{w}_speed_sum"], *((r[f"{w}_{n}"] or {"value": None})["value"] for n in ("soc_first", "soc_last")), r[f"{w}_soc_min"])
+    got = windows.snapshots(df, {w: list(stats) for w in ("5m", "1h", "24h")}, stats).collect()
+    assert len(got) == 74
+    for r in got:
+        for w, ms in (("5m", 300_000), ("1h", HOUR_MS), ("24h", DAY_MS)):
+            assert plain(r.asDict(), w) == brute(r.feature_ts_ms - ms, r.feature_ts_ms), (w, r.feature_ts_ms)
+    points = spark.createDataFrame([("v", T0 + rnd.randrange(80 * HOUR_MS)) for _ in range(40)], "vehicle_id string, feature_ts_ms long")
+    points = points.withColumn("vehicle_id", F.lit(data[0][0]))
+    found = windows.bucket_snapshots(df, points, {w: list(stats) for w in windows.BANDS}, stats).collect()
+    assert len(found) == 40
+    for r in found:
+        for w, (width, n) in windows.BANDS.items():
+            end = r.feature_ts_ms // (width * 1000)
+            assert plain(r.asDict(), w) == brute((end - n) * width * 1000, end * width * 1000), (w, r.feature_ts_ms)
+
+
 SNAP, EVENT = "vehicle_component_id string, feature_ts_ms long", "vehicle_component_id string, event_id string, event_type string, ts_ms long"
 
 
