@@ -6,9 +6,6 @@ for signals. Errors and purchases are triggers, sign-ups services.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,18 +83,16 @@ def window_totals(snapshots: DataFrame) -> DataFrame:
     """Every statistic of every window summed over each vehicle's snapshots: a small result that holds all of them."""
     plain = plain_stats(snapshots)
     names = [f"{w}_{n}" for w in _WINDOWS for n in all_stats()]
-    return plain.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("snapshots"), *[F.round(F.sum(F.col(f"`{n}`").cast("double")), 2).alias(n) for n in names])
+    return plain.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("snapshots"), *[F.expr(f"round(sum(CAST(`{n}` AS DOUBLE)), 2) AS `{n}`") for n in names])
 
 
 def plain_stats(df: DataFrame) -> DataFrame:
     """Sums rounded as the SQL rounds them, first and last values without their keys."""
-    out = {}
+    out = []
     for c in df.columns:
-        if c.endswith(("_sum", "_sumsq")):
-            out[c] = F.round(F.col(f"`{c}`"), 2)
-        elif c.endswith(("soc_first", "soc_last")):
-            out[c] = F.col(f"`{c}`.value")
-    return df.withColumns(out)
+        value = f"round(`{c}`, 2)" if c.endswith(("_sum", "_sumsq")) else f"`{c}`.value" if c.endswith(("soc_first", "soc_last")) else f"`{c}`"
+        out.append(f"{value} AS `{c}`")
+    return df.selectExpr(*out)
 
 
 def six() -> dict:
@@ -173,9 +168,9 @@ WINDOW_MARKS_SQL = WINDOW_TOTALS_SQL[: WINDOW_TOTALS_SQL.index(" SELECT vehicle_
 
 def window_marks(snapshots: DataFrame) -> DataFrame:
     """Every snapshot with one number for each of its windows, into which all statistics go."""
-    values = {f"{w}_{n}": F.col(f"`{w}_{n}`.value" if n in ("soc_first", "soc_last") else f"`{w}_{n}`") for w in _WINDOWS for n in _WEIGHTS}
-    mark = lambda w: reduce(add, [F.coalesce(F.floor(values[f"{w}_{n}"].cast("double") * 100 + 0.5).cast("long"), F.lit(7777)) * k for n, k in _WEIGHTS.items()])
-    return snapshots.select("vehicle_id", "feature_ts_ms", *[mark(w).alias(f"mark_{w}") for w in _WINDOWS])
+    value = lambda w, n: f"`{w}_{n}`.value" if n in ("soc_first", "soc_last") else f"`{w}_{n}`"
+    mark = lambda w: " + ".join(f"coalesce(CAST(floor(CAST({value(w, n)} AS DOUBLE) * 100 + 0.5) AS BIGINT), 7777L) * {k}" for n, k in _WEIGHTS.items())
+    return snapshots.selectExpr("vehicle_id", "feature_ts_ms", *[f"{mark(w)} AS `mark_{w}`" for w in _WINDOWS])
 
 
 @query(f"WITH {GRID}, {WINDOW_MARKS_SQL}")
