@@ -87,10 +87,10 @@ def window_totals(snapshots: DataFrame) -> DataFrame:
 
 
 def plain_stats(df: DataFrame) -> DataFrame:
-    """Sums rounded as the SQL rounds them, first and last values without their keys."""
+    """Sums rounded as the SQL rounds them (most are zero: rounding is the dear part), first and last values without their keys."""
     out = []
     for c in df.columns:
-        value = f"round(`{c}`, 2)" if c.endswith(("_sum", "_sumsq")) else f"`{c}`.value" if c.endswith(("soc_first", "soc_last")) else f"`{c}`"
+        value = f"if(`{c}` = 0, `{c}`, round(`{c}`, 2))" if c.endswith(("_sum", "_sumsq")) else f"`{c}`.value" if c.endswith(("soc_first", "soc_last")) else f"`{c}`"
         out.append(f"{value} AS `{c}`")
     return df.selectExpr(*out)
 
