@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.functions import features
-from tarmac.functions.scalars import is_valid_vin, iso_millis, nan_to_null, percent_text, sorted_codes
+from tarmac.functions.scalars import iso_millis, nan_to_null, percent_text, sorted_codes, vin_check_digit
 from tarmac.operators import alerts as A
 from tarmac.operators import ingest, labels, ml, serving, windows
 from tarmac.plans.registry import query
@@ -28,8 +28,7 @@ def vins(spark, sf_dir) -> DataFrame:
     """(vehicle_id, vin): one of its own for each customer."""
     key = F.col("c_custkey").cast("string")
     made = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("WTX"), F.lpad(key, 5, "0"), F.lit("Z"), F.lpad(key, 8, "0")).alias("vin"))
-    options = F.transform(F.array(*[F.lit(d) for d in [*map(str, range(10)), "X"]]), lambda d: F.concat(F.substring("vin", 1, 8), d, F.substring("vin", 10, 8)))
-    right = F.get(F.filter(options, is_valid_vin), F.lit(0))
+    right = F.concat(F.substring("vin", 1, 8), vin_check_digit(F.col("vin")), F.substring("vin", 10, 8))
     return made.select(F.col("c_custkey").alias("vehicle_id"), F.when(F.col("c_custkey") % 2 == 0, right).otherwise(F.col("vin")).alias("vin"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.functions.scalars import coarse, encode_cursor, is_valid_vin, money_label, py_round, uuid5, vin_of_payload
+from tarmac.functions.scalars import vin_check_digit as check_digit
 from tarmac.operators import alerts as A
 from tarmac.operators import serving as S
 from tarmac.operators import upserts
@@ -229,9 +230,7 @@ def vin_check_digit(spark, sf_dir):
     key = F.col("c_custkey")
     letters = [F.substr(F.lit(ALPHABET), ((key * (7 * i + 3) + i * i) % 33 + 1).cast("int"), F.lit(1)) for i in range(17)]
     made = table(spark, sf_dir, "customer").select("c_custkey", F.concat(*letters).alias("vin"))
-    digits = F.array(*[F.lit(d) for d in [*map(str, range(10)), "X"]])
-    options = F.transform(digits, lambda d: F.concat(F.substring("vin", 1, 8), d, F.substring("vin", 10, 8)))
-    right = F.get(F.filter(options, is_valid_vin), F.lit(0))
+    right = F.concat(F.substring("vin", 1, 8), check_digit(F.col("vin")), F.substring("vin", 10, 8))
     return made.withColumn("vin", F.when(key % 2 == 0, right).otherwise(F.col("vin"))).select("c_custkey", "vin", is_valid_vin(F.col("vin")).alias("valid"))
 
 
