@@ -24,13 +24,18 @@ OEM_B = "vehicle struct<vin:string>, timestamp_epoch_ms long, sequence_no long,
 MILE_KM, G_MS2 = 1.609344, 9.80665
 
 
+def once(x: Column) -> Column:
+    """A dear value as a generated column of one row each: conditions on it stay above, where plain columns would be put into them again and again."""
+    return F.explode(F.array(x))
+
+
 def resolve(envelopes: DataFrame, vehicles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(resolved envelopes, dead letters).
 
     ``envelopes``: received_at, oem_id, schema_version, payload (JSON text). ``vehicles``: vin, vehicle_id, vehicle_type;
     Spark broadcasts it where it is small. Dead letters carry MISSING_VIN, INVALID_VIN or UNKNOWN_VIN.
     """
-    named = envelopes.withColumn("vin", vin_of_payload(F.col("payload")))
+    named = envelopes.withColumn("vin", once(vin_of_payload(F.col("payload"))))
     found = named.join(vehicles.select("vin", "vehicle_id", "vehicle_type"), "vin", "left")
     reason = F.when(F.col("vin").isNull() | (F.col("vin") == ""), "MISSING_VIN").when(~is_valid_vin(F.col("vin")), "INVALID_VIN").when(F.col("vehicle_id").isNull(), "UNKNOWN_VIN")
     tagged = found.withColumn("reason", reason)
@@ -46,7 +51,7 @@ def fahrenheit(x: Column) -> Column:
 def adapt_oem_a(df: DataFrame) -> DataFrame:
     """Flat metric payloads."""
     p = lambda c: F.col(f"p.{c}")
-    parsed = df.withColumn("p", F.from_json("payload", OEM_A)).where("p is not null")
+    parsed = df.withColumn("p", once(F.from_json("payload", OEM_A))).where("p is not null")
     power = F.coalesce(p("powerKw"), py_round(p("batteryVoltage") * p("batteryCurrent") / 1000, 2))
     charging = F.coalesce(p("charging"), F.when(F.col("vehicle_type") == "ICE", F.lit(None).cast("boolean")).otherwise(F.lit(False)))
     return parsed.select(
@@ -63,7 +68,7 @@ def adapt_oem_a(df: DataFrame) -> DataFrame:
 def adapt_oem_b(df: DataFrame) -> DataFrame:
     """Nested payloads in US units."""
     p = lambda c: F.col(f"p.{c}")
-    parsed = df.withColumn("p", F.from_json("payload", OEM_B)).where("p is not null")
+    parsed = df.withColumn("p", once(F.from_json("payload", OEM_B))).where("p is not null")
     has = lambda e: F.coalesce(F.array_contains(p("events"), e), F.lit(False))
     return parsed.select(
         *_head(df), iso_millis(p("timestamp_epoch_ms")).alias("event_ts"), p("sequence_no").alias("seq"),

@@ -53,7 +53,7 @@ def envelopes(spark, sf_dir) -> DataFrame:
     third = seq % 3
     return e.select(
         seq.cast("string").alias("received_at"), F.when(third == 0, "OEM_A").when(third == 1, "OEM_B").otherwise("OEM_C").alias("oem_id"), F.when(third == 0, "1.0").when(third == 1, "2.0").otherwise("9").alias("schema_version"),
-        F.when(third == 1, nested).otherwise(flat).alias("payload"),
+        ingest.once(F.when(third == 1, nested).otherwise(flat)).alias("payload"),
     )
 
 

@@ -379,3 +379,13 @@ def test_rounding_is_pythons(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     for digits in (0, 2, 3):
         assert [r[0] for r in df.select(py_round(F.col("x"), digits)).collect()] == [None if v is None else round(v, digits) for v in values]
+
+
+def test_payloads_are_parsed_once(spark):
+    """Conditions on parsed fields stay above parsing: they were put into it, each field with a parse of its own."""
+    envelopes = spark.createDataFrame([("1", "OEM_A", "1.0", '{"vin": "1HGCM82633A004352", "sequence": 5, "vehicleSpeed": 3.0}'), ("2", "OEM_B", "2.0", '{"vehicle": {"vin": "1HGCM82633A004352"}, "sequence_no": 6}')], "received_at string, oem_id string, schema_version string, payload string").repartition(2)
+    vehicles = spark.createDataFrame([("1HGCM82633A004352", "7", "EV")], "vin string, vehicle_id string, vehicle_type string")
+    found = ingest.violations(ingest.normalise(ingest.resolve(envelopes, vehicles)[0])).where(F.size("violations") > 0).select("seq", "violations")
+    assert sorted(r.seq for r in found.collect()) == [5, 6]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("from_json("), plan.count("get_json_object(")) == (2, 4)
