@@ -132,6 +132,18 @@ def test_types_follow_the_context():
     assert right > wrong + 2
 
 
+def test_every_token_is_predicted_in_training():
+    """Four types take turns: training moves the vectors of each, wherever it stands."""
+    ids = np.tile(np.array([3000, 3100, 3200, 3300], dtype=np.int16), 100)
+    counts = np.sort(np.random.default_rng(2).zipf(1.3, lm_score.TYPES).astype(float))[::-1]
+    weights = lm_score.fresh(counts)
+    before = lm_score.unpack(weights.copy())
+    lm_score.train(weights, lm_score.windows(ids, np.array([len(ids)])), ids, lm_score.Classes(counts))
+    after = lm_score.unpack(weights)
+    for t in (3000, 3100, 3200, 3300):
+        assert after[5][t] > before[5][t] and np.abs(after[4][t] - before[4][t]).max() > 1e-4
+
+
 def totals(rows, targets):
     n = sum(r.n_tokens for r in rows)
     return {d: sum(r.rate * r.n_tokens * r[f"p_{d}"] for r in rows) / n for d in targets}
