@@ -136,7 +136,7 @@ def stream_snapshots(spark, sf_dir):
     engine = Snapshots(folder, buckets=8)
     named = telemetry(spark, sf_dir, _slices(spark, sf_dir, f"{folder}-events", 5)).withColumns({"event_ts": F.timestamp_millis("ts_ms"), "arrival": F.col("ts_ms")})
     engine.start(dedup(named, horizon="25 hours").drop("event_ts")).awaitTermination()
-    return window_totals(engine.read(spark))
+    return window_totals(engine.read_spells(spark))
 
 
 _LATE_SQL = f"""{RAW}, o AS (SELECT vehicle_id, seq, ts_ms, (seq * 7919) % 10007 AS arrival FROM raw),

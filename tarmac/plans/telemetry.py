@@ -79,11 +79,11 @@ WINDOW_TOTALS_SQL = ", ".join(
 ) + " SELECT vehicle_id, count(*) AS snapshots, " + ", ".join(f'round(sum(CAST("{w}_{n}" AS DOUBLE)), 2) AS "{w}_{n}"' for w in _WINDOWS for n in _ALL_SQL) + " FROM x24h JOIN x1h USING (vehicle_id, t) JOIN x5m USING (vehicle_id, t) GROUP BY 1"
 
 
-def window_totals(snapshots: DataFrame) -> DataFrame:
+def window_totals(spells: DataFrame) -> DataFrame:
     """Every statistic of every window summed over each vehicle's snapshots: a small result that holds all of them."""
-    plain = plain_stats(snapshots)
+    plain = plain_stats(spells).withColumn("n", F.size("hours"))
     names = [f"{w}_{n}" for w in _WINDOWS for n in all_stats()]
-    return plain.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("snapshots"), *[F.expr(f"round(sum(CAST(`{n}` AS DOUBLE)), 2) AS `{n}`") for n in names])
+    return plain.groupBy("vehicle_id").agg(F.sum("n").alias("snapshots"), *[F.expr(f"round(sum(CAST(`{x}` AS DOUBLE) * n), 2) AS `{x}`") for x in names])
 
 
 def plain_stats(df: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def bucket_900s_all_stats(spark, sf_dir):
 @query(f"WITH {GRID}, {WINDOW_TOTALS_SQL}")
 def windows_all_stats(spark, sf_dir):
     """All 70 statistics over all three windows, summed up by vehicle."""
-    return window_totals(windows.snapshots(telemetry(spark, sf_dir)))
+    return window_totals(windows.spells(telemetry(spark, sf_dir)))
 
 
 # A number for each window of a snapshot that changes with any value of any statistic: hundredths, weighted by the statistic.
@@ -166,17 +166,17 @@ WINDOW_MARKS_SQL = WINDOW_TOTALS_SQL[: WINDOW_TOTALS_SQL.index(" SELECT vehicle_
 ) + " FROM x24h JOIN x1h USING (vehicle_id, t) JOIN x5m USING (vehicle_id, t)"
 
 
-def window_marks(snapshots: DataFrame) -> DataFrame:
-    """Every snapshot with one number for each of its windows, into which all statistics go."""
+def window_marks(spells: DataFrame) -> DataFrame:
+    """Every spell with one number for each of its windows, into which all statistics go."""
     value = lambda w, n: f"`{w}_{n}`.value" if n in ("soc_first", "soc_last") else f"`{w}_{n}`"
     mark = lambda w: " + ".join(f"coalesce(CAST(floor(CAST({value(w, n)} AS DOUBLE) * 100 + 0.5) AS BIGINT), 7777L) * {k}" for n, k in _WEIGHTS.items())
-    return snapshots.selectExpr("vehicle_id", "feature_ts_ms", *[f"{mark(w)} AS `mark_{w}`" for w in _WINDOWS])
+    return spells.selectExpr("vehicle_id", "hours", *[f"{mark(w)} AS `mark_{w}`" for w in _WINDOWS])
 
 
 @query(f"WITH {GRID}, {WINDOW_MARKS_SQL}")
 def windows_all_stats_rows(spark, sf_dir):
     """Each snapshot of all statistics and windows, a number a window: a value on the wrong hour shows."""
-    return window_marks(windows.snapshots(telemetry(spark, sf_dir)))
+    return windows.each_hour(window_marks(windows.spells(telemetry(spark, sf_dir))))
 
 
 _POINTS_SQL = f"{TEL}, p AS (SELECT DISTINCT vehicle_id, (ts_ms // 300000 + 1) * 300000 AS t FROM tel)"

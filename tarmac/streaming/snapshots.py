@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tarmac.config import HOUR_MS, FeatureConfig
 from tarmac.functions.features import COMPONENTS, features, window_complete
 from tarmac.functions.stats import Stat, all_stats, merge
-from tarmac.operators.windows import HOURS, hour_blocks, window_merge
+from tarmac.operators.windows import HOURS, each_hour, hour_blocks, window_spells
 from tarmac.sources.commits import Change, Commits, bucket_of, query_name
 from tarmac.sources.sinks import retry
 
@@ -82,7 +82,7 @@ class Snapshots:
             finally:
                 events.unpersist()
         if emit and self.on_snapshots:
-            out = log.read("snapshots", batch=(writer, batch_id)) if self._has(log, writer, batch_id) else None
+            out = each_hour(log.read("snapshots", batch=(writer, batch_id))) if self._has(log, writer, batch_id) else None
             if out is not None:
                 self.on_snapshots(out, batch_id)
 
@@ -123,11 +123,11 @@ class Snapshots:
             tagged.unpersist()
 
     def due(self, blocks: DataFrame, progress: DataFrame) -> DataFrame:
-        """The snapshots of the hours after ``done`` up to ``emitted_hour``, from the blocks of the day before each."""
+        """The spells of snapshots of the hours after ``done`` up to ``emitted_hour``, from the blocks of the day before each."""
         hours = progress.where("emitted_hour > done").select("vehicle_id", "first_event_ts_ms", "done", "emitted_hour")
         parts = blocks.join(hours.select("vehicle_id", "done", "emitted_hour"), "vehicle_id").where(F.col("hour").between(F.col("done") + 1 - HOURS, F.col("emitted_hour") - 1)).drop("done", "emitted_hour")
         due = hours.select("vehicle_id", "first_event_ts_ms", (F.col("done") + 1).alias("from_hour"), F.col("emitted_hour").alias("to_hour"))
-        return window_merge(parts, due, self.windows, self.stats)
+        return window_spells(parts, due, self.windows, self.stats)
 
     def warm_up(self, history: DataFrame, batch_id: int = 0) -> None:
         """Rebuild the state from stored telemetry, as if the stream had run over it: the next batch has the number after."""
@@ -135,6 +135,10 @@ class Snapshots:
 
     def read(self, spark: SparkSession) -> DataFrame:
         """All snapshots so far."""
+        return each_hour(self.read_spells(spark))
+
+    def read_spells(self, spark: SparkSession) -> DataFrame:
+        """All snapshots so far as they are stored: as spells."""
         return Commits(spark, self.root).read("snapshots")
 
     def counters(self, spark: SparkSession) -> DataFrame:

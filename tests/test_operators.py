@@ -389,3 +389,16 @@ def test_payloads_are_parsed_once(spark):
     assert sorted(r.seq for r in found.collect()) == [5, 6]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert (plan.count("from_json("), plan.count("get_json_object(")) == (2, 4)
+
+
+def test_spells_hold_snapshots_that_agree(spark, sf):
+    """A row for snapshots that follow each other and agree in all windows, fewer than snapshots; spread out they are these."""
+    from tarmac.plans.telemetry import telemetry
+
+    stats = {n: s for n, s in all_stats().items() if n in ("n_events", "speed_sum")}
+    found = windows.spells(telemetry(spark, sf), stats=stats).collect()
+    hours = [(r.vehicle_id, h) for r in found for h in r.hours]
+    assert len(hours) == len(set(hours)) > 2 * len(found)
+    assert max(len(r.hours) for r in found if r["1h_n_events"]) == 1
+    ends = telemetry(spark, sf).groupBy("vehicle_id").agg(F.min("ts_ms").alias("a"), F.max("ts_ms").alias("b")).collect()
+    assert sorted(hours) == sorted((r.vehicle_id, h) for r in ends for h in range(r.a // HOUR_MS + 1, r.b // HOUR_MS + 1))
