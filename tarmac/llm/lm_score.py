@@ -17,17 +17,16 @@ Neither the cluster nor a rerun changes the result. The driver only holds one se
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import map_rows, row_keys, stash, table
+from tarmac.llm.common import row_keys, stash, table
 from tarmac.session import ship
 
 VOCABULARY = 3072
@@ -44,37 +43,91 @@ PART = 256
 SCALE = 1 << 16
 PIECE = 8192
 CHUNK = 8192
-WORDS_HELD = 200_000
+SLICE = 512
+SPAN = 32
+TEXT_BYTES = 1 << 20
+WORDS_HELD = 1_000_000
 SEED = 11
+#: Texts of these characters only have the same lower case in Arrow and in Python.
+LATIN = r"^[\x00-\x7f\xa0-\x{12f}\x{131}-\x{24f}]*$"
+#: Words of up to so many bytes are hashed all at once, the few longer ones by xxhash.
+SHORT = 32
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+_ODD = [np.uint64(n) for n in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
-def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
-
-
-class Types(dict):
-    """Types of words, remembered up to a bound. ``known`` has the type of each hash of the vocabulary."""
-
-    LIMIT = 200_000
+class Types:
+    """Types of words by their hash. ``known`` has the type of each hash of the vocabulary."""
 
     def __init__(self, known: dict[int, int]):
-        super().__init__()
-        self.known = known
+        self.hashes = np.array([*sorted(known), -1], dtype=np.int64)
+        self.types = np.array([*(known[h] for h in sorted(known)), -1], dtype=np.int16)
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = word_hash(word)
-        value = self[word] = self.known.get(h, VOCABULARY + h % UNKNOWN)
-        return value
+    def by_hash(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.hashes[:-1], hashes)
+        return np.where(self.hashes[at] == hashes, self.types[at], VOCABULARY + hashes % UNKNOWN).astype(np.int16)
 
     def of(self, text: str | None) -> np.ndarray:
-        words = words_of(text)
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int16, count=len(words))
+        return self.by_hash(word_hashes(pa.array([text or ""]))[0])
 
 
 def word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1
+    data = np.frombuffer(word.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    return int(hash_bytes(data, np.array([0]), np.array([len(data)]))[0])
+
+
+def hash_bytes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """63-bit hashes of strings within ``data``, eight bytes of all strings at a time; those of one size up to 8 bytes
+    only meet by the bit that is left out."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    h = sizes.astype(np.uint64) * _ODD[0]
+    for at in range(0, SHORT, 8):
+        which = np.flatnonzero(sizes > at)
+        if not len(which):
+            break
+        x = eight[starts[which] + at]
+        x &= _FIRST_BYTES[np.minimum(sizes[which] - at, 8)]
+        x ^= h[which]
+        for n, shift in zip(_ODD[1:], (32, 29), strict=True):
+            x *= n
+            x ^= x >> np.uint64(shift)
+        h[which] = x
+    for i in np.flatnonzero(sizes > SHORT):
+        h[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + sizes[i]])
+    return (h >> np.uint64(1)).astype(np.int64)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts in turn, the texts' numbers of words); a null has none.
+
+    Words are those of Python's ``lower().split()``: Arrow splits at the same characters.
+    """
+    texts = pc.fill_null(texts, "")
+    other = pc.invert(pc.match_substring_regex(texts, LATIN))
+    low = pc.utf8_lower(texts)
+    if pc.any(other).as_py():
+        low = pc.replace_with_mask(low, other, pa.array([t.lower() for t in texts.filter(other).to_pylist()], texts.type))
+    found = pc.utf8_split_whitespace(low)
+    words, bounds = found.values, found.offsets.to_numpy()
+    if not len(words):
+        return np.zeros(0, dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+    places = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data, sizes = words.buffers()[2], np.diff(places)
+    kept = sizes > 0  # white space at an end of a text leaves an empty word
+    hashes = hash_bytes(np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, dtype=np.uint8), places[:-1], sizes)
+    return hashes[kept], np.diff(np.r_[0, np.cumsum(kept)][bounds])
+
+
+def portions(batch: pa.RecordBatch, column: int):
+    """The batch in runs of rows of about ``TEXT_BYTES`` in a column of texts; a longer text is a run of its own."""
+    ends, begin = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)), 0
+    while begin < len(ends):
+        done = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + TEXT_BYTES, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
 
 
 def shapes() -> list[tuple[int, ...]]:
@@ -139,24 +192,25 @@ def windows(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def add_rows(target: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """``target[at] -= rows``; of a place that repeats, the sum over the root of its number counts, which keeps steps stable."""
+    """``target[at] -= rows``; of a place that repeats, the sum over the root of its number counts, which keeps steps stable.
+
+    Rows are sorted by place; running sums within spans of rows are a product, and a place's sum is a difference of these.
+    """
+    n, width = len(at), rows.shape[1]
     order = np.argsort(at, kind="stable")
     places = at[order]
-    first = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
-    times = np.diff(np.r_[first, len(places)]).astype(np.float32)
-    pairs = np.take(rows, order, axis=0).view(np.complex64)  # two columns at once: adding is the same
-    sums = np.add.reduceat(pairs, first, axis=0).view(np.float32)
-    sums /= np.sqrt(times)[:, None]
-    target[places[first]] -= sums
-
-
-def softmax(z: np.ndarray, safe: bool = False) -> np.ndarray:
-    """Each row's exponentials over their sum, in place of ``z``. ``safe``: no value is too large for exp."""
-    if not safe:
-        z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= row_sums(z)[:, None]
-    return z
+    last = np.flatnonzero(np.r_[places[1:] != places[:-1], True])
+    spans = np.zeros((-(-n // SPAN), SPAN, width), dtype=np.float32)
+    np.take(rows, order, axis=0, out=spans.reshape(-1, width)[:n], mode="clip")
+    running = np.tril(np.ones((SPAN, SPAN), dtype=np.float32)) @ spans
+    before = np.zeros((len(spans), width))
+    np.cumsum(running[:-1, -1], axis=0, dtype=np.float64, out=before[1:])
+    ends = np.take(before, last // SPAN, axis=0)
+    ends += np.take(running.reshape(-1, width), last, axis=0)
+    ends[1:] -= ends[:-1].copy()
+    ends /= np.sqrt(np.diff(last, prepend=-1))[:, None]
+    places = places[last].astype(np.intp)
+    target[places] = np.take(target, places, axis=0) - ends
 
 
 def row_sums(z: np.ndarray) -> np.ndarray:
@@ -165,77 +219,102 @@ def row_sums(z: np.ndarray) -> np.ndarray:
 
 
 def hidden_layer(tables: np.ndarray, hidden: np.ndarray, around: np.ndarray) -> np.ndarray:
-    h = np.take(tables[0], around[0], axis=0)
-    for t, x in zip(tables[1:], around[1:], strict=True):
-        h += np.take(t, x, axis=0)
-    h += hidden
-    return np.tanh(h, out=h)
+    """With a last column of ones, by which offsets are a column of weights."""
+    h = np.ones((around.shape[1], HIDDEN + 1), dtype=np.float32)
+    for at in range(0, len(h), SLICE):  # temporary arrays stay in the processor's cache
+        x = around[:, at : at + SLICE]
+        some = np.take(tables[0], x[0], axis=0)
+        for t, places in zip(tables[1:], x[1:], strict=True):
+            some += np.take(t, places, axis=0)
+        some += hidden
+        np.tanh(some, out=h[at : at + SLICE, :HIDDEN])
+    return h
+
+
+def with_offsets(rows: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return np.concatenate([rows, offsets[:, None]], axis=1)
+
+
+def gradients(h: np.ndarray, weights: np.ndarray, wanted: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of a softmax over the rows of ``weights``, by the hidden layer and by the weights. ``wanted``: where the right row of
+    each token stands among the products, counted through. ``safe``: no value is too large for exp.
+
+    Exponentials aren't divided by their sum; the smaller factors of both products are.
+    """
+    q = h @ weights.T
+    if not safe:
+        q -= q.max(axis=1, keepdims=True)
+    np.exp(q, out=q)
+    total = row_sums(q)
+    q.reshape(-1)[wanted] -= total
+    share = (1 / total)[:, None]
+    back = q @ weights[:, :HIDDEN]
+    back *= share
+    return back, q.T @ (h * share)
 
 
 def train(flat: np.ndarray, around: np.ndarray, types: np.ndarray, classes: Classes) -> None:
     """Gradient steps over all windows in batches: every token is predicted from those around it; changes ``flat``."""
     tables, hidden, out, class_offsets, v, type_offsets = unpack(flat)
+    outer, inner = with_offsets(out.T, class_offsets), with_offsets(v, type_offsets)
     for at in range(0, len(types), BATCH):
         y = types[at : at + BATCH]
         order = np.argsort(y, kind="stable")
         y, c = y[order], np.take(around[:, at : at + BATCH], order, axis=1)
         kinds, n = classes.kind[y], len(y)
-        safe = bounded(out.T, class_offsets) and bounded(v, type_offsets)
+        safe = all(bounded(w[:, :HIDDEN], w[:, HIDDEN]) for w in (outer, inner))
         h = hidden_layer(tables, hidden, c)
-        p = h @ out
-        p += class_offsets
-        p = softmax(p, safe)
-        p[np.arange(n), kinds] -= 1
-        back = p @ out.T
+        back, step = np.empty((n, HIDDEN), dtype=np.float32), np.zeros_like(outer)
+        wanted = kinds + np.arange(n) % SLICE * CLASSES
+        for a in range(0, n, SLICE):
+            back[a : a + SLICE], part = gradients(h[a : a + SLICE], outer, wanted[a : a + SLICE], safe)
+            step += part
+        outer -= np.float32(RATE / n) * step
         for a, b, low, high in classes.groups(kinds):
             if high - low == 1:
                 continue
-            some, kept = h[a:b], v[low:high]
-            q = some @ kept.T
-            q += type_offsets[low:high]
-            q = softmax(q, safe)
-            q[np.arange(b - a), y[a:b] - low] -= 1
-            back[a:b] += q @ kept
-            step = np.float32(TYPE_RATE / np.sqrt(b - a))
-            kept -= step * (q.T @ some)
-            type_offsets[low:high] -= step * q.sum(axis=0)
-        back *= 1 - h * h
-        out -= np.float32(RATE / n) * (h.T @ p)
-        class_offsets -= np.float32(RATE / n) * p.sum(axis=0)
-        hidden -= np.float32(RATE / n) * back.sum(axis=0)
+            some, step = gradients(h[a:b], inner[low:high], np.arange(-low, (b - a) * (high - low) - low, high - low) + y[a:b], safe)
+            back[a:b] += some
+            inner[low:high] -= np.float32(TYPE_RATE / np.sqrt(b - a)) * step
+        back *= 1 - h[:, :HIDDEN] * h[:, :HIDDEN]
+        hidden -= np.float32(RATE / n) * row_sums(back.T)
         back *= np.float32(TABLE_RATE)
         for t, x in zip(tables, c, strict=True):
             add_rows(t, x, back)
+    out[:], class_offsets[:] = outer[:, :HIDDEN].T, outer[:, HIDDEN]
+    v[:], type_offsets[:] = inner[:, :HIDDEN], inner[:, HIDDEN]
 
 
 def log_probabilities(flat: np.ndarray, types: np.ndarray, lengths: np.ndarray, classes: Classes) -> np.ndarray:
     """Of every token of the texts in turn, in pieces that bound the memory of a long text."""
     tables, hidden, out, class_offsets, v, type_offsets = unpack(flat)
+    outer, inner = with_offsets(out.T, class_offsets), with_offsets(v, type_offsets)
     around, found = windows(types, lengths), np.empty(len(types))
     safe = bounded(out.T, class_offsets) and bounded(v, type_offsets)
+
+    def chosen(h: np.ndarray, weights: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        z = h @ weights.T
+        some = z.reshape(-1)[wanted]
+        some -= log_sum(z, safe)
+        return some
+
     for at in range(0, len(types), CHUNK):
         y = types[at : at + CHUNK]
         order = np.argsort(y, kind="stable")
         y, c = y[order], np.take(around[:, at : at + CHUNK], order, axis=1)
-        kinds = classes.kind[y]
-        h = hidden_layer(tables, hidden, c)
-        z = h @ out
-        z += class_offsets
-        some = z[np.arange(len(y)), kinds]
-        some -= log_sum(z, safe)
+        kinds, h = classes.kind[y], hidden_layer(tables, hidden, c)
+        wanted = kinds + np.arange(len(y)) % SLICE * CLASSES
+        some = np.concatenate([chosen(h[a : a + SLICE], outer, wanted[a : a + SLICE]) for a in range(0, len(y), SLICE)])
         for a, b, low, high in classes.groups(kinds):
             if high - low > 1:
-                q = h[a:b] @ v[low:high].T
-                q += type_offsets[low:high]
-                some[a:b] += q[np.arange(b - a), y[a:b] - low]
-                some[a:b] -= log_sum(q, safe)
+                some[a:b] += chosen(h[a:b], inner[low:high], np.arange(-low, (b - a) * (high - low) - low, high - low) + y[a:b])
         found[at + order] = some
     return found
 
 
 def bounded(rows: np.ndarray, offsets: np.ndarray) -> bool:
     """Whether no product of a hidden layer (within -1 and 1) with ``rows``, plus the offsets, can leave float32's range for exp."""
-    return bool(np.abs(rows).sum(axis=1).max() + np.abs(offsets).max() < 80)
+    return bool(row_sums(np.abs(rows)).max() + np.abs(offsets).max() < 80)
 
 
 def log_sum(z: np.ndarray, safe: bool = False) -> np.ndarray:
@@ -257,22 +336,20 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[list[int], int,
     """
 
     def run(batches):
-        held = Counter()
+        held, size = [], 0
 
         def part() -> pa.RecordBatch:
-            hashes = np.fromiter(map(word_hash, held), dtype=np.int64, count=len(held))
-            n = np.fromiter(held.values(), dtype=np.int64, count=len(held))
-            held.clear()
+            hashes, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(n)], names=["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                words = words_of(text.as_py())
-                for at in range(0, len(words), WORDS_HELD):  # what a task holds is bounded, also within a long text
-                    held.update(words[at : at + WORDS_HELD])
-                    if len(held) >= WORDS_HELD:
-                        yield part()
-        if held:
+            for some in portions(batch, 0):  # what a task holds is bounded
+                held.append(word_hashes(some.column(0))[0])
+                size += len(held[-1])
+                if size >= WORDS_HELD:
+                    yield part()
+                    held, size = [], 0
+        if size:
             yield part()
 
     ship(docs.sparkSession)
@@ -292,13 +369,17 @@ def encode(docs: DataFrame, words: list[int], id_col: str = "doc_id", text_col:
     """(id, k1, types array<smallint>): every text as its types, stored."""
     sent = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
-    def rows(columns):
+    def run(batches):
         types = Types(sent.value)
-        for i, key, text in zip(*columns, strict=True):
-            yield i, key, types.of(text)
+        for batch in batches:
+            for some in portions(batch, 2):
+                hashes, lengths = word_hashes(some.column(2))
+                found = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(types.by_hash(hashes)))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), found], names=["id", "k1", "types"])
 
-    source = docs.select(F.col(f"`{id_col}`").cast("long"), row_keys(docs)[0], F.col(f"`{text_col}`").cast("string"))
-    return stash(map_rows(source, "id long, k1 long, types array<smallint>", rows), "encoded")
+    ship(docs.sparkSession)
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), row_keys(docs)[0].alias("k1"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return stash(source.mapInArrow(run, "id long, k1 long, types array<smallint>"), "encoded")
 
 
 def lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:

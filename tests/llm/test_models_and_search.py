@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,3 +256,52 @@ def test_words_are_counted_whole_when_a_task_gives_out_its_table_often(spark, mo
     assert (words, tokens) == (whole[0], whole[1]) and (counts == whole[2]).all()
     assert tokens == 113 and counts[0] == 15
     assert set(words[:2]) == {lm_score.word_hash("w0"), lm_score.word_hash("w1")}
+
+
+def test_words_hashed_at_once_are_those_of_python():
+    """Words of whole columns, against lower().split() word by word: white space of all kinds, letters whose lower case
+    depends on where they stand, long words, nulls, texts without words."""
+    texts = [None, "", " \t\r\n", " The QUICK\x1cfox\x85 ", "ΟΔΥΣΣΕΥΣ İstanbul ẞ ǅ Ünïcode　x", "a" * 32 + " " + "a" * 33 + " " + "é" * 400, "\x00 a\x00 a", "x" * 8 + " " + "x" * 9]
+    texts += ["".join(map(chr, range(n, n + 64))) + " end" for n in (*range(0, 0x600, 64), *range(0x1E00, 0x2100, 64), 0x1F600)]
+    words = [(t or "").lower().split() for t in texts]
+    for column in (pa.array(texts), pa.array(["before", *texts]).slice(1)):
+        hashes, lengths = lm_score.word_hashes(column)
+        assert lengths.tolist() == [len(w) for w in words]
+        assert hashes.tolist() == [lm_score.word_hash(w) for some in words for w in some] and hashes.min() >= 0
+    different = {w for some in words for w in some} | {str(i) for i in range(20_000)} | {"0" * n for n in range(1, 80)}
+    assert len({lm_score.word_hash(w) for w in different}) == len(different)
+
+
+def test_gradient_step_by_the_plain_formula():
+    """One batch against sums token by token, in double precision; with and without a shift before exp."""
+    rng = np.random.default_rng(4)
+    ids = rng.zipf(1.3, 3000).clip(1, lm_score.TYPES).astype(np.int16) - 1
+    counts = np.bincount(ids, minlength=lm_score.TYPES).astype(float)
+    classes, around = lm_score.Classes(counts), lm_score.windows(ids, np.array([len(ids)]))
+    for scale in (0.3, 9):
+        weights = (lm_score.fresh(counts) + rng.normal(0, scale, len(lm_score.fresh(counts)))).astype(np.float32)
+        tables, hidden, out, class_offsets, v, type_offsets = (x.astype(float) for x in lm_score.unpack(weights.copy()))
+        steps, times = [np.zeros_like(x) for x in (tables, hidden, out, class_offsets, v, type_offsets)], np.zeros(tables.shape[:2])
+        in_class = np.bincount(classes.kind[ids], minlength=lm_score.CLASSES)
+        for x, y in zip(around.T, ids, strict=True):
+            k = classes.kind[y]
+            low, high = classes.starts[k], classes.starts[k + 1]
+            h = np.tanh(sum(t[i] for t, i in zip(tables, x, strict=True)) + hidden)
+            p, q = h @ out + class_offsets, v[low:high] @ h + type_offsets[low:high]
+            p, q = (np.exp(z - z.max()) / np.exp(z - z.max()).sum() for z in (p, q))
+            p[k] -= 1
+            q[y - low] -= 1
+            back = (out @ p + q @ v[low:high]) * (1 - h * h)
+            for i, place in enumerate(x):
+                steps[0][i, place] += back * lm_score.TABLE_RATE
+                times[i, place] += 1
+            steps[1] += back * lm_score.RATE / len(ids)
+            steps[2] += np.outer(h, p) * lm_score.RATE / len(ids)
+            steps[3] += p * lm_score.RATE / len(ids)
+            steps[4][low:high] += np.outer(q, h) * lm_score.TYPE_RATE / np.sqrt(in_class[k])
+            steps[5][low:high] += q * lm_score.TYPE_RATE / np.sqrt(in_class[k])
+        steps[0] /= np.sqrt(np.maximum(times, 1))[:, :, None]
+        want = [x - step for x, step in zip((tables, hidden, out, class_offsets, v, type_offsets), steps, strict=True)]
+        lm_score.train(weights, around, ids, classes)
+        for got, x in zip(lm_score.unpack(weights), want, strict=True):
+            assert np.allclose(got, x, rtol=1e-3, atol=2e-4 * scale)
