@@ -38,13 +38,33 @@ def forward(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, righ
     return found.select(*[F.col(f"__left.{c}").alias(c) for c in left.columns], *[F.col(f"__found.{c}").alias(f"{prefix}{c}") for c in right.columns if c not in by])
 
 
-def around(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, ahead: Column, tie: list[Column] | None = None) -> DataFrame:
+def around(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, ahead: Column, tie: list[Column] | None = None, partitions: int | None = None) -> DataFrame:
     """``left`` with the last right row at or before its time (prefix last_), and the first one strictly after it for which
-    ``ahead`` holds (prefix next_): both from one shuffle. ``ahead`` is a condition on the columns of ``right``."""
-    flagged = right.withColumn("__ahead", ahead)
-    both, order = _both(left, flagged, by, left_ts, right_ts, True, tie or [])
-    frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    last, following = F.last("__right", ignorenulls=True).over(frame), _ahead(both, by, F.when(F.col("__right.__ahead"), F.col("__right")))
-    found = both.select("__left", last.alias("__last"), following.alias("__next")).where(F.col("__left").isNotNull())
+    ``ahead`` holds (prefix next_). ``ahead`` is a condition on the columns of ``right``. ``partitions``: in which the rows are
+    sorted, Spark's number if None.
+
+    The right rows are told what follows them before they meet the left ones, which are then sorted once: what follows a
+    left row follows the last right row at or before it. A row without time, ahead of a key's others, stands for what
+    precedes them all.
+    """
     own = [c for c in right.columns if c not in by]
-    return found.select(*[F.col(f"__left.{c}").alias(c) for c in left.columns], *[F.col(f"__{side}.{c}").alias(f"{side}_{c}") for side in ("last", "next") for c in own])
+    facts = right.select(*by, F.col(right_ts).alias("__ts"), F.struct(F.lit(0), *(tie or [])).alias("__tie"), F.struct(*own).alias("__right"), ahead.alias("__ahead"))
+    following = Window.partitionBy(*by).orderBy(F.desc("__ts"), F.desc("__tie"))
+    falling = following.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = following.rowsBetween(Window.unboundedPreceding, 0)
+    wanted = F.when(F.col("__ahead"), F.col("__right"))
+    told = facts.where(F.col("__ts").isNotNull()).select(
+        *by, "__ts", "__tie", F.col("__right").alias("__last"), F.last(wanted, ignorenulls=True).over(falling).alias("__next"),
+        F.last(wanted, ignorenulls=True).over(so_far).alias("__with"), F.lead(F.lit(True), 1, False).over(following).alias("__more"),
+    )
+    seen = F.struct("__last", "__next").alias("__seen")
+    before = told.where(~F.col("__more")).select(*by, F.lit(None).cast(facts.schema["__ts"].dataType).alias("__ts"), F.lit(None).cast(told.schema["__tie"].dataType).alias("__tie"), F.lit(None).cast(told.schema["__last"].dataType).alias("__last"), F.col("__with").alias("__next"))
+    marks = told.select(*by, "__ts", "__tie", "__last", "__next").unionByName(before).select(*by, "__ts", F.lit(0).alias("__side"), "__tie", seen)
+    rest = [c for c in left.columns if c not in [*by, left_ts]]
+    rows = left.select(*by, F.col(left_ts).alias("__ts"), F.lit(1).alias("__side"), F.struct(F.lit(0).alias("__0"), *rest).alias("__left"))
+    frame = Window.partitionBy(*by).orderBy(F.asc_nulls_first("__ts"), "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    both = both.repartition(partitions, *by) if partitions else both
+    found = both.select(*by, "__ts", "__left", F.last("__seen", ignorenulls=True).over(frame).alias("__seen")).where(F.col("__left").isNotNull())
+    mine = [F.col(c) if c in by else F.col("__ts").alias(c) if c == left_ts else F.col(f"__left.{c}").alias(c) for c in left.columns]
+    return found.select(*mine, *[F.col(f"__seen.__{side}.{c}").alias(f"{side}_{c}") for side in ("last", "next") for c in own])

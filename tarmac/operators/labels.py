@@ -12,9 +12,11 @@ from tarmac.operators.asof import around
 
 # The events that a label looks for.
 TRIGGERS = ["MAINTENANCE_REQUIRED", "FAILURE"]
+#: Snapshots that a task sorts, about: their partitions grow with them.
+ROWS_A_TASK = 1_000_000
 
 
-def label_snapshots(snapshots: DataFrame, events: DataFrame, data_end_ms: int, horizon_days: int = 7, key: str = "vehicle_component_id", triggers: list[str] | None = None) -> DataFrame:
+def label_snapshots(snapshots: DataFrame, events: DataFrame, data_end_ms: int, horizon_days: int = 7, key: str = "vehicle_component_id", triggers: list[str] | None = None, partitions: int | None = None) -> DataFrame:
     """Adds label_7d, label_next_event_id, label_hours_to_event, in_gap and tail.
 
     Positive: a trigger at t < ts <= t + horizon. In a gap: the last event at or before t (ties by type) is a trigger.
@@ -24,7 +26,7 @@ def label_snapshots(snapshots: DataFrame, events: DataFrame, data_end_ms: int, h
     triggers = triggers or TRIGGERS
     horizon = horizon_days * DAY_MS
     every = events.select(key, "event_id", "event_type", "ts_ms")
-    found = around(snapshots, every, [key], "feature_ts_ms", "ts_ms", F.col("event_type").isin(triggers), [F.col("event_type"), F.col("event_id")])
+    found = around(snapshots, every, [key], "feature_ts_ms", "ts_ms", F.col("event_type").isin(triggers), [F.col("event_type"), F.col("event_id")], partitions)
     near = F.coalesce(F.col("next_ts_ms") <= F.col("feature_ts_ms") + horizon, F.lit(False))
     return found.select(
         *snapshots.columns,
@@ -70,10 +72,13 @@ def build_dataset(features: DataFrame, components: DataFrame, events: DataFrame,
     keys = ["vehicle_id", "component"]
     if not components.groupBy(*keys).count().where("count > 1").isEmpty():
         raise ValueError("components repeat a (vehicle_id, component)")
-    if not features.join(components, keys, "left_anti").isEmpty():
+    held = features.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).join(components.select(*keys, F.lit(True).alias("known")), keys, "left")
+    found = held.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count_if(F.col("known").isNull()).alias("unknown")).first()
+    if found.unknown:
         raise ValueError("snapshots without a component")
-    joined = features.drop("vehicle_type").join(components, keys).where((F.col("feature_ts_ms") >= start_ms) & (F.col("feature_ts_ms") < end_ms))
-    labelled = label_snapshots(joined, events, end_ms, config.horizon_days)
+    partitions = max(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-found.rows // ROWS_A_TASK))
+    joined = features.drop("vehicle_type").where((F.col("feature_ts_ms") >= start_ms) & (F.col("feature_ts_ms") < end_ms)).repartition(partitions, *keys).join(components, keys)
+    labelled = label_snapshots(joined, events, end_ms, config.horizon_days, partitions=partitions)
     split = split_of(F.col("feature_ts_ms"), config, start_ms)
     funnel = exclusion_funnel(labelled, split)
     kept = labelled.where(F.col("window_complete") & ~F.col("in_gap") & ~F.col("tail")).withColumn("meta_split", split).where("meta_split is not null")

@@ -118,6 +118,29 @@ def test_labels_against_brute_force(spark):
         assert r.in_gap == bool(last and last[-1][1] != "SERVICE_COMPLETED")
 
 
+def test_around_sorts_the_left_rows_once(spark):
+    left = spark.createDataFrame([("k", 1), ("k", 5), ("k", 9), ("k", None), ("n", 5), (None, 5)], "k string, t long")
+    right = spark.createDataFrame([("k", 5, "x"), ("k", 7, "y"), ("k", 7, "z"), ("k", None, "w"), ("o", 1, "x"), (None, 6, "y")], "k string, s long, v string")
+    found = asof.around(left, right, ["k"], "t", "s", F.col("v") != "y", [F.col("v")], 3)
+    got = {(r.k, r.t): (r.last_s, r.last_v, r.next_s, r.next_v) for r in found.collect()}
+    assert got == {
+        ("k", 1): (None, None, 5, "x"), ("k", 5): (5, "x", 7, "z"), ("k", 9): (7, "z", None, None), ("k", None): (None, None, 5, "x"),
+        ("n", 5): (None,) * 4, (None, 5): (None,) * 4,
+    }
+    wide = left.withColumn("wide", F.lit("w"))
+    plan = asof.around(wide, right, ["k"], "t", "s", F.col("v") != "y", [F.col("v")])._jdf.queryExecution().executedPlan().toString()
+    assert sum("wide" in line or "__left" in line for line in plan.splitlines() if " Sort [" in line or " Window [" in line) <= 1
+
+
+def test_dataset_partitions_grow_with_the_snapshots(spark, monkeypatch):
+    monkeypatch.setattr(labels, "ROWS_A_TASK", 3, raising=False)
+    snaps = [("v", "BRAKE", d * DAY_MS, True, 1.0) for d in range(90)]
+    feats = spark.createDataFrame(snaps, "vehicle_id string, component string, feature_ts_ms long, window_complete boolean, w24h_events double")
+    parts = spark.createDataFrame([("v", "BRAKE", "c", "EV")], "vehicle_id string, component string, vehicle_component_id string, vehicle_type string")
+    rows, _ = labels.build_dataset(feats, parts, spark.createDataFrame([], EVENT), 0, 90 * DAY_MS)
+    assert rows.rdd.getNumPartitions() == 30 and rows.count() == 52 + 5 + 4 + 8  # the days of the splits
+
+
 def test_asof_without_matches(spark):
     left = spark.createDataFrame([("k", 5)], "k string, t long")
     right = spark.createDataFrame([("k", 9, "x")], "k string, s long, v string")
