@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tarmac.llm.ann import op6_approximate_nearest_neighbours
-from tarmac.llm.common import join_hot, table
 from tarmac.llm.decontam import op5_benchmark_decontamination
 from tarmac.llm.html_extract import op8_html_extraction
 from tarmac.llm.infill import op12_fill_in_middle
@@ -17,7 +14,7 @@ from tarmac.llm.pii import op10_pii
 from tarmac.llm.quality import op9_quality_classifier
 from tarmac.llm.simhash import op3_simhash_near_dedup
 from tarmac.llm.substrings import op11_substring_dedup
-from tarmac.llm.tokens import content_digest, op7_token_counts
+from tarmac.llm.tokens import op7_token_counts
 
 
 def base_of_op2(spark, sf_dir):
@@ -31,11 +28,8 @@ def base_of_op10(spark, sf_dir):
 
 
 def base_of_op7(spark, sf_dir):
-    """Bytes by document from op7, and how many documents share a text."""
-    keyed = table(spark, sf_dir, "documents").select("doc_id", content_digest(F.col("text")).alias("d"))
-    copies = keyed.groupBy("d").agg(F.count(F.lit(1)).alias("copies"), F.count(F.lit(1)).alias("rows"))
-    sizes = op7_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
-    return sizes.join(join_hot(keyed, copies, ["d"], "rows").select("doc_id", "copies"), "doc_id")
+    """Bytes by document, and how many documents share a text, from op7."""
+    return op7_token_counts(spark, sf_dir, copies=True).select("doc_id", "n_bytes", "copies")
 
 
 QUERIES = {

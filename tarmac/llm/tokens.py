@@ -95,8 +95,9 @@ def encode_misses(misses: DataFrame, path: str, version: str) -> DataFrame:
     return map_rows(misses.select("digest", "text"), CACHE_SCHEMA, rows)
 
 
-def token_counts(docs: DataFrame, cache_path: str, tokenizer_path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit): one row per input row, counted over whole texts.
+def token_counts(docs: DataFrame, cache_path: str, tokenizer_path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", copies: bool = False) -> DataFrame:
+    """(id, n_bytes, n_tokens, over_limit): one row per input row, counted over whole texts; with ``copies``, if wished, how
+    many rows have the same normalised text, itself included.
 
     ``cache_path`` is a Parquet table in a folder that all executors share; it is made if missing, read, and appended to.
     Null texts count as empty (0 tokens), ids may be null, repeated rows are repeated, an empty table gives no row.
@@ -115,8 +116,8 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer_path: str, limit: i
         encode_misses(first, tokenizer_path, version).write.mode("append").parquet(cache_path)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
     stored = stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # two runs may have stored the same digest
-    counted = stash(sized.groupBy("digest").agg(F.count(F.lit(1)).alias("rows")).join(stored, "digest", "left"), "digests")
-    return join_hot(sized, counted, ["digest"], "rows").select("id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counted = stash(sized.groupBy("digest").agg(F.count(F.lit(1)).alias("rows"), F.count(F.lit(1)).alias("copies")).join(stored, "digest", "left"), "digests")
+    return join_hot(sized, counted, ["digest"], "rows").select("id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), *["copies"] * copies)
 
 
 def cache_of(spark: SparkSession, table_path: str) -> str:
@@ -125,6 +126,6 @@ def cache_of(spark: SparkSession, table_path: str) -> str:
     return f"{base.rstrip('/')}/token-cache-{hashlib.sha256(table_path.encode()).hexdigest()[:16]}"
 
 
-def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = token_counts(table(spark, sf_dir, "documents"), cache_of(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+def op7_token_counts(spark: SparkSession, sf_dir: str, copies: bool = False) -> DataFrame:
+    found = token_counts(table(spark, sf_dir, "documents"), cache_of(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), copies=copies)
     return found.withColumnRenamed("id", "doc_id")
