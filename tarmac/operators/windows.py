@@ -1,22 +1,25 @@
 """Exact half-open windows [t - W, t) at every hour boundary t, from hour blocks.
 
-Events are summed into hour blocks with a partial sum before the shuffle (a vehicle of any size leaves one row an hour).
-Hours are cut into aligned days. A day's window is the end of one day and the beginning of the next, and both are
-running merges, so a block is posted twice: as the hour before its snapshot, and to the day after its own, where it leaves
-the window. A vehicle's day is then one partition of at most 48 blocks, in which two frames that only grow give the window
-at each change; between changes all snapshots have the same one. No block is copied to each of the 24 windows that hold it.
-Hours without events get a snapshot as well.
+Events are summed into hour blocks within each task, before the shuffle (a vehicle of any size leaves one row an hour). A
+vehicle's hours are cut into groups of eight windows' length; a block is posted to its group, and to the next one if windows
+there reach back to it, so that a group is complete in its task however long the history. There the windows are ranges of
+sorted blocks, merged a statistic at a time (``blocks``); between changes all snapshots have the same ones. No block is
+copied to each of the 24 windows that hold it. Hours without events get a snapshot as well.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarmac.config import HOUR_MS
 from tarmac.functions.stats import INPUT_COLUMNS, Stat, all_stats
+from tarmac.operators.blocks import in_arrow, joined, slid, summed
 
 HOURS = 24
+#: Windows of a key are made in groups of so many times their length.
+GROUP = 8
 LAST_MINUTE = 55
 
 
@@ -41,6 +44,33 @@ def hour_blocks(telemetry: DataFrame, stats: dict[str, Stat] | None = None, by:
     return parts.groupBy(by, "hour").agg(*map(F.expr, whole + last), F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"))
 
 
+def hour_parts(telemetry: DataFrame, stats: dict[str, Stat], by: str = "vehicle_id", held: list[str] | None = None) -> DataFrame:
+    """(vehicle_id, hour, h_<stat>, l_<stat>): hour blocks before the shuffle, so one or a few rows an hour and task; ``held`` names the columns wanted."""
+    held = held or [f"{side}_{n}" for side in "hl" for n in stats]
+    late = F.floor(F.col("ts_ms") / 60_000) % 60 >= LAST_MINUTE
+    rows = allowed(telemetry, by).where("ts_ms IS NOT NULL").withColumn("__hour", F.floor(F.col("ts_ms") / HOUR_MS)).sortWithinPartitions(by, "__hour")
+    parts = rows.select(by, F.col("__hour").alias("hour"), late.alias("__last"), *[s.part().alias(f"__{n}") for n, s in stats.items() if f"h_{n}" in held or f"l_{n}" in held])
+    schema = T.StructType([parts.schema[by], parts.schema["hour"], *[T.StructField(c, parts.schema[f"__{c[2:]}"].dataType) for c in held]])
+    return in_arrow(parts, schema, summed({n: s.op for n, s in stats.items()}, held))
+
+
+def join_parts(parts: DataFrame, stats: dict[str, Stat], by: str = "vehicle_id") -> DataFrame:
+    """One row an hour from the parts of hour blocks."""
+    dealt = parts.repartition(_partitions(parts), by).sortWithinPartitions(by, "hour")
+    return in_arrow(dealt, dealt.schema, joined({n: s.op for n, s in stats.items()}))
+
+
+def _partitions(df: DataFrame) -> int:
+    # A number of its own: by bytes, adaptive execution would join what is still to expand into few.
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _held(windows: dict[str, list[str]], stats: dict[str, Stat], wide: str = "24h") -> list[str]:
+    """The columns of blocks that windows are made of."""
+    held = [f"h_{n}" for n in stats if any(n in names for w, names in windows.items() if w == wide or w != "5m")]
+    return held + [f"l_{n}" for n in stats if wide != "5m" and n in windows.get("5m", [])]
+
+
 def snapshots(telemetry: DataFrame, windows: dict[str, list[str]] | None = None, stats: dict[str, Stat] | None = None, by: str = "vehicle_id") -> DataFrame:
     """(vehicle_id, feature_ts_ms, first_event_ts_ms, <window>_<stat>): a row for each hour t with first event < t <= last.
 
@@ -50,18 +80,17 @@ def snapshots(telemetry: DataFrame, windows: dict[str, list[str]] | None = None,
 
 
 def spells(telemetry: DataFrame, windows: dict[str, list[str]] | None = None, stats: dict[str, Stat] | None = None, by: str = "vehicle_id") -> DataFrame:
-    """``snapshots``, with a row for those of a vehicle's day that follow each other and agree in all windows: ``hours`` has their hours.
+    """``snapshots``, with a row for those of a vehicle's group of hours that follow each other and agree in all windows: ``hours`` has their hours.
 
     What only depends on the windows is computed here, a third as often as for each snapshot where events are hours apart.
     """
     stats = stats or all_stats()
     windows = windows or {w: list(stats) for w in ("5m", "1h", "24h")}
     used = {n: stats[n] for n in dict.fromkeys(x for names in windows.values() for x in names)}
-    blocks = hour_blocks(telemetry, used, by)
     hour = lambda c: F.floor(F.col(c) / HOUR_MS)
-    bounds = blocks.groupBy(by).agg(F.min("first_ts").alias("first_event_ts_ms"), F.max("last_ts").alias("last_ts"))
+    bounds = allowed(telemetry, by).groupBy(by).agg(F.min("ts_ms").alias("first_event_ts_ms"), F.max("ts_ms").alias("last_ts"))
     due = bounds.select(by, "first_event_ts_ms", (hour("first_event_ts_ms") + 1).alias("from_hour"), hour("last_ts").alias("to_hour"))
-    return window_spells(blocks, due, windows, used, by)
+    return window_spells(hour_parts(telemetry, used, by, _held(windows, used)), due, windows, used, by)
 
 
 def each_hour(spells: DataFrame) -> DataFrame:
@@ -78,15 +107,16 @@ def _each(spells: DataFrame) -> DataFrame:
 
 
 def window_spells(blocks: DataFrame, due: DataFrame, windows: dict[str, list[str]], stats: dict[str, Stat], by: str = "vehicle_id") -> DataFrame:
-    """The spells of the hours ``from_hour`` to ``to_hour`` of each row of ``due`` (by, first_event_ts_ms and these), from hour blocks."""
-    days = due.where("from_hour <= to_hour").selectExpr(f"`{by}`", "first_event_ts_ms", "from_hour", "to_hour", f"explode(sequence({_day('from_hour', HOURS)}, {_day('to_hour', HOURS)})) AS day")
-    days = days.selectExpr(f"`{by}`", "day", "first_event_ts_ms", f"sequence(greatest(from_hour, day * {HOURS} + 1), least(to_hour, (day + 1) * {HOURS})) AS hours")
-    return sliding_spells(blocks, days, windows, stats, by)
+    """The spells of the hours ``from_hour`` to ``to_hour`` of each row of ``due`` (by, first_event_ts_ms and these), from hour blocks or their parts."""
+    width = GROUP * HOURS
+    groups = due.where("from_hour <= to_hour").selectExpr(f"`{by}`", "first_event_ts_ms", "from_hour", "to_hour", f"explode(sequence({_group('from_hour', HOURS)}, {_group('to_hour', HOURS)})) AS `group`")
+    groups = groups.selectExpr(f"`{by}`", "`group`", "first_event_ts_ms", f"sequence(greatest(from_hour, `group` * {width} + 1), least(to_hour, (`group` + 1) * {width})) AS hours")
+    return sliding_spells(blocks, groups, windows, stats, by)
 
 
-def _day(t: str, span: int) -> str:
-    """Day d holds the snapshots of hours d * span + 1 to (d + 1) * span."""
-    return f"CAST(floor(({t} - 1) / {span}) AS BIGINT)"
+def _group(t: str, span: int) -> str:
+    """Group g holds the snapshots of hours g * width + 1 to (g + 1) * width, where ``GROUP`` windows make the width."""
+    return f"CAST(floor(({t} - 1) / {GROUP * span}) AS BIGINT)"
 
 
 #: Windows from buckets: the buckets' width in seconds, and how many make a window.
@@ -108,42 +138,27 @@ def bucket_snapshots(telemetry: DataFrame, points: DataFrame, windows: dict[str,
         blocks = buckets(telemetry, width, used, by)
         blocks = blocks.select(by, F.col("bucket").alias("hour"), *[F.col(x).alias(f"h_{x}") for x in names])
         index = F.floor(F.col("feature_ts_ms") / (width * 1000))
-        days = out.select(by, index.alias("t")).groupBy(by, F.expr(_day("t", n)).alias("day")).agg(F.lit(0).cast("long").alias("first_event_ts_ms"), F.collect_set("t").alias("hours"))
-        merged = _each(sliding_spells(blocks, days, {w: names}, used, by, n, w)).drop("first_event_ts_ms")
+        groups = out.select(by, index.alias("t")).groupBy(by, F.expr(_group("t", n)).alias("group")).agg(F.lit(0).cast("long").alias("first_event_ts_ms"), F.collect_set("t").alias("hours"))
+        merged = _each(sliding_spells(blocks, groups, {w: names}, used, by, n, w)).drop("first_event_ts_ms")
         out = out.withColumn("t", index).join(merged, [by, "t"]).drop("t")
     return out
 
 
-def sliding_spells(blocks: DataFrame, days: DataFrame, windows: dict[str, list[str]], stats: dict[str, Stat], by: str = "vehicle_id", span: int = HOURS, wide: str = "24h") -> DataFrame:
-    """(by, first_event_ts_ms, <window>_<stat>, hours) over all ``hours`` of ``days`` (by, day, first_event_ts_ms, hours: a row a day), from blocks of any width.
+def sliding_spells(blocks: DataFrame, groups: DataFrame, windows: dict[str, list[str]], stats: dict[str, Stat], by: str = "vehicle_id", span: int = HOURS, wide: str = "24h") -> DataFrame:
+    """(by, first_event_ts_ms, <window>_<stat>, hours) over all ``hours`` of ``groups`` (by, group, first_event_ts_ms, hours: a row a group), from blocks of any width.
 
-    ``blocks`` has h_ and l_ columns and their number ``hour``; the window ``wide`` spans ``span`` blocks before t, the others one.
+    ``blocks`` has h_ and l_ columns and their number ``hour``, in one or several parts; the window ``wide`` spans ``span``
+    blocks before t, the others one.
     """
-    key, sliding = f"`{by}`", windows.get(wide, [])
-    held = [f"h_{n}" for n in stats if any(n in names for w, names in windows.items() if w == wide or w != "5m")]
-    held += [f"l_{n}" for n in stats if wide != "5m" and n in windows.get("5m", [])]
-    # An own block comes in at the hour after it, one of the day before goes out at the hour after its last window.
-    own = f"explode(if(hour % {span} = 0, array(true), array(true, false)))" if sliding else "true"
-    posted = blocks.selectExpr(key, "hour", *[f"`{c}`" for c in held], f"{own} AS own")
-    day = f"if(own, {_day('hour + 1', span)}, {_day(f'hour + {span}', span)}) AS day"
-    posted = posted.selectExpr(key, day, f"if(own, hour + 1, hour + {span + 1}) AS at", "own", *[f"`{c}`" if c[:2] == "h_" and c[2:] in sliding else f"if(own, `{c}`, null) AS `{c}`" for c in held])
-    starts = days.selectExpr(key, "day", f"day * {span} + 1 AS at", "first_event_ts_ms", "hours")
-    # A number of partitions of its own: by bytes, adaptive execution would join what is still to expand into few.
-    partitions = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = posted.unionByName(starts, allowMissingColumns=True).repartition(partitions, by, "day")
-    so_far = f"OVER (PARTITION BY {key}, day ORDER BY at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    to_come = f"OVER (PARTITION BY {key}, day ORDER BY at DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    running = [f"{stats[n].op.function}(if(own, `h_{n}`, null)) {so_far} AS `new.{n}`" for n in sliding] + [f"{stats[n].op.function}(if(own, null, `h_{n}`)) {to_come} AS `old.{n}`" for n in sliding]
-    running += [f"max(if(own, at, null)) {so_far} AS last_own", f"max(first_event_ts_ms) {so_far} AS `first.ts`", f"max(hours) {so_far} AS `due`", f"min(at) {to_come} AS until"]
-    # One row a change: the own block's, which has the short windows, where there is one.
-    changes = met.selectExpr("*", *running).where("`first.ts` IS NOT NULL AND (own OR last_own IS NULL OR last_own <> at)")
-    # An own block's short windows are seen at its hour alone; from then on to the next change all hours agree.
-    times = lambda when: f"filter(due, t -> t >= at AND (until IS NULL OR t < until) AND {when})"
-    parts = f"array(named_struct('fresh', own, 'hours', {times('(t = at OR own IS NOT TRUE)')}), named_struct('fresh', false, 'hours', if(own, {times('t > at')}, array())))"
-    packed = [f"'{c}', `{c}`" for c in held] + [f"'{wide}_{n}', {stats[n].op.both(f'`old.{n}`', f'`new.{n}`')}" for n in sliding]
-    merged = changes.selectExpr(key, "`first.ts` AS first_event_ts_ms", f"named_struct({', '.join(packed)}) AS has", f"inline(filter({parts}, x -> size(x.hours) > 0))")
-    short = [stats[n].op.filled(f"if(fresh, has.`{'l' if w == '5m' else 'h'}_{n}`, null)") + f" AS `{w}_{n}`" for w, names in windows.items() if w != wide for n in names]
-    return merged.selectExpr(key, "first_event_ts_ms", *short, *[f"has.`{wide}_{n}`" for n in sliding], "hours")
+    key, held, reach = f"`{by}`", _held(windows, stats, wide), span if wide in windows else 1
+    # Windows of the hours up to ``reach`` after a block hold it.
+    posted = blocks.selectExpr(key, f"explode(sequence({_group('hour + 1', span)}, {_group(f'hour + {reach}', span)})) AS `group`", "hour", *[f"`{c}`" for c in held])
+    met = groups.select(by, "group", F.lit(None).cast("long").alias("hour"), "first_event_ts_ms", "hours").unionByName(posted, allowMissingColumns=True)
+    dealt = met.repartition(_partitions(met), by, "group").sortWithinPartitions(by, "group", "hour")
+    kinds, ops = {f.name: f.dataType for f in met.schema}, {n: s.op for n, s in stats.items()}
+    columns = [(f"{w}_{n}", kinds[f"{'l' if w == '5m' and w != wide else 'h'}_{n}"]) for w in sorted(windows, key=lambda w: w == wide) for n in windows[w]]
+    schema = T.StructType([T.StructField(c, t) for c, t in [(by, kinds[by]), ("first_event_ts_ms", kinds["first_event_ts_ms"]), *columns, ("hours", kinds["hours"])]])
+    return in_arrow(dealt, schema, slid(ops, windows, wide, span))
 
 
 def rolling(df: DataFrame, by: str, ts: str, seconds: int, aggregates: dict[str, Column]) -> DataFrame:

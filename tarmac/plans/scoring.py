@@ -117,25 +117,29 @@ def stream_dedup_windows(spark, sf_dir):
     return out.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
 
 
-def _slices(spark, sf_dir, folder: str, n: int, hours: int = 20) -> DataFrame:
-    """The events as a stream of ``n`` files by time, a file a micro-batch; a third of what the last ``hours`` of a file hold comes again in the next."""
+def _slice(spark, sf_dir, folder: str, i: int, n: int, hours: int = 20) -> None:
+    """Add slice ``i`` of ``n`` of the events by time to a folder; a third of what the last ``hours`` of a slice hold comes again in the next."""
     events = table(spark, sf_dir, "events")
     width = (END_MS - START_MS) // n + 1
-    at = F.floor((epoch_ms(F.col("ts")) - START_MS) / width)
-    again = (F.col("event_id") % 3 == 0) & (epoch_ms(F.col("ts")) >= START_MS + (at + 1) * width - hours * HOUR_MS)
-    for i in range(n):
-        part = events.where(at == i).unionByName(events.where((at == i - 1) & again)) if i else events.where(at <= 0)
-        (part if i < n - 1 else part.unionByName(events.where(at >= n))).orderBy("ts").coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    ts = epoch_ms(F.col("ts"))
+    at = F.floor((ts - START_MS) / width)
+    at = F.when(at < 0, 0).when(at >= n, n - 1).otherwise(at)
+    again = (at == i - 1) & (F.col("event_id") % 3 == 0) & (ts >= START_MS + i * width - hours * HOUR_MS)
+    events.where((at == i) | again).write.mode("append").parquet(folder)
 
 
 @query(f"WITH {GRID}, {WINDOW_TOTALS_SQL}")
 def stream_snapshots(spark, sf_dir):
-    """All 70 statistics of all windows through the stream's state, in five micro-batches with repeated deliveries, summed up by vehicle."""
-    folder = _folder(spark)
+    """All 70 statistics of all windows through the stream's state, in five micro-batches with repeated deliveries, summed up by vehicle.
+
+    The stream is started for each slice once that is there, and goes on from its checkpoint: what is there is a micro-batch.
+    """
+    folder, events = _folder(spark), table(spark, sf_dir, "events")
     engine = Snapshots(folder, buckets=8)
-    named = telemetry(spark, sf_dir, _slices(spark, sf_dir, f"{folder}-events", 5)).withColumns({"event_ts": F.timestamp_millis("ts_ms"), "arrival": F.col("ts_ms")})
-    engine.start(dedup(named, horizon="25 hours").drop("event_ts")).awaitTermination()
+    for i in range(5):
+        _slice(spark, sf_dir, f"{folder}-events", i, 5)
+        once = dedup(spark.readStream.schema(events.schema).parquet(f"{folder}-events").withColumn("event_ts", F.timestamp_millis(epoch_ms(F.col("ts")))), horizon="25 hours", keys=["user_id", "event_id"])
+        engine.start(telemetry(spark, sf_dir, once.drop("event_ts")).withColumn("arrival", F.col("ts_ms"))).awaitTermination()
     return window_totals(engine.read_spells(spark))
 
 

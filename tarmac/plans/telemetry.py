@@ -14,6 +14,7 @@ from tarmac.functions.features import features
 from tarmac.functions.scalars import epoch_ms, f32, hash_percent, std_from_sums
 from tarmac.functions.stats import all_stats
 from tarmac.operators import asof, checks, ingest, labels, windows
+from tarmac.operators.blocks import in_arrow, weighted
 from tarmac.plans.registry import query
 from tarmac.sources.readers import table
 
@@ -80,10 +81,12 @@ WINDOW_TOTALS_SQL = ", ".join(
 
 
 def window_totals(spells: DataFrame) -> DataFrame:
-    """Every statistic of every window summed over each vehicle's snapshots: a small result that holds all of them."""
-    plain = plain_stats(spells).withColumn("n", F.size("hours"))
+    """Every statistic of every window summed over each vehicle's snapshots: a small result that holds all of them. Sums are rounded first, as the SQL does."""
     names = [f"{w}_{n}" for w in _WINDOWS for n in all_stats()]
-    return plain.groupBy("vehicle_id").agg(F.sum("n").alias("snapshots"), *[F.expr(f"round(sum(CAST(`{x}` AS DOUBLE) * n), 2) AS `{x}`") for x in names])
+    value = lambda c: f"`{c}`.value" if c.endswith(("soc_first", "soc_last")) else f"`{c}`"
+    plain = spells.selectExpr("vehicle_id", "CAST(size(hours) AS BIGINT) AS snapshots", *[f"CAST({value(c)} AS DOUBLE) AS `{c}`" for c in names])
+    parts = in_arrow(plain, plain.schema, weighted({c for c in names if c.endswith(("_sum", "_sumsq"))}))
+    return parts.groupBy("vehicle_id").agg(F.sum("snapshots").alias("snapshots"), *[F.expr(f"round(sum(`{c}`), 2) AS `{c}`") for c in names])
 
 
 def plain_stats(df: DataFrame) -> DataFrame:

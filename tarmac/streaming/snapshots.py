@@ -1,10 +1,11 @@
 """Exact snapshots on a stream, of all statistics: each micro-batch is merged into hour blocks that are kept between batches.
 
-A batch's events become hour blocks by Spark's own aggregates (partial before the shuffle), so a vehicle of any traffic adds
-one row an hour. The state is two tables in buckets of vehicles: the hour blocks that later snapshots can need, and each
-vehicle's progress. A batch reads and writes the buckets of its vehicles (and one more, to forget vehicles that are gone),
-and its state and snapshots are one commit (``Commits``): a batch that is repeated after a failure, wherever that was, finds
-the state of the one before, or itself committed; nothing is applied or emitted twice.
+A batch's events become parts of hour blocks in their tasks, before the shuffle, so a vehicle of any traffic adds one row an
+hour and task. Snapshots are made from these and the state's blocks; only blocks that later snapshots can need are written.
+The state is two tables in buckets of vehicles: these hour blocks, and each vehicle's progress. A batch reads and writes the
+buckets of its vehicles (and one more, to forget vehicles that are gone), and its state and snapshots are one commit
+(``Commits``): a batch that is repeated after a failure, wherever that was, finds the state of the one before, or itself
+committed; nothing is applied or emitted twice.
 
 Every hour boundary that a vehicle passes emits a snapshot, hours without events included; snapshots are never revised.
 Events too far behind the latest one that came before them (in this batch or an earlier one) are counted and left out, so
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tarmac.config import HOUR_MS, FeatureConfig
 from tarmac.functions.features import COMPONENTS, features, window_complete
-from tarmac.functions.stats import Stat, all_stats, merge
-from tarmac.operators.windows import HOURS, each_hour, hour_blocks, window_spells
+from tarmac.functions.stats import Stat, all_stats
+from tarmac.operators.windows import HOURS, each_hour, hour_parts, join_parts, window_spells
 from tarmac.sources.commits import Change, Commits, bucket_of, query_name
 from tarmac.sources.sinks import retry
 
@@ -66,10 +67,6 @@ class Snapshots:
         self.lateness = (config or FeatureConfig()).lateness_seconds * 1000
         self.ttl, self.on_snapshots = ttl_seconds, on_snapshots
 
-    def _merged(self, old: DataFrame, new: DataFrame) -> DataFrame:
-        parts = [merge(s.op, F.col(f"{side}_{n}")).alias(f"{side}_{n}") for side in "hl" for n, s in self.stats.items()]
-        return old.unionByName(new).groupBy("vehicle_id", "hour").agg(*parts)
-
     def batch(self, events: DataFrame, batch_id: int, emit: bool = True) -> None:
         """Apply one micro-batch. ``emit=False`` only builds state (see ``warm_up``)."""
         spark = events.sparkSession
@@ -95,9 +92,9 @@ class Snapshots:
         shape = f"vehicle_id {vehicle}, first_event_ts_ms long, max_event_ts_ms long, emitted_hour long, applied long, late long, touched timestamp, done long"
         touched = sorted({*change.touched(events, bucket), str(change.batch % self.buckets)})
         before = change.read("progress", shape, touched).drop("done")
-        tagged = with_lateness(events, before, self.lateness).persist()
+        tagged, new = with_lateness(events, before, self.lateness).persist(), None
         try:
-            new = hour_blocks(tagged.where("not __late"), self.stats).drop("first_ts", "last_ts")
+            new = hour_parts(tagged.where("not __late"), self.stats).persist()
             counted = tagged.groupBy("vehicle_id").agg(
                 F.min(F.when(~F.col("__late"), F.col("ts_ms"))).alias("first_event_ts_ms"), F.max(F.when(~F.col("__late"), F.col("ts_ms"))).alias("max_event_ts_ms"),
                 F.count_if(~F.col("__late")).alias("applied"), F.count_if("__late").alias("late"),
@@ -112,22 +109,23 @@ class Snapshots:
             # The first snapshot follows the hour of the vehicle's first event; later ones follow the last one emitted.
             progress = progress.withColumn("done", F.coalesce("done", F.floor(F.col("first_event_ts_ms") / HOUR_MS))).withColumn("emitted_hour", F.greatest("done", reached))
             progress = change.put("progress", progress.select(*[c.split()[0] for c in shape.split(", ")]), bucket, touched)
-            blocks = self._merged(change.read("blocks", new.schema, touched), new)
-            # What no later snapshot and no event in time can need is left behind.
-            known = progress.select("vehicle_id", (F.floor((F.least("max_event_ts_ms", F.col("done") * HOUR_MS) - self.lateness) / HOUR_MS)).alias("__oldest"))
-            blocks = change.put("blocks", blocks.join(known, "vehicle_id").where("hour >= __oldest").drop("__oldest"), bucket, touched)
+            blocks = change.read("blocks", new.schema, touched).unionByName(new)
             if emit:
                 change.append("snapshots", self.due(blocks, progress))
+            # What no later snapshot can need is left behind.
+            known = progress.select("vehicle_id", (F.col("emitted_hour") + 1 - HOURS).alias("__oldest"))
+            kept = blocks.join(known, "vehicle_id").where("hour >= __oldest").drop("__oldest")
+            change.put("blocks", join_parts(kept, self.stats), bucket, touched)
             change.commit()
         finally:
             tagged.unpersist()
+            if new is not None:
+                new.unpersist()
 
     def due(self, blocks: DataFrame, progress: DataFrame) -> DataFrame:
         """The spells of snapshots of the hours after ``done`` up to ``emitted_hour``, from the blocks of the day before each."""
-        hours = progress.where("emitted_hour > done").select("vehicle_id", "first_event_ts_ms", "done", "emitted_hour")
-        parts = blocks.join(hours.select("vehicle_id", "done", "emitted_hour"), "vehicle_id").where(F.col("hour").between(F.col("done") + 1 - HOURS, F.col("emitted_hour") - 1)).drop("done", "emitted_hour")
-        due = hours.select("vehicle_id", "first_event_ts_ms", (F.col("done") + 1).alias("from_hour"), F.col("emitted_hour").alias("to_hour"))
-        return window_spells(parts, due, self.windows, self.stats)
+        due = progress.where("emitted_hour > done").select("vehicle_id", "first_event_ts_ms", (F.col("done") + 1).alias("from_hour"), F.col("emitted_hour").alias("to_hour"))
+        return window_spells(blocks, due, self.windows, self.stats)
 
     def warm_up(self, history: DataFrame, batch_id: int = 0) -> None:
         """Rebuild the state from stored telemetry, as if the stream had run over it: the next batch has the number after."""

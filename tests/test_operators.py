@@ -425,3 +425,50 @@ def test_spells_hold_snapshots_that_agree(spark, sf):
     assert max(len(r.hours) for r in found if r["1h_n_events"]) == 1
     ends = telemetry(spark, sf).groupBy("vehicle_id").agg(F.min("ts_ms").alias("a"), F.max("ts_ms").alias("b")).collect()
     assert sorted(hours) == sorted((r.vehicle_id, h) for r in ends for h in range(r.a // HOUR_MS + 1, r.b // HOUR_MS + 1))
+
+
+def test_statistics_merged_in_arrow_tasks_are_sparks(spark):
+    """Ranges of sorted rows, empty ones, nulls, NaN, structs and whole columns of nulls, against Spark's aggregates."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tarmac.functions.stats import Merge, merge
+    from tarmac.operators.blocks import merged
+
+    rnd = random.Random(4)
+    x = [rnd.choice([None, float("nan"), -0.5, 2.0, rnd.uniform(-9, 9)]) for _ in range(60)]
+    ends = [None if v is None else {"ts": rnd.randrange(3), "seq": rnd.choice([None, 1, 2]), "value": v} for v in x]
+    low = np.array([0, 0, 5, 5, 9, 20, 30, 59, 60])
+    high = np.array([3, 60, 5, 40, 10, 24, 60, 60, 60])
+    kind = pa.struct([("ts", pa.int64()), ("seq", pa.int64()), ("value", pa.float64())])
+    columns = {Merge.TALLY: (pa.array([None if v is None else 1 for v in x], pa.int64()), "long"), Merge.TOTAL: (pa.array(x, pa.float64()), "double"), Merge.LEAST: (pa.array(x, pa.float64()), "double"), Merge.GREATEST: (pa.array(x, pa.float64()), "double"), Merge.EARLIEST: (pa.array(ends, kind), "struct<ts: long, seq: long, value: double>"), Merge.LATEST: (pa.array(ends, kind), "struct<ts: long, seq: long, value: double>")}
+    for op, (column, ddl) in columns.items():
+        for of in (column, pa.nulls(60, column.type)):
+            rows = [(i, v) for i, (a, b) in enumerate(zip(low, high)) for v in of.to_pylist()[a:b]]
+            df = spark.createDataFrame(rows, f"i long, v {ddl}").groupBy("i").agg(merge(op, F.col("v")).alias("v"))
+            want = {r.i: r.v for r in df.collect()}
+            for i, got in enumerate(merged(op, of, low, high).to_pylist()):
+                expect = want.get(i, 0 if op.adds else None)
+                expect = expect.asDict() if hasattr(expect, "asDict") else expect
+                assert str(got) == str(expect) or got == pytest.approx(expect), (op, i)
+
+
+def test_blocks_in_parts_give_the_same_windows(spark):
+    """However events are dealt out and cut into Arrow batches, the same snapshots; halves are rounded as SQL rounds them."""
+    import numpy as np
+
+    from tarmac.operators.blocks import _hundredths
+
+    rnd = random.Random(8)
+    data = [(f"v{i % 3}", *record(T0 + rnd.randrange(20 * DAY_MS), i, speed_kmh=rnd.uniform(0, 99), soc_pct=float(rnd.randrange(9)))[1:]) for i in range(600)]
+    stats = {n: all_stats()[n] for n in ("n_events", "speed_sum", "soc_min", "soc_last")}
+    df, found = spark.createDataFrame(data, RECORD), []
+    for parts, rows in ((1, 10_000), (7, 16)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            got = windows.snapshots(df.repartition(parts), {w: list(stats) for w in ("5m", "1h", "24h")}, stats).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        found.append(sorted(str([round(v, 6) if isinstance(v, float) else v for v in r]) for r in got))
+    assert len(found[0]) > 1000 and found[0] == found[1]
+    assert _hundredths(np.array([0.125, -0.125, 2.5, 0.0, np.nan, np.inf, 1e307]))[:4].tolist() == [0.13, -0.13, 2.5, 0.0]

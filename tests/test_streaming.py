@@ -315,3 +315,33 @@ def test_streams_keep_their_state_in_the_shared_folder(spark):
     from tarmac.plans.scoring import _folder
 
     assert _folder(spark).startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+
+
+def test_state_holds_only_blocks_that_later_snapshots_need(spark, tmp_path):
+    """A batch of days leaves the blocks of each vehicle's last day, one an hour; it wrote all of its own before."""
+    stats = {n: all_stats()[n] for n in ("n_events", "speed_sum", "soc_last")}
+    engine = Snapshots(f"{tmp_path}/s", stats, {"24h": list(stats)}, buckets=2)
+    rows = history(200)
+    for i in range(2):
+        engine.batch(frame(spark, rows[i * 100 : (i + 1) * 100]).repartition(3), i)
+    last = {v: max(r[1] for r in rows if r[0] == v) // HOUR_MS for v in ("v0", "v1", "v2")}
+    want = sorted({(r[0], r[1] // HOUR_MS) for r in rows if r[1] // HOUR_MS > last[r[0]] - 24})
+    assert sorted((r.vehicle_id, r.hour) for r in Commits(spark, f"{tmp_path}/s").read("blocks").collect()) == want
+
+
+def test_slices_of_a_stream_are_written_by_many_tasks(spark, tmp_path):
+    """Each slice has as many files as tasks read it, its rows once, and a third of the slice before's last hours again; one task wrote each before."""
+    from tarmac.plans.scoring import END_MS, START_MS, _slice
+
+    rows = [(i, START_MS + (END_MS - START_MS) * i // 3000) for i in range(-30, 3030)]
+    events = spark.createDataFrame(rows, "event_id long, ms long").select("event_id", F.timestamp_millis("ms").cast("timestamp_ntz").alias("ts"))
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    width, seen = (END_MS - START_MS) // 5 + 1, 0
+    for i in range(5):
+        _slice(spark, str(tmp_path), f"{tmp_path}/in", i, 5)
+        files = spark.read.parquet(f"{tmp_path}/in").select("event_id", F.input_file_name().alias("f")).collect()
+        assert len({r.f for r in files}) == 3 * (i + 1)
+        own = {e for e, ms in rows if min(4, max(0, (ms - START_MS) // width)) == i}
+        again = {e for e, ms in rows if e % 3 == 0 and START_MS + i * width > ms >= START_MS + i * width - 20 * HOUR_MS} if i else set()
+        seen += len(own) + len(again)
+        assert len(files) == seen and own | again <= {r.event_id for r in files} and (not i or again)
