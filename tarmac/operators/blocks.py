@@ -7,6 +7,7 @@ merging them many times over. Memory is bounded by a batch and by the blocks of
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,25 +22,82 @@ from tarmac.session import ship
 Batches = Iterator[pa.RecordBatch]
 
 
-def in_arrow(df: DataFrame, schema: T.StructType, run: Callable[[Batches, pa.Schema], Batches]) -> DataFrame:
-    """``mapInArrow``, with the schema that is put out as Arrow has it."""
+PACKED = "packed"
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Statistics by column, with their types: in Spark's rows the numbers are one array, so that it carries few columns; in tasks all are columns again.
+
+    Counts are held as doubles, which are exact up to 2 ^ 53.
+    """
+
+    kinds: dict[str, T.DataType]
+
+    @property
+    def numbers(self) -> list[str]:
+        return [c for c, kind in self.kinds.items() if isinstance(kind, (T.LongType, T.DoubleType))]
+
+    @property
+    def fields(self) -> list[T.StructField]:
+        """Of a packed row, but for its keys."""
+        return [*[T.StructField(c, kind) for c, kind in self.kinds.items() if c not in self.numbers], T.StructField(PACKED, T.ArrayType(T.DoubleType()))]
+
+    def packed(self, df: DataFrame, *keys: str) -> DataFrame:
+        """Rows with a column each, packed."""
+        return df.selectExpr(*[f"`{k}`" for k in keys], *[f"`{f.name}`" for f in self.fields[:-1]], f"array({', '.join(f'CAST(`{c}` AS DOUBLE)' for c in self.numbers)}) AS `{PACKED}`")
+
+    def wide(self, df: DataFrame, *keys: str) -> DataFrame:
+        """Packed rows with a column each."""
+        of = {c: f"CAST(`{PACKED}`[{i}] AS {self.kinds[c].simpleString()})" for i, c in enumerate(self.numbers)}
+        return df.selectExpr(*[f"`{k}`" for k in keys], *[f"{of.get(c, f'`{c}`')} AS `{c}`" for c in self.kinds])
+
+    def columns_of(self, b: pa.RecordBatch) -> pa.RecordBatch:
+        lists, names = b.column(PACKED), self.numbers
+        at, flat = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)), lists.flatten()
+        values, missing = np.zeros((len(names), b.num_rows)), np.ones((len(names), b.num_rows), dtype=bool)
+        missing[:, at] = flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, len(names)).T
+        values[:, at] = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False).reshape(-1, len(names)).T
+        found = {c: pa.array(v.astype(np.int64) if isinstance(self.kinds[c], T.LongType) else v, mask=m) for c, v, m in zip(names, values, missing)}
+        found = {**{c: b.column(c) for c in b.schema.names if c != PACKED and c not in self.kinds}, **{c: found[c] if c in found else b.column(c) for c in self.kinds}}
+        return pa.RecordBatch.from_arrays(list(found.values()), list(found))
+
+    def rows_of(self, b: pa.RecordBatch, out: pa.Schema) -> pa.RecordBatch:
+        names = self.numbers
+        values, missing = np.empty((len(names), b.num_rows)), np.empty((len(names), b.num_rows), dtype=bool)
+        for i, c in enumerate(names):
+            missing[i] = b.column(c).is_null().to_numpy(zero_copy_only=False)
+            values[i] = pc.fill_null(b.column(c), 0).to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * np.int32(len(names)))
+        lists = pa.ListArray.from_arrays(offsets, pa.array(values.T.ravel(), mask=missing.T.ravel()), type=out.field(PACKED).type)
+        return pa.RecordBatch.from_arrays([lists if c == PACKED else b.column(c) for c in out.names], schema=out)
+
+
+def in_arrow(df: DataFrame, schema: T.StructType, run: Callable[[Batches, pa.Schema], Batches], of: Layout | None = None, to: Layout | None = None) -> DataFrame:
+    """``mapInArrow`` over columns, where rows are packed ``of`` and ``to`` a layout; ``run`` gets the schema that is put out as well."""
     out = to_arrow_schema(schema)
+    rows = to_arrow_schema(T.StructType([*schema.fields[: -len(to.kinds)], *to.fields])) if to else out
     ship(df.sparkSession)
-    return df.mapInArrow(lambda batches: run((b for b in batches if b.num_rows), out), schema)
+
+    def task(batches: Batches) -> Batches:
+        found = run((of.columns_of(b) if of else b for b in batches if b.num_rows), out)
+        return (to.rows_of(b, rows) for b in found) if to else found
+
+    return df.mapInArrow(task, T.StructType([*schema.fields[: -len(to.kinds)], *to.fields]) if to else schema)
 
 
-def merged(op: Merge, column: pa.Array, low: np.ndarray, high: np.ndarray) -> pa.Array:
-    """The merge of the rows of each range [low, high); of none, or of nulls alone, zero where values add and null elsewhere."""
+def merged(op: Merge, column: pa.Array, low: np.ndarray, high: np.ndarray, fill: bool = True) -> pa.Array:
+    """The merge of the rows of each range [low, high); of none, or of nulls alone, null, or zero where values add and ``fill`` says so."""
     empty = low >= high
     if (high - low).max(initial=0) <= 1:
         found = column.take(pa.array(np.where(empty, 0, low), mask=empty))
-        return pc.fill_null(found, 0) if op.adds else found
+        return pc.fill_null(found, 0) if op.adds and fill else found
     ends = np.stack([low, high], axis=1).ravel()  # every other reduction is of a range, the rest of what lies between
     if op.adds:
         values = pc.fill_null(column, 0).to_numpy(zero_copy_only=False)
         found = np.add.reduceat(np.append(values, values[:1]), ends)[::2]
         found[empty] = 0
-        return pa.array(found, type=column.type)
+        return pa.array(found, type=column.type, mask=None if fill else empty)
     n, order = len(column), _order(column)
     ranks = np.empty(n + 1, dtype=np.int64)
     ranks[order] = np.arange(n)
@@ -51,7 +109,9 @@ def merged(op: Merge, column: pa.Array, low: np.ndarray, high: np.ndarray) -> pa
 
 
 def _order(column: pa.Array) -> np.ndarray:
-    """Row numbers by rising value: nulls first, NaN last, structs by their fields."""
+    """Row numbers by rising value: NaN last, structs by their fields, in which nulls are first."""
+    if pa.types.is_floating(column.type):
+        return np.argsort(column.to_numpy(zero_copy_only=False), kind="stable")  # where nulls stand doesn't matter
     keys = []
     for field in column.flatten() if pa.types.is_struct(column.type) else [column]:
         if not (pa.types.is_floating(field.type) or pa.types.is_integer(field.type)):
@@ -84,7 +144,7 @@ def summed(ops: dict[str, Merge], held: list[str]) -> Callable[[Batches, pa.Sche
             columns = [b.column(i).take(pa.array(low)) for i in (0, 1)]
             for c in held:
                 values = b.column(f"__{c[2:]}")
-                columns.append(merged(ops[c[2:]], values, low, high) if c[0] == "h" else merged(ops[c[2:]], values.take(pa.array(flagged)), *some))
+                columns.append(merged(ops[c[2:]], values, low, high, False) if c[0] == "h" else merged(ops[c[2:]], values.take(pa.array(flagged)), *some, False))
             yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     return run
@@ -96,7 +156,7 @@ def _merge_rows(b: pa.RecordBatch, keys: int, ops: dict[str, Merge]) -> pa.Recor
     if len(starts) == b.num_rows:
         return b
     low, high = _ranges(starts, b.num_rows)
-    return pa.RecordBatch.from_arrays([merged(ops[c[2:]], x, low, high) if c[2:] in ops and i >= keys else x.take(pa.array(low)) for i, (c, x) in enumerate(zip(b.schema.names, b.columns))], schema=b.schema)
+    return pa.RecordBatch.from_arrays([merged(ops[c[2:]], x, low, high, False) if c[2:] in ops and i >= keys else x.take(pa.array(low)) for i, (c, x) in enumerate(zip(b.schema.names, b.columns))], schema=b.schema)
 
 
 def joined(ops: dict[str, Merge]) -> Callable[[Batches, pa.Schema], Batches]:
@@ -114,10 +174,11 @@ def joined(ops: dict[str, Merge]) -> Callable[[Batches, pa.Schema], Batches]:
     return run
 
 
-def slid(ops: dict[str, Merge], windows: dict[str, list[str]], wide: str, span: int) -> Callable[[Batches, pa.Schema], Batches]:
+def slid(ops: dict[str, Merge], windows: dict[str, list[str]], wide: str, span: int, fill: bool = True) -> Callable[[Batches, pa.Schema], Batches]:
     """Spells from rows (key, group, number, first_event_ts_ms, hours, statistics) sorted by the first three.
 
-    A row with ``hours`` (its number is null) names those wanted of a key's group; the others are blocks, in one or several parts.
+    A row with ``hours`` (its number is null) names those wanted of a key's group; the others are blocks, in one or several
+    parts. Without ``fill``, what adds is null in place of zero in empty windows (see ``filled``).
     """
 
     def run(batches: Batches, out: pa.Schema) -> Batches:
@@ -158,8 +219,8 @@ def slid(ops: dict[str, Merge], windows: dict[str, list[str]], wide: str, span:
         for w, names in windows.items():
             if w != wide:
                 side = "l" if w == "5m" else "h"
-                columns += [merged(ops[n], blocks.column(f"{side}_{n}"), last, high) for n in names]
-        columns += [merged(ops[n], blocks.column(f"h_{n}"), low, high) for n in windows.get(wide, [])]
+                columns += [merged(ops[n], blocks.column(f"{side}_{n}"), last, high, fill) for n in names]
+        columns += [merged(ops[n], blocks.column(f"h_{n}"), low, high, fill) for n in windows.get(wide, [])]
         offsets = pa.array(np.append(first, len(t)).astype(np.int32))
         yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(t), type=out.field("hours").type)], schema=out)
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tarmac.config import HOUR_MS
 from tarmac.functions.stats import INPUT_COLUMNS, Stat, all_stats
-from tarmac.operators.blocks import in_arrow, joined, slid, summed
+from tarmac.operators.blocks import Layout, in_arrow, joined, slid, summed
 
 HOURS = 24
 #: Windows of a key are made in groups of so many times their length.
@@ -44,20 +44,23 @@ def hour_blocks(telemetry: DataFrame, stats: dict[str, Stat] | None = None, by:
     return parts.groupBy(by, "hour").agg(*map(F.expr, whole + last), F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"))
 
 
-def hour_parts(telemetry: DataFrame, stats: dict[str, Stat], by: str = "vehicle_id", held: list[str] | None = None) -> DataFrame:
-    """(vehicle_id, hour, h_<stat>, l_<stat>): hour blocks before the shuffle, so one or a few rows an hour and task; ``held`` names the columns wanted."""
+def hour_parts(telemetry: DataFrame, stats: dict[str, Stat], by: str = "vehicle_id", held: list[str] | None = None) -> tuple[DataFrame, Layout]:
+    """(vehicle_id, hour, packed h_<stat> and l_<stat>): hour blocks before the shuffle, so one or a few rows an hour and task; ``held`` names the columns wanted."""
     held = held or [f"{side}_{n}" for side in "hl" for n in stats]
     late = F.floor(F.col("ts_ms") / 60_000) % 60 >= LAST_MINUTE
     rows = allowed(telemetry, by).where("ts_ms IS NOT NULL").withColumn("__hour", F.floor(F.col("ts_ms") / HOUR_MS)).sortWithinPartitions(by, "__hour")
     parts = rows.select(by, F.col("__hour").alias("hour"), late.alias("__last"), *[s.part().alias(f"__{n}") for n, s in stats.items() if f"h_{n}" in held or f"l_{n}" in held])
-    schema = T.StructType([parts.schema[by], parts.schema["hour"], *[T.StructField(c, parts.schema[f"__{c[2:]}"].dataType) for c in held]])
-    return in_arrow(parts, schema, summed({n: s.op for n, s in stats.items()}, held))
+    kinds = {f.name: f.dataType for f in parts.schema}
+    values, blocks = Layout({c: k for c, k in kinds.items() if c[2:] in stats}), Layout({c: kinds[f"__{c[2:]}"] for c in held})
+    schema = T.StructType([parts.schema[by], parts.schema["hour"], *[T.StructField(c, k) for c, k in blocks.kinds.items()]])
+    return in_arrow(values.packed(parts, by, "hour", "__last"), schema, summed({n: s.op for n, s in stats.items()}, held), values, blocks), blocks
 
 
-def join_parts(parts: DataFrame, stats: dict[str, Stat], by: str = "vehicle_id") -> DataFrame:
-    """One row an hour from the parts of hour blocks."""
+def join_parts(parts: DataFrame, layout: Layout, stats: dict[str, Stat], by: str = "vehicle_id") -> DataFrame:
+    """One row an hour from the packed parts of hour blocks."""
     dealt = parts.repartition(_partitions(parts), by).sortWithinPartitions(by, "hour")
-    return in_arrow(dealt, dealt.schema, joined({n: s.op for n, s in stats.items()}))
+    schema = T.StructType([parts.schema[by], parts.schema["hour"], *[T.StructField(c, k) for c, k in layout.kinds.items()]])
+    return in_arrow(dealt, schema, joined({n: s.op for n, s in stats.items()}), layout, layout)
 
 
 def _partitions(df: DataFrame) -> int:
@@ -90,7 +93,7 @@ def spells(telemetry: DataFrame, windows: dict[str, list[str]] | None = None, st
     hour = lambda c: F.floor(F.col(c) / HOUR_MS)
     bounds = allowed(telemetry, by).groupBy(by).agg(F.min("ts_ms").alias("first_event_ts_ms"), F.max("ts_ms").alias("last_ts"))
     due = bounds.select(by, "first_event_ts_ms", (hour("first_event_ts_ms") + 1).alias("from_hour"), hour("last_ts").alias("to_hour"))
-    return window_spells(hour_parts(telemetry, used, by, _held(windows, used)), due, windows, used, by)
+    return window_spells(*hour_parts(telemetry, used, by, _held(windows, used)), due, windows, used, by)
 
 
 def each_hour(spells: DataFrame) -> DataFrame:
@@ -106,12 +109,18 @@ def _each(spells: DataFrame) -> DataFrame:
     return packed.selectExpr(*[f"has.`{c}` AS `{c}`" for c in names], "t")
 
 
-def window_spells(blocks: DataFrame, due: DataFrame, windows: dict[str, list[str]], stats: dict[str, Stat], by: str = "vehicle_id") -> DataFrame:
-    """The spells of the hours ``from_hour`` to ``to_hour`` of each row of ``due`` (by, first_event_ts_ms and these), from hour blocks or their parts."""
+def window_spells(blocks: DataFrame, layout: Layout, due: DataFrame, windows: dict[str, list[str]], stats: dict[str, Stat], by: str = "vehicle_id", fill: bool = True) -> DataFrame:
+    """The spells of the hours ``from_hour`` to ``to_hour`` of each row of ``due`` (by, first_event_ts_ms and these), from packed hour blocks or their parts."""
     width = GROUP * HOURS
     groups = due.where("from_hour <= to_hour").selectExpr(f"`{by}`", "first_event_ts_ms", "from_hour", "to_hour", f"explode(sequence({_group('from_hour', HOURS)}, {_group('to_hour', HOURS)})) AS `group`")
     groups = groups.selectExpr(f"`{by}`", "`group`", "first_event_ts_ms", f"sequence(greatest(from_hour, `group` * {width} + 1), least(to_hour, (`group` + 1) * {width})) AS hours")
-    return sliding_spells(blocks, groups, windows, stats, by)
+    return sliding_spells(blocks, layout, groups, windows, stats, by, fill=fill)
+
+
+def filled(spells: DataFrame, windows: dict[str, list[str]], stats: dict[str, Stat]) -> DataFrame:
+    """Spells that were made without ``fill``, with the zeros of empty windows."""
+    adds = {f"{w}_{n}": stats[n].op for w, names in windows.items() for n in names if stats[n].op.adds}
+    return spells.selectExpr(*[f"{adds[c].filled(f'`{c}`')} AS `{c}`" if c in adds else f"`{c}`" for c in spells.columns])
 
 
 def _group(t: str, span: int) -> str:
@@ -139,26 +148,27 @@ def bucket_snapshots(telemetry: DataFrame, points: DataFrame, windows: dict[str,
         blocks = blocks.select(by, F.col("bucket").alias("hour"), *[F.col(x).alias(f"h_{x}") for x in names])
         index = F.floor(F.col("feature_ts_ms") / (width * 1000))
         groups = out.select(by, index.alias("t")).groupBy(by, F.expr(_group("t", n)).alias("group")).agg(F.lit(0).cast("long").alias("first_event_ts_ms"), F.collect_set("t").alias("hours"))
-        merged = _each(sliding_spells(blocks, groups, {w: names}, used, by, n, w)).drop("first_event_ts_ms")
+        layout = Layout({c: blocks.schema[c].dataType for c in blocks.columns if c.startswith("h_")})
+        merged = _each(sliding_spells(layout.packed(blocks, by, "hour"), layout, groups, {w: names}, used, by, n, w)).drop("first_event_ts_ms")
         out = out.withColumn("t", index).join(merged, [by, "t"]).drop("t")
     return out
 
 
-def sliding_spells(blocks: DataFrame, groups: DataFrame, windows: dict[str, list[str]], stats: dict[str, Stat], by: str = "vehicle_id", span: int = HOURS, wide: str = "24h") -> DataFrame:
+def sliding_spells(blocks: DataFrame, layout: Layout, groups: DataFrame, windows: dict[str, list[str]], stats: dict[str, Stat], by: str = "vehicle_id", span: int = HOURS, wide: str = "24h", fill: bool = True) -> DataFrame:
     """(by, first_event_ts_ms, <window>_<stat>, hours) over all ``hours`` of ``groups`` (by, group, first_event_ts_ms, hours: a row a group), from blocks of any width.
 
-    ``blocks`` has h_ and l_ columns and their number ``hour``, in one or several parts; the window ``wide`` spans ``span``
-    blocks before t, the others one.
+    ``blocks`` has packed h_ and l_ columns and their number ``hour``, in one or several parts; the window ``wide`` spans
+    ``span`` blocks before t, the others one. Without ``fill``, what adds is null in empty windows.
     """
-    key, held, reach = f"`{by}`", _held(windows, stats, wide), span if wide in windows else 1
+    reach = span if wide in windows else 1
     # Windows of the hours up to ``reach`` after a block hold it.
-    posted = blocks.selectExpr(key, f"explode(sequence({_group('hour + 1', span)}, {_group(f'hour + {reach}', span)})) AS `group`", "hour", *[f"`{c}`" for c in held])
+    posted = blocks.selectExpr(f"`{by}`", f"explode(sequence({_group('hour + 1', span)}, {_group(f'hour + {reach}', span)})) AS `group`", "hour", *[f"`{f.name}`" for f in layout.fields])
     met = groups.select(by, "group", F.lit(None).cast("long").alias("hour"), "first_event_ts_ms", "hours").unionByName(posted, allowMissingColumns=True)
     dealt = met.repartition(_partitions(met), by, "group").sortWithinPartitions(by, "group", "hour")
-    kinds, ops = {f.name: f.dataType for f in met.schema}, {n: s.op for n, s in stats.items()}
+    kinds = {**{f.name: f.dataType for f in met.schema}, **layout.kinds}
     columns = [(f"{w}_{n}", kinds[f"{'l' if w == '5m' and w != wide else 'h'}_{n}"]) for w in sorted(windows, key=lambda w: w == wide) for n in windows[w]]
     schema = T.StructType([T.StructField(c, t) for c, t in [(by, kinds[by]), ("first_event_ts_ms", kinds["first_event_ts_ms"]), *columns, ("hours", kinds["hours"])]])
-    return in_arrow(dealt, schema, slid(ops, windows, wide, span))
+    return in_arrow(dealt, schema, slid({n: s.op for n, s in stats.items()}, windows, wide, span, fill), layout)
 
 
 def rolling(df: DataFrame, by: str, ts: str, seconds: int, aggregates: dict[str, Column]) -> DataFrame:

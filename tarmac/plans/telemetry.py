@@ -14,7 +14,7 @@ from tarmac.functions.features import features
 from tarmac.functions.scalars import epoch_ms, f32, hash_percent, std_from_sums
 from tarmac.functions.stats import all_stats
 from tarmac.operators import asof, checks, ingest, labels, windows
-from tarmac.operators.blocks import in_arrow, weighted
+from tarmac.operators.blocks import Layout, in_arrow, weighted
 from tarmac.plans.registry import query
 from tarmac.sources.readers import table
 
@@ -85,7 +85,8 @@ def window_totals(spells: DataFrame) -> DataFrame:
     names = [f"{w}_{n}" for w in _WINDOWS for n in all_stats()]
     value = lambda c: f"`{c}`.value" if c.endswith(("soc_first", "soc_last")) else f"`{c}`"
     plain = spells.selectExpr("vehicle_id", "CAST(size(hours) AS BIGINT) AS snapshots", *[f"CAST({value(c)} AS DOUBLE) AS `{c}`" for c in names])
-    parts = in_arrow(plain, plain.schema, weighted({c for c in names if c.endswith(("_sum", "_sumsq"))}))
+    layout = Layout({c: plain.schema[c].dataType for c in names})
+    parts = in_arrow(layout.packed(plain, "vehicle_id", "snapshots"), plain.schema, weighted({c for c in names if c.endswith(("_sum", "_sumsq"))}), layout)
     return parts.groupBy("vehicle_id").agg(F.sum("snapshots").alias("snapshots"), *[F.expr(f"round(sum(`{c}`), 2) AS `{c}`") for c in names])
 
 

@@ -19,11 +19,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarmac.config import HOUR_MS, FeatureConfig
 from tarmac.functions.features import COMPONENTS, features, window_complete
 from tarmac.functions.stats import Stat, all_stats
-from tarmac.operators.windows import HOURS, each_hour, hour_parts, join_parts, window_spells
+from tarmac.operators.blocks import Layout
+from tarmac.operators.windows import HOURS, each_hour, filled, hour_parts, join_parts, window_spells
 from tarmac.sources.commits import Change, Commits, bucket_of, query_name
 from tarmac.sources.sinks import retry
 
@@ -79,7 +81,7 @@ class Snapshots:
             finally:
                 events.unpersist()
         if emit and self.on_snapshots:
-            out = each_hour(log.read("snapshots", batch=(writer, batch_id))) if self._has(log, writer, batch_id) else None
+            out = each_hour(self._filled(log.read("snapshots", batch=(writer, batch_id)))) if self._has(log, writer, batch_id) else None
             if out is not None:
                 self.on_snapshots(out, batch_id)
 
@@ -90,11 +92,21 @@ class Snapshots:
     def _apply(self, change: Change, events: DataFrame, emit: bool) -> None:
         vehicle, bucket = events.schema["vehicle_id"].dataType.simpleString(), bucket_of(["vehicle_id"], self.buckets)
         shape = f"vehicle_id {vehicle}, first_event_ts_ms long, max_event_ts_ms long, emitted_hour long, applied long, late long, touched timestamp, done long"
-        touched = sorted({*change.touched(events, bucket), str(change.batch % self.buckets)})
+        filled_buckets, spark = change.touched(events, bucket), events.sparkSession
+        touched = sorted({*filled_buckets, str(change.batch % self.buckets)})
         before = change.read("progress", shape, touched).drop("done")
+        expired = F.col("touched") <= F.current_timestamp() - F.make_dt_interval(secs=F.lit(self.ttl))
+        if not filled_buckets and before.where(expired).isEmpty():
+            # Without events, and with none to forget, state stays as it is (a stream's last batch moves its watermark only).
+            if emit:
+                new, layout = hour_parts(events, self.stats)
+                change.append("snapshots", spark.createDataFrame([], self.due(new, layout, before.withColumn("done", F.col("emitted_hour"))).schema))
+            change.commit()
+            return
         tagged, new = with_lateness(events, before, self.lateness).persist(), None
         try:
-            new = hour_parts(tagged.where("not __late"), self.stats).persist()
+            new, layout = hour_parts(tagged.where("not __late"), self.stats)
+            new = new.persist()
             counted = tagged.groupBy("vehicle_id").agg(
                 F.min(F.when(~F.col("__late"), F.col("ts_ms"))).alias("first_event_ts_ms"), F.max(F.when(~F.col("__late"), F.col("ts_ms"))).alias("max_event_ts_ms"),
                 F.count_if(~F.col("__late")).alias("applied"), F.count_if("__late").alias("late"),
@@ -104,28 +116,29 @@ class Snapshots:
                 F.min("first_event_ts_ms").alias("first_event_ts_ms"), F.max("max_event_ts_ms").alias("max_event_ts_ms"), F.max("emitted_hour").alias("done"),
                 F.sum("applied").alias("applied"), F.sum("late").alias("late"), F.max("touched").alias("touched"),
             ).where("max_event_ts_ms is not null")
-            progress = progress.where(F.col("touched") > F.current_timestamp() - F.make_dt_interval(secs=F.lit(self.ttl)))
+            progress = progress.where(~expired)
             reached = F.floor(F.col("max_event_ts_ms") / HOUR_MS)
             # The first snapshot follows the hour of the vehicle's first event; later ones follow the last one emitted.
             progress = progress.withColumn("done", F.coalesce("done", F.floor(F.col("first_event_ts_ms") / HOUR_MS))).withColumn("emitted_hour", F.greatest("done", reached))
             progress = change.put("progress", progress.select(*[c.split()[0] for c in shape.split(", ")]), bucket, touched)
-            blocks = change.read("blocks", new.schema, touched).unionByName(new)
+            stored = T.StructType([new.schema["vehicle_id"], new.schema["hour"], *[T.StructField(c, k) for c, k in layout.kinds.items()]])
+            blocks = layout.packed(change.read("blocks", stored, touched), "vehicle_id", "hour").unionByName(new)
             if emit:
-                change.append("snapshots", self.due(blocks, progress))
+                change.append("snapshots", self.due(blocks, layout, progress))
             # What no later snapshot can need is left behind.
             known = progress.select("vehicle_id", (F.col("emitted_hour") + 1 - HOURS).alias("__oldest"))
             kept = blocks.join(known, "vehicle_id").where("hour >= __oldest").drop("__oldest")
-            change.put("blocks", join_parts(kept, self.stats), bucket, touched)
+            change.put("blocks", layout.wide(join_parts(kept, layout, self.stats), "vehicle_id", "hour"), bucket, touched)
             change.commit()
         finally:
             tagged.unpersist()
             if new is not None:
                 new.unpersist()
 
-    def due(self, blocks: DataFrame, progress: DataFrame) -> DataFrame:
-        """The spells of snapshots of the hours after ``done`` up to ``emitted_hour``, from the blocks of the day before each."""
+    def due(self, blocks: DataFrame, layout: Layout, progress: DataFrame) -> DataFrame:
+        """The spells of snapshots of the hours after ``done`` up to ``emitted_hour``, from the blocks of the day before each; stored without zeros of empty windows."""
         due = progress.where("emitted_hour > done").select("vehicle_id", "first_event_ts_ms", (F.col("done") + 1).alias("from_hour"), F.col("emitted_hour").alias("to_hour"))
-        return window_spells(blocks, due, self.windows, self.stats)
+        return window_spells(blocks, layout, due, self.windows, self.stats, fill=False)
 
     def warm_up(self, history: DataFrame, batch_id: int = 0) -> None:
         """Rebuild the state from stored telemetry, as if the stream had run over it: the next batch has the number after."""
@@ -137,7 +150,10 @@ class Snapshots:
 
     def read_spells(self, spark: SparkSession) -> DataFrame:
         """All snapshots so far as they are stored: as spells."""
-        return Commits(spark, self.root).read("snapshots")
+        return self._filled(Commits(spark, self.root).read("snapshots"))
+
+    def _filled(self, spells: DataFrame) -> DataFrame:
+        return filled(spells, self.windows, self.stats)
 
     def counters(self, spark: SparkSession) -> DataFrame:
         """One row: vehicles, applied and late events as of the last commit."""
