@@ -174,11 +174,12 @@ def joined(ops: dict[str, Merge]) -> Callable[[Batches, pa.Schema], Batches]:
     return run
 
 
-def slid(ops: dict[str, Merge], windows: dict[str, list[str]], wide: str, span: int, fill: bool = True) -> Callable[[Batches, pa.Schema], Batches]:
+def slid(ops: dict[str, Merge], windows: dict[str, list[str]], wide: str, span: int, paired: bool = False) -> Callable[[Batches, pa.Schema], Batches]:
     """Spells from rows (key, group, number, first_event_ts_ms, hours, statistics) sorted by the first three.
 
     A row with ``hours`` (its number is null) names those wanted of a key's group; the others are blocks, in one or several
-    parts. Without ``fill``, what adds is null in place of zero in empty windows (see ``filled``).
+    parts. ``paired``, a row is for the hours that agree in the window ``wide`` and tells whether its short windows are those of
+    its first hour (``fresh``) or, as at all its later hours, empty; what adds is null in place of zero in empty windows.
     """
 
     def run(batches: Batches, out: pa.Schema) -> Batches:
@@ -212,33 +213,36 @@ def slid(ops: dict[str, Merge], windows: dict[str, list[str]], wide: str, span:
         low = found(t - span) if wide in windows else high
         last = found(t - 1)  # the block of the hour before is there if one lies between
         own = last < high
-        new = np.append(True, (row[1:] != row[:-1]) | own[1:] | own[:-1] | ((low[1:] != low[:-1]) | (high[1:] != high[:-1]) if wide in windows else False))
+        new = np.append(True, (row[1:] != row[:-1]) | own[1:] | (own[:-1] & (not paired)) | ((low[1:] != low[:-1]) | (high[1:] != high[:-1]) if wide in windows else False))
         first = np.flatnonzero(new)
         low, high, last = low[first], high[first], last[first]
         columns = [b.column(c).take(pa.array(row[first])) for c in (b.schema.names[0], "first_event_ts_ms")]
         for w, names in windows.items():
             if w != wide:
                 side = "l" if w == "5m" else "h"
-                columns += [merged(ops[n], blocks.column(f"{side}_{n}"), last, high, fill) for n in names]
-        columns += [merged(ops[n], blocks.column(f"h_{n}"), low, high, fill) for n in windows.get(wide, [])]
+                columns += [merged(ops[n], blocks.column(f"{side}_{n}"), last, high, not paired) for n in names]
+        columns += [merged(ops[n], blocks.column(f"h_{n}"), low, high, not paired) for n in windows.get(wide, [])]
         offsets = pa.array(np.append(first, len(t)).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(t), type=out.field("hours").type)], schema=out)
+        columns.append(pa.ListArray.from_arrays(offsets, pa.array(t), type=out.field("hours").type))
+        yield pa.RecordBatch.from_arrays([*columns, *([pa.array(own[first])] if paired else [])], schema=out)
 
     return run
 
 
-def weighted(rounded: set[str]) -> Callable[[Batches, pa.Schema], Batches]:
-    """Rows (key, weight, numbers) become sums of the weights and of each number times its row's weight, over rows of one key that follow each other.
+def weighted(rounded: set[str], light: set[str]) -> Callable[[Batches, pa.Schema], Batches]:
+    """Rows (key, two weights, numbers) become sums of the weights and of each number times its row's weight, over rows of one key that follow each other.
 
-    ``rounded`` numbers are taken to hundredths, halves away from zero. Nulls count for nothing; nulls alone sum up to null.
+    ``light`` numbers go by the second weight, others by the first; ``rounded`` ones are taken to hundredths, halves away from
+    zero. Nulls count for nothing; nulls alone sum up to null.
     """
 
     def run(batches: Batches, out: pa.Schema) -> Batches:
         for b in batches:
-            starts, weight = _starts(b.column(0)), b.column(1).to_numpy()
-            columns = [b.column(0).take(pa.array(starts)), pa.array(np.add.reduceat(weight, starts), type=out.field(1).type)]
-            for name, column in zip(b.schema.names[2:], b.columns[2:]):
+            starts, weights = _starts(b.column(0)), [b.column(i).to_numpy() for i in (1, 2)]
+            columns = [b.column(0).take(pa.array(starts)), *[pa.array(np.add.reduceat(w, starts), type=out.field(1).type) for w in weights]]
+            for name, column in zip(b.schema.names[3:], b.columns[3:]):
                 values, valid = column.to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
+                weight = weights[name in light]
                 total = np.add.reduceat(np.where(valid, (_hundredths(values) if name in rounded else values) * weight, 0.0), starts)
                 columns.append(pa.array(total, mask=~np.logical_or.reduceat(valid, starts)))
             yield pa.RecordBatch.from_arrays(columns, schema=out)

@@ -109,18 +109,31 @@ def _each(spells: DataFrame) -> DataFrame:
     return packed.selectExpr(*[f"has.`{c}` AS `{c}`" for c in names], "t")
 
 
-def window_spells(blocks: DataFrame, layout: Layout, due: DataFrame, windows: dict[str, list[str]], stats: dict[str, Stat], by: str = "vehicle_id", fill: bool = True) -> DataFrame:
+def window_spells(blocks: DataFrame, layout: Layout, due: DataFrame, windows: dict[str, list[str]], stats: dict[str, Stat], by: str = "vehicle_id", paired: bool = False) -> DataFrame:
     """The spells of the hours ``from_hour`` to ``to_hour`` of each row of ``due`` (by, first_event_ts_ms and these), from packed hour blocks or their parts."""
     width = GROUP * HOURS
     groups = due.where("from_hour <= to_hour").selectExpr(f"`{by}`", "first_event_ts_ms", "from_hour", "to_hour", f"explode(sequence({_group('from_hour', HOURS)}, {_group('to_hour', HOURS)})) AS `group`")
     groups = groups.selectExpr(f"`{by}`", "`group`", "first_event_ts_ms", f"sequence(greatest(from_hour, `group` * {width} + 1), least(to_hour, (`group` + 1) * {width})) AS hours")
-    return sliding_spells(blocks, layout, groups, windows, stats, by, fill=fill)
+    return sliding_spells(blocks, layout, groups, windows, stats, by, paired=paired)
 
 
-def filled(spells: DataFrame, windows: dict[str, list[str]], stats: dict[str, Stat]) -> DataFrame:
-    """Spells that were made without ``fill``, with the zeros of empty windows."""
+def unpaired(stored: DataFrame, windows: dict[str, list[str]], stats: dict[str, Stat]) -> DataFrame:
+    """Spells from the form in which they are stored: a row for the hours that agree in the day's window.
+
+    Its short windows are those of its first hour where it is ``fresh``, and empty at all other hours.
+    """
+    short = [f"{w}_{n}" for w, names in windows.items() if w != "24h" for n in names]
+    names = [c for c in stored.columns if c not in ("hours", "fresh")]
+    first = stored.where("fresh").selectExpr(*[f"`{c}`" for c in names], "slice(hours, 1, 1) AS hours")
+    later = [f"CAST(NULL AS {stored.schema[c].dataType.simpleString()}) AS `{c}`" if c in short else f"`{c}`" for c in names]
+    rest = stored.where("NOT fresh OR size(hours) > 1").selectExpr(*later, "if(fresh, slice(hours, 2, size(hours)), hours) AS hours")
+    return filled(first.unionByName(rest), windows, stats)
+
+
+def filled(stored: DataFrame, windows: dict[str, list[str]], stats: dict[str, Stat]) -> DataFrame:
+    """Stored rows with the zeros of empty windows."""
     adds = {f"{w}_{n}": stats[n].op for w, names in windows.items() for n in names if stats[n].op.adds}
-    return spells.selectExpr(*[f"{adds[c].filled(f'`{c}`')} AS `{c}`" if c in adds else f"`{c}`" for c in spells.columns])
+    return stored.selectExpr(*[f"{adds[c].filled(f'`{c}`')} AS `{c}`" if c in adds else f"`{c}`" for c in stored.columns])
 
 
 def _group(t: str, span: int) -> str:
@@ -154,11 +167,11 @@ def bucket_snapshots(telemetry: DataFrame, points: DataFrame, windows: dict[str,
     return out
 
 
-def sliding_spells(blocks: DataFrame, layout: Layout, groups: DataFrame, windows: dict[str, list[str]], stats: dict[str, Stat], by: str = "vehicle_id", span: int = HOURS, wide: str = "24h", fill: bool = True) -> DataFrame:
+def sliding_spells(blocks: DataFrame, layout: Layout, groups: DataFrame, windows: dict[str, list[str]], stats: dict[str, Stat], by: str = "vehicle_id", span: int = HOURS, wide: str = "24h", paired: bool = False) -> DataFrame:
     """(by, first_event_ts_ms, <window>_<stat>, hours) over all ``hours`` of ``groups`` (by, group, first_event_ts_ms, hours: a row a group), from blocks of any width.
 
     ``blocks`` has packed h_ and l_ columns and their number ``hour``, in one or several parts; the window ``wide`` spans
-    ``span`` blocks before t, the others one. Without ``fill``, what adds is null in empty windows.
+    ``span`` blocks before t, the others one. ``paired``, they come in the form to store (see ``unpaired``).
     """
     reach = span if wide in windows else 1
     # Windows of the hours up to ``reach`` after a block hold it.
@@ -167,8 +180,8 @@ def sliding_spells(blocks: DataFrame, layout: Layout, groups: DataFrame, windows
     dealt = met.repartition(_partitions(met), by, "group").sortWithinPartitions(by, "group", "hour")
     kinds = {**{f.name: f.dataType for f in met.schema}, **layout.kinds}
     columns = [(f"{w}_{n}", kinds[f"{'l' if w == '5m' and w != wide else 'h'}_{n}"]) for w in sorted(windows, key=lambda w: w == wide) for n in windows[w]]
-    schema = T.StructType([T.StructField(c, t) for c, t in [(by, kinds[by]), ("first_event_ts_ms", kinds["first_event_ts_ms"]), *columns, ("hours", kinds["hours"])]])
-    return in_arrow(dealt, schema, slid({n: s.op for n, s in stats.items()}, windows, wide, span, fill), layout)
+    schema = T.StructType([T.StructField(c, t) for c, t in [(by, kinds[by]), ("first_event_ts_ms", kinds["first_event_ts_ms"]), *columns, ("hours", kinds["hours"]), *([("fresh", T.BooleanType())] if paired else [])]])
+    return in_arrow(dealt, schema, slid({n: s.op for n, s in stats.items()}, windows, wide, span, paired), layout)
 
 
 def rolling(df: DataFrame, by: str, ts: str, seconds: int, aggregates: dict[str, Column]) -> DataFrame:

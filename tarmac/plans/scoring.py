@@ -140,7 +140,7 @@ def stream_snapshots(spark, sf_dir):
         _slice(spark, sf_dir, f"{folder}-events", i, 5)
         once = dedup(spark.readStream.schema(events.schema).parquet(f"{folder}-events").withColumn("event_ts", F.timestamp_millis(epoch_ms(F.col("ts")))), horizon="25 hours", keys=["user_id", "event_id"])
         engine.start(telemetry(spark, sf_dir, once.drop("event_ts")).withColumn("arrival", F.col("ts_ms"))).awaitTermination()
-    return window_totals(engine.read_spells(spark))
+    return window_totals(engine.read_stored(spark))
 
 
 _LATE_SQL = f"""{RAW}, o AS (SELECT vehicle_id, seq, ts_ms, (seq * 7919) % 10007 AS arrival FROM raw),

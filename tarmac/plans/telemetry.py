@@ -81,12 +81,16 @@ WINDOW_TOTALS_SQL = ", ".join(
 
 
 def window_totals(spells: DataFrame) -> DataFrame:
-    """Every statistic of every window summed over each vehicle's snapshots: a small result that holds all of them. Sums are rounded first, as the SQL does."""
+    """Every statistic of every window summed over each vehicle's snapshots: a small result that holds all of them. Sums are rounded first, as the SQL does.
+
+    In spells as a stream stores them (with ``fresh``), the short windows count for the first hour alone.
+    """
     names = [f"{w}_{n}" for w in _WINDOWS for n in all_stats()]
     value = lambda c: f"`{c}`.value" if c.endswith(("soc_first", "soc_last")) else f"`{c}`"
-    plain = spells.selectExpr("vehicle_id", "CAST(size(hours) AS BIGINT) AS snapshots", *[f"CAST({value(c)} AS DOUBLE) AS `{c}`" for c in names])
-    layout = Layout({c: plain.schema[c].dataType for c in names})
-    parts = in_arrow(layout.packed(plain, "vehicle_id", "snapshots"), plain.schema, weighted({c for c in names if c.endswith(("_sum", "_sumsq"))}), layout)
+    light = "fresh" if "fresh" in spells.columns else "size(hours)"
+    plain = spells.selectExpr("vehicle_id", "CAST(size(hours) AS BIGINT) AS snapshots", f"CAST({light} AS BIGINT) AS light", *[f"CAST({value(c)} AS DOUBLE) AS `{c}`" for c in names])
+    layout, rounded = Layout({c: plain.schema[c].dataType for c in names}), {c for c in names if c.endswith(("_sum", "_sumsq"))}
+    parts = in_arrow(layout.packed(plain, "vehicle_id", "snapshots", "light"), plain.schema, weighted(rounded, {c for c in names if not c.startswith("24h_")}), layout)
     return parts.groupBy("vehicle_id").agg(F.sum("snapshots").alias("snapshots"), *[F.expr(f"round(sum(`{c}`), 2) AS `{c}`") for c in names])
 
 

@@ -25,7 +25,7 @@ from tarmac.config import HOUR_MS, FeatureConfig
 from tarmac.functions.features import COMPONENTS, features, window_complete
 from tarmac.functions.stats import Stat, all_stats
 from tarmac.operators.blocks import Layout
-from tarmac.operators.windows import HOURS, each_hour, filled, hour_parts, join_parts, window_spells
+from tarmac.operators.windows import HOURS, each_hour, filled, hour_parts, join_parts, unpaired, window_spells
 from tarmac.sources.commits import Change, Commits, bucket_of, query_name
 from tarmac.sources.sinks import retry
 
@@ -81,7 +81,7 @@ class Snapshots:
             finally:
                 events.unpersist()
         if emit and self.on_snapshots:
-            out = each_hour(self._filled(log.read("snapshots", batch=(writer, batch_id)))) if self._has(log, writer, batch_id) else None
+            out = each_hour(unpaired(log.read("snapshots", batch=(writer, batch_id)), self.windows, self.stats)) if self._has(log, writer, batch_id) else None
             if out is not None:
                 self.on_snapshots(out, batch_id)
 
@@ -136,9 +136,9 @@ class Snapshots:
                 new.unpersist()
 
     def due(self, blocks: DataFrame, layout: Layout, progress: DataFrame) -> DataFrame:
-        """The spells of snapshots of the hours after ``done`` up to ``emitted_hour``, from the blocks of the day before each; stored without zeros of empty windows."""
+        """The spells of snapshots of the hours after ``done`` up to ``emitted_hour``, from the blocks of the day before each, in the form to store."""
         due = progress.where("emitted_hour > done").select("vehicle_id", "first_event_ts_ms", (F.col("done") + 1).alias("from_hour"), F.col("emitted_hour").alias("to_hour"))
-        return window_spells(blocks, layout, due, self.windows, self.stats, fill=False)
+        return window_spells(blocks, layout, due, self.windows, self.stats, paired=True)
 
     def warm_up(self, history: DataFrame, batch_id: int = 0) -> None:
         """Rebuild the state from stored telemetry, as if the stream had run over it: the next batch has the number after."""
@@ -149,11 +149,12 @@ class Snapshots:
         return each_hour(self.read_spells(spark))
 
     def read_spells(self, spark: SparkSession) -> DataFrame:
-        """All snapshots so far as they are stored: as spells."""
-        return self._filled(Commits(spark, self.root).read("snapshots"))
+        """All snapshots so far as spells, which agree in all windows."""
+        return unpaired(Commits(spark, self.root).read("snapshots"), self.windows, self.stats)
 
-    def _filled(self, spells: DataFrame) -> DataFrame:
-        return filled(spells, self.windows, self.stats)
+    def read_stored(self, spark: SparkSession) -> DataFrame:
+        """All snapshots so far as they are stored: spells that agree in the day's window; the others are of the first hour, where ``fresh``."""
+        return filled(Commits(spark, self.root).read("snapshots"), self.windows, self.stats)
 
     def counters(self, spark: SparkSession) -> DataFrame:
         """One row: vehicles, applied and late events as of the last commit."""

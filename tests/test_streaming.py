@@ -345,3 +345,21 @@ def test_slices_of_a_stream_are_written_by_many_tasks(spark, tmp_path):
         again = {e for e, ms in rows if e % 3 == 0 and START_MS + i * width > ms >= START_MS + i * width - 20 * HOUR_MS} if i else set()
         seen += len(own) + len(again)
         assert len(files) == seen and own | again <= {r.event_id for r in files} and (not i or again)
+
+
+def test_stored_spells_share_the_day_window(spark, tmp_path):
+    """A row an event hour and a change, fewer than spells; spread out they are the snapshots, and totals of both forms agree."""
+    engine, rows = Snapshots(f"{tmp_path}/s"), history(120)
+    for i in range(3):
+        engine.batch(frame(spark, rows[i * 40 : (i + 1) * 40]), i)
+    engine.batch(frame(spark, []), 3)  # nothing but a watermark that moves
+    stored, spells = engine.read_stored(spark), engine.read_spells(spark)
+    assert stored.count() < spells.count() < engine.read(spark).count()
+    assert spells.columns == windows.spells(frame(spark, rows)).columns
+    from tarmac.plans.telemetry import window_totals
+
+    totals = [sorted(window_totals(x).collect()) for x in (stored, spells, windows.spells(frame(spark, rows)))]
+    for other in totals[1:]:
+        for a, b in zip(totals[0], other, strict=True):
+            assert all(x == y or x == pytest.approx(y, abs=0.011) for x, y in zip(a, b, strict=True))
+    assert Commits(spark, f"{tmp_path}/s").state().writers == {"snapshots": 3}
